@@ -424,7 +424,7 @@ def _recommendations(df: DataFrame, cols: set[str]) -> DataFrame:
     return df.withColumn("recommendations", recs.cast(f"array<{_REC}>"))
 
 
-def with_gap_warning(df: DataFrame) -> DataFrame:
+def with_gap_warning(df: DataFrame, only_mode: str | None = "balanced") -> DataFrame:
     """When trust − EvalScore > 10, append ``trust_eval_score_gap_<int>``
     to the flags and put a review recommendation first."""
     gap = _c("trust_score") - _c("eval_score")
@@ -438,6 +438,8 @@ def with_gap_warning(df: DataFrame) -> DataFrame:
         _c("trust_score"), _c("eval_score"), round_half(_c("P"), 4), mae, rmse)
     rec = _rec("Review error magnitudes before production deployment", why, "high", "performance")
     hit = gap > 10
+    if only_mode is not None:
+        hit = hit & (_c("trust_mode") == only_mode)
     return (df.withColumn("trust_eval_gap", gap)
               .withColumn("flags", F.when(hit, F.concat(_c("flags"), F.array(
                   F.concat(F.lit("trust_eval_score_gap_"), F.floor(gap).cast("string")))))

@@ -41,7 +41,12 @@ def classification_metrics(preds: DataFrame, keys: list[str] = K, y_true: str =
                            y_pred: str = "y_pred") -> DataFrame:
     """A1: accuracy and support-weighted precision / recall / F1 (0 when a
     class has no predictions), over labels in y_true ∪ y_pred."""
-    pc = per_class(confusion(preds, keys, y_true, y_pred), keys)
+    return metrics_from_confusion(confusion(preds, keys, y_true, y_pred), keys)
+
+
+def metrics_from_confusion(conf: DataFrame, keys: list[str] = K) -> DataFrame:
+    """A1 from a (keys, y_true, y_pred, n) confusion table."""
+    pc = per_class(conf, keys)
     prec_c = safe_div(F.col("tp"), F.col("predicted"))
     rec_c = safe_div(F.col("tp"), F.col("support"))
     f1_c = safe_div(2 * F.col("tp"), F.col("support") + F.col("predicted"))

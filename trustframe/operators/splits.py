@@ -12,8 +12,12 @@ a range shuffle:
    offset inside its group (a window over at most partitions + groups rows);
 4. position = offset + local index.
 
-The order key must be unique inside a group (callers append ``row_id``) so a
-recomputed partition after an executor loss yields the same positions.
+The range exchange samples its boundaries per execution, so the two uses
+(counts and the final join) must read one materialisation: the ranged rows
+with their local index are written once with a reliable ``checkpoint()`` to
+the session's checkpoint folder.  That also makes positions survive executor
+loss.  The order key must be unique inside a group (callers append
+``row_id``).
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustframe.functions.expr import lit_d
+from trustframe.session import checkpoint_dir
 
 _PID_SHIFT = 33  # monotonically_increasing_id layout: partition id << 33
 
@@ -39,6 +44,8 @@ def with_position(df: DataFrame, by: list[str], order: list[Column | str],
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_local", F.monotonically_increasing_id()
                             - F.shiftleft(F.spark_partition_id().cast("long"), _PID_SHIFT)))
+    checkpoint_dir(spark)
+    ranged = ranged.checkpoint(eager=True)
     counts = ranged.groupBy("_pid", *by).agg(F.min("_local").alias("_start"),
                                             F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*by).orderBy("_pid") if by else Window.orderBy("_pid")

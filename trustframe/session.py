@@ -31,6 +31,7 @@ def get_spark(app: str = "trustframe", cpus: str | int | None = None,
         .appName(app)
         .config("spark.driver.memory", os.environ.get("TF_DRIVER_MEMORY", "16g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
     )
     for k, v in DEFAULTS.items():
