@@ -101,3 +101,30 @@ def hash_cap_sample(df: DataFrame, by: list[str], row_id: str, n: int) -> DataFr
     """
     p = with_position(df, by, [F.md5(F.col(row_id).cast("string")), F.col(row_id)], "_pos", "_n")
     return p.filter(F.col("_pos") < n).drop("_pos", "_n")
+
+
+def with_running_sum(df: DataFrame, by: list[str], order: list[Column | str], weight: str,
+                     out_col: str = "running", num_partitions: int | None = None) -> DataFrame:
+    """Inclusive running sum of ``weight`` inside each ``by`` group in
+    ``order`` — the distributed form of ``sum(w) over (partition by by
+    order by order rows unbounded preceding)`` with no single-task window:
+    local sums inside range partitions + a small table of partition offsets."""
+    spark = df.sparkSession
+    n_part = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    keys = [F.col(c) for c in by] + order_cols
+    ranged = df.repartitionByRange(n_part, *keys).withColumn("_pid", F.spark_partition_id())
+    w = (Window.partitionBy("_pid", *by).orderBy(*order_cols)
+         .rowsBetween(Window.unboundedPreceding, 0))
+    ranged = ranged.withColumn("_local", F.sum(weight).over(w))
+    checkpoint_dir(spark)
+    ranged = ranged.checkpoint(eager=True)
+    tot = ranged.groupBy("_pid", *by).agg(F.sum(weight).alias("_tot"))
+    wo = Window.partitionBy(*by).orderBy("_pid") if by else Window.orderBy("_pid")
+    offsets = tot.withColumn("_base", F.coalesce(F.sum("_tot").over(
+        wo.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_tot")
+    if not by:
+        offsets = F.broadcast(offsets)
+    return (ranged.join(offsets, ["_pid", *by])
+                  .withColumn(out_col, F.col("_base") + F.col("_local"))
+                  .drop("_pid", "_local", "_base"))
