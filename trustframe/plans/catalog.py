@@ -27,4 +27,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from trustframe.plans import queries_eval, queries_ops, queries_registry  # noqa: F401
+    from trustframe.plans import queries_eval, queries_more, queries_ops, queries_registry  # noqa: F401

@@ -446,6 +446,36 @@ def flat_record_sql() -> str:
 
 def evaluation_sql(workload: str) -> str:
     """Oracle for ``plans.evaluation.evaluate_workload`` + ``flat_record``."""
+    return evaluation_ctes(workload) + "\n" + flat_record_sql()
+
+
+def lambda_sensitivity_sql(workload: str) -> str:
+    """Oracle for T18 on top of the trust CTE chain (uses t3's components)."""
+    amp = (lambda r: f"CASE WHEN trust_mode = 'strict' THEN {clip(f'pow({r}, 1.5::DOUBLE)')} ELSE {r} END")
+    return evaluation_ctes(workload) + f""",
+ls AS (
+  SELECT model_id, dataset_id, trust_mode, P, H, F, R, DII, e.exponent,
+         least({clip('pow(DII, e.exponent)')}, 0.85::DOUBLE) AS lam,
+         {amp(clip('1 - P'))} AS rp, {amp(clip('DII'))} AS rhh, {amp(clip('dp_value'))} AS rf, {amp(clip('delta'))} AS rr
+  FROM t3 CROSS JOIN (VALUES (1.0::DOUBLE), (1.2::DOUBLE), (1.5::DOUBLE), (2.0::DOUBLE)) e(exponent)),
+ls2 AS (SELECT *, rp + rhh + rf + rr AS s FROM ls),
+ls3 AS (
+  SELECT *, lam * CASE WHEN s > 1e-12::DOUBLE THEN rp / s ELSE 0.25::DOUBLE END + (1 - lam) * 0.4::DOUBLE AS hp,
+         lam * CASE WHEN s > 1e-12::DOUBLE THEN rhh / s ELSE 0.25::DOUBLE END + (1 - lam) * 0.25::DOUBLE AS hh,
+         lam * CASE WHEN s > 1e-12::DOUBLE THEN rf / s ELSE 0.25::DOUBLE END + (1 - lam) * 0.2::DOUBLE AS hf,
+         lam * CASE WHEN s > 1e-12::DOUBLE THEN rr / s ELSE 0.25::DOUBLE END + (1 - lam) * 0.15::DOUBLE AS hr
+  FROM ls2),
+ls4 AS (
+  SELECT *, greatest(0.0::DOUBLE, least(100.0::DOUBLE, 100.0::DOUBLE * (hp / (hp + hh + hf + hr) * P
+         + hh / (hp + hh + hf + hr) * H + hf / (hp + hh + hf + hr) * F + hr / (hp + hh + hf + hr) * R)
+         * (1 - CASE WHEN trust_mode = 'strict' THEN 0.15::DOUBLE * DII ELSE 0.0::DOUBLE END))) AS t
+  FROM ls3)
+SELECT model_id, dataset_id, trust_mode, exponent, {rh('lam', 4)} AS lambda_value, {rh('t', 2)} AS trust_score,
+       {rh(rh('t', 2) + ' - ' + rh('first_value(t) OVER (PARTITION BY model_id, dataset_id, trust_mode ORDER BY exponent)', 2), 2)} AS vs_baseline
+FROM ls4"""
+
+
+def evaluation_ctes(workload: str) -> str:
     if workload == "orders_status":
         preds, attrs, mt = BINARY_PREDS, ["c_mktsegment", "n_regionkey", "o_orderpriority"], "classification"
         st = stats_sql("ds2", "orders_status",
@@ -491,4 +521,4 @@ inp AS (
   FROM met LEFT JOIN trn USING (model_id, dataset_id) LEFT JOIN fs USING (model_id, dataset_id)
   LEFT JOIN st ON st.dataset_id = met.dataset_id)"""
     return ("WITH " + preds + ",\n" + ds2 + ",\n" + st + ",\n" + parts + ",\n" + inputs + ",\n"
-            + trust_sql("inp") + "\n" + flat_record_sql())
+            + trust_sql("inp"))
