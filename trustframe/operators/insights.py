@@ -194,27 +194,56 @@ def pearson_pairs(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     return _pairs_table(r, cols, threshold)
 
 
+def _rank_table(lv: DataFrame, by: list[str]) -> DataFrame:
+    """Average ranks of ``value`` inside each ``by`` group: value counts →
+    distributed running sum → cum − (count − 1)/2."""
+    vc = lv.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("c"))
+    rs = with_running_sum(vc, by, [F.col("value")], "c", "cum")
+    return rs.select(*by, "value", (F.col("cum") - (F.col("c") - 1) / 2.0).alias("rank"))
+
+
 def spearman_pairs(df: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Spearman per pair on the rows complete for that pair."""
+    """Spearman per pair on the rows complete for that pair.
+
+    Columns without nulls are ranked once (their pairwise-complete rows are
+    all rows) and the ranks are joined back on the value; only pairs that
+    involve a column with nulls are re-ranked on their own complete rows.
+    The null counts are one small aggregate read on the driver."""
     cols = numeric_columns(df, df.columns)
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     if not pairs:
         return pearson_pairs(df, threshold)
-    arr = F.array(*[F.struct(F.lit(f"{i}_{j}").alias("pair"), _q(cols[i]).cast("double").alias("va"),
-                             _q(cols[j]).cast("double").alias("vb")) for i, j in pairs])
-    long = (df.select(F.explode(arr).alias("p")).select("p.*")
-              .filter(F.col("va").isNotNull() & F.col("vb").isNotNull()))
-    sides = long.select("pair", F.lit("a").alias("side"), F.col("va").alias("v")).unionByName(
-        long.select("pair", F.lit("b").alias("side"), F.col("vb").alias("v")))
-    vc = sides.groupBy("pair", "side", "v").agg(F.count(F.lit(1)).alias("c"))
-    rs = with_running_sum(vc, ["pair", "side"], [F.col("v")], "c", "cum")
-    ranks = rs.select("pair", "side", "v", (F.col("cum") - (F.col("c") - 1) / 2.0).alias("rank"))
-    ra = ranks.filter(F.col("side") == "a").select("pair", F.col("v").alias("va"), F.col("rank").alias("ra"))
-    rb = ranks.filter(F.col("side") == "b").select("pair", F.col("v").alias("vb"), F.col("rank").alias("rb"))
-    rr = long.join(ra, ["pair", "va"]).join(rb, ["pair", "vb"])
-    corr = rr.groupBy("pair").agg(F.corr("ra", "rb").alias("r"))
-    wide = corr.groupBy().pivot("pair", [f"{i}_{j}" for i, j in pairs]).agg(F.first("r"))
-    wide = wide.select(*[F.col(f"`{i}_{j}`").alias(f"r_{i}_{j}") for i, j in pairs])
+    nulls = df.agg(*[count_if(_q(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    clean = {i for i in range(len(cols)) if nulls[f"n{i}"] == 0}
+    results = []
+    clean_pairs = [(i, j) for i, j in pairs if i in clean and j in clean]
+    if clean_pairs:
+        used = sorted({i for p in clean_pairs for i in p})
+        ranks = _rank_table(long_values(df, [cols[i] for i in used]), ["column"])
+        wide = df.select(*[_q(cols[i]).cast("double").alias(f"v{i}") for i in used])
+        for i in used:
+            r = ranks.filter(F.col("column") == cols[i]).select(F.col("value").alias(f"v{i}"),
+                                                                F.col("rank").alias(f"rk{i}"))
+            wide = wide.join(r, f"v{i}")
+        results.append(wide.agg(*[F.corr(f"rk{i}", f"rk{j}").alias(f"r_{i}_{j}") for i, j in clean_pairs]))
+    dirty = [(i, j) for i, j in pairs if (i, j) not in set(clean_pairs)]
+    if dirty:
+        arr = F.array(*[F.struct(F.lit(f"{i}_{j}").alias("pair"), _q(cols[i]).cast("double").alias("va"),
+                                 _q(cols[j]).cast("double").alias("vb")) for i, j in dirty])
+        long = (df.select(F.explode(arr).alias("p")).select("p.*")
+                  .filter(F.col("va").isNotNull() & F.col("vb").isNotNull()))
+        sides = long.select("pair", F.lit("a").alias("side"), F.col("va").alias("value")).unionByName(
+            long.select("pair", F.lit("b").alias("side"), F.col("vb").alias("value")))
+        ranks = _rank_table(sides, ["pair", "side"])
+        ra = ranks.filter(F.col("side") == "a").select("pair", F.col("value").alias("va"), F.col("rank").alias("ra"))
+        rb = ranks.filter(F.col("side") == "b").select("pair", F.col("value").alias("vb"), F.col("rank").alias("rb"))
+        rr = long.join(ra, ["pair", "va"]).join(rb, ["pair", "vb"])
+        corr = rr.groupBy("pair").agg(F.corr("ra", "rb").alias("r"))
+        w = corr.groupBy().pivot("pair", [f"{i}_{j}" for i, j in dirty]).agg(F.first("r"))
+        results.append(w.select(*[F.col(f"`{i}_{j}`").alias(f"r_{i}_{j}") for i, j in dirty]))
+    wide = results[0]
+    for r in results[1:]:
+        wide = wide.withColumn("_k", F.lit(1)).join(r.withColumn("_k", F.lit(1)), "_k").drop("_k")
     return _pairs_table(wide, cols, threshold)
 
 
