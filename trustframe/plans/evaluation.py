@@ -91,7 +91,12 @@ def _test_group_counts(summary: DataFrame, positive: float = 1.0) -> DataFrame:
 
 
 def classification_parts(preds: DataFrame, attrs: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    summary = classification_summary(preds, attrs)
+    return classification_parts_from_summary(classification_summary(preds, attrs))
+
+
+def classification_parts_from_summary(summary: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All-rows metrics, train metrics and test-split fairness gaps from the
+    (pair, split, attr, grp, y, ŷ, n) summary — also the streaming state."""
     metrics = metrics_from_confusion(_conf(summary, None))
     train = metrics_from_confusion(_conf(summary, "train")).select(
         *K, F.col("accuracy").alias("train_accuracy"), F.col("f1_score").alias("train_f1_score"),
@@ -154,15 +159,20 @@ def evaluation_inputs(spark: SparkSession, sf_dir: str, wl: Workload) -> DataFra
         metrics, train, gaps = classification_parts(preds, wl.attrs)
     else:
         metrics, train, gaps = regression_parts(preds, wl.attrs)
-    fair = fairness_summary(gaps)
     stats = dataset_stats(wl.dataset(spark, sf_dir), wl.dataset_id, wl.target,
                           model_type=wl.model_type)
+    return assemble_inputs(metrics, train, gaps, stats, wl.model_type)
+
+
+def assemble_inputs(metrics: DataFrame, train: DataFrame, gaps: DataFrame, stats: DataFrame,
+                    model_type: str) -> DataFrame:
+    fair = fairness_summary(gaps)
     return (metrics.withColumnRenamed("n_rows", "n_predictions")
                    .join(train, K, "left")
                    .withColumn("has_train", F.lit(True))
                    .join(fair, K, "left")
                    .join(stats, "dataset_id", "left")
-                   .withColumn("model_type", F.lit(wl.model_type))
+                   .withColumn("model_type", F.lit(model_type))
                    .withColumn("fairness_evaluated",
                                F.coalesce(F.col("fairness_evaluated"), F.lit(False))))
 
