@@ -31,10 +31,14 @@ def corrected_skew(c: str) -> F.Column:
     return F.when(n >= 3, F.coalesce(g1, lit_d(0.0)) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
+def row_counts(df: DataFrame) -> DataFrame:
+    """Distinct rows with their multiplicity (null-safe grouping)."""
+    return df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_c"))
+
+
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows minus distinct rows (null-safe, like pandas ``duplicated``)."""
-    return (df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_c"))
-              .agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("long").alias("duplicates")))
+    return row_counts(df).agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("long").alias("duplicates"))
 
 
 def dataset_stats(df: DataFrame, dataset_id: str, target: str, features: list[str] | None = None,
@@ -72,11 +76,15 @@ def dataset_stats(df: DataFrame, dataset_id: str, target: str, features: list[st
                        F.lit(len(features)).alias("n_features"), "missing_values",
                        low_frac.cast("double").alias("low_variance_fraction"),
                        skew.cast("double").alias("skew_score"))
-    dup = duplicate_count(df).select(F.lit(dataset_id).alias("dataset_id"), "duplicates")
+    # the distinct-row table also yields the class counts (no extra scan)
+    rc = row_counts(df)
+    dup = rc.agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("long").alias("duplicates")) \
+            .select(F.lit(dataset_id).alias("dataset_id"), "duplicates")
     out = base.join(dup, "dataset_id").withColumn(
         "duplicate_ratio", F.col("duplicates") / F.greatest(F.col("n_rows"), F.lit(1)))
     if model_type == "classification":
-        counts = df.filter(F.col(f"`{target}`").isNotNull()).groupBy(f"`{target}`").count()
+        counts = (rc.filter(F.col(f"`{target}`").isNotNull()).groupBy(f"`{target}`")
+                    .agg(F.sum("_c").alias("count")))
         if variant == "experiment":
             imb = counts.agg(F.min("count").alias("_mn"), F.max("count").alias("_mx")).select(
                 F.lit(dataset_id).alias("dataset_id"),

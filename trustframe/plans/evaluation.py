@@ -8,8 +8,9 @@ Plan (one scan of the predictions table):
   dataset table ─► statistics (A11) ──────────────────────────────────────────┐
   join on pair / dataset_id ─► EvalScore (T1) ─► explode(mode) ─► trust (T2–T16)
 
-The summary aggregate is referenced three times; Spark reuses its exchange,
-so the predictions are read and shuffled once.  Everything after it works on
+The summary aggregate is referenced three times; it is materialised once
+with ``checkpoint()`` (it has one row per pair × split × attribute × group ×
+class pair), so the predictions are read and shuffled once.  Everything after it works on
 tables with one row per (pair, class pair, group).
 """
 
@@ -28,6 +29,7 @@ from trustframe.operators.fairness import (fairness_gaps, fairness_summary,
                                            unpivot_attrs)
 from trustframe.operators.health import dataset_stats
 from trustframe.operators.metrics import metrics_from_confusion
+from trustframe.session import checkpoint_dir
 from trustframe.sources import workloads as W
 
 K = ["model_id", "dataset_id"]
@@ -90,8 +92,16 @@ def _test_group_counts(summary: DataFrame, positive: float = 1.0) -> DataFrame:
                         w(F.col("y_true") == F.col("y_pred")).alias("correct")))
 
 
+def _materialise(df: DataFrame) -> DataFrame:
+    """Write the (small) sufficient-statistics summary once to the shared
+    checkpoint folder so its three consumers read it instead of re-running
+    the scan and shuffle of the predictions."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def classification_parts(preds: DataFrame, attrs: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return classification_parts_from_summary(classification_summary(preds, attrs))
+    return classification_parts_from_summary(_materialise(classification_summary(preds, attrs)))
 
 
 def classification_parts_from_summary(summary: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -136,7 +146,7 @@ def _reg_metrics(summary: DataFrame, split: str | None) -> DataFrame:
 
 
 def regression_parts(preds: DataFrame, attrs: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    summary = regression_summary(preds, attrs)
+    summary = _materialise(regression_summary(preds, attrs))
     metrics = _reg_metrics(summary, None)
     train = _reg_metrics(summary, "train").select(
         *K, F.col("r2_score").alias("train_r2_score"), F.col("mae").alias("train_mae"),

@@ -49,7 +49,15 @@ def q_replicate(spark, sf):
     return X.replicate_ci(inp, K, n_runs=10)
 
 
-@register("sweep_mode_comparison", None)
+@register("sweep_mode_comparison", O.evaluation_ctes("docs_quality") + """
+SELECT model_id, dataset_id, max(CASE WHEN trust_mode = 'balanced' THEN trust_score END) AS balanced_trust,
+       max(CASE WHEN trust_mode = 'balanced' THEN DII END) AS balanced_dii,
+       bool_or(CASE WHEN trust_mode = 'balanced' THEN guard_triggered END) AS balanced_guard,
+       max(CASE WHEN trust_mode = 'strict' THEN trust_score END) AS strict_trust,
+       max(CASE WHEN trust_mode = 'strict' THEN DII END) AS strict_dii,
+       bool_or(CASE WHEN trust_mode = 'strict' THEN guard_triggered END) AS strict_guard,
+       """ + O.rh("max(CASE WHEN trust_mode = 'balanced' THEN trust_score END) - max(CASE WHEN trust_mode = 'strict' THEN trust_score END)", 2) + """ AS trust_gap
+FROM tr GROUP BY model_id, dataset_id""")
 def q_modes(spark, sf):
     return E.mode_comparison(E.evaluate_workload(spark, sf, "docs_quality"))
 
@@ -117,11 +125,15 @@ def q_oversample(spark, sf):
     return over.groupBy("target").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("scenario_forced_predictions", None)
+@register("scenario_forced_predictions", "WITH " + O.BINARY_PREDS + """
+SELECT model_id, dataset_id, c_mktsegment, """ + O.rh("avg(y_pred)") + """ AS rate_before,
+       """ + O.rh("avg(CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0::DOUBLE ELSE y_pred END)") + """ AS rate_after
+FROM preds GROUP BY ALL""")
 def q_forced(spark, sf):
     preds = W.binary_predictions(spark, sf)
     strong = X.force_predictions(preds, "c_mktsegment", "BUILDING", "strong")
-    return X.before_after_rates(preds, strong, K, "c_mktsegment")
+    return X.before_after_rates(preds, strong, K, "c_mktsegment").select(
+        *K, "c_mktsegment", r6("rate_before"), r6("rate_after"))
 
 
 @register("scenario_comparison", None)
@@ -258,10 +270,20 @@ def q_shapley(spark, sf):
     return AT.global_summary(c)
 
 
-@register("attribution_explain_one", None)
+@register("attribution_explain_one", """
+WITH m AS (SELECT avg(p_size::DOUBLE) AS ms, avg(p_retailprice) AS mr FROM part),
+c AS (SELECT p_partkey, 120.0::DOUBLE * ms + 0.8::DOUBLE * mr AS base_value, 'p_size' AS feature, 0 AS feature_ord,
+             p_size::DOUBLE AS value, 120.0::DOUBLE * (p_size::DOUBLE - ms) AS contribution FROM part, m WHERE p_partkey = 1
+      UNION ALL
+      SELECT p_partkey, 120.0::DOUBLE * ms + 0.8::DOUBLE * mr, 'p_retailprice', 1, p_retailprice,
+             0.8::DOUBLE * (p_retailprice - mr) FROM part, m WHERE p_partkey = 1)
+SELECT p_partkey, """ + O.rh("base_value") + """ AS base_value, feature, feature_ord, """ + O.rh("value") + """ AS value,
+       """ + O.rh("contribution") + """ AS contribution,
+       row_number() OVER (ORDER BY abs(contribution) DESC, feature_ord) AS "order" FROM c""")
 def q_explain_one(spark, sf):
     c = AT.linear_attribution(table(spark, sf, "part"), "p_partkey", PART_WEIGHTS)
-    return AT.explain_one(c, "p_partkey", 1)
+    e = AT.explain_one(c, "p_partkey", 1)
+    return e.select("p_partkey", r6("base_value"), "feature", "feature_ord", r6("value"), r6("contribution"), "order")
 
 
 # ---------------------------------------------------------- preparation

@@ -181,7 +181,15 @@ def q_fairness_recommendations(spark, sf):
                     FA.fairness_level(F.col("overall_fairness_score")).alias("fairness_level"))
 
 
-@register("fairness_detect_attributes", None)
+@register("fairness_detect_attributes", "WITH " + O.ORDERS_DS + """,
+c AS (SELECT count(DISTINCT o_totalprice) AS c0, count(DISTINCT o_orderpriority) AS c1, count(DISTINCT c_acctbal) AS c2,
+             count(DISTINCT c_mktsegment) AS c3, count(DISTINCT n_regionkey) AS c4 FROM ds)
+SELECT 'orders_status' AS dataset_id, "column", ordinal, reason, n_unique FROM (
+  SELECT 'o_totalprice' AS "column", 0 AS ordinal, 'numeric' AS reason, c0 AS n_unique FROM c WHERE c0 BETWEEN 2 AND 5
+  UNION ALL SELECT 'o_orderpriority', 1, 'categorical', c1 FROM c WHERE c1 BETWEEN 2 AND 10
+  UNION ALL SELECT 'c_acctbal', 2, 'numeric', c2 FROM c WHERE c2 BETWEEN 2 AND 5
+  UNION ALL SELECT 'c_mktsegment', 3, 'categorical', c3 FROM c WHERE c3 BETWEEN 2 AND 10
+  UNION ALL SELECT 'n_regionkey', 4, 'name', c4 FROM c)""")
 def q_fairness_detect(spark, sf):
     ds = W.orders_dataset(spark, sf).drop("row_id", "o_orderstatus")
     return FA.detect_sensitive_attributes(ds, ["target"], "orders_status")
@@ -219,7 +227,20 @@ for _t, (_cols, _num, _tgt, _mt) in HEALTH_TABLES.items():
     register(f"health_stats_{_t}", _sql)(_mk(_t, _cols, _tgt, _mt))
 
 
-@register("health_stats_experiment", None)
+@register("health_stats_experiment", """
+WITH s AS (SELECT count(*) AS n_rows,
+  CAST(count(*) FILTER (WHERE c_custkey IS NULL) + count(*) FILTER (WHERE c_name IS NULL) + count(*) FILTER (WHERE c_nationkey IS NULL)
+       + count(*) FILTER (WHERE c_acctbal IS NULL) + count(*) FILTER (WHERE c_mktsegment IS NULL) AS BIGINT) AS missing_values,
+  (CASE WHEN var_samp(c_custkey) < 0.01::DOUBLE THEN 1 ELSE 0 END + CASE WHEN var_samp(c_nationkey) < 0.01::DOUBLE THEN 1 ELSE 0 END
+   + CASE WHEN var_samp(c_acctbal) < 0.01::DOUBLE THEN 1 ELSE 0 END)::DOUBLE / 3 AS low_variance_fraction,
+  tanh((abs(skewness(c_custkey)) + abs(skewness(c_nationkey)) + abs(skewness(c_acctbal))) / 3.0::DOUBLE / 3.0::DOUBLE) AS skew_score
+  FROM customer),
+k AS (SELECT min(c)::DOUBLE / max(c) AS imbalance_ratio FROM (SELECT count(*) AS c FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY c_mktsegment)),
+d AS (SELECT count(*) AS nd FROM (SELECT DISTINCT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer))
+SELECT 'customer' AS dataset_id, n_rows, 4 AS n_features, missing_values, """ + O.rh("imbalance_ratio") + """ AS imbalance_ratio,
+       """ + O.rh("(n_rows - nd)::DOUBLE / n_rows") + """ AS duplicate_ratio, """ + O.rh("skew_score") + """ AS skew_score,
+       """ + O.rh("low_variance_fraction") + """ AS low_variance_fraction
+FROM s, k, d""")
 def q_health_experiment(spark, sf):
     cols, _, tgt, mt = HEALTH_TABLES["customer"]
     st = HE.dataset_stats(table(spark, sf, "customer").select(*cols), "customer", tgt, model_type=mt,
@@ -346,7 +367,18 @@ for _t in INSIGHT_TABLES:
     register(f"insights_spearman_matrix_{_t}", spearman_sql(_t, 0.0))(_qs)
 
 
-@register("insights_outliers_zscore_events", None)
+@register("insights_outliers_zscore_events", """
+WITH u AS (""" + "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS feature, {i} AS col_ord, count({c}) AS n, count(*) AS n_all, avg({c}) AS mean,
+       stddev_pop({c}) AS sp, stddev_samp({c}) AS std, min({c})::DOUBLE AS min_value, max({c})::DOUBLE AS max_value,
+       (SELECT count(*) FROM events x, (SELECT avg({c}) AS m, stddev_pop({c}) AS s FROM events) y
+        WHERE y.s > 0 AND abs(x.{c} - y.m) / y.s > 3) AS outliers FROM events"""
+    for i, c in enumerate(["event_id", "user_id", "value"])) + """)
+SELECT feature, col_ord, outliers AS count, """ + O.rh("outliers::DOUBLE / n_all * 100.0::DOUBLE", 2) + """ AS percentage,
+       CASE WHEN outliers::DOUBLE / n_all * 100 > 10 THEN 'high' WHEN outliers::DOUBLE / n_all * 100 > 5 THEN 'medium' ELSE 'low' END AS impact,
+       """ + O.rh("mean - 3 * std") + " AS lower_bound, " + O.rh("mean + 3 * std") + """ AS upper_bound,
+       """ + O.rh("min_value") + " AS min_value, " + O.rh("max_value") + " AS max_value, " + O.rh("mean") + " AS mean, " + O.rh("std") + """ AS std
+FROM u WHERE n >= 3 AND outliers > 0""")
 def q_outliers_z(spark, sf):
     o = IN.outliers_zscore(table(spark, sf, "events").select(*INSIGHT_TABLES["events"]))
     return o.select("feature", "col_ord", "count", "percentage", "impact", *[r6(c) for c in _OUT_COLS])
