@@ -522,3 +522,45 @@ inp AS (
   LEFT JOIN st ON st.dataset_id = met.dataset_id)"""
     return ("WITH " + preds + ",\n" + ds2 + ",\n" + st + ",\n" + parts + ",\n" + inputs + ",\n"
             + trust_sql("inp"))
+
+
+def fold_results_sql(k: int = 5) -> str:
+    """Oracle for ``experiment.fold_results``: stratified folds by md5(row_id),
+    per-fold test metrics and DP, training-part statistics, trust both modes."""
+    feats = ["o_totalprice", "o_orderpriority", "c_acctbal", "c_mktsegment", "n_regionkey"]
+    num = ["o_totalprice", "c_acctbal"]
+    miss = " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in feats)
+    sk = " + ".join(f"abs(coalesce(skewness({c}), 0.0::DOUBLE))" for c in num)
+    folds_list = ", ".join(f"({i})" for i in range(k))
+    return "WITH " + ORDERS_DS + f""",
+fd AS (SELECT *, CAST((row_number() OVER (PARTITION BY target ORDER BY md5(CAST(row_id AS VARCHAR)), row_id) - 1) % {k} AS INTEGER) AS fold FROM ds),
+preds AS (
+  SELECT 'm_price' AS model_id, fold, target, CAST(o_totalprice > 200000 AS DOUBLE) AS y_pred, c_mktsegment FROM fd
+  UNION ALL SELECT 'm_priority', fold, target, CAST(o_orderpriority IN ('1-URGENT', '2-HIGH') AS DOUBLE), c_mktsegment FROM fd
+  UNION ALL SELECT 'm_acctbal', fold, target, CAST(c_acctbal > 5000 AS DOUBLE), c_mktsegment FROM fd),
+m AS (SELECT model_id, fold, avg(CASE WHEN target = y_pred THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS accuracy,
+             CASE WHEN count(*) FILTER (WHERE y_pred = 1) + count(*) FILTER (WHERE target = 1) > 0
+                  THEN 2.0::DOUBLE * count(*) FILTER (WHERE target = 1 AND y_pred = 1)
+                       / (count(*) FILTER (WHERE y_pred = 1) + count(*) FILTER (WHERE target = 1)) ELSE 0.0::DOUBLE END AS f1_score
+      FROM preds GROUP BY ALL),
+rt AS (SELECT model_id, fold, c_mktsegment, avg(y_pred) AS r FROM preds GROUP BY ALL),
+dpt AS (SELECT model_id, fold, abs(max(r) - min(r)) AS dp FROM rt GROUP BY ALL),
+tf AS (SELECT f.f AS tfold, fd.* FROM fd JOIN (VALUES {folds_list}) f(f) ON fd.fold <> f.f),
+st AS (SELECT tfold AS fold, count(*) AS n_rows, {len(feats)} AS n_features, CAST({miss} AS BIGINT) AS missing_values,
+              tanh(({sk}) / {len(num)}.0::DOUBLE / 3.0::DOUBLE) AS skew_score FROM tf GROUP BY tfold),
+dup AS (SELECT tfold AS fold, sum(c - 1) AS dups FROM (SELECT tfold, {", ".join(feats)}, count(*) AS c FROM tf GROUP BY ALL) GROUP BY tfold),
+cls AS (SELECT tfold AS fold, min(c)::DOUBLE / max(c) AS imbalance_ratio FROM (SELECT tfold, target, count(*) AS c FROM tf GROUP BY ALL) GROUP BY tfold),
+inp AS (
+  SELECT m.model_id, 'orders_status' AS dataset_id, m.fold, 'classification' AS model_type, m.accuracy,
+         NULL::DOUBLE AS precision, NULL::DOUBLE AS recall, m.f1_score, NULL::DOUBLE AS mae, NULL::DOUBLE AS mse,
+         NULL::DOUBLE AS rmse, NULL::DOUBLE AS r2_score, NULL::DOUBLE AS std_y, NULL::DOUBLE AS range_y,
+         NULL::DOUBLE AS train_accuracy, NULL::DOUBLE AS train_f1_score, NULL::DOUBLE AS train_r2_score,
+         FALSE AS has_train, TRUE AS fairness_evaluated, dpt.dp, st.n_rows, st.n_features, st.missing_values,
+         cls.imbalance_ratio, dup.dups::DOUBLE / st.n_rows AS duplicate_ratio, st.skew_score,
+         NULL::DOUBLE AS low_variance_fraction
+  FROM m JOIN dpt USING (model_id, fold) JOIN st USING (fold) JOIN dup USING (fold) JOIN cls USING (fold)),
+""" + trust_sql("inp")[1:] + f""",
+fr AS (SELECT model_id, fold, accuracy, f1_score, dp,
+              max(CASE WHEN trust_mode = 'balanced' THEN trust_score END) AS trust_balanced,
+              max(CASE WHEN trust_mode = 'strict' THEN trust_score END) AS trust_strict
+       FROM tr GROUP BY model_id, fold, accuracy, f1_score, dp)"""

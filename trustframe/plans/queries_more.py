@@ -65,14 +65,23 @@ def q_modes(spark, sf):
 # ---------------------------------------------------------- experiments
 
 
-@register("experiment_fold_results", None)
+@register("experiment_fold_results", O.fold_results_sql() + """
+SELECT model_id, fold, """ + ", ".join(f"{O.rh(c)} AS {c}" for c in ("accuracy", "f1_score", "dp"))
+          + ", trust_balanced, trust_strict FROM fr")
 def q_folds(spark, sf):
-    return X.fold_results(spark, sf)
+    f = X.fold_results(spark, sf)
+    return f.select("model_id", "fold", r6("accuracy"), r6("f1_score"), r6("dp"), "trust_balanced", "trust_strict")
+
+
+_FS = [f"{c}_{s}" for c in ("accuracy", "f1_score", "trust_balanced", "trust_strict") for s in ("mean", "std")]
 
 
-@register("experiment_fold_summary", None)
+@register("experiment_fold_summary", O.fold_results_sql() + """
+SELECT model_id, count(*) AS n_folds, """ + ", ".join(
+    f"{O.rh(f'avg({c})')} AS {c}_mean, {O.rh(f'stddev_pop({c})')} AS {c}_std"
+    for c in ("accuracy", "f1_score", "trust_balanced", "trust_strict")) + " FROM fr GROUP BY model_id")
 def q_fold_summary(spark, sf):
-    return X.fold_summary(X.fold_results(spark, sf))
+    return X.fold_summary(X.fold_results(spark, sf)).select("model_id", "n_folds", *[r6(c) for c in _FS])
 
 
 @register("experiment_ttest_modes", None)
