@@ -450,7 +450,11 @@ def with_gap_warning(df: DataFrame, only_mode: str | None = "balanced") -> DataF
 
 
 def invariant_violations(df: DataFrame, key_cols: list[str]) -> DataFrame:
-    """Rows whose scores, weights or trust break an invariant."""
+    """Rows whose scores, weights or trust break an invariant.
+
+    Apply it to a materialised scored table (``plans.evaluation.score``):
+    a filter directly on ``trust_columns`` output would be pushed through the
+    whole expression chain by the optimizer."""
     betas = [_c(f"beta_{k}") for k in COMPONENTS]
     wsum = sum(betas, lit_d(0.0))
     in01 = (lambda c: c.isNotNull() & ~F.isnan(c) & (c >= 0) & (c <= 1))
@@ -460,4 +464,29 @@ def invariant_violations(df: DataFrame, key_cols: list[str]) -> DataFrame:
     ok = ok & (F.abs(wsum - 1.0) < 1e-6) & (_c("trust_score") >= 0) & (_c("trust_score") <= 100)
     ok = ok & in01(_c("DII")) & in01(_c("dp_value")) & in01(_c("delta"))
     return df.filter(~ok).select(*key_cols, "trust_mode", "P", "H", "F", "R", *betas,
-                                 "trust_score", "DII", "DP", "delta")
+                                 "trust_score", "DII", "dp_value", "delta")
+
+
+def earlier_meta_score(df: DataFrame) -> DataFrame:
+    """T26 (documented formula, no code in the reference): penalty-based
+    health, primary metric ×100, complexity adjustment, 65/25/10 blend."""
+    cols = set(df.columns)
+    n = F.greatest(F.coalesce(_present(cols, "n_rows"), F.lit(1)), F.lit(1)).cast("double")
+    miss = F.coalesce(_present(cols, "missing_values"), F.lit(0)) / n
+    imb = F.coalesce(_present(cols, "imbalance_ratio"), lit_d(0.5))
+    low = F.coalesce(_present(cols, "low_variance_fraction"), lit_d(0.0))
+    pen = (F.least(miss * 100, lit_d(30.0))
+           + F.when(imb > 0.6, (imb - 0.5) * 80).otherwise(lit_d(0.0))
+           + F.when(n < 100, (1 - n / 100) * 20).otherwise(lit_d(0.0)) + low * 10)
+    health = F.greatest(lit_d(0.0), F.least(lit_d(100.0), 100 - pen))
+    mt = _c("model_type")
+    primary = (F.when(mt == "classification", F.coalesce(_present(cols, "f1_score"), lit_d(0.0)) * 100)
+                .when(mt == "regression", F.greatest(lit_d(0.0), F.coalesce(_present(cols, "r2_score"), lit_d(0.0))) * 100)
+                .when(mt == "nlp", F.coalesce(_present(cols, "rougeL"), _present(cols, "bleu_score"), lit_d(0.0)) * 100)
+                .otherwise(F.coalesce(_present(cols, "iou"), _present(cols, "dice_coefficient"), lit_d(0.0)) * 100))
+    gap = F.when(mt == "classification",
+                 F.abs(_present(cols, "train_f1_score") - _present(cols, "f1_score")))             .otherwise(F.abs(_present(cols, "train_r2_score") - _present(cols, "r2_score")))
+    adj = F.when(F.coalesce(gap, lit_d(0.0)) > 0.1, -gap * 100 * 0.3).otherwise(lit_d(0.0))
+    meta = round_half(F.greatest(lit_d(0.0), F.least(0.65 * primary + 0.25 * health + 0.10 * (100 + adj),
+                                                      lit_d(100.0))), 2)
+    return df.withColumn("dataset_health_score_v0", health).withColumn("meta_score_v0", meta)

@@ -117,3 +117,12 @@ def train_and_score(train: DataFrame, test: DataFrame, label: str, numeric: list
 def score_expression(df: DataFrame, model, features: list[str], out: str = "y_pred") -> DataFrame:
     """M4 (Column-expression backend): ``model(dict of feature Columns)``."""
     return df.withColumn(out, model({c: F.col(c) for c in features}))
+
+
+def align_columns(df: DataFrame, reference: list[str], keep_suffix: str = "_nan") -> DataFrame:
+    """Select the reference column list (missing ones as 0), keeping any
+    ``*_nan`` indicator columns the frame has."""
+    have = set(df.columns)
+    cols = [F.col(c) if c in have else F.lit(0).alias(c) for c in reference]
+    extra = [F.col(c) for c in df.columns if c.endswith(keep_suffix) and c not in reference]
+    return df.select(*cols, *extra)

@@ -249,3 +249,14 @@ def delete_cascade(parents: DataFrame, deleted_ids: DataFrame, children: list[Da
     """Drop the deleted parents and every child row that points at them."""
     return ([parents.join(deleted_ids, key, "left_anti")]
             + [c.join(deleted_ids, key, "left_anti") for c in children])
+
+
+def get_model(models: DataFrame, model_id, user_id) -> DataFrame:
+    """C7 (get) + F1: a model by id, visible only to its owner."""
+    return owned_by(models, user_id).filter(F.col("model_id") == F.lit(model_id))
+
+
+def dataset_path_for_owner(datasets: DataFrame, dataset_id, user_id) -> DataFrame:
+    """Registry lookup with the ownership filter; the path is then read
+    with ``sources.tables.read_dataset``."""
+    return owned_by(datasets, user_id).filter(F.col("dataset_id") == F.lit(dataset_id)).select("file_path")

@@ -195,7 +195,10 @@ def score(inputs: DataFrame, modes: tuple[str, ...] = MODES, gap_warning: bool =
     if gap_warning:
         # Q6: only the balanced result receives the gap warning, as on the sync path
         out = with_gap_warning(out, only_mode="balanced")
-    return out
+    # The scored table is small (pairs × modes) but its columns are deep
+    # expression chains; materialising it keeps later filters from being
+    # pushed through (and inlined into) the whole chain by the optimizer.
+    return _materialise(out)
 
 
 def evaluate_workload(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

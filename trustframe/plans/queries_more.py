@@ -352,3 +352,86 @@ def q_train(spark, sf):
     p = scored.select(F.lit("mllib_logistic").alias("model_id"), F.lit("orders_status").alias("dataset_id"),
                       F.col("target").cast("double").alias("y_true"), "y_pred")
     return classification_metrics(p)
+
+
+# ------------------------------------------------------ checks and extras
+
+_INV_COLS = ["P", "H", "F", "R", "beta_performance", "beta_health", "beta_fairness", "beta_robustness",
+             "trust_score", "DII", "dp_value", "delta"]
+
+
+@register("trust_invariants", O.evaluation_ctes("lineitem_price") + """
+SELECT model_id, dataset_id, trust_mode, """ + ", ".join(_INV_COLS) + """ FROM tr
+WHERE NOT (P BETWEEN 0 AND 1 AND H BETWEEN 0 AND 1 AND F BETWEEN 0 AND 1 AND R BETWEEN 0 AND 1
+  AND beta_performance BETWEEN 0 AND 1 AND beta_health BETWEEN 0 AND 1 AND beta_fairness BETWEEN 0 AND 1
+  AND beta_robustness BETWEEN 0 AND 1
+  AND abs(beta_performance + beta_health + beta_fairness + beta_robustness - 1) < 1e-6
+  AND trust_score BETWEEN 0 AND 100 AND DII BETWEEN 0 AND 1 AND dp_value BETWEEN 0 AND 1 AND delta BETWEEN 0 AND 1)""")
+def q_invariants(spark, sf):
+    """Rows breaking a scorer invariant (expected: none)."""
+    from trustframe.functions.trust import invariant_violations
+    return invariant_violations(E.evaluate_workload(spark, sf, "lineitem_price"), K)
+
+
+@register("trust_earlier_meta_score", O.evaluation_ctes("orders_status") + """,
+v0 AS (SELECT model_id, dataset_id,
+  greatest(0.0::DOUBLE, least(100.0::DOUBLE, 100 - (least(coalesce(missing_values, 0)::DOUBLE / greatest(coalesce(n_rows, 1), 1) * 100, 30.0::DOUBLE)
+     + CASE WHEN coalesce(imbalance_ratio, 0.5::DOUBLE) > 0.6::DOUBLE THEN (coalesce(imbalance_ratio, 0.5::DOUBLE) - 0.5::DOUBLE) * 80 ELSE 0.0::DOUBLE END
+     + CASE WHEN greatest(coalesce(n_rows, 1), 1) < 100 THEN (1 - greatest(coalesce(n_rows, 1), 1)::DOUBLE / 100) * 20 ELSE 0.0::DOUBLE END
+     + coalesce(low_variance_fraction, 0.0::DOUBLE) * 10))) AS h,
+  coalesce(f1_score, 0.0::DOUBLE) * 100 AS p,
+  CASE WHEN abs(train_f1_score - f1_score) > 0.1::DOUBLE THEN -abs(train_f1_score - f1_score) * 100 * 0.3::DOUBLE ELSE 0.0::DOUBLE END AS adj
+  FROM inp)
+SELECT model_id, dataset_id, """ + O.rh("h") + " AS dataset_health_score_v0, "
+    + O.rh("greatest(0.0::DOUBLE, least(0.65::DOUBLE * p + 0.25::DOUBLE * h + 0.10::DOUBLE * (100 + adj), 100.0::DOUBLE))", 2)
+    + " AS meta_score_v0 FROM v0")
+def q_meta_v0(spark, sf):
+    """The earlier documented meta score."""
+    from trustframe.functions.trust import earlier_meta_score
+    m = earlier_meta_score(E.evaluation_inputs(spark, sf, E.WORKLOADS["orders_status"]))
+    return m.select(*K, r6("dataset_health_score_v0"), r6("meta_score_v0"))
+
+
+@register("attribution_local_surrogate", None)
+def q_surrogate(spark, sf):
+    """X4 with a rule model; mean |coefficient| per feature, ranked."""
+    ds = W.orders_dataset(spark, sf)
+
+    def rule(x):
+        return F.when((x["o_totalprice"] > 200000) & (x["c_acctbal"] > 5000), 1.0).otherwise(0.0)
+    c = AT.local_surrogate(ds, "row_id", ["o_totalprice", "c_acctbal"], rule)
+    return AT.global_summary(c.withColumnRenamed("coefficient", "contribution"))
+
+
+@register("prep_align_columns", """
+SELECT CAST(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS BIGINT) AS "o_orderpriority_1-URGENT",
+       CAST(sum(CASE WHEN o_orderpriority = '2-HIGH' THEN 1 ELSE 0 END) AS BIGINT) AS "o_orderpriority_2-HIGH",
+       CAST(0 AS BIGINT) AS "o_orderpriority_6-NONE",
+       CAST(sum(CASE WHEN o_orderpriority IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS o_orderpriority_nan
+FROM orders""")
+def q_align(spark, sf):
+    """One-hot columns aligned to a reference list that has an unseen
+    category (filled with 0); the null indicator is kept."""
+    o = table(spark, sf, "orders")
+    oh = PR.one_hot(o, "o_orderpriority", ["1-URGENT", "2-HIGH"], drop_first=False, null_indicator=True)
+    al = PR.align_columns(oh, ["o_orderpriority_1-URGENT", "o_orderpriority_2-HIGH", "o_orderpriority_6-NONE"])
+    return al.agg(*[F.sum(F.col(f"`{c}`")).cast("long").alias(c) for c in al.columns])
+
+
+@register("insights_top_pairs_lineitem", """
+WITH u AS (""" + "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS feature1, '{b}' AS feature2, {i} AS i, {i + 1 + k} AS j, corr({a}, {b}) AS r FROM lineitem"
+    for i, a in enumerate(["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                           "l_discount", "l_tax"])
+    for k, b in enumerate(["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                           "l_discount", "l_tax"][i + 1:])) + """)
+SELECT feature1, feature2, """ + O.rh("abs(r)", 4) + """ AS abs_correlation FROM u
+ORDER BY """ + O.rh("abs(r)", 4) + """ DESC, i, j LIMIT 10""")
+def q_top_pairs(spark, sf):
+    """K3: the strongest pairs (top 10 by |r|)."""
+    from trustframe.operators.insights import pearson_pairs
+    cols = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+            "l_discount", "l_tax"]
+    p = pearson_pairs(table(spark, sf, "lineitem").select(*cols), 0.0)
+    return (p.orderBy(F.col("abs_correlation").desc(), "i", "j").limit(10)
+             .select("feature1", "feature2", "abs_correlation"))

@@ -396,3 +396,19 @@ FROM customer""")
 def q_fingerprint(spark, sf):
     from trustframe.operators.io import fingerprint
     return fingerprint(table(spark, sf, "customer"))
+
+
+@register("registry_get_model", W("models") + """
+SELECT model_id, name, model_type FROM models WHERE user_id = 7 AND model_id IN (SELECT min(model_id) FROM models WHERE user_id = 7)""")
+def q_get_model(spark, sf):
+    """C7 + F1: fetch one model by id for its owner (the owner's first model)."""
+    m = SR.models(spark, sf)
+    first = RG.owned_by(m, 7).agg(F.min("model_id").alias("model_id"))
+    return RG.owned_by(m, 7).join(first, "model_id", "left_semi").select("model_id", "name", "model_type")
+
+
+@register("registry_dataset_path", W("datasets") + """
+SELECT file_path FROM datasets WHERE user_id = 11 AND dataset_id = 'Brand#11'""")
+def q_dataset_path(spark, sf):
+    """Registry lookup by (id, owner) before the read."""
+    return RG.dataset_path_for_owner(SR.datasets(spark, sf), "Brand#11", 11)
