@@ -1,11 +1,11 @@
 """Dataset insights (quality, outliers, correlations).
 
 Scale notes
-* Quartiles are exact order statistics computed distributedly: the numeric
-  columns are unpivoted to ``(column, value)`` and ``with_position`` ranks
-  values inside each column by a range shuffle; the two neighbours of
-  ``q·(n−1)`` are picked and interpolated linearly (pandas' default).  No
-  aggregation buffer ever holds a whole column.  ``method='approx'`` uses
+* Quartiles are exact order statistics without a sort: the numeric columns
+  are unpivoted to ``(column, value)`` and ``order_statistics`` finds the
+  two neighbours of ``q·(n−1)`` (approximate bracket, then exact counts
+  inside it), interpolated linearly (pandas' default).  No aggregation
+  buffer ever holds a whole column.  ``method='approx'`` uses
   ``percentile_approx`` instead (one pass, bounded memory, approximate).
 * Pearson is one aggregation with one ``corr`` per column pair; ``corr``
   skips rows where either side is null (pairwise-complete, as pandas).
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from trustframe.functions.expr import count_if, lit_d, round_half
 from trustframe.operators.health import numeric_columns
-from trustframe.operators.splits import with_position, with_running_sum
+from trustframe.operators.splits import order_statistics, with_running_sum
 
 
 def _q(c: str) -> Column:
@@ -44,20 +44,9 @@ def quartiles(df: DataFrame, cols: list[str], method: str = "exact") -> DataFram
                   .agg(F.count(F.lit(1)).alias("n"),
                        F.percentile_approx("value", [0.25, 0.75], 100000).alias("_q"))
                   .select("column", "col_ord", "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3")))
-    p = with_position(lv, ["column"], [F.col("value")], "pos", "n")
-    hs = {"q1": F.col("n").cast("double") - 1, "q3": F.col("n").cast("double") - 1}
-    h1, h3 = 0.25 * hs["q1"], 0.75 * hs["q3"]
-    marks = p.select(
-        "column", "col_ord", "n", "pos", "value",
-        (F.col("pos") == F.floor(h1)).alias("lo1"), (F.col("pos") == F.ceil(h1)).alias("hi1"),
-        (F.col("pos") == F.floor(h3)).alias("lo3"), (F.col("pos") == F.ceil(h3)).alias("hi3"),
-    ).filter("lo1 OR hi1 OR lo3 OR hi3")
-    a = marks.groupBy("column", "col_ord", "n").agg(
-        F.max(F.when(F.col("lo1"), F.col("value"))).alias("l1"),
-        F.max(F.when(F.col("hi1"), F.col("value"))).alias("u1"),
-        F.max(F.when(F.col("lo3"), F.col("value"))).alias("l3"),
-        F.max(F.when(F.col("hi3"), F.col("value"))).alias("u3"))
     n1 = F.col("n").cast("double") - 1
+    a = order_statistics(lv, ["column", "col_ord"], "value", [
+        ("l1", 0.25, "floor"), ("u1", 0.25, "ceil"), ("l3", 0.75, "floor"), ("u3", 0.75, "ceil")])
     f1 = 0.25 * n1 - F.floor(0.25 * n1)
     f3 = 0.75 * n1 - F.floor(0.75 * n1)
     return a.select("column", "col_ord", "n",

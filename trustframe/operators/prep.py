@@ -69,16 +69,13 @@ def impute(df: DataFrame, numeric: list[str], categorical: list[str], other: lis
     """M2: median (exact, distributed) for numeric, mode for categorical,
     0 for the rest."""
     from trustframe.operators.insights import long_values
-    from trustframe.operators.splits import with_position
+    from trustframe.operators.splits import order_statistics
     fills = {}
     if numeric:
         lv = long_values(df, numeric)
-        p = with_position(lv, ["column"], [F.col("value")], "pos", "n")
-        h = (F.col("n") - 1) / 2.0
-        med = (p.filter((F.col("pos") == F.floor(h)) | (F.col("pos") == F.ceil(h)))
-                .groupBy("column").agg(F.avg("value").alias("median")))
+        med = order_statistics(lv, ["column"], "value", [("lo", 0.5, "floor"), ("hi", 0.5, "ceil")])
         for r in med.collect():  # one row per numeric column
-            fills[r["column"]] = r["median"]
+            fills[r["column"]] = (r["lo"] + r["hi"]) / 2.0
     for c in categorical:
         mode = (df.filter(F.col(c).isNotNull()).groupBy(c).count()
                   .orderBy(F.col("count").desc(), F.col(c)).first())

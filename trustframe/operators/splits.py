@@ -29,6 +29,7 @@ from trustframe.functions.expr import lit_d
 from trustframe.session import checkpoint_dir
 
 _PID_SHIFT = 33  # monotonically_increasing_id layout: partition id << 33
+BROADCAST_MAX_GROUPS = 100_000  # per-group parameter rows broadcast up to this count
 
 
 def with_position(df: DataFrame, by: list[str], order: list[Column | str],
@@ -64,8 +65,19 @@ def with_position(df: DataFrame, by: list[str], order: list[Column | str],
 
 
 def positional_split(df: DataFrame, by: list[str], order: list[str],
-                     train_fraction: float = 0.8, split_col: str = "split") -> DataFrame:
-    """first ``floor(train_fraction * n)`` rows of each group are 'train'."""
+                     train_fraction: float = 0.8, split_col: str = "split",
+                     unique_numeric_key: bool = False) -> DataFrame:
+    """first ``floor(train_fraction * n)`` rows of each group are 'train'.
+
+    With a single unique numeric order key the split is ``key < v`` where v
+    is the exact ⌊f·n⌋-th key (``order_statistics``: two aggregations, no
+    sort); otherwise positions come from ``with_position``."""
+    if unique_numeric_key and len(order) == 1:
+        cut = order_statistics(df, by, order[0], [("_cut", train_fraction, "floor_n")]).drop("n")
+        j = df.join(cut, by) if by else df.withColumn("_j", F.lit(1)).join(
+            F.broadcast(cut.withColumn("_j", F.lit(1))), "_j").drop("_j")
+        return (j.withColumn(split_col, F.when(F.col(order[0]).cast("double") < F.col("_cut"), F.lit("train"))
+                             .otherwise(F.lit("test"))).drop("_cut"))
     p = with_position(df, by, order, "_pos", "_n")
     cut = F.floor(F.col("_n") * lit_d(train_fraction))
     return (p.withColumn(split_col, F.when(F.col("_pos") < cut, F.lit("train"))
@@ -128,3 +140,85 @@ def with_running_sum(df: DataFrame, by: list[str], order: list[Column | str], we
     return (ranged.join(offsets, ["_pid", *by])
                   .withColumn(out_col, F.col("_base") + F.col("_local"))
                   .drop("_pid", "_local", "_base"))
+
+
+def order_statistics(df: DataFrame, by: list[str], value: str, ranks: list[tuple[str, float, str]],
+                     accuracy: int = 200000) -> DataFrame:
+    """Exact values at given 0-based ranks inside each ``by`` group, without
+    sorting the data.
+
+    ``ranks`` holds (name, q, rule): the rank is ``floor(q·(n−1))`` for rule
+    'floor', ``ceil(q·(n−1))`` for 'ceil' and ``floor(q·n)`` for 'floor_n',
+    with n the group's non-null count.  Pass 1: ``percentile_approx`` at the
+    constant percentages q ± 4/accuracy (rank error ≤ n/accuracy) brackets
+    every wanted rank.  Pass 2: one aggregation counts values below the
+    bracket and the value counts inside it (about 8·n/accuracy rows per rank).
+    The exact value is the first bracket value whose cumulative count passes
+    the rank.  A bracket that misses its rank (not expected) is recomputed
+    with the sort-based ``with_position``.  Returns (by..., n, <name>...)."""
+    v = F.col(value).cast("double")
+    base = df.select(*by, v.alias("_v")).filter(F.col("_v").isNotNull())
+    m = 4.0 / accuracy
+    names = [r[0] for r in ranks]
+    pct = sorted({round(max(0.0, q - m), 9) for _, q, _ in ranks} | {round(min(1.0, q + m), 9) for _, q, _ in ranks})
+    nd = F.col("n").cast("double")
+
+    def k_expr(q: float, rule: str) -> Column:
+        if rule == "floor_n":
+            return F.floor(nd * q)
+        h = (nd - 1) * q
+        return F.floor(h) if rule == "floor" else F.ceil(h)
+
+    def join1(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+        if by:
+            return a.join(b, by, how)
+        return a.withColumn("_j", F.lit(1)).join(b.withColumn("_j", F.lit(1)), "_j", how).drop("_j")
+
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    # pass 1: count and approximate brackets (one row per group), materialised
+    a = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
+                              F.percentile_approx("_v", pct, accuracy).alias("_g"))
+    sel = []
+    for nm, q, rule in ranks:
+        sel += [F.element_at("_g", pct.index(round(max(0.0, q - m), 9)) + 1).alias(f"_lo_{nm}"),
+                F.element_at("_g", pct.index(round(min(1.0, q + m), 9)) + 1).alias(f"_hi_{nm}"),
+                k_expr(q, rule).cast("long").alias(f"_k_{nm}")]
+    b = a.select(*by, "n", *sel).checkpoint(eager=True)
+    # pass 2: per rank, one tag per row: below the bracket, or its value inside it.
+    # b has one row per group; broadcast it when the (checkpointed, cheap to
+    # count) group table is within the bound, else shuffle-join on the keys.
+    small_b = (not by) or b.count() <= BROADCAST_MAX_GROUPS
+    j = join1(base, F.broadcast(b) if small_b else b)
+    below_w = (j.groupBy(*by).agg(*[F.sum(F.when(F.col("_v") < F.col(f"_lo_{nm}"), 1).otherwise(0))
+                                    .cast("long").alias(f"_b_{nm}") for nm in names]))
+    below = below_w.select(*by, F.explode(F.array(*[F.struct(F.lit(nm).alias("_r"), F.col(f"_b_{nm}").alias("_below"))
+                                                    for nm in names])).alias("_bb")).select(*by, "_bb._r", "_bb._below")
+    inside = [(F.col("_v") >= F.col(f"_lo_{nm}")) & (F.col("_v") <= F.col(f"_hi_{nm}")) for nm in names]
+    any_in = inside[0]
+    for c in inside[1:]:
+        any_in = any_in | c
+    # only values inside some bracket (about 8·n/accuracy per rank) are expanded
+    within = (j.filter(any_in)
+               .select(*by, F.col("_v").alias("_x"),
+                       F.explode(F.array_compact(F.array(*[F.when(c, F.lit(nm)) for c, nm in zip(inside, names)])))
+                       .alias("_r"))
+               .groupBy(*by, "_r", "_x").agg(F.count(F.lit(1)).alias("_c"))).checkpoint(eager=True)
+    below = below.checkpoint(eager=True)
+    w = Window.partitionBy(*by, "_r").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    within = within.withColumn("_cum", F.sum("_c").over(w))
+    kl = b.select(*by, "n", F.explode(F.array(*[F.struct(F.lit(nm).alias("_r"), F.col(f"_k_{nm}").alias("_k"))
+                                                  for nm in names])).alias("_kk")).select(*by, "n", "_kk._r", "_kk._k")
+    kl = kl.join(below, [*by, "_r"], "left").withColumn("_below", F.coalesce("_below", F.lit(0)))
+    picks = (within.join(kl, [*by, "_r"])
+                   .filter(F.col("_below") + F.col("_cum") >= F.col("_k") + 1)
+                   .groupBy(*by, "_r").agg(F.min("_x").alias("_val")))
+    res = kl.join(picks, [*by, "_r"], "left")
+    ok = (F.col("_below") <= F.col("_k")) & F.col("_val").isNotNull()
+    # verify with one tiny aggregate read on the driver
+    if res.filter(~ok).limit(1).count():
+        p = with_position(base, by, [F.col("_v")], "_pos", "n")
+        ks = p.select(*by, "n", *[k_expr(q, rule).cast("long").alias(f"_k_{nm}") for nm, q, rule in ranks])
+        return ks.groupBy(*by, "n").agg(*[F.max(F.when(F.col("_pos") == F.col(f"_k_{nm}"), F.col("_v"))).alias(nm)
+                                          for nm in names])
+    return res.groupBy(*by, "n").pivot("_r", names).agg(F.first("_val"))

@@ -84,7 +84,7 @@ LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdat
 def binary_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binary classification pairs on ``orders_status``, with a positional
     80/20 split by ``row_id`` shared by the three models."""
-    ds = positional_split(orders_dataset(spark, sf_dir), [], ["row_id"])
+    ds = positional_split(orders_dataset(spark, sf_dir), [], ["row_id"], unique_numeric_key=True)
     p = _explode_models(ds, BINARY_RULES, "double")
     return p.select("model_id", F.lit("orders_status").alias("dataset_id"), "row_id", "split",
                     F.col("target").cast("double").alias("y_true"), "y_pred", *ORDER_ATTRS)
@@ -111,7 +111,7 @@ def docs_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docs_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ds = positional_split(docs_dataset(spark, sf_dir), [], ["doc_id"])
+    ds = positional_split(docs_dataset(spark, sf_dir), [], ["doc_id"], unique_numeric_key=True)
     p = _explode_models(ds, DOC_RULES, "double")
     return p.select("model_id", F.lit("docs_quality").alias("dataset_id"),
                     F.col("doc_id").alias("row_id"), "split",
