@@ -113,8 +113,39 @@ def q_ablation(spark, sf):
     return X.ablation_summary(X.fairness_weight_sweep(spark, sf, X.fold_results(spark, sf)))
 
 
-@register("scenario_null_injection_stats", None)
+_NI_COLS = ["o_totalprice", "o_orderpriority", "c_acctbal", "c_mktsegment", "n_regionkey", "target"]
+_NI_NUM = ["o_totalprice", "c_acctbal"]
+_U = "('0x' || substr(md5('42|' || CAST(row_id AS VARCHAR) || '|{c}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+_SK = [f"(CASE WHEN count({c}) >= 3 THEN CASE WHEN var_samp({c}) = 0 THEN 0.0::DOUBLE ELSE abs(skewness({c})) END END)"
+       for c in _NI_NUM]
+
+
+@register("scenario_null_injection_stats", "WITH " + O.ORDERS_DS + """,
+sc AS (SELECT * FROM (VALUES ('clean', 0.0::DOUBLE), ('moderate', 0.10::DOUBLE), ('severe', 0.30::DOUBLE)) v(name, p)),
+inj AS (SELECT sc.name, """ + ", ".join(
+    (f"CASE WHEN {_U.format(c=c)} < sc.p THEN NULL ELSE {c} END AS {c}" if c not in ("c_mktsegment", "target") else c)
+    for c in _NI_COLS) + """ FROM ds, sc),
+b AS (SELECT name, count(*) AS n_rows, CAST(""" + " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in _NI_COLS)
+    + """ AS BIGINT) AS missing_values,
+        (""" + " + ".join(f"CASE WHEN var_samp({c}) < 0.01::DOUBLE THEN 1 ELSE 0 END" for c in _NI_NUM) + """)::DOUBLE / 2 AS low_variance_fraction,
+        """ + " + ".join(f"CASE WHEN {x} IS NOT NULL THEN 1 ELSE 0 END" for x in _SK) + """ AS n_ok,
+        """ + " + ".join(f"coalesce({x}, 0.0::DOUBLE)" for x in _SK) + """ AS tot
+      FROM inj GROUP BY name),
+k AS (SELECT name, max(c) AS mx FROM (SELECT name, target, count(*) AS c FROM inj WHERE target IS NOT NULL GROUP BY ALL) GROUP BY name),
+d AS (SELECT name, count(*) AS nd FROM (SELECT DISTINCT * FROM inj) GROUP BY name)
+SELECT b.name AS dataset_id, n_rows, 5 AS n_features, missing_values,
+       """ + O.rh("coalesce(mx::DOUBLE / n_rows, 0.5::DOUBLE)") + """ AS imbalance_ratio,
+       """ + O.rh("(n_rows - nd)::DOUBLE / greatest(n_rows, 1)") + """ AS duplicate_ratio,
+       """ + O.rh("CASE WHEN n_ok = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, tot / n_ok / 3.0::DOUBLE) END") + """ AS skew_score,
+       """ + O.rh("low_variance_fraction") + """ AS low_variance_fraction
+FROM b JOIN k USING (name) JOIN d USING (name)""")
 def q_null_injection(spark, sf):
+    return _q_null_injection(spark, sf).select(
+        "dataset_id", "n_rows", "n_features", "missing_values",
+        *[r6(c) for c in ("imbalance_ratio", "duplicate_ratio", "skew_score", "low_variance_fraction")])
+
+
+def _q_null_injection(spark, sf):
     from trustframe.operators.health import dataset_stats
     ds = W.orders_dataset(spark, sf).select("row_id", *X.FEATURES, "target")
     outs = []
@@ -127,11 +158,20 @@ def q_null_injection(spark, sf):
     return res
 
 
-@register("scenario_oversample_majority", None)
+@register("scenario_oversample_majority", "WITH " + O.ORDERS_DS + """,
+c AS (SELECT target, count(*) AS n FROM ds GROUP BY target),
+mj AS (SELECT target, n FROM c ORDER BY n DESC, target LIMIT 1),
+pos AS (SELECT ds.row_id, ds.target, row_number() OVER (ORDER BY ds.row_id) - 1 AS p
+        FROM ds JOIN mj ON ds.target = mj.target),
+dr AS (SELECT CAST(floor(('0x' || substr(md5('42|' || CAST(g.d AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0::DOUBLE * mj.n) AS BIGINT) AS p
+       FROM mj, generate_series(0, CAST(floor(mj.n * 0.2::DOUBLE) AS BIGINT) - 1) g(d)),
+ex AS (SELECT pos.row_id, pos.target FROM dr JOIN pos USING (p)),
+al AS (SELECT row_id, target FROM ds UNION ALL SELECT row_id, target FROM ex)
+SELECT target, count(*) AS n, CAST(sum(row_id) AS BIGINT) AS row_id_sum FROM al GROUP BY target""")
 def q_oversample(spark, sf):
     ds = W.orders_dataset(spark, sf).select("row_id", *X.FEATURES, "target")
     over = X.oversample_majority(ds, "target", "row_id", 0.2)
-    return over.groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+    return over.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.sum("row_id").cast("long").alias("row_id_sum"))
 
 
 @register("scenario_forced_predictions", "WITH " + O.BINARY_PREDS + """
