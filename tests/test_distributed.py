@@ -108,3 +108,23 @@ def test_text_metrics_brute_force(spark):
     assert rn.rouge1 == pytest.approx(sum(f1s) / len(f1s), rel=1e-9)
     assert rn.rouge2 == pytest.approx(sum(f2s) / len(f2s), rel=1e-9)
     assert rouge_l(df, ["conv_id", "turn"]).first().rougeL == pytest.approx(sum(fls) / len(fls), rel=1e-9)
+
+
+def test_order_statistics_exact_with_ties(spark):
+    from trustframe.operators.splits import order_statistics
+    random.seed(11)
+    rows = [("hot" if random.random() < 0.6 else f"g{random.randint(0, 3)}",
+             float(random.choice([random.random(), 5.0, 7.0]))) for _ in range(5000)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    ranks = [("a", 0.25, "floor"), ("b", 0.75, "ceil"), ("c", 0.8, "floor_n")]
+    got = {r.g: (r.a, r.b, r.c) for r in order_statistics(df, ["g"], "v", ranks, accuracy=50).collect()}
+    by = collections.defaultdict(list)
+    for g, v in rows:
+        by[g].append(v)
+    for g, vs in by.items():
+        vs.sort()
+        n = len(vs)
+        assert got[g] == (vs[math.floor(0.25 * (n - 1))], vs[math.ceil(0.75 * (n - 1))], vs[math.floor(0.8 * n)])
+    one = order_statistics(df, [], "v", [("m", 0.5, "floor")]).first()
+    allv = sorted(v for _, v in rows)
+    assert one.n == len(allv) and one.m == allv[math.floor(0.5 * (len(allv) - 1))]

@@ -39,13 +39,22 @@ def read_dataset(spark: SparkSession, path: str, fmt: str | None = None,
     """CSV with header (schema inferred unless given) or parquet."""
     fmt = fmt or ("csv" if path.lower().endswith(".csv") else "parquet")
     if fmt == "csv":
-        r = spark.read.option("header", "true")
-        r = r.schema(schema) if schema is not None else r.option("inferSchema", "true")
-        df = r.csv(path)
-        str_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-        df = df.select(*[
-            (F.when(F.trim(F.col(c)).isin(PANDAS_NA_TOKENS), None).otherwise(F.col(c)).alias(c)
-             if c in str_cols else F.col(c)) for c in df.columns])
+        # read text, map the NA tokens to null, then infer types (as pandas does)
+        raw = spark.read.option("header", "true").csv(path)
+        q = (lambda c: F.col(f"`{c}`"))
+        df = raw.select(*[F.when(F.trim(q(c)).isin(PANDAS_NA_TOKENS), None).otherwise(q(c)).alias(c)
+                          for c in raw.columns])
+        if schema is not None:
+            return nan_to_null(df.select(*[q(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]))
+        tc = (lambda c, t: F.expr(f"try_cast(`{c}` AS {t})"))
+        checks = df.agg(*[x for i, c in enumerate(df.columns) for x in (
+            (F.count(q(c)) == F.count(tc(c, "BIGINT"))).alias(f"l{i}"),
+            (F.count(q(c)) == F.count(tc(c, "DOUBLE"))).alias(f"d{i}"))]).first()  # one row of flags
+        cols = []
+        for i, c in enumerate(df.columns):
+            t = "bigint" if checks[f"l{i}"] else "double" if checks[f"d{i}"] else None
+            cols.append(tc(c, t.upper()).alias(c) if t else q(c))
+        df = df.select(*cols)
     else:
         df = spark.read.parquet(path)
     return nan_to_null(df)
