@@ -451,6 +451,21 @@ def evaluation_sql(workload: str) -> str:
 
 def lambda_sensitivity_sql(workload: str) -> str:
     """Oracle for T18 on top of the trust CTE chain (uses t3's components)."""
+    return lambda_sensitivity_ctes(workload) + f"""
+SELECT model_id, dataset_id, trust_mode, exponent, {rh('lam', 4)} AS lambda_value, {rh('t', 2)} AS trust_score,
+       {rh(rh('t', 2) + ' - ' + rh('first_value(t) OVER (PARTITION BY model_id, dataset_id, trust_mode ORDER BY exponent)', 2), 2)} AS vs_baseline
+FROM ls4"""
+
+
+def lambda_summary_sql(workload: str) -> str:
+    return lambda_sensitivity_ctes(workload) + f"""
+SELECT model_id, dataset_id, trust_mode, {rh('max(t) - min(t)', 2)} AS score_range, {rh('stddev_pop(t)', 4)} AS score_std,
+       {rh('CASE WHEN avg(t) > 0 THEN stddev_pop(t) / avg(t) ELSE 0.0::DOUBLE END', 4)} AS coefficient_of_variation,
+       {rh('min(t)', 2)} AS min_score, {rh('max(t)', 2)} AS max_score
+FROM ls4 GROUP BY model_id, dataset_id, trust_mode"""
+
+
+def lambda_sensitivity_ctes(workload: str) -> str:
     amp = (lambda r: f"CASE WHEN trust_mode = 'strict' THEN {clip(f'pow({r}, 1.5::DOUBLE)')} ELSE {r} END")
     return evaluation_ctes(workload) + f""",
 ls AS (
@@ -469,10 +484,7 @@ ls4 AS (
   SELECT *, greatest(0.0::DOUBLE, least(100.0::DOUBLE, 100.0::DOUBLE * (hp / (hp + hh + hf + hr) * P
          + hh / (hp + hh + hf + hr) * H + hf / (hp + hh + hf + hr) * F + hr / (hp + hh + hf + hr) * R)
          * (1 - CASE WHEN trust_mode = 'strict' THEN 0.15::DOUBLE * DII ELSE 0.0::DOUBLE END))) AS t
-  FROM ls3)
-SELECT model_id, dataset_id, trust_mode, exponent, {rh('lam', 4)} AS lambda_value, {rh('t', 2)} AS trust_score,
-       {rh(rh('t', 2) + ' - ' + rh('first_value(t) OVER (PARTITION BY model_id, dataset_id, trust_mode ORDER BY exponent)', 2), 2)} AS vs_baseline
-FROM ls4"""
+  FROM ls3)"""
 
 
 def evaluation_ctes(workload: str) -> str:

@@ -35,7 +35,7 @@ def q_lambda(spark, sf):
     return X.lambda_sensitivity(scored, K).drop("_t")
 
 
-@register("sweep_lambda_summary", None)
+@register("sweep_lambda_summary", O.lambda_summary_sql("lineitem_price"))
 def q_lambda_summary(spark, sf):
     inp = E.evaluation_inputs(spark, sf, E.WORKLOADS["lineitem_price"])
     scored = trust_columns(E.eval_score_columns(inp).withColumn(
@@ -185,8 +185,31 @@ def q_forced(spark, sf):
         *K, "c_mktsegment", r6("rate_before"), r6("rate_after"))
 
 
-@register("scenario_comparison", None)
+_SCEN_SQL = ("WITH " + O.BINARY_PREDS + """,
+sp2 AS (
+  SELECT 'normal' AS scenario, model_id, dataset_id, split, y_true, y_pred, c_mktsegment, n_regionkey, o_orderpriority FROM preds
+  UNION ALL SELECT 'strong', model_id, dataset_id, split, y_true,
+         CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0::DOUBLE ELSE y_pred END, c_mktsegment, n_regionkey, o_orderpriority FROM preds
+  UNION ALL SELECT 'extreme', model_id, dataset_id, split, y_true,
+         CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, c_mktsegment, n_regionkey, o_orderpriority FROM preds),
+sp3 AS (SELECT scenario || '|' || model_id AS model_id, dataset_id, y_true, y_pred, c_mktsegment, n_regionkey, o_orderpriority FROM sp2),"""
+             + O.class_fairness_sql("sp3", W.ORDER_ATTRS) + "," + O.fairness_summary_sql("gaps2") + """,
+f2 AS (SELECT split_part(model_id, '|', 1) AS scenario, split_part(model_id, '|', 2) AS model_id, dataset_id, dp,
+              attributes_analyzed, overall_fairness_score, primary_attribute, fairness_evaluated FROM fs)
+SELECT a.model_id, a.dataset_id, a.scenario, a.attributes_analyzed, """ + O.rh("a.overall_fairness_score") + """ AS overall_fairness_score,
+       a.primary_attribute, a.fairness_evaluated, """ + O.rh("a.dp") + " AS dp, " + O.rh("b.dp") + " AS dp_normal, "
+             + O.rh("a.dp - b.dp") + """ AS dp_delta
+FROM f2 a JOIN (SELECT * FROM f2 WHERE scenario = 'normal') b ON a.model_id = b.model_id AND a.dataset_id = b.dataset_id""")
+
+
+@register("scenario_comparison", _SCEN_SQL)
 def q_scenarios(spark, sf):
+    return _q_scenarios(spark, sf).select(
+        *K, "scenario", "attributes_analyzed", r6("overall_fairness_score"), "primary_attribute",
+        "fairness_evaluated", r6("dp"), r6("dp_normal"), r6("dp_delta"))
+
+
+def _q_scenarios(spark, sf):
     """M8: clean vs biased predictions through the fairness + trust path."""
     from trustframe.operators.fairness import fairness_gaps, fairness_summary
     preds = W.binary_predictions(spark, sf)
