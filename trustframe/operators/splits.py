@@ -185,6 +185,10 @@ def order_statistics(df: DataFrame, by: list[str], value: str, ranks: list[tuple
                 F.element_at("_g", pct.index(round(min(1.0, q + m), 9)) + 1).alias(f"_hi_{nm}"),
                 k_expr(q, rule).cast("long").alias(f"_k_{nm}")]
     b = a.select(*by, "n", *sel).checkpoint(eager=True)
+    # brackets are guaranteed once 4n/accuracy spans the rank step; smaller
+    # groups are cheap to sort, so they take the sort-based path directly
+    if (b.agg(F.min("n")).first()[0] or 0) * 2 < accuracy:
+        return _sorted_order_statistics(base, by, ranks, k_expr)
     # pass 2: per rank, one tag per row: below the bracket, or its value inside it.
     # b has one row per group; broadcast it when the (checkpointed, cheap to
     # count) group table is within the bound, else shuffle-join on the keys.
@@ -217,8 +221,14 @@ def order_statistics(df: DataFrame, by: list[str], value: str, ranks: list[tuple
     ok = (F.col("_below") <= F.col("_k")) & F.col("_val").isNotNull()
     # verify with one tiny aggregate read on the driver
     if res.filter(~ok).limit(1).count():
-        p = with_position(base, by, [F.col("_v")], "_pos", "n")
-        ks = p.select(*by, "n", *[k_expr(q, rule).cast("long").alias(f"_k_{nm}") for nm, q, rule in ranks])
-        return ks.groupBy(*by, "n").agg(*[F.max(F.when(F.col("_pos") == F.col(f"_k_{nm}"), F.col("_v"))).alias(nm)
-                                          for nm in names])
+        return _sorted_order_statistics(base, by, ranks, k_expr)
     return res.groupBy(*by, "n").pivot("_r", names).agg(F.first("_val"))
+
+
+def _sorted_order_statistics(base: DataFrame, by: list[str], ranks, k_expr) -> DataFrame:
+    """Sort-based exact order statistics (range shuffle + positions)."""
+    names = [r[0] for r in ranks]
+    p = with_position(base, by, [F.col("_v")], "_pos", "n")
+    ks = p.select(*by, "n", "_pos", "_v", *[k_expr(q, rule).cast("long").alias(f"_k_{nm}") for nm, q, rule in ranks])
+    return ks.groupBy(*by, "n").agg(*[F.max(F.when(F.col("_pos") == F.col(f"_k_{nm}"), F.col("_v"))).alias(nm)
+                                      for nm in names])
