@@ -97,7 +97,12 @@ def _materialise(df: DataFrame) -> DataFrame:
     checkpoint folder so its three consumers read it instead of re-running
     the scan and shuffle of the predictions."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # persisted first so the checkpoint's write job reads the cache instead
+    # of recomputing the plan (the table is small by construction)
+    df = df.persist()
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
 
 
 def classification_parts(preds: DataFrame, attrs: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:

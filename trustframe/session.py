@@ -24,7 +24,7 @@ DEFAULTS = {
 
 
 def get_spark(app: str = "trustframe", cpus: str | int | None = None,
-              shuffle_partitions: int | None = None) -> SparkSession:
+              shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     cpus = cpus or os.environ.get("BENCH_CPUS", "*")
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -34,7 +34,7 @@ def get_spark(app: str = "trustframe", cpus: str | int | None = None,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
     )
-    for k, v in DEFAULTS.items():
+    for k, v in {**DEFAULTS, **(extra or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
