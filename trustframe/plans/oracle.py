@@ -277,7 +277,7 @@ def stats_sql(src: str, dataset_id: str, cols: list[str], numeric: list[str], ta
 
 # ---------------------------------------------------------------------- trust
 
-def trust_sql(src: str, lambda_cap: float = 0.85) -> str:
+def trust_sql(src: str, lambda_cap: float = 0.85, user_weights: bool = False) -> str:
     """T1–T15 over relation ``src`` (one row per pair, metric columns) →
     CTE ``tr`` with one row per (pair, mode)."""
     cls = "trust_model_type = 'classification'"
@@ -288,14 +288,26 @@ def trust_sql(src: str, lambda_cap: float = 0.85) -> str:
     reg_sum = " + ".join([w(0.4, clip("r2_score")), w(0.3, cost("mae", "escale")), w(0.3, cost("rmse", "escale"))])
     es = rh(f"least(100.0::DOUBLE, greatest(0.0::DOUBLE, 100.0::DOUBLE * CASE model_type "
             f"WHEN 'classification' THEN {cls_sum} WHEN 'regression' THEN {reg_sum} ELSE 0.0::DOUBLE END))", 2)
-    return f"""
+    if user_weights:
+        anyu = "(w_performance IS NOT NULL OR w_health IS NOT NULL OR w_fairness IS NOT NULL OR w_robustness IS NOT NULL)"
+        uw = (lambda c, dflt: f"(CASE WHEN {anyu} THEN coalesce({c}, 0.25::DOUBLE) ELSE {dflt}::DOUBLE END)")
+        t6 = T6_TEMPLATE.format(up=uw("w_performance", 0.40), uh=uw("w_health", 0.25), ur=uw("w_robustness", 0.15),
+                                ufe=uw("w_fairness", 0.20),
+                                uf=f"(CASE WHEN {anyu} THEN coalesce(w_fairness, 0.20::DOUBLE) ELSE 0.20::DOUBLE END)")
+        modes = "(SELECT DISTINCT trust_mode FROM " + src + ")"
+    else:
+        t6 = T6_TEMPLATE.format(up="0.40::DOUBLE", uh="0.25::DOUBLE", ur="0.15::DOUBLE", ufe="0.20::DOUBLE",
+                                uf="0.20::DOUBLE")
+        modes = None
+    body = f"""
 t0 AS (
   SELECT s.*, m.trust_mode,
          CASE WHEN s.model_type = 'classification' THEN 'classification' ELSE 'regression' END AS trust_model_type,
          CASE WHEN (CASE WHEN std_y >= 1e-10::DOUBLE THEN std_y WHEN range_y > 1e-10::DOUBLE THEN range_y / 4.0::DOUBLE END) > 1e-10::DOUBLE
               THEN (CASE WHEN std_y >= 1e-10::DOUBLE THEN std_y WHEN range_y > 1e-10::DOUBLE THEN range_y / 4.0::DOUBLE END)
               ELSE 1.0::DOUBLE END AS escale
-  FROM {src} s CROSS JOIN (VALUES ('balanced'), ('strict')) m(trust_mode)),
+  FROM {src} s CROSS JOIN (VALUES ('balanced'), ('strict')) m(trust_mode)
+  {"WHERE s.trust_mode = m.trust_mode" if user_weights else ""}),
 t0b AS (
   SELECT *, {es} AS eval_score
   FROM t0),
@@ -347,14 +359,7 @@ t5 AS (
     greatest(CASE WHEN risk_sum > 1e-12::DOUBLE THEN r_R / risk_sum ELSE eqw END, 0.05::DOUBLE) AS fa_r,
     least(CASE WHEN trust_mode = 'strict' THEN {clip('pow(DII, 1.5::DOUBLE)')} ELSE DII END, {d(lambda_cap)}) AS lambda_value
   FROM t4),
-t6 AS (
-  SELECT *,
-    lambda_value * fa_p / (fa_p + fa_h + fa_f + fa_r) + (1 - lambda_value) * (CASE WHEN fe THEN 0.40::DOUBLE ELSE 0.40::DOUBLE + 0.20::DOUBLE / 3.0::DOUBLE END) AS hb_p,
-    lambda_value * fa_h / (fa_p + fa_h + fa_f + fa_r) + (1 - lambda_value) * (CASE WHEN fe THEN 0.25::DOUBLE ELSE 0.25::DOUBLE + 0.20::DOUBLE / 3.0::DOUBLE END) AS hb_h,
-    CASE WHEN fe THEN lambda_value * fa_f / (fa_p + fa_h + fa_f + fa_r) + (1 - lambda_value) * 0.20::DOUBLE ELSE 0.0::DOUBLE END AS hb_f,
-    lambda_value * fa_r / (fa_p + fa_h + fa_f + fa_r) + (1 - lambda_value) * (CASE WHEN fe THEN 0.15::DOUBLE ELSE 0.15::DOUBLE + 0.20::DOUBLE / 3.0::DOUBLE END) AS hb_r
-  FROM t5),
-t7 AS (
+{t6}t7 AS (
   SELECT *, hb_p / (hb_p + hb_h + hb_f + hb_r) AS beta_performance, hb_h / (hb_p + hb_h + hb_f + hb_r) AS beta_health,
          hb_f / (hb_p + hb_h + hb_f + hb_r) AS beta_fairness, hb_r / (hb_p + hb_h + hb_f + hb_r) AS beta_robustness
   FROM t6),
@@ -407,6 +412,17 @@ tr AS (
       CASE WHEN trust_mode = 'balanced' AND trust_score - eval_score > 10 THEN 'Review error magnitudes before production deployment' END,
       {recs_sql()}) AS actions
   FROM t11)"""
+    return body
+
+
+T6_TEMPLATE = """t6 AS (
+  SELECT *,
+    lambda_value * fa_p / (fa_p + fa_h + fa_f + fa_r) + (1 - lambda_value) * (CASE WHEN fe THEN {up} ELSE {up} + {uf} / 3.0::DOUBLE END) AS hb_p,
+    lambda_value * fa_h / (fa_p + fa_h + fa_f + fa_r) + (1 - lambda_value) * (CASE WHEN fe THEN {uh} ELSE {uh} + {uf} / 3.0::DOUBLE END) AS hb_h,
+    CASE WHEN fe THEN lambda_value * fa_f / (fa_p + fa_h + fa_f + fa_r) + (1 - lambda_value) * {ufe} ELSE 0.0::DOUBLE END AS hb_f,
+    lambda_value * fa_r / (fa_p + fa_h + fa_f + fa_r) + (1 - lambda_value) * (CASE WHEN fe THEN {ur} ELSE {ur} + {uf} / 3.0::DOUBLE END) AS hb_r
+  FROM t5),
+"""
 
 
 def recs_sql() -> str:
@@ -576,3 +592,37 @@ fr AS (SELECT model_id, fold, accuracy, f1_score, dp,
               max(CASE WHEN trust_mode = 'balanced' THEN trust_score END) AS trust_balanced,
               max(CASE WHEN trust_mode = 'strict' THEN trust_score END) AS trust_strict
        FROM tr GROUP BY model_id, fold, accuracy, f1_score, dp)"""
+
+
+def fairness_weight_sweep_sql(weights: list[float]) -> str:
+    """Oracle for ``experiment.fairness_weight_sweep`` (T19 + K8)."""
+    full = fold_results_sql()
+    head = full[:full.index("tf AS (")].rstrip().rstrip(",")
+    feats = ["o_totalprice", "o_orderpriority", "c_acctbal", "c_mktsegment", "n_regionkey"]
+    miss = " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in feats)
+    wv = ", ".join(f"({w!r}::DOUBLE)" for w in weights)
+    return head + f""",
+pm AS (SELECT m.model_id, avg(m.accuracy) AS accuracy, avg(m.f1_score) AS f1_score, avg(dpt.dp) AS dp
+       FROM m JOIN dpt USING (model_id, fold) GROUP BY m.model_id),
+fst AS (SELECT count(*) AS n_rows, CAST({miss} AS BIGINT) AS missing_values,
+               tanh((abs(coalesce(skewness(o_totalprice), 0.0::DOUBLE)) + abs(coalesce(skewness(c_acctbal), 0.0::DOUBLE)))
+                    / 2.0::DOUBLE / 3.0::DOUBLE) AS skew_score FROM ds),
+fdu AS (SELECT sum(c - 1) AS dups FROM (SELECT {", ".join(feats)}, count(*) AS c FROM ds GROUP BY ALL)),
+fcl AS (SELECT min(c)::DOUBLE / max(c) AS imbalance_ratio FROM (SELECT target, count(*) AS c FROM ds GROUP BY target)),
+grid AS (
+  SELECT pm.model_id, 'orders_status' AS dataset_id, w.w_f, md.trust_mode, 'classification' AS model_type,
+         pm.accuracy, NULL::DOUBLE AS precision, NULL::DOUBLE AS recall, pm.f1_score, NULL::DOUBLE AS mae,
+         NULL::DOUBLE AS mse, NULL::DOUBLE AS rmse, NULL::DOUBLE AS r2_score, NULL::DOUBLE AS std_y,
+         NULL::DOUBLE AS range_y, NULL::DOUBLE AS train_accuracy, NULL::DOUBLE AS train_f1_score,
+         NULL::DOUBLE AS train_r2_score, FALSE AS has_train, TRUE AS fairness_evaluated, pm.dp,
+         fst.n_rows, 5 AS n_features, fst.missing_values, fcl.imbalance_ratio,
+         fdu.dups::DOUBLE / fst.n_rows AS duplicate_ratio, fst.skew_score, NULL::DOUBLE AS low_variance_fraction,
+         0.40::DOUBLE * (CASE WHEN 1 - w.w_f > 0 THEN (1 - w.w_f) / 0.80::DOUBLE ELSE 0.0::DOUBLE END) AS w_performance,
+         0.25::DOUBLE * (CASE WHEN 1 - w.w_f > 0 THEN (1 - w.w_f) / 0.80::DOUBLE ELSE 0.0::DOUBLE END) AS w_health,
+         w.w_f AS w_fairness,
+         0.15::DOUBLE * (CASE WHEN 1 - w.w_f > 0 THEN (1 - w.w_f) / 0.80::DOUBLE ELSE 0.0::DOUBLE END) AS w_robustness
+  FROM pm, fst, fdu, fcl, (VALUES {wv}) w(w_f), (VALUES ('balanced'), ('strict')) md(trust_mode)),
+""" + trust_sql("grid", user_weights=True)[1:] + """,
+sw AS (SELECT model_id, trust_mode, w_f, trust_score,
+              coalesce(trust_score - lag(trust_score) OVER (PARTITION BY model_id, trust_mode ORDER BY w_f), 0.0::DOUBLE) AS delta
+       FROM tr)"""

@@ -103,14 +103,19 @@ def q_corr(spark, sf):
             .unionByName(X.correlation_p(f, "dp", "trust_balanced")))
 
 
-@register("experiment_fairness_weight_sweep", None)
+@register("experiment_fairness_weight_sweep", O.fairness_weight_sweep_sql(X.FAIRNESS_WEIGHTS) + """
+SELECT model_id, trust_mode, w_f, trust_score, """ + O.rh("delta") + " AS delta FROM sw")
 def q_fw(spark, sf):
-    return X.fairness_weight_sweep(spark, sf, X.fold_results(spark, sf))
+    return X.fairness_weight_sweep(spark, sf, X.fold_results(spark, sf)).select(
+        "model_id", "trust_mode", "w_f", "trust_score", r6("delta"))
 
 
-@register("experiment_ablation_summary", None)
+@register("experiment_ablation_summary", O.fairness_weight_sweep_sql(X.FAIRNESS_WEIGHTS) + """
+SELECT model_id, trust_mode, """ + O.rh("max(trust_score) - min(trust_score)") + " AS score_range, "
+          + O.rh("stddev_samp(trust_score)") + " AS score_std FROM sw GROUP BY model_id, trust_mode")
 def q_ablation(spark, sf):
-    return X.ablation_summary(X.fairness_weight_sweep(spark, sf, X.fold_results(spark, sf)))
+    a = X.ablation_summary(X.fairness_weight_sweep(spark, sf, X.fold_results(spark, sf)))
+    return a.select("model_id", "trust_mode", r6("score_range"), r6("score_std"))
 
 
 _NI_COLS = ["o_totalprice", "o_orderpriority", "c_acctbal", "c_mktsegment", "n_regionkey", "target"]
