@@ -37,11 +37,12 @@ def with_position(df: DataFrame, by: list[str], order: list[Column | str],
                   num_partitions: int | None = None) -> DataFrame:
     """Add the exact 0-based position of each row inside its ``by`` group."""
     spark = df.sparkSession
-    n_part = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     keys = [F.col(c) for c in by] + order_cols
-    ranged = (df.repartitionByRange(n_part, *keys)
-                .sortWithinPartitions(*keys)
+    # without an explicit count AQE may coalesce adjacent ranges (order kept);
+    # the partition ids are fixed by the checkpoint below
+    rp = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+    ranged = (rp.sortWithinPartitions(*keys)
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_local", F.monotonically_increasing_id()
                             - F.shiftleft(F.spark_partition_id().cast("long"), _PID_SHIFT)))
@@ -122,10 +123,10 @@ def with_running_sum(df: DataFrame, by: list[str], order: list[Column | str], we
     order by order rows unbounded preceding)`` with no single-task window:
     local sums inside range partitions + a small table of partition offsets."""
     spark = df.sparkSession
-    n_part = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     keys = [F.col(c) for c in by] + order_cols
-    ranged = df.repartitionByRange(n_part, *keys).withColumn("_pid", F.spark_partition_id())
+    rp = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+    ranged = rp.withColumn("_pid", F.spark_partition_id())
     w = (Window.partitionBy("_pid", *by).orderBy(*order_cols)
          .rowsBetween(Window.unboundedPreceding, 0))
     ranged = ranged.withColumn("_local", F.sum(weight).over(w))
