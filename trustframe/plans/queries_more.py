@@ -503,3 +503,15 @@ def q_top_pairs(spark, sf):
     p = pearson_pairs(table(spark, sf, "lineitem").select(*cols), 0.0)
     return (p.orderBy(F.col("abs_correlation").desc(), "i", "j").limit(10)
              .select("feature1", "feature2", "abs_correlation"))
+
+
+@register("experiment_ttest_modes_statistic", O.fold_results_sql() + """
+SELECT model_id, count(*) AS n, """ + O.rh("avg(trust_balanced - trust_strict)") + " AS mean_diff, "
+          + O.rh("stddev_samp(trust_balanced - trust_strict)") + " AS sd_diff, "
+          + O.rh("avg(trust_balanced - trust_strict) / (stddev_samp(trust_balanced - trust_strict) / sqrt(count(*)))")
+          + " AS t_stat FROM fr GROUP BY model_id")
+def q_ttest_stat(spark, sf):
+    """The paired t statistic of balanced vs strict per model (the
+    p-value is in ``experiment_ttest_modes``)."""
+    t = X.balanced_vs_strict(X.fold_results(spark, sf))
+    return t.select("model_id", "n", r6("mean_diff"), r6("sd_diff"), r6("t_stat"))
