@@ -515,3 +515,20 @@ def q_ttest_stat(spark, sf):
     p-value is in ``experiment_ttest_modes``)."""
     t = X.balanced_vs_strict(X.fold_results(spark, sf))
     return t.select("model_id", "n", r6("mean_diff"), r6("sd_diff"), r6("t_stat"))
+
+
+_CORR_PAIRS = [("accuracy", "trust_balanced"), ("accuracy", "trust_strict"), ("f1_score", "trust_balanced"),
+               ("dp", "trust_balanced")]
+
+
+@register("experiment_correlation_r", O.fold_results_sql() + "\n" + "\nUNION ALL\n".join(
+    f"SELECT '{x}' AS x, '{y}' AS y, count(*) AS n, " + O.rh(f"corr({x}, {y})") + " AS r FROM fr"
+    for x, y in _CORR_PAIRS))
+def q_corr_r(spark, sf):
+    """Pearson r over all folds and models (p-values in ``experiment_correlation``)."""
+    f = X.fold_results(spark, sf)
+    out = None
+    for x, y in _CORR_PAIRS:
+        c = X.correlation_p(f, x, y).select("x", "y", "n", r6("r"))
+        out = c if out is None else out.unionByName(c)
+    return out
