@@ -15,8 +15,9 @@ def test_csv_na_tokens_and_roles(spark):
     d = tempfile.mkdtemp(prefix="tf-csv-")
     path = os.path.join(d, "x.csv")
     with open(path, "w") as f:
-        f.write("a,b,s,target\n1,2.5,NA,0\nnan,3.0,x,1\n2,,N/A,1\n")
-    df = read_dataset(spark, path)
+        f.write("a,b,s,target,e\n1,2.5,NA,0,\nnan,3.0,x,1,NA\n2,,N/A,1,\n")
+    df = read_dataset(spark, path).drop("e")
+    assert dict(read_dataset(spark, path).dtypes)["e"] == "double"
     assert dict(df.dtypes) == {"a": "bigint", "b": "double", "s": "string", "target": "bigint"}
     rows = {(r["target"], r["b"]): r for r in df.collect()}
     assert rows[(0, 2.5)]["s"] is None and rows[(1, 3.0)]["a"] is None and rows[(1, None)]["s"] is None

@@ -47,8 +47,9 @@ def read_dataset(spark: SparkSession, path: str, fmt: str | None = None,
         if schema is not None:
             return nan_to_null(df.select(*[q(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]))
         tc = (lambda c, t: F.expr(f"try_cast(`{c}` AS {t})"))
+        # an all-missing column is float in pandas: require one value for BIGINT
         checks = df.agg(*[x for i, c in enumerate(df.columns) for x in (
-            (F.count(q(c)) == F.count(tc(c, "BIGINT"))).alias(f"l{i}"),
+            ((F.count(q(c)) == F.count(tc(c, "BIGINT"))) & (F.count(q(c)) > 0)).alias(f"l{i}"),
             (F.count(q(c)) == F.count(tc(c, "DOUBLE"))).alias(f"d{i}"))]).first()  # one row of flags
         cols = []
         for i, c in enumerate(df.columns):
