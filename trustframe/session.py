@@ -2,8 +2,7 @@
 
 On a cluster the session is created by the platform; ``configure`` only fills
 in settings that are unset.  ``checkpoint_dir`` reads ``spark.checkpoint.dir``
-from the session and creates a local folder only when nothing is configured
-(tests and laptop runs).
+from the session; only on a ``local`` master does it set one itself.
 """
 
 from __future__ import annotations
@@ -53,17 +52,18 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts.
+    """Shared folder for lineage cuts: ``spark.checkpoint.dir``, or the context's.
 
-    Uses ``spark.checkpoint.dir`` (or the context's checkpoint dir) when the
-    cluster names one; otherwise, as in tests, makes a local one and registers
-    it with the context.
+    On one machine (a ``local`` master, as in tests) every task shares its disk, so a folder
+    in its temp folder is set when none is named.  On a cluster that would be each executor's
+    own disk, so there the folder must be named.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="tf-ckpt-")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        d = os.path.join(tempfile.gettempdir(), f"trustframe-checkpoints-{spark.sparkContext.applicationId}")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
