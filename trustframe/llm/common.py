@@ -28,9 +28,14 @@ def register(name: str, sql: str | None = None):
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared checkpoint folder: computed once, kept if executors go."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows, written as a table in the shared folder and read back: computed once, kept if
+    executors go, with sizes that the planner knows.  The table goes when the session ends."""
+    spark = df.sparkSession
+    path = folder(spark, "cut")
+    df.write.parquet(path)
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def folder(spark: SparkSession, name: str) -> str:

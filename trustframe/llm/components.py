@@ -14,17 +14,21 @@ def components(links: DataFrame) -> DataFrame:
     Each round sends a node to the smallest of its neighbours' smallest, relabels the links, and
     drops those inside a node.  The image of a connected part is connected and the smallest id
     stays where it is, so what is left at the end is that id.  Links shrink fast; every round is
-    written to the checkpoint folder.  A node with very many links is summed map-side, and the
-    joins on it are plain equi-joins, which the engine splits when they are skewed."""
-    links = cut(links.select("a", "b").filter("a != b").distinct())
-    total = cut(links.select(F.col("a").alias("id")).union(links.select("b")).distinct().withColumn("component", F.col("id")))
-    while links.take(1):
+    written to the shared folder.  A node with very many links is summed map-side, and the joins
+    on it are plain equi-joins, which the engine splits when they are skewed."""
+    moves = []
+    links = links.select("a", "b").filter("a != b")
+    nodes = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
+    while not links.isEmpty():
         both = links.union(links.select("b", "a"))
-        p = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("to")))
+        p = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("to"))
         q = cut(p.join(p.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")))
+        moves.append(q)
         to = lambda c: q.select(F.col("id").alias(c), F.col("to").alias(f"{c}_to"))
-        total = cut(total.join(q.withColumnRenamed("id", "component"), "component", "left")
-                    .select("id", F.coalesce("to", "component").alias("component")))
         links = cut(links.join(to("a"), "a").join(to("b"), "b").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b"))
                     .filter("a != b").distinct())
+    total = nodes.withColumn("component", F.col("id"))
+    for q in moves:  # a few
+        total = (total.join(q.select(F.col("id").alias("component"), "to"), "component", "left")
+                 .select("id", F.coalesce("to", "component").alias("component")))
     return total

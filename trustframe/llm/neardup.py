@@ -7,10 +7,13 @@
 3. Signatures of a candidate pair are compared in batches; after each batch the pair goes if the
    posterior probability that its similarity reaches the threshold (uniform prior) is below
    ``miss``.  What survives is verified on the full sets.
-4. Linked documents form components.  Within a bucket, pairs are made against a leader first;
-   pairs of documents that are already in one component can't change the result and are never
-   made.  After two rounds of leaders all remaining pairs across components of a bucket are made,
-   so no link between components is lost, without all pairs of a large group of copies.
+4. Linked documents form components.  Within a bucket, pairs are made against a leader first (the
+   smallest doc_id, then another); pairs of documents that are already in one component can't
+   change the result and are never made.  For the documents of buckets that still hold several
+   components all possible links are tried: with the shingles of each set in order of their
+   frequency, linked sets share one of the first few, and what follows the first that they share
+   must be enough for the threshold.  So no link between components is lost, without all pairs of
+   a large group of copies, or of near misses.
 
 Defined results: null text, or one without words, has an empty set and is linked with nothing;
 fewer words than a shingle are one shingle, the whole sequence; a row without doc_id is linked
@@ -136,13 +139,12 @@ class MinHashDedup:
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         return map_arrow(both, ["a", "b", "sig_a", "sig_b"], run, "a long, b long")
 
-    def verified(self, pairs: DataFrame, docs: DataFrame) -> DataFrame:
-        """The pairs whose full sets reach the threshold.
+    def sets(self, ids: DataFrame, docs: DataFrame) -> DataFrame:
+        """(id, shingles) of the documents with these ids, as a table.
 
-        Only documents of a pair need their sets.  A bit table of fixed size over the ids spares
-        the rest (a false hit only costs work: the join is exact)."""
+        A bit table of fixed size over the ids spares the other documents most of the work (a
+        false hit only costs work: the join is exact)."""
         spark, k = docs.sparkSession, self.words
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
         slot = F.expr(f"pmod(xxhash64(id), {1 << FILTER_BITS})")
         bits = (ids.select(slot.alias("s")).groupBy(F.expr("s div 64").alias("w"))
                 .agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("m")).toPandas())
@@ -158,58 +160,81 @@ class MinHashDedup:
                 g, off = shingle_sets(part.column(1), k)
                 yield [part.column(0), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(g.view(np.int64)))]
 
-        sets = cut(map_arrow(docs.filter("doc_id IS NOT NULL").withColumn("id", F.col("doc_id")), ["id", "text", slot.alias("s")], run, "id long, shingles array<long>")
-                   .join(ids.distinct(), "id", "left_semi"))
+        own = map_arrow(docs.filter("doc_id IS NOT NULL").withColumn("id", F.col("doc_id")), ["id", "text", slot.alias("s")], run, "id long, shingles array<long>")
+        return cut(own.join(ids.distinct(), "id", "left_semi"))
+
+    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs whose full sets reach the threshold."""
         side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
         joint = F.size("set_a") + F.size("set_b") - common
         return both.filter(100 * common >= self.percent * joint).select("a", "b")
 
-    def _leaders(self, banded: DataFrame, labels: DataFrame | None, seed: int) -> DataFrame:
-        """Pairs of each bucket's leader with the others (of other components)."""
-        rank = F.xxhash64(F.lit(seed), "id")
-        if labels is None:
-            head = banded.groupBy("key").agg(F.min_by("id", rank).alias("head"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
-            pairs = banded.join(head.select("key", "head"), "key").filter("id != head")
-        else:
-            b = banded.join(labels, "id")
-            head = b.groupBy("key").agg(F.min_by(F.struct("id", "component"), rank).alias("h"), F.min("component").alias("lo"),
-                                        F.max("component").alias("hi")).filter("lo < hi")
-            pairs = b.join(head.select("key", F.col("h.id").alias("head"), F.col("h.component").alias("hc")), "key").filter("component != hc")
+    @staticmethod
+    def _first_leaders(banded: DataFrame) -> DataFrame:
+        """Pairs of each bucket's smallest id with the others."""
+        head = banded.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("hi")).filter("head < hi").select("key", "head")
+        return banded.join(head, "key").filter("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+
+    @staticmethod
+    def _next_leaders(mixed: DataFrame) -> DataFrame:
+        """Pairs of another leader of each bucket with those of other components."""
+        head = mixed.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id")).alias("h"))
+        pairs = mixed.join(head.select("key", F.col("h.id").alias("head"), F.col("h.component").alias("hc")), "key").filter("component != hc")
         return pairs.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
 
     @staticmethod
-    def _across(banded: DataFrame, labels: DataFrame) -> DataFrame:
-        """All pairs of a bucket that lie in different components."""
+    def _mixed(banded: DataFrame, labels: DataFrame) -> DataFrame:
+        """(key, id, component) of the buckets that hold more than one component."""
         b = banded.join(labels, "id")
         mixed = b.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-        b = cut(b.join(mixed, "key"))
-        parts = b.select("key", "component").distinct()
-        two = parts.withColumnRenamed("component", "ca").join(parts.withColumnRenamed("component", "cb"), "key").filter("ca < cb")
-        side = lambda c: b.select("key", F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-        pairs = two.join(side("a"), ["key", "ca"]).join(side("b"), ["key", "cb"])
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return cut(b.join(mixed, "key"))
+
+    def _across(self, sets: DataFrame, labels: DataFrame) -> DataFrame:
+        """All pairs of the sets in different components that can reach the threshold.
+
+        Rows are the first shingles of each set, rarest first, with what is left from there on.
+        The largest component among a shingle's rows is met by the others only."""
+        pc = self.percent
+        each = sets.select("id", F.explode("shingles").alias("key"))
+        ranked = (each.join(each.groupBy("key").agg(F.count("*").alias("c")), "key").groupBy("id")
+                  .agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("s")).withColumn("n", F.size("s").cast("long")))
+        rows = (ranked.select("id", "n", F.posexplode(F.expr(f"slice(s, 1, cast(n - ({pc} * n + 99) div 100 + 1 as int))")).alias("pos", "x"))
+                .select("id", "n", (F.col("n") - F.col("pos")).alias("left"), "x.key", "x.c").filter("c > 1").drop("c").join(labels, "id"))
+        rows = cut(rows)
+        main = (rows.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key")
+                .agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts"))
+        b = rows.join(main, "key")
+        side = lambda c: b.select("key", "main", *[F.col(x).alias(f"{x}_{c}") for x in ("id", "component", "n", "left")])
+        pairs = side("a").filter("component_a != main").join(side("b").drop("main"), "key").filter(
+            f"component_a != component_b AND (component_b = main OR id_a < id_b) AND {pc} * (n_a + n_b) <= {100 + pc} * least(left_a, left_b)")
+        return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
     def classes(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_shingles, component_id, kept) of each row."""
         docs = docs.select("doc_id", "text")
         signed = cut(self.signatures(docs))
-        first = cut(signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id")))
+        first = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"))
         reps = cut(signed.join(first, "digest").filter("doc_id = id").select("id", "sig").distinct())
         banded = self.banded(reps)
-        tried = cut(self.likely(self._leaders(banded, None, 1), reps))
-        links = cut(self.verified(tried, docs))
+        ends = lambda pairs: pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+        tried = cut(self.likely(self._first_leaders(banded), reps))
+        links = cut(self.verified(tried, self.sets(ends(tried), docs)))
         labels = self._labels(reps, links)
-        for pairs in (lambda: self._leaders(banded, labels, 2), lambda: self._across(banded, labels)):
-            new = cut(self.likely(pairs(), reps).join(tried, ["a", "b"], "left_anti"))
-            if not new.take(1):
+        mixed = self._mixed(banded, labels)
+        for last in (False, True):
+            sets = self.sets(mixed.select("id"), docs) if last else None
+            pairs = self._across(sets, labels) if last else self._next_leaders(mixed)
+            new = cut(self.likely(pairs, reps).join(tried, ["a", "b"], "left_anti"))
+            if new.isEmpty():
                 continue
             tried = tried.union(new)
-            more = cut(self.verified(new, docs))
-            if more.take(1):
+            more = cut(self.verified(new, sets if last else self.sets(ends(new), docs)))
+            if not more.isEmpty():
                 links = links.union(more)
                 labels = self._labels(reps, links)
+                mixed = mixed if last else self._mixed(banded, labels)
         out = (signed.drop("sig").join(first.withColumnRenamed("id", "rep"), "digest", "left")
                .join(labels.withColumnRenamed("id", "rep"), "rep", "left"))
         alone = F.col("doc_id").isNull() | F.col("digest").isNull()
