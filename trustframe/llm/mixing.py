@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustframe.llm.common import fresh, register, table
+from trustframe.llm.common import cut, fresh, register, table
 
 
 def uniform(*parts) -> Column:
@@ -71,7 +71,8 @@ class PoissonMix:
     def counts(self, docs: DataFrame) -> tuple[DataFrame, str, str]:
         """The documents with their source's rate and their number of copies, and these columns' names."""
         src, rate, n, cdf, parts = fresh(docs, "source_key", "rate", "n_copies", "cdf", "parts")
-        rates = self.rates(docs).select(
+        # a written table, so that the planner knows its size and sends it to the documents if small
+        rates = cut(self.rates(docs)).select(
             F.col("source").alias(src), F.col("rate").alias(rate), F.ceil(F.col("rate") / self.part).cast("int").alias(parts))
         rates = rates.withColumn(cdf, self._steps(F.col(rate) / F.col(parts)))
         one = lambda i: F.size(F.filter(F.col(cdf), lambda c: c <= uniform(F.lit(self.seed), docs["doc_id"], i)))
