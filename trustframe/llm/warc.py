@@ -146,6 +146,7 @@ class WarcStore:
     level: int = 4
     least_revisit: int = 100  # bytes of payload
     range_bytes: int = 16 << 20
+    tasks: int = 20_000  # that the ranges are dealt to, at most
 
     def records(self, pages: DataFrame) -> DataFrame:
         """The pages with payload, digest, and the page they repeat."""
@@ -174,7 +175,9 @@ class WarcStore:
         step = self.range_bytes
         files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")  # listed, not read
         ranges = (files.select("path", F.explode(F.expr(f"sequence(0L, length - 1, {step}L)")).alias("start"))
-                  .withColumn("end", F.col("start") + step).repartition("path", "start"))
+                  .withColumn("end", F.col("start") + step))
+        # a fixed number, as the engine would take the few bytes of these rows for one task's work
+        ranges = ranges.repartition(max(1, min(ranges.count(), self.tasks)))
 
         def run(batch):
             for r in batch.to_pylist():
