@@ -110,10 +110,10 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass
 class ToxicPassages:
-    drift: float = 0.8
-    prior: float = 30.0
-    word_prior: float = 30.0
-    least_seen: int = 15  # documents with a word, below which its prefix stands for it
+    drift: float = 1.2
+    prior: float = 10.0
+    word_prior: float = 10.0
+    least_seen: int = 8  # documents with a word, below which its prefix stands for it
     max_labels: int = 200_000
 
     def labelled(self, docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -124,7 +124,9 @@ class ToxicPassages:
         return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), F.col("fold").cast("int").alias("fold"))
 
     def counts(self, rows: DataFrame) -> dict[int, np.ndarray]:
-        """For words (0) and prefixes (1): toxic and clean documents by bucket; key 2 has the documents."""
+        """For words (0) and prefixes (1): toxic and clean documents by bucket; key 2 has the documents.
+
+        Words that too few documents have for a score of their own aren't gathered."""
 
         def run(batches):
             sums = {0: np.zeros((2, 1 << WORD_BITS), np.int64), 1: np.zeros((2, 1 << PREFIX_BITS), np.int64), 2: np.zeros((2, 1), np.int64)}
@@ -145,7 +147,8 @@ class ToxicPassages:
                                                      names=["kind", "bucket", "toxic", "clean"])
 
         got = (rows.select("text", "toxic").mapInArrow(run, "kind byte, bucket int, toxic long, clean long")
-               .groupBy("kind", "bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toPandas())  # at most 2^20 + 2^18 + 1 rows
+               .groupBy("kind", "bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+               .filter((F.col("kind") > 0) | (F.col("toxic") + F.col("clean") >= self.least_seen)).toPandas())  # at most 2^20 + 2^18 + 1 rows
         out = {}
         for k, size in ((0, 1 << WORD_BITS), (1, 1 << PREFIX_BITS), (2, 1)):
             own = got[got["kind"] == k]
@@ -166,7 +169,8 @@ class ToxicPassages:
         word = (c[0][0] + self.word_prior * rate) / (c[0].sum(0) + self.word_prior)
         seen = c[0].sum(0)
         model = Model(np.where(seen >= self.least_seen, odds(word), np.nan).astype(np.float32), odds(prefix).astype(np.float32))
-        model.lam = self._lambda(odds(word)[seen > 0], c[0][1][seen > 0])
+        often = seen >= self.least_seen
+        model.lam = self._lambda(odds(word[often]), c[0][1][often])
         check = self.passages(rows.filter("fold = 4"), model, ["toxic"]).select("toxic", "best", "n_tokens", "evidence")
         gap = (check.filter("toxic = 0 AND n_tokens > 0").agg(F.percentile_approx(F.lit(model.lam) * F.col("best") - F.log("n_tokens"), 0.5, 1000)).first()[0])
         if gap is not None:
