@@ -104,7 +104,8 @@ def bucket(v: str) -> Column:
 class AdaptiveQuality:
     """``score(docs)``: counts, signals, limits and the verdict of each document.
 
-    spread: how many half-spreads (median to quartile) above the median a signal may lie.
+    spread: how many half-spreads (lower quartile to median; both quartiles for word length) a signal
+    may lie beyond the median.
     slack: what is always allowed above the median, in units of the signal.
     """
 
@@ -147,8 +148,9 @@ class AdaptiveQuality:
         both = (cell.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("signal") == F.col("s")))
                 .join(F.broadcast(every), F.col("signal") == F.col("sa"))  # one row per signal
                 .withColumn("q", F.coalesce("c", "cl", "ca")))
-        hi = F.expr(f"q.q2 + {self.spread} * (q.q2 - q.q1)") + slack[F.col("signal")]
-        lo = F.expr(f"q.q2 - {self.spread} * (q.q3 - q.q2)") - slack[F.col("signal")]
+        # word length differs both ways between kinds of clean text, the other signals are rarely low for bad reasons
+        hi = F.expr(f"q.q2 + {self.spread} * (IF(signal = 'word_len', q.q3, q.q2) - q.q1)") + slack[F.col("signal")]
+        lo = F.expr(f"q.q2 - {self.spread} * (q.q3 - q.q1)") - slack[F.col("signal")]
         return both.groupBy("lang", "source").agg(
             *[F.max(F.when(F.col("signal") == s, hi)).alias(f"max_{s}") for s in self.SIGNALS],
             F.max(F.when(F.col("signal") == "word_len", lo)).alias("min_word_len"))
@@ -202,8 +204,8 @@ p AS (SELECT c.lang, c.source, c.signal,
         JOIN q a ON a.lvl = 3 AND a.signal = c.signal),
 lim AS (SELECT lang, source, max(CASE WHEN signal = 'symbols' THEN hi + 100 END) AS max_symbols, max(CASE WHEN signal = 'dup_lines' THEN hi + 340 END) AS max_dup_lines,
         max(CASE WHEN signal = 'repeats' THEN hi + 300 END) AS max_repeats, max(CASE WHEN signal = 'word_len' THEN hi + 100 END) AS max_word_len,
-        max(CASE WHEN signal = 'word_len' THEN q2 - 5 * (q3 - q2) - 100 END) AS min_word_len
-      FROM (SELECT *, q2 + 5 * (q2 - q1) AS hi FROM p) GROUP BY ALL)
+        max(CASE WHEN signal = 'word_len' THEN q2 - 5 * (q3 - q1) - 100 END) AS min_word_len
+      FROM (SELECT *, q2 + 5 * (CASE WHEN signal = 'word_len' THEN q3 ELSE q2 END - q1) AS hi FROM p) GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND symbols <= max_symbols AND dup_lines <= max_dup_lines

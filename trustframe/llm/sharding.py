@@ -1,12 +1,15 @@
 """Sharding by Karmarkar-Karp differencing (operator 2).
 
-Equal texts are one indivisible item.  Items are dealt by hash into cells of a bounded size; a
-task differences one cell: the two partial partitions with the largest spread are combined, one
-in descending and the other in ascending order, until one is left.  Its 40 sums are one unit of
-the next level, where up to ``fan`` units are differenced in the same way, and so on, so no task
-or driver ever holds more than a cell, whatever the input.  Only groups with more bytes than a
-shard's share are split (at most as many as there are shards, so their list is bounded), as no
-law on bytes could hold otherwise; their pieces are dealt by row and take a half share at most.
+Equal texts are one indivisible item.  A task differences a bounded set of items: the two partial
+partitions with the largest spread are combined, one in descending and the other in ascending
+order, until one is left.  The tasks form a tree.  The few items that are large against a shard
+are differenced at the root; what its partition lacks in each shard is shared out among the nodes
+below as one more partial partition, which they difference with their own, smaller items, and so
+on down to the leaves, where items are dealt by hash.  A node holds the items above a quarter of
+its children's share, so about 4 x shards x fan at most, and a leaf about ``cell``, whatever the
+input.  Only groups with more bytes than a shard's share are split (at most as many as there are
+shards, so their list is bounded), as no law on bytes could hold otherwise; their pieces are dealt
+by row and take an eighth of a share.
 
 Rows are known by their place in the input (``monotonically_increasing_id``), so repeated rows
 keep their number: ``docs`` must be a table that is read the same way again, or a checkpoint.
@@ -83,8 +86,8 @@ def difference(units: list[list[tuple[int, int]]], k: int) -> list[tuple[int, li
 @dataclass
 class Sharding:
     shards: int = 40
-    cell: int = 8192  # items differenced in one task
-    fan: int = 128  # units of a lower level differenced in one task
+    cell: int = 8192  # items differenced in one leaf
+    fan: int = 64  # nodes below a node
     rows_per_cell: int = 20000  # rows numbered in one task
 
     @staticmethod
@@ -102,7 +105,7 @@ class Sharding:
         share = max(1, total // self.shards)
         heavy = (rows.groupBy("gkey").agg(F.sum("size").alias("b"), F.max("size").alias("each"))
                  .filter(F.col("b") > share)  # fewer than there are shards
-                 .select(F.col("gkey").alias("hkey"), F.expr(f"greatest(1, ceil(b / greatest(each, {share} div 2)))").alias("pieces")))
+                 .select(F.col("gkey").alias("hkey"), F.expr(f"greatest(1, ceil(b / greatest(each, {share} div 8)))").alias("pieces")))
         return (rows.join(F.broadcast(heavy), F.col("gkey") == F.col("hkey"), "left")
                 .withColumn("piece", F.expr("coalesce(pmod(xxhash64(rid), pieces), 0)").cast("long")).drop("hkey", "pieces"))
 
@@ -110,36 +113,49 @@ class Sharding:
         """(gkey, piece, shard): where each item goes."""
         k, fan = self.shards, self.fan
         items = cut(rows.groupBy("gkey", "piece").agg(F.sum("size").alias("size")))
-        cells = max(1, -(-items.count() // self.cell))
-        dealt = items.withColumn("unit", F.expr(f"pmod(xxhash64(gkey, piece), {cells})").cast("long"))
-
-        def first(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["size", "gkey", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
-            parts = difference([[(int(s), i)] for i, s in enumerate(pdf["size"])], k)
-            where = pd.Series(0, index=pdf.index, dtype="int32")
-            for slot, (_, ids) in enumerate(parts):
-                where.iloc[ids] = slot
-            return pdf.assign(part=where)[["gkey", "piece", "size", "unit", "part"]]
-
-        placed = cut(dealt.groupBy("unit").applyInPandas(first, "gkey binary, piece long, size long, unit long, part int"))
-        sums = placed.groupBy("unit", "part").agg(F.sum("size").alias("size"))
-
-        def level(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["unit", "part"], ignore_index=True)
-            units = [[(int(s), int(i)) for i, s in g["size"].items()] for _, g in pdf.groupby("unit", sort=True)]
-            where = pd.Series(0, index=pdf.index, dtype="int32")
-            for slot, (_, ids) in enumerate(difference(units, k)):
-                where.iloc[ids] = slot
-            return pdf.assign(upart=where)[["unit", "part", "size", "up", "upart"]]
-
-        while cells > 1:
-            cells = -(-cells // fan)
-            moved = cut(sums.withColumn("up", F.expr(f"unit div {fan}")).groupBy("up").applyInPandas(
-                level, "unit long, part int, size long, up long, upart int"))
-            placed = (placed.join(moved.select("unit", "part", "up", "upart"), ["unit", "part"])
-                      .select("gkey", "piece", F.col("up").alias("unit"), F.col("upart").alias("part")))
-            sums = moved.groupBy(F.col("up").alias("unit"), F.col("upart").alias("part")).agg(F.sum("size").alias("size"))
-        return placed.select("gkey", "piece", F.col("part").alias("shard"))
+        total, count = items.agg(F.sum("size"), F.count("*")).first()
+        leaves = max(1, -(-count // self.cell))
+        widths = [leaves]  # nodes of each level, the root first
+        while widths[0] > 1:
+            widths.insert(0, -(-widths[0] // fan))
+        # an item belongs to the deepest level whose nodes' shares it is small against
+        level = F.lit(0)
+        for n in widths[1:]:
+            level = level + (F.col("size") * (4 * k * n) <= F.lit(total)).cast("int")
+        items = items.withColumn("leaf", F.expr(f"pmod(xxhash64(gkey, piece), {leaves})").cast("long")).withColumn("level", level)
+
+        def node(key, own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+            """Differences a node's items with what the levels above left to it (part i: shard i)."""
+            own = own.sort_values(["size", "gkey", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
+            start = [0] * k
+            for part, size in zip(held["shard"], held["size"]):
+                start[part] = int(size)
+            units = [[(x, i) for i, x in enumerate(start)]] + [[(int(x), k + i)] for i, x in enumerate(own["size"])]
+            where, sums = [0] * len(own), [0] * k
+            for size, ids in difference(units, k):
+                shard = next(i for i in ids if i < k)
+                sums[shard] = size
+                for i in ids:
+                    if i >= k:
+                        where[i - k] = shard
+            out = pd.DataFrame({"gkey": own["gkey"], "piece": own["piece"], "shard": pd.Series(where, dtype="int32"), "node": int(key[0]), "size": own["size"]})
+            left = pd.DataFrame({"gkey": None, "piece": None, "shard": pd.Series(range(k), dtype="int32"), "node": int(key[0]), "size": [x - min(sums) for x in sums]})
+            return pd.concat([out, left.astype({"gkey": object, "piece": object})], ignore_index=True)
+
+        spark, placed = rows.sparkSession, None
+        held = spark.range(1).select(F.lit(0).cast("long").alias("node"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("shard"), F.lit(0).cast("long").alias("size"))
+        for i, width in enumerate(widths):
+            below = fan ** (len(widths) - 1 - i)  # leaves under a node
+            own = items.filter(F.col("level") == i).withColumn("node", F.expr(f"leaf div {below}"))
+            done = cut(own.groupBy("node").cogroup(held.groupBy("node")).applyInPandas(node, "gkey binary, piece long, shard int, node long, size long"))
+            put = done.filter("piece IS NOT NULL").select("gkey", "piece", "shard")
+            placed = put if placed is None else placed.union(put)
+            if i + 1 < len(widths):
+                next_width = widths[i + 1]
+                first, last = F.col("node") * fan, F.least((F.col("node") + 1) * fan, F.lit(next_width)) - 1
+                held = (done.filter("piece IS NULL").withColumn("n", last - first + 1)
+                        .select(F.explode(F.sequence(first, last)).alias("node"), "shard", F.expr("size div n").alias("size")))
+        return placed
 
     def assign(self, rows: DataFrame) -> DataFrame:
         """The rows (as from ``rows``, checkpointed) with shard and slot, gapless from 0 in each shard.
