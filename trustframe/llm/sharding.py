@@ -9,7 +9,7 @@ on down to the leaves, where items are dealt by hash.  A node holds the items ab
 its children's share, so about 4 x shards x fan at most, and a leaf about ``cell``, whatever the
 input.  Only groups with more bytes than a shard's share are split (at most as many as there are
 shards, so their list is bounded), as no law on bytes could hold otherwise; their pieces are dealt
-by row and take an eighth of a share.
+by row and take about half a share.
 
 Rows are known by their place in the input (``monotonically_increasing_id``), so repeated rows
 keep their number: ``docs`` must be a table that is read the same way again, or a checkpoint.
@@ -105,7 +105,7 @@ class Sharding:
         share = max(1, total // self.shards)
         heavy = (rows.groupBy("gkey").agg(F.sum("size").alias("b"), F.max("size").alias("each"))
                  .filter(F.col("b") > share)  # fewer than there are shards
-                 .select(F.col("gkey").alias("hkey"), F.expr(f"greatest(1, ceil(b / greatest(each, {share} div 8)))").alias("pieces")))
+                 .select(F.col("gkey").alias("hkey"), F.expr(f"greatest(1, ceil(b / greatest(each, {share} div 2)))").alias("pieces")))
         return (rows.join(F.broadcast(heavy), F.col("gkey") == F.col("hkey"), "left")
                 .withColumn("piece", F.expr("coalesce(pmod(xxhash64(rid), pieces), 0)").cast("long")).drop("hkey", "pieces"))
 

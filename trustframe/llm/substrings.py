@@ -169,7 +169,8 @@ class SubstringDedup:
                 full = key | (group.astype(np.uint64) << np.uint64(40))
                 _, one, inv = np.unique(full, return_index=True, return_inverse=True)
                 src = one[inv]
-                old = np.flatnonzero((src != np.arange(len(src))) & (np.arange(len(src)) >= base))
+                other = (who[src] != who) | (text[src] != text) | (start[src] != start)  # not the same row once more
+                old = np.flatnonzero(other & (np.arange(len(src)) >= base))
                 if len(old):
                     cuts = runs_of(row[old], start[old], who[src[old]], start[src[old]])
                     body = np.empty(len(cuts), _RUN)
@@ -206,7 +207,7 @@ class SubstringDedup:
         rest = (large.join(first, ["h", "body"]).filter("struct(d, th, pos) != r")
                 .select("d", "th", "pos", F.lit(1).alias("n"), F.col("r.d").alias("ref"), F.col("r.pos").alias("at")))
         usual = map_arrow(found.filter("kind = 1"), ["d", "th", "pos", "body"], _unpacked, "d long, th long, pos int, n int, ref long, at int")
-        return usual.union(rest).groupBy("d", "th").agg(F.sort_array(F.collect_list(F.struct("pos", "n", "ref", "at"))).alias("runs"))
+        return usual.union(rest).groupBy("d", "th").agg(F.sort_array(F.collect_set(F.struct("pos", "n", "ref", "at"))).alias("runs"))
 
     def dedup(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_words, n_removed, kept_text, factors) of each row; a factor is (start, n_words,
