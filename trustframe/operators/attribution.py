@@ -10,9 +10,9 @@ linear model given by weights.
   row and sample, a permutation (features ordered by a hash) and a
   background row (hash-drawn) are chosen; the model is evaluated on the M+1
   prefix mixes and successive differences are the marginal contributions;
-  their mean per (row, feature) estimates the Shapley value.  The explained
-  rows, background rows and samples are the estimator's parameters (the
-  reference uses 200 / 50 / 100).
+  their mean per (row, feature) estimates the Shapley value.  Every row is
+  explained; background rows and samples are the estimator's parameters (the
+  reference uses 50 / 100).
 * X1: global summary — mean |contribution| per feature, rank, top 5.
 """
 
@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustframe.functions.expr import lit_d, uniform01
-from trustframe.operators.splits import with_position
 
 Model = Callable[[dict], Column]
 
@@ -70,42 +69,35 @@ def importance_coverage(summary: DataFrame, top_n: int, keys: list[str] | None =
         F.count(F.lit(1)).alias("n_features"))
 
 
-def native_importance(names: list[str], values: list[float]) -> list[tuple[str, float, int]]:
-    """Model-native importances (or |coefficients|), ranked; only when
-    the lengths match (else empty).  Operates on model metadata, not data."""
-    if len(names) != len(values):
-        return []
-    order = sorted(range(len(names)), key=lambda i: (-abs(values[i]), i))
-    return [(names[i], abs(float(values[i])), r + 1) for r, i in enumerate(order)]
+def native_importance(spark, names: list[str], values: list[float]) -> DataFrame:
+    """Model-native importances (or |coefficients|) as a ranked table; empty unless the
+    lengths match.  One row per feature of a fitted model."""
+    rows = [(c, i, abs(float(v))) for i, (c, v) in enumerate(zip(names, values))] if len(names) == len(values) else []
+    df = spark.createDataFrame(rows, "feature string, feature_ord int, importance double")
+    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature_ord")))
 
 
-def choose_method(has_linear_weights: bool, has_expression: bool, has_native: bool) -> str:
-    """Shapley → surrogate → native → error, by model capability."""
-    if has_linear_weights:
-        return "linear_shapley"
-    if has_expression:
-        return "permutation_shapley"
-    if has_native:
-        return "native_importance"
-    raise ValueError("no attribution method available for this model")
+def choose_method(models: DataFrame) -> DataFrame:
+    """Adds ``method`` by capability (has_linear_weights, has_expression, has_native): exact
+    linear, else permutation Shapley, else native importance, else none."""
+    return models.withColumn("method", F.when(F.col("has_linear_weights"), "linear_shapley")
+                             .when(F.col("has_expression"), "permutation_shapley")
+                             .when(F.col("has_native"), "native_importance").otherwise("none"))
 
 
 def shapley_sample(df: DataFrame, row_id: str, features: list[str], model: Model,
-                   n_rows: int = 200, n_background: int = 50, n_samples: int = 100,
-                   seed: str = "42") -> DataFrame:
-    """Permutation-sampling Shapley values (row_id, feature, contribution)."""
-    spark = df.sparkSession
-    base = df.select(row_id, *[F.col(c).cast("double").alias(c) for c in features])
-    ranked = with_position(base, [], [F.md5(F.concat(F.lit(seed), F.col(row_id).cast("string"))),
-                                      F.col(row_id)], "_pos", "_n")
-    explained = ranked.filter(F.col("_pos") < n_rows).drop("_pos")
-    background = (ranked.filter(F.col("_pos") < n_background)
-                        .select(F.col("_pos").alias("_bg"), *[F.col(c).alias(f"b_{c}") for c in features]))
+                   n_background: int = 50, n_samples: int = 100, seed: str = "42") -> DataFrame:
+    """Permutation-sampling Shapley values (row_id, feature, contribution) of every row."""
+    explained = df.select(row_id, *[F.col(c).cast("double").alias(c) for c in features])
+    order = [F.md5(F.concat(F.lit(seed), F.col(row_id).cast("string"))), F.col(row_id)]
+    few = explained.orderBy(*order).limit(n_background)  # a top-n, not a sort
+    n_few = few.count()
+    background = (few.withColumn("_bg", F.row_number().over(Window.orderBy(*order)) - 1)
+                     .select("_bg", *[F.col(c).alias(f"b_{c}") for c in features]))
     m = len(features)
     s = explained.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
     key = [F.col(row_id).cast("string"), F.col("sample").cast("string")]
-    s = s.withColumn("_bg", F.floor(uniform01(F.lit(seed), *key, F.lit("bg"))
-                                    * F.least(F.lit(n_background), F.col("_n"))).cast("long")).drop("_n")
+    s = s.withColumn("_bg", F.floor(uniform01(F.lit(seed), *key, F.lit("bg")) * n_few).cast("int"))
     # permutation position of each feature = rank of its hash inside the sample
     hs = [uniform01(F.lit(seed), *key, F.lit(c)) for c in features]
     s = s.select("*", *[h.alias(f"_h{i}") for i, h in enumerate(hs)])
@@ -137,22 +129,19 @@ def explain_one(contrib: DataFrame, row_id: str, rid) -> DataFrame:
         Window.orderBy(F.abs("contribution").desc(), "feature_ord")))
 
 
-def local_surrogate(df: DataFrame, row_id: str, features: list[str], model: Model, n_rows: int = 50,
+def local_surrogate(df: DataFrame, row_id: str, features: list[str], model: Model,
                     n_perturb: int = 1000, alpha: float = 1.0, seed: str = "42") -> DataFrame:
     """X4 (re-aimed local surrogate): around each explained row, Gaussian
     perturbations scaled by each feature's std (hash draws), model scores,
     kernel weights exp(−d²/w²) with w = 0.75·√M on the standardised offsets,
-    and a weighted ridge fit.  The fit is one aggregation of normal-equation
-    sums per explained row; the (M+1)×(M+1) solve per row runs in
-    ``applyInPandas`` on those sums.  Returns (row_id, feature, coefficient)."""
+    and a weighted ridge fit.  Every row is explained.  The fit is one aggregation
+    of normal-equation sums per row; the (M+1)×(M+1) systems are solved a batch of
+    rows at a time.  Returns (row_id, feature, feature_ord, coefficient)."""
     import numpy as np
     import pandas as pd
     m = len(features)
     stds = df.agg(*[F.stddev_samp(F.col(c).cast("double")).alias(f"_s{i}") for i, c in enumerate(features)])
-    base = df.select(row_id, *[F.col(c).cast("double").alias(c) for c in features])
-    ranked = with_position(base, [], [F.md5(F.concat(F.lit(seed), F.col(row_id).cast("string"))),
-                                      F.col(row_id)], "_pos", "_n")
-    rows = ranked.filter(F.col("_pos") < n_rows).drop("_pos", "_n").withColumn("_k", F.lit(1))
+    rows = df.select(row_id, *[F.col(c).cast("double").alias(c) for c in features]).withColumn("_k", F.lit(1))
     # one row of per-feature stds: bounded, broadcast
     rows = rows.join(F.broadcast(stds.withColumn("_k", F.lit(1))), "_k").drop("_k")
     p = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n_perturb - 1))))
@@ -171,18 +160,19 @@ def local_surrogate(df: DataFrame, row_id: str, features: list[str], model: Mode
     sums += [F.sum(F.col("_w") * zc[a] * F.col("_y")).alias(f"b_{a}") for a in range(m + 1)]
     ne = p.groupBy(row_id).agg(*sums)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, r in pdf.iterrows():
-            a = np.zeros((m + 1, m + 1))
+    def solve(batches):
+        for pdf in batches:
+            a = np.zeros((len(pdf), m + 1, m + 1))
             for i in range(m + 1):
                 for j in range(i, m + 1):
-                    a[i, j] = a[j, i] = r[f"a_{i}_{j}"]
-            a[1:, 1:] += alpha * np.eye(m)
-            b = np.array([r[f"b_{i}"] for i in range(m + 1)])
-            coef = np.linalg.lstsq(a, b, rcond=None)[0]
-            for i, c in enumerate(features):
-                out.append((r[row_id], c, i, float(coef[i + 1])))
-        return pd.DataFrame(out, columns=[row_id, "feature", "feature_ord", "coefficient"])
+                    a[:, i, j] = a[:, j, i] = pdf[f"a_{i}_{j}"]
+            a[:, range(1, m + 1), range(1, m + 1)] += alpha
+            b = np.stack([pdf[f"b_{i}"].to_numpy(float) for i in range(m + 1)], axis=1)
+            ok = np.isfinite(a).all((1, 2)) & np.isfinite(b).all(1)
+            coef = np.full((len(pdf), m + 1), np.nan)
+            coef[ok] = (np.linalg.pinv(a[ok], hermitian=True) @ b[ok][:, :, None])[:, :, 0]
+            yield pd.concat([pd.DataFrame({row_id: pdf[row_id], "feature": c, "feature_ord": i, "coefficient": coef[:, i + 1]})
+                             for i, c in enumerate(features)])
+
     schema = f"{row_id} {dict(df.dtypes)[row_id]}, feature string, feature_ord int, coefficient double"
-    return ne.groupBy(row_id).applyInPandas(solve, schema)
+    return ne.mapInPandas(solve, schema)

@@ -32,7 +32,11 @@ SENSITIVE_KEYWORDS = [
 
 
 def unpivot_attrs(preds: DataFrame, attrs: list[str], keep: list[str]) -> DataFrame:
-    """(keep..., attr, attr_ord, grp) — one output row per input row and attribute."""
+    """(keep..., attr, attr_ord, grp) — one output row per input row and attribute; without
+    attributes one row with null attr, so that counts over all rows still stand."""
+    if not attrs:
+        null = F.lit(None).cast("string")
+        return preds.select(*keep, null.alias("attr"), F.lit(0).alias("attr_ord"), null.alias("grp"))
     arr = F.array(*[F.struct(F.lit(a).alias("attr"), F.lit(i).alias("attr_ord"),
                              F.col(a).cast("string").alias("grp"))
                     for i, a in enumerate(attrs)])

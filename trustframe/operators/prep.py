@@ -57,12 +57,10 @@ def one_hot(df: DataFrame, col: str, values: list[str], drop_first: bool = True,
     return out
 
 
-def distinct_values(df: DataFrame, col: str, max_values: int = 1000) -> list[str]:
-    """The category list for ``one_hot`` (an aggregation; guarded size)."""
-    rows = df.select(col).distinct().filter(F.col(col).isNotNull()).limit(max_values + 1).collect()
-    if len(rows) > max_values:
-        raise ValueError(f"{col} has more than {max_values} categories; use MLlib encoders instead")
-    return [str(r[0]) for r in rows]
+def categories(df: DataFrame, col: str) -> list[str]:
+    """The sorted non-null values of a column, for ``one_hot``: they become columns, so they are
+    schema; a column with more values than a table can have columns belongs in a vector encoder."""
+    return [str(r[0]) for r in df.select(col).distinct().filter(F.col(col).isNotNull()).orderBy(col).collect()]
 
 
 def impute(df: DataFrame, numeric: list[str], categorical: list[str], other: list[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Row positions, positional / stratified splits, folds and exact-n samples.
+"""Row positions, positional / stratified splits, folds and order statistics.
 
 The reference splits an in-memory frame by position (first 80 % train).  A
 window ``row_number() over (partition by k order by c)`` would send every row
@@ -29,7 +29,6 @@ from trustframe.functions.expr import lit_d
 from trustframe.session import checkpoint_dir
 
 _PID_SHIFT = 33  # monotonically_increasing_id layout: partition id << 33
-BROADCAST_MAX_GROUPS = 100_000  # per-group parameter rows broadcast up to this count
 
 
 def with_position(df: DataFrame, by: list[str], order: list[Column | str],
@@ -77,7 +76,7 @@ def positional_split(df: DataFrame, by: list[str], order: list[str],
         cut = order_statistics(df, by, order[0], [("_cut", train_fraction, "floor_n")]).drop("n")
         j = df.join(cut, by) if by else df.withColumn("_j", F.lit(1)).join(
             F.broadcast(cut.withColumn("_j", F.lit(1))), "_j").drop("_j")
-        return (j.withColumn(split_col, F.when(F.col(order[0]).cast("double") < F.col("_cut"), F.lit("train"))
+        return (j.withColumn(split_col, F.when(F.col(order[0]) < F.col("_cut"), F.lit("train"))
                              .otherwise(F.lit("test"))).drop("_cut"))
     p = with_position(df, by, order, "_pos", "_n")
     cut = F.floor(F.col("_n") * lit_d(train_fraction))
@@ -106,16 +105,6 @@ def stratified_folds(df: DataFrame, by: list[str], label: str, row_id: str,
     return p.withColumn(fold_col, (F.col("_pos") % k).cast("int")).drop("_pos", "_n")
 
 
-def hash_cap_sample(df: DataFrame, by: list[str], row_id: str, n: int) -> DataFrame:
-    """F8: exactly ``min(n, group size)`` rows per group, chosen by md5(row_id).
-
-    This is the sampling operator itself (the reference caps at 10 000 rows);
-    the evaluation plans do not call it unless asked.
-    """
-    p = with_position(df, by, [F.md5(F.col(row_id).cast("string")), F.col(row_id)], "_pos", "_n")
-    return p.filter(F.col("_pos") < n).drop("_pos", "_n")
-
-
 def with_running_sum(df: DataFrame, by: list[str], order: list[Column | str], weight: str,
                      out_col: str = "running", num_partitions: int | None = None) -> DataFrame:
     """Inclusive running sum of ``weight`` inside each ``by`` group in
@@ -145,91 +134,68 @@ def with_running_sum(df: DataFrame, by: list[str], order: list[Column | str], we
 
 def order_statistics(df: DataFrame, by: list[str], value: str, ranks: list[tuple[str, float, str]],
                      accuracy: int = 200000) -> DataFrame:
-    """Exact values at given 0-based ranks inside each ``by`` group, without
-    sorting the data.
+    """Exact values at given 0-based ranks inside each ``by`` group.
 
     ``ranks`` holds (name, q, rule): the rank is ``floor(q·(n−1))`` for rule
     'floor', ``ceil(q·(n−1))`` for 'ceil' and ``floor(q·n)`` for 'floor_n',
-    with n the group's non-null count.  Pass 1: ``percentile_approx`` at the
-    constant percentages q ± 4/accuracy (rank error ≤ n/accuracy) brackets
-    every wanted rank.  Pass 2: one aggregation counts values below the
-    bracket and the value counts inside it (about 8·n/accuracy rows per rank).
-    The exact value is the first bracket value whose cumulative count passes
-    the rank.  A bracket that misses its rank (not expected) is recomputed
-    with the sort-based ``with_position``.  Returns (by..., n, <name>...)."""
-    v = F.col(value).cast("double")
-    base = df.select(*by, v.alias("_v")).filter(F.col("_v").isNotNull())
+    with n the group's non-null count.  The value keeps its own type, so
+    64-bit keys stay exact.
+
+    One aggregation brackets every rank: ``percentile_approx`` at q ± 4/accuracy
+    (rank error ≤ n/accuracy), or the group's minimum and maximum where the
+    group has fewer rows than ``accuracy``.  One more counts the values below
+    each bracket and the distinct values inside (about 8·n/accuracy), equal
+    values combined map-side; their running sum, split over range partitions of
+    distinct values, gives the value at the rank.  A bracket that misses its
+    rank (as for keys beyond the sketch's double precision) is taken again, by
+    itself, as the group's whole range.  Returns (by..., n, <name>...)."""
+    base = df.select(*by, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
     m = 4.0 / accuracy
     names = [r[0] for r in ranks]
-    pct = sorted({round(max(0.0, q - m), 9) for _, q, _ in ranks} | {round(min(1.0, q + m), 9) for _, q, _ in ranks})
+    low = {nm: round(max(0.0, q - m), 9) for nm, q, _ in ranks}
+    high = {nm: round(min(1.0, q + m), 9) for nm, q, _ in ranks}
+    pct = sorted({*low.values(), *high.values()})
     nd = F.col("n").cast("double")
 
-    def k_expr(q: float, rule: str) -> Column:
+    def rank_of(q: float, rule: str) -> Column:
         if rule == "floor_n":
-            return F.floor(nd * q)
-        h = (nd - 1) * q
-        return F.floor(h) if rule == "floor" else F.ceil(h)
-
-    def join1(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
-        if by:
-            return a.join(b, by, how)
-        return a.withColumn("_j", F.lit(1)).join(b.withColumn("_j", F.lit(1)), "_j", how).drop("_j")
-
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    # pass 1: count and approximate brackets (one row per group), materialised
-    a = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
-                              F.percentile_approx("_v", pct, accuracy).alias("_g"))
-    sel = []
-    for nm, q, rule in ranks:
-        sel += [F.element_at("_g", pct.index(round(max(0.0, q - m), 9)) + 1).alias(f"_lo_{nm}"),
-                F.element_at("_g", pct.index(round(min(1.0, q + m), 9)) + 1).alias(f"_hi_{nm}"),
-                k_expr(q, rule).cast("long").alias(f"_k_{nm}")]
-    b = a.select(*by, "n", *sel).checkpoint(eager=True)
-    # brackets are guaranteed once 4n/accuracy spans the rank step; smaller
-    # groups are cheap to sort, so they take the sort-based path directly
-    if (b.agg(F.min("n")).first()[0] or 0) * 2 < accuracy:
-        return _sorted_order_statistics(base, by, ranks, k_expr)
-    # pass 2: per rank, one tag per row: below the bracket, or its value inside it.
-    # b has one row per group; broadcast it when the (checkpointed, cheap to
-    # count) group table is within the bound, else shuffle-join on the keys.
-    small_b = (not by) or b.count() <= BROADCAST_MAX_GROUPS
-    j = join1(base, F.broadcast(b) if small_b else b)
-    below_w = (j.groupBy(*by).agg(*[F.sum(F.when(F.col("_v") < F.col(f"_lo_{nm}"), 1).otherwise(0))
-                                    .cast("long").alias(f"_b_{nm}") for nm in names]))
-    below = below_w.select(*by, F.explode(F.array(*[F.struct(F.lit(nm).alias("_r"), F.col(f"_b_{nm}").alias("_below"))
-                                                    for nm in names])).alias("_bb")).select(*by, "_bb._r", "_bb._below")
-    inside = [(F.col("_v") >= F.col(f"_lo_{nm}")) & (F.col("_v") <= F.col(f"_hi_{nm}")) for nm in names]
-    any_in = inside[0]
-    for c in inside[1:]:
-        any_in = any_in | c
-    # only values inside some bracket (about 8·n/accuracy per rank) are expanded
-    within = (j.filter(any_in)
-               .select(*by, F.col("_v").alias("_x"),
-                       F.explode(F.array_compact(F.array(*[F.when(c, F.lit(nm)) for c, nm in zip(inside, names)])))
-                       .alias("_r"))
-               .groupBy(*by, "_r", "_x").agg(F.count(F.lit(1)).alias("_c"))).checkpoint(eager=True)
-    below = below.checkpoint(eager=True)
-    w = Window.partitionBy(*by, "_r").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    within = within.withColumn("_cum", F.sum("_c").over(w))
-    kl = b.select(*by, "n", F.explode(F.array(*[F.struct(F.lit(nm).alias("_r"), F.col(f"_k_{nm}").alias("_k"))
-                                                  for nm in names])).alias("_kk")).select(*by, "n", "_kk._r", "_kk._k")
-    kl = kl.join(below, [*by, "_r"], "left").withColumn("_below", F.coalesce("_below", F.lit(0)))
-    picks = (within.join(kl, [*by, "_r"])
-                   .filter(F.col("_below") + F.col("_cum") >= F.col("_k") + 1)
-                   .groupBy(*by, "_r").agg(F.min("_x").alias("_val")))
-    res = kl.join(picks, [*by, "_r"], "left")
-    ok = (F.col("_below") <= F.col("_k")) & F.col("_val").isNotNull()
-    # verify with one tiny aggregate read on the driver
-    if res.filter(~ok).limit(1).count():
-        return _sorted_order_statistics(base, by, ranks, k_expr)
-    return res.groupBy(*by, "n").pivot("_r", names).agg(F.first("_val"))
-
-
-def _sorted_order_statistics(base: DataFrame, by: list[str], ranks, k_expr) -> DataFrame:
-    """Sort-based exact order statistics (range shuffle + positions)."""
-    names = [r[0] for r in ranks]
-    p = with_position(base, by, [F.col("_v")], "_pos", "n")
-    ks = p.select(*by, "n", "_pos", "_v", *[k_expr(q, rule).cast("long").alias(f"_k_{nm}") for nm, q, rule in ranks])
-    return ks.groupBy(*by, "n").agg(*[F.max(F.when(F.col("_pos") == F.col(f"_k_{nm}"), F.col("_v"))).alias(nm)
-                                      for nm in names])
+            return F.floor(nd * q).cast("long")
+        return (F.floor if rule == "floor" else F.ceil)((nd - 1) * q).cast("long")
+
+    checkpoint_dir(df.sparkSession)
+    a = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", pct, accuracy).alias("_g"),
+                              F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    whole = F.col("n") < accuracy
+    at = lambda share: F.element_at("_g", pct.index(share) + 1)
+    wanted = a.select(*by, "n", "_min", "_max", F.explode(F.array(*[
+        F.struct(F.lit(nm).alias("_r"), rank_of(q, rule).alias("_k"),
+                 F.when(whole, F.col("_min")).otherwise(at(low[nm])).alias("_lo"),
+                 F.when(whole, F.col("_max")).otherwise(at(high[nm])).alias("_hi")) for nm, q, rule in ranks])).alias("_w")
+    ).select(*by, "n", "_min", "_max", "_w.*").checkpoint(eager=True)
+    found = _values_at(base, by, wanted)
+    missed = found.filter(F.col("_val").isNull() & (F.col("_k") < F.col("n")))
+    if not missed.isEmpty():
+        again = (missed.drop("_val").withColumn("_lo", F.col("_min")).withColumn("_hi", F.col("_max")))
+        found = found.join(missed.select(*by, "_r"), [*by, "_r"], "left_anti").unionByName(_values_at(base, by, again))
+    return found.groupBy(*by, "n").pivot("_r", names).agg(F.first("_val"))
+
+
+def _values_at(base: DataFrame, by: list[str], wanted: DataFrame) -> DataFrame:
+    """``wanted`` (by, _r, _k, _lo, _hi, ...) with _val: the value at rank _k if the bracket holds it."""
+    brackets = wanted.groupBy(*by).agg(F.collect_list(F.struct("_r", "_lo", "_hi")).alias("_b"))  # one per rank
+    if by:
+        j = base.join(brackets, by)
+    else:  # one row
+        j = base.withColumn("_j", F.lit(1)).join(F.broadcast(brackets.withColumn("_j", F.lit(1))), "_j").drop("_j")
+    # a rank's rows: its below-count in one row of null value, and each distinct value inside
+    inside = F.filter("_b", lambda b: F.col("_v") <= b["_hi"])
+    tagged = j.select(*by, "_v", F.explode(inside).alias("_x"))
+    counts = (tagged.select(*by, F.col("_x._r").alias("_r"), F.when(F.col("_v") >= F.col("_x._lo"), F.col("_v")).alias("_v"))
+              .groupBy(*by, "_r", "_v").agg(F.count(F.lit(1)).alias("_c"))).checkpoint(eager=True)
+    below = counts.filter(F.col("_v").isNull()).select(*by, "_r", F.col("_c").alias("_below"))
+    cum = with_running_sum(counts.filter(F.col("_v").isNotNull()), [*by, "_r"], ["_v"], "_c", "_cum").select(*by, "_r", "_v", "_cum", "_c")
+    kl = wanted.join(below, [*by, "_r"], "left").withColumn("_below", F.coalesce("_below", F.lit(0)))
+    hit = (cum.join(kl.select(*by, "_r", "_k", "_below"), [*by, "_r"])
+              .filter((F.col("_below") + F.col("_cum") > F.col("_k")) & (F.col("_below") + F.col("_cum") - F.col("_c") <= F.col("_k")))
+              .select(*by, "_r", F.col("_v").alias("_val")))
+    return wanted.join(hit, [*by, "_r"], "left").checkpoint(eager=True)

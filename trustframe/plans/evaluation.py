@@ -81,12 +81,15 @@ def _conf(summary: DataFrame, split: str | None) -> DataFrame:
 
 
 def _test_group_counts(summary: DataFrame, positive: float = 1.0) -> DataFrame:
-    t = F.col("y_true") == positive
-    p = F.col("y_pred") == positive
+    # fairness rates need 0/1 labels: a pair with others is evaluated without them
+    num = (lambda c: F.expr(f"try_cast({c} AS double)"))
+    other = F.coalesce(~num("y_true").isin(0.0, 1.0) | ~num("y_pred").isin(0.0, 1.0), F.lit(True))
+    test = summary.filter((F.col("split") == "test") & F.col("attr").isNotNull())
+    test = test.join(test.filter(other).select(*K).distinct(), K, "left_anti")
+    t, p = num("y_true") == positive, num("y_pred") == positive
     n = F.col("n")
     w = (lambda c: F.sum(F.when(c, n).otherwise(0)).cast("long"))
-    return (summary.filter(F.col("split") == "test")
-                   .groupBy(*K, "attr", "attr_ord", "grp")
+    return (test.groupBy(*K, "attr", "attr_ord", "grp")
                    .agg(F.sum(n).cast("long").alias("n"), w(t & p).alias("tp"), w(~t & p).alias("fp"),
                         w(~t & ~p).alias("tn"), w(t & ~p).alias("fn"),
                         w(F.col("y_true") == F.col("y_pred")).alias("correct")))
@@ -156,7 +159,7 @@ def regression_parts(preds: DataFrame, attrs: list[str]) -> tuple[DataFrame, Dat
     train = _reg_metrics(summary, "train").select(
         *K, F.col("r2_score").alias("train_r2_score"), F.col("mae").alias("train_mae"),
         F.col("mse").alias("train_mse"))
-    test = summary.filter(F.col("split") == "test")
+    test = summary.filter((F.col("split") == "test") & F.col("attr").isNotNull())
     n = F.col("n").cast("double")
     gs = test.select(*K, "attr", "attr_ord", "grp", F.col("n").alias("sample_count"),
                      (F.col("sp") / n).alias("mean_prediction"), (F.col("sy") / n).alias("mean_actual"),

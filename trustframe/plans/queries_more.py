@@ -467,7 +467,7 @@ def q_surrogate(spark, sf):
 
     def rule(x):
         return F.when((x["o_totalprice"] > 200000) & (x["c_acctbal"] > 5000), 1.0).otherwise(0.0)
-    c = AT.local_surrogate(ds, "row_id", ["o_totalprice", "c_acctbal"], rule)
+    c = AT.local_surrogate(ds, "row_id", ["o_totalprice", "c_acctbal"], rule, n_perturb=100)
     return AT.global_summary(c.withColumnRenamed("coefficient", "contribution"))
 
 

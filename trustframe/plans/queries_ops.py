@@ -254,8 +254,8 @@ INSIGHT_TABLES = {
     "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
     "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
     "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-                 "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"],
-    "events": ["event_id", "user_id", "event_type", "value"],
+                 "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
 }
 INSIGHT_NUMERIC = {
     "customer": ["c_custkey", "c_nationkey", "c_acctbal"],

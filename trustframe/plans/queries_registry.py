@@ -385,14 +385,34 @@ def q_preview(spark, sf):
                     F.date_format("o_orderdate", TS).alias("o_orderdate"), "o_orderpriority")
 
 
-@register("dataset_fingerprint", """
+@register("dataset_preview_stats", """
+WITH h AS (SELECT * FROM orders ORDER BY o_orderkey LIMIT 10), n AS (SELECT count(*) AS total_rows FROM orders)
+SELECT ord, col AS "column", dtype, nulls::BIGINT AS preview_nulls, total_rows, 6 AS total_columns FROM n, (
+""" + "\nUNION ALL\n".join(
+    f"SELECT {i} AS ord, '{c}' AS col, '{t}' AS dtype, count(*) FILTER (WHERE {c} IS NULL) AS nulls FROM h"
+    for i, (c, t) in enumerate([("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
+                                ("o_totalprice", "double"), ("o_orderdate", "timestamp"), ("o_orderpriority", "string")])) + ")")
+def q_preview_stats(spark, sf):
+    """Types, preview nulls and totals of the previewed table."""
+    from trustframe.operators.io import preview
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                                          F.col("o_orderdate").cast("timestamp").alias("o_orderdate"), "o_orderpriority")
+    return preview(o, ["o_orderkey"])[1]
+
+
+def _cell(c: str) -> str:
+    return f"coalesce(length({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+
+
+@register("dataset_fingerprint", f"""
+WITH h AS (SELECT *, ('0x' || substr(md5({" || '|' || ".join(_cell(c) for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))}), 1, 15))::BIGINT AS h FROM customer)
 SELECT count(*) AS row_count, 5 AS col_count, 'c_acctbal,c_custkey,c_mktsegment,c_name,c_nationkey' AS columns,
+       'c_acctbal:double,c_custkey:bigint,c_mktsegment:string,c_name:string,c_nationkey:int' AS dtypes,
        CAST(count(*) FILTER (WHERE c_custkey IS NULL) + count(*) FILTER (WHERE c_name IS NULL)
             + count(*) FILTER (WHERE c_nationkey IS NULL) + count(*) FILTER (WHERE c_acctbal IS NULL)
             + count(*) FILTER (WHERE c_mktsegment IS NULL) AS BIGINT) AS null_count,
-       CAST(sum(CAST(('0x' || substr(md5(concat_ws('|', CAST(c_custkey AS VARCHAR), c_name, CAST(c_nationkey AS VARCHAR),
-            printf('%.2f', c_acctbal), c_mktsegment)), 1, 8)) AS BIGINT)) AS BIGINT) AS checksum
-FROM customer""")
+       sum(h)::VARCHAR AS checksum, bit_xor(h) AS checksum_xor
+FROM h""")
 def q_fingerprint(spark, sf):
     from trustframe.operators.io import fingerprint
     return fingerprint(table(spark, sf, "customer"))
