@@ -54,21 +54,29 @@ def quartiles(df: DataFrame, cols: list[str], method: str = "exact") -> DataFram
                     (F.col("l3") + f3 * (F.col("u3") - F.col("l3"))).alias("q3"))
 
 
+def _per_column(df: DataFrame, cols: list[str], aggs: dict) -> DataFrame:
+    """One wide aggregation, then a row per column: (column, <name>...), ``aggs`` name → f(Column, ordinal)."""
+    one = df.agg(*[f(_q(c).cast("double"), i).alias(f"{nm}_{i}") for i, c in enumerate(cols) for nm, f in aggs.items()])
+    return one.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), *[F.col(f"{nm}_{i}").alias(nm) for nm in aggs]) for i, c in enumerate(cols)])).alias("x")).select("x.*")
+
+
 def _fenced(df: DataFrame, cols: list[str], method: str) -> DataFrame:
     """Per numeric column: bounds, outlier count, and moments (one extra pass)."""
     q = quartiles(df, cols, method)
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")) \
          .withColumn("lower_bound", F.col("q1") - 1.5 * F.col("iqr")) \
          .withColumn("upper_bound", F.col("q3") + 1.5 * F.col("iqr"))
-    lv = long_values(df, cols, keep_nulls=True)
-    # the bounds table has one row per numeric column: bounded by the schema width
-    j = lv.join(F.broadcast(q.select("column", "lower_bound", "upper_bound")), "column", "left")
-    cnt = j.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n_all"),
-        count_if((F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound")))
-        .alias("outliers"),
-        F.min("value").alias("min_value"), F.max("value").alias("max_value"),
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    # the bounds, one row per numeric column, stand as constants in one wide aggregation
+    q = q.persist()
+    at = {r["column"]: r for r in q.select("column", "lower_bound", "upper_bound").collect()}
+    lo = [lit_d(at[c]["lower_bound"]) if c in at else F.lit(None).cast("double") for c in cols]
+    hi = [lit_d(at[c]["upper_bound"]) if c in at else F.lit(None).cast("double") for c in cols]
+    cnt = _per_column(df, cols, {
+        "n_all": lambda v, i: F.count(F.lit(1)),
+        "outliers": lambda v, i: count_if((v < lo[i]) | (v > hi[i])),
+        "min_value": lambda v, i: F.min(v), "max_value": lambda v, i: F.max(v),
+        "mean": lambda v, i: F.avg(v), "std": lambda v, i: F.stddev_samp(v)})
     return q.join(cnt, "column", "right").withColumn("n", F.coalesce("n", F.lit(0)))
 
 

@@ -204,6 +204,18 @@ def versions_from(events: DataFrame) -> DataFrame:
     return events.withColumn("version", F.row_number().over(w))
 
 
+def promote(versions: DataFrame, requests: DataFrame, models: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each requested (model_id, version) that exists becomes its model's one production version;
+    the model row takes its number and path."""
+    chosen = (versions.join(requests.select("model_id", "version").distinct(), ["model_id", "version"], "left_semi")
+                      .groupBy("model_id").agg(F.max_by(F.struct("version", "file_path"), "version").alias("_c")))
+    new = (versions.join(chosen, "model_id", "left")
+                   .withColumn("is_production", F.coalesce(F.col("version") == F.col("_c.version"), F.col("is_production"))).drop("_c"))
+    m = (models.join(chosen, "model_id", "left").withColumn("production_version", F.col("_c.version"))
+               .withColumn("file_path", F.coalesce("_c.file_path", "file_path")).drop("_c"))
+    return new, m
+
+
 def promote_latest(versions: DataFrame) -> DataFrame:
     """One production version per model (the newest)."""
     latest = versions.groupBy("model_id").agg(F.max("version").alias("_latest"))
@@ -251,6 +263,14 @@ def delete_cascade(parents: DataFrame, deleted_ids: DataFrame, children: list[Da
             + [c.join(deleted_ids, key, "left_anti") for c in children])
 
 
+def create_models(models: DataFrame, new: DataFrame) -> DataFrame:
+    """C7 (create): rows of ``new`` whose (user_id, name) isn't taken, with ids after the largest."""
+    fresh = new.join(models.select("user_id", "name").distinct(), ["user_id", "name"], "left_anti")
+    last = models.agg(F.max("model_id").alias("m")).first()["m"] or 0
+    ids = with_position(fresh, [], ["user_id", "name"], "_pos", "_n")
+    return models.unionByName(ids.withColumn("model_id", F.lit(last) + 1 + F.col("_pos")).drop("_pos", "_n"), allowMissingColumns=True)
+
+
 def get_model(models: DataFrame, model_id, user_id) -> DataFrame:
     """C7 (get) + F1: a model by id, visible only to its owner."""
     return owned_by(models, user_id).filter(F.col("model_id") == F.lit(model_id))

@@ -1,9 +1,8 @@
 """Corpus BLEU and ROUGE over (prediction, reference) text pairs.
 
-N-gram overlap is a distributed join: each side's n-grams are exploded and
-counted per (pair, n, gram); the clipped match count is ``min`` of the two
-counts after an equi-join on (pair, n, gram); corpus sums are one
-aggregation.  Whole texts are processed (no prefixes).  ROUGE-L needs an
+N-gram overlap is counted inside the row that holds both texts of a pair (a
+pandas UDF, linear in the text); corpus sums are one aggregation, so no text
+is shuffled.  Whole texts are processed (no prefixes).  ROUGE-L needs an
 LCS per pair, done by a pandas UDF with a row-vectorised DP.
 
 Tokenisation (re-aimed, documented in the README):
@@ -14,6 +13,8 @@ Tokenisation (re-aimed, documented in the README):
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,37 +33,30 @@ def rouge_tokens(c: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "), " "), lambda x: x != "")
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.size(tokens) - n),
-                       lambda i: F.concat_ws(" ", F.slice(tokens, i + 1, n)))
+def _clipped(a: list, b: list, n: int) -> int:
+    """N-grams that two token lists share, each as often as in the one that has fewer."""
+    grams = [Counter(zip(*[x[i:] for i in range(n)])) for x in (list(a), list(b))]
+    return sum((grams[0] & grams[1]).values())
+
 
+def overlap_udf(max_n: int):
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def matches(p: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([[_clipped(x, y, n) for n in range(1, max_n + 1)] for x, y in zip(p, r)])
 
-def _gram_counts(df: DataFrame, keys: list[str], tok: str, max_n: int, side: str) -> DataFrame:
-    parts = []
-    for n in range(1, max_n + 1):
-        g = df.select(*keys, F.lit(n).alias("n"),
-                      F.explode(F.when(F.size(tok) >= n, ngrams(F.col(tok), n))
-                                .otherwise(F.array().cast("array<string>"))).alias("gram"))
-        parts.append(g)
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.groupBy(*keys, "n", "gram").agg(F.count(F.lit(1)).alias(f"c_{side}"))
+    return matches
 
 
 def overlap_table(pairs: DataFrame, keys: list[str], max_n: int, tokenizer) -> DataFrame:
-    """Per (pair, n): clipped matches, prediction n-grams, reference n-grams."""
+    """Per (pair, n): clipped matches, prediction n-grams, reference n-grams; both texts of a pair
+    stand in one row, so they are counted there and nothing but the totals moves."""
     t = pairs.select(*keys, tokenizer(F.col("prediction")).alias("pt"), tokenizer(F.col("reference")).alias("rt"))
-    cp = _gram_counts(t, keys, "pt", max_n, "p")
-    cr = _gram_counts(t, keys, "rt", max_n, "r")
-    m = cp.join(cr, [*keys, "n", "gram"]).groupBy(*keys, "n").agg(
-        F.sum(F.least("c_p", "c_r")).alias("matches"))
-    lens = t.select(*keys, F.size("pt").alias("lp"), F.size("rt").alias("lr"),
-                    F.explode(F.sequence(F.lit(1), F.lit(max_n))).alias("n"))
-    lens = lens.select(*keys, "n", "lp", "lr",
-                       F.greatest(F.col("lp") - F.col("n") + 1, F.lit(0)).alias("pred_ngrams"),
-                       F.greatest(F.col("lr") - F.col("n") + 1, F.lit(0)).alias("ref_ngrams"))
-    return lens.join(m, [*keys, "n"], "left").withColumn("matches", F.coalesce("matches", F.lit(0)).cast("long"))
+    t = t.select(*keys, F.size("pt").alias("lp"), F.size("rt").alias("lr"), overlap_udf(max_n)("pt", "rt").alias("_m"))
+    t = t.select(*keys, "lp", "lr", F.posexplode("_m").alias("_i", "matches"))
+    n = F.col("_i") + 1
+    return t.select(*keys, n.alias("n"), "lp", "lr", "matches",
+                    F.greatest(F.col("lp") - n + 1, F.lit(0)).alias("pred_ngrams"),
+                    F.greatest(F.col("lr") - n + 1, F.lit(0)).alias("ref_ngrams"))
 
 
 def corpus_bleu(pairs: DataFrame, keys: list[str], group: list[str] | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from trustframe.functions.expr import lit_d, round_half
 from trustframe.functions.trust import eval_score_columns, trust_columns, with_gap_warning
-from trustframe.operators.fairness import (fairness_gaps, fairness_summary,
+from trustframe.operators.fairness import (detect_sensitive_attributes, fairness_gaps, fairness_summary,
                                            group_metrics_from_counts, regression_fairness,
                                            unpivot_attrs)
 from trustframe.operators.health import dataset_stats
@@ -43,7 +43,7 @@ class Workload:
     dataset_id: str
     target: str
     model_type: str
-    attrs: list[str] = field(default_factory=list)
+    attrs: list[str] | None = field(default_factory=list)  # None: detected from the dataset
 
 
 WORKLOADS = {
@@ -52,6 +52,21 @@ WORKLOADS = {
         lambda s, d: W.orders_dataset(s, d).select("o_totalprice", "o_orderpriority", "c_acctbal",
                                                    "c_mktsegment", "n_regionkey", "target"),
         "orders_status", "target", "classification", W.ORDER_ATTRS),
+    "orders_no_attributes": Workload(
+        W.binary_predictions,
+        lambda s, d: W.orders_dataset(s, d).select("o_totalprice", "o_orderpriority", "c_acctbal",
+                                                   "c_mktsegment", "n_regionkey", "target"),
+        "orders_status", "target", "classification", []),
+    "orders_auto_attributes": Workload(
+        W.binary_predictions,
+        lambda s, d: W.orders_dataset(s, d).select("o_totalprice", "o_orderpriority", "c_acctbal",
+                                                   "c_mktsegment", "n_regionkey", "target"),
+        "orders_status", "target", "classification", None),
+    "orders_multiclass": Workload(
+        W.multiclass_split_predictions,
+        lambda s, d: W.orders_dataset(s, d).select("o_totalprice", "o_orderpriority", "c_acctbal",
+                                                   "c_mktsegment", "n_regionkey", "o_orderstatus"),
+        "orders_status_mc", "o_orderstatus", "classification", W.ORDER_ATTRS),
     "lineitem_price": Workload(
         W.regression_predictions,
         lambda s, d: W.lineitem_dataset(s, d).select("l_quantity", "l_discount", "l_tax", "p_size",
@@ -172,13 +187,14 @@ def regression_parts(preds: DataFrame, attrs: list[str]) -> tuple[DataFrame, Dat
 
 def evaluation_inputs(spark: SparkSession, sf_dir: str, wl: Workload) -> DataFrame:
     """One row per pair: metrics, train metrics, fairness result, statistics."""
-    preds = wl.preds(spark, sf_dir)
-    if wl.model_type == "classification":
-        metrics, train, gaps = classification_parts(preds, wl.attrs)
-    else:
-        metrics, train, gaps = regression_parts(preds, wl.attrs)
-    stats = dataset_stats(wl.dataset(spark, sf_dir), wl.dataset_id, wl.target,
-                          model_type=wl.model_type)
+    preds, dataset = wl.preds(spark, sf_dir), wl.dataset(spark, sf_dir)
+    attrs = wl.attrs
+    if attrs is None:  # a list of columns: as long as the schema at most
+        found = detect_sensitive_attributes(dataset, [wl.target], wl.dataset_id).orderBy("ordinal").collect()
+        attrs = [r["column"] for r in found]
+    parts = classification_parts if wl.model_type == "classification" else regression_parts
+    metrics, train, gaps = parts(preds, attrs)
+    stats = dataset_stats(dataset, wl.dataset_id, wl.target, model_type=wl.model_type)
     return assemble_inputs(metrics, train, gaps, stats, wl.model_type)
 
 

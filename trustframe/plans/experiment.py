@@ -26,6 +26,7 @@ from trustframe.functions.trust import (DEFAULT_USER_WEIGHTS, EPS, INSTABILITY_P
                                         STRICT_POWER, trust_columns)
 from trustframe.operators.health import numeric_columns
 from trustframe.operators.splits import stratified_folds, with_position
+from trustframe.session import checkpoint_dir
 from trustframe.sources import workloads as W
 
 FEATURES = ["o_totalprice", "o_orderpriority", "c_acctbal", "c_mktsegment", "n_regionkey"]
@@ -87,9 +88,12 @@ def fold_results(spark: SparkSession, sf: str, k: int = K_FOLDS) -> DataFrame:
             .withColumn("fairness_evaluated", F.lit(True))
             .withColumn("trust_mode", F.explode(F.array(F.lit("balanced"), F.lit("strict")))))
     tr = trust_columns(inp, with_text=False)
-    return (tr.groupBy("model_id", "fold", "accuracy", "f1_score", "dp")
-              .pivot("trust_mode", ["balanced", "strict"]).agg(F.first("trust_score"))
-              .withColumnRenamed("balanced", "trust_balanced").withColumnRenamed("strict", "trust_strict"))
+    out = (tr.groupBy("model_id", "fold", "accuracy", "f1_score", "dp")
+             .pivot("trust_mode", ["balanced", "strict"]).agg(F.first("trust_score"))
+             .withColumnRenamed("balanced", "trust_balanced").withColumnRenamed("strict", "trust_strict"))
+    # models x folds rows: written once, read by every test on them
+    checkpoint_dir(spark)
+    return out.checkpoint(eager=True)
 
 
 def fold_summary(folds: DataFrame) -> DataFrame:

@@ -61,6 +61,9 @@ preds AS (
               WHEN o_orderpriority = '3-MEDIUM' THEN 'O' ELSE 'P' END,
          c_mktsegment, n_regionkey, o_orderpriority FROM ds)"""
 
+MULTICLASS_SPLIT_PREDS = ORDERS_DS + BINARY_PREDS[len(ORDERS_DS):BINARY_PREDS.index("preds AS")] + MULTICLASS_PREDS[
+    len(ORDERS_DS) + 1:].replace("row_id, o_orderstatus", "row_id, split, o_orderstatus").replace("FROM ds", "FROM sp")
+
 LINE_DS = """
 ds AS (
   SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_shipdate, l.l_quantity,
@@ -503,13 +506,26 @@ ls4 AS (
   FROM ls3)"""
 
 
+NO_FAIRNESS = """
+fs AS (SELECT '' AS model_id, '' AS dataset_id, FALSE AS fairness_evaluated, 0.0::DOUBLE AS dp WHERE FALSE)"""
+
+
 def evaluation_ctes(workload: str) -> str:
-    if workload == "orders_status":
+    if workload in ("orders_status", "orders_no_attributes", "orders_auto_attributes"):
         preds, attrs, mt = BINARY_PREDS, ["c_mktsegment", "n_regionkey", "o_orderpriority"], "classification"
+        if workload == "orders_no_attributes":
+            attrs = []
+        elif workload == "orders_auto_attributes":  # in column order
+            attrs = ["o_orderpriority", "c_mktsegment", "n_regionkey"]
         st = stats_sql("ds2", "orders_status",
                        ["o_totalprice", "o_orderpriority", "c_acctbal", "c_mktsegment", "n_regionkey", "target"],
                        ["o_totalprice", "c_acctbal"], "target", mt)
         ds2 = "ds2 AS (SELECT o_totalprice, o_orderpriority, c_acctbal, c_mktsegment, n_regionkey, target FROM ds)"
+    elif workload == "orders_multiclass":
+        preds, attrs, mt = MULTICLASS_SPLIT_PREDS, [], "classification"  # labels aren't 0/1: no rates
+        cols = ["o_totalprice", "o_orderpriority", "c_acctbal", "c_mktsegment", "n_regionkey", "o_orderstatus"]
+        st = stats_sql("ds2", "orders_status_mc", cols, ["o_totalprice", "c_acctbal"], "o_orderstatus", mt)
+        ds2 = "ds2 AS (SELECT " + ", ".join(cols) + " FROM ds)"
     elif workload == "docs_quality":
         preds, attrs, mt = DOCS_PREDS, ["lang", "source"], "classification"
         st = stats_sql("ds2", "docs_quality", ["n_chars", "lang", "source", "quality"], ["n_chars"],
@@ -525,8 +541,8 @@ def evaluation_ctes(workload: str) -> str:
     if mt == "classification":
         parts = (class_metrics_sql("preds", "met") + ","
                  + class_metrics_sql("preds", "trn", "split = 'train'", "train_") + ","
-                 + class_fairness_sql("preds", attrs, "split = 'test'") + ","
-                 + fairness_summary_sql("gaps2"))
+                 + (class_fairness_sql("preds", attrs, "split = 'test'") + ","
+                    + fairness_summary_sql("gaps2") if attrs else NO_FAIRNESS))
         train_cols = "trn.train_accuracy, trn.train_f1_score, NULL::DOUBLE AS train_r2_score"
         extra = ("NULL::DOUBLE AS mae, NULL::DOUBLE AS mse, NULL::DOUBLE AS rmse, NULL::DOUBLE AS r2_score, "
                  "NULL::DOUBLE AS std_y, NULL::DOUBLE AS range_y")

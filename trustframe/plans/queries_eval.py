@@ -9,7 +9,8 @@ from trustframe.plans import oracle as O
 from trustframe.plans.catalog import register
 from trustframe.plans.evaluation import evaluate_workload, flat_record
 
-for _wl in ("orders_status", "lineitem_price", "docs_quality"):
+for _wl in ("orders_status", "lineitem_price", "docs_quality", "orders_no_attributes", "orders_auto_attributes",
+            "orders_multiclass"):
     def _make(wl):
         def q(spark, sf_dir):
             return flat_record(evaluate_workload(spark, sf_dir, wl))

@@ -84,23 +84,72 @@ def q_fold_summary(spark, sf):
     return X.fold_summary(X.fold_results(spark, sf)).select("model_id", "n_folds", *[r6(c) for c in _FS])
 
 
-@register("experiment_ttest_modes", None)
+def _p_sql(t: str, df: int) -> str:
+    """Two-sided p of Student's t in closed form (Abramowitz and Stegun 26.7.3, 26.7.4)."""
+    th = f"atan(abs({t}) / sqrt({df}.0::DOUBLE))"
+    term, terms = 1.0, []
+    for k in range(df // 2 if df % 2 == 0 else (df - 1) // 2):
+        power = 2 * k if df % 2 == 0 else 2 * k + 1
+        terms.append(f"{term!r}::DOUBLE * pow(cos({th}), {power})")
+        term *= (2 * k + 1) / (2 * k + 2) if df % 2 == 0 else (2 * k + 2) / (2 * k + 3)
+    total = f"sin({th}) * ({' + '.join(terms)})"
+    return f"(1.0::DOUBLE - {total})" if df % 2 == 0 else f"(1.0::DOUBLE - 2.0::DOUBLE / pi() * ({th} + {total}))"
+
+
+_STARS = ("CASE WHEN p < 0.001::DOUBLE THEN '***' WHEN p < 0.01::DOUBLE THEN '**' WHEN p < 0.05::DOUBLE THEN '*' ELSE 'ns' END")
+
+
+def _ttest_sql(keys: str, diffs: str) -> str:
+    return f""",
+pd0 AS ({diffs}),
+pd1 AS (SELECT {keys}, count(*) AS n, avg(x) AS mean_diff, stddev_samp(x) AS sd_diff FROM pd0 GROUP BY {keys}),
+pd2 AS (SELECT *, mean_diff / (sd_diff / sqrt(n)) AS t_stat FROM pd1),
+pd3 AS (SELECT *, {_p_sql("t_stat", 4)} AS p FROM pd2)
+SELECT {keys}, n, {O.rh("mean_diff")} AS mean_diff, {O.rh("sd_diff")} AS sd_diff, {O.rh("t_stat")} AS t_stat,
+       {O.rh("p")} AS p_value, {_STARS} AS significance FROM pd3"""
+
+
+_T_COLS = ("mean_diff", "sd_diff", "t_stat", "p_value")
+
+
+@register("experiment_ttest_modes", O.fold_results_sql() + _ttest_sql(
+    "model_id", "SELECT model_id, trust_balanced - trust_strict AS x FROM fr"))
 def q_ttest(spark, sf):
-    return X.balanced_vs_strict(X.fold_results(spark, sf))
+    t = X.balanced_vs_strict(X.fold_results(spark, sf))
+    return t.select("model_id", "n", *[r6(c) for c in _T_COLS], "significance")
 
 
-@register("experiment_ttest_models", None)
+@register("experiment_ttest_models", O.fold_results_sql() + _ttest_sql(
+    "model_a, model_b", "SELECT a.model_id AS model_a, b.model_id AS model_b, a.trust_balanced - b.trust_balanced AS x "
+                        "FROM fr a JOIN fr b ON a.fold = b.fold AND a.model_id < b.model_id"))
 def q_ttest_models(spark, sf):
-    return X.model_vs_model(X.fold_results(spark, sf))
+    t = X.model_vs_model(X.fold_results(spark, sf))
+    return t.select("model_a", "model_b", "n", *[r6(c) for c in _T_COLS], "significance")
 
 
-@register("experiment_correlation", None)
+_CORR_PAIRS = [("accuracy", "trust_balanced"), ("accuracy", "trust_strict"), ("f1_score", "trust_balanced"),
+               ("dp", "trust_balanced")]
+
+
+@register("experiment_correlation", O.fold_results_sql() + ",\nrr AS (" + "\nUNION ALL\n".join(
+    f"SELECT '{x}' AS x, '{y}' AS y, count(*) AS n, corr({x}, {y}) AS r FROM fr" for x, y in _CORR_PAIRS) + """),
+r2 AS (SELECT *, r * sqrt((n - 2)::DOUBLE / (1.0::DOUBLE - r * r)) AS t FROM rr)
+SELECT x, y, n, """ + O.rh("r") + " AS r, " + O.rh(_p_sql("t", 13)) + " AS p_value FROM r2")
 def q_corr(spark, sf):
     f = X.fold_results(spark, sf)
-    return (X.correlation_p(f, "accuracy", "trust_balanced")
-            .unionByName(X.correlation_p(f, "accuracy", "trust_strict"))
-            .unionByName(X.correlation_p(f, "f1_score", "trust_balanced"))
-            .unionByName(X.correlation_p(f, "dp", "trust_balanced")))
+    out = None
+    for x, y in _CORR_PAIRS:
+        c = X.correlation_p(f, x, y).select("x", "y", "n", r6("r"), r6("p_value"))
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+@register("experiment_correlation_models", O.fold_results_sql() + """,
+rr AS (SELECT model_id, count(*) AS n, corr(accuracy, trust_balanced) AS r FROM fr GROUP BY model_id)
+SELECT model_id, n, """ + O.rh("r") + " AS r FROM rr")
+def q_corr_models(spark, sf):
+    """A27 within each model: accuracy against balanced trust over its folds."""
+    return X.correlation_p(X.fold_results(spark, sf), "accuracy", "trust_balanced", ["model_id"]).select("model_id", "n", r6("r"))
 
 
 @register("experiment_fairness_weight_sweep", O.fairness_weight_sweep_sql(X.FAIRNESS_WEIGHTS) + """
@@ -399,12 +448,37 @@ def q_cohort(spark, sf):
                                  ["o_orderkey", "o_totalprice"])
 
 
-@register("prep_impute", None)
+def _impute_sql(c: str, numeric: bool) -> str:
+    fill = (f"(SELECT quantile_cont({c}, 0.5) FROM inj)" if numeric else
+            f"(SELECT {c} FROM inj WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)")
+    shown = f"({O.rh(fill, 2)})::VARCHAR" if numeric else fill
+    return (f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS filled, {shown} AS fill, "
+            f"count(*) FILTER (WHERE coalesce({c}, {fill}) = {fill}) AS rows_with_fill, 0::BIGINT AS nulls_left FROM inj")
+
+
+_IMPUTE = [("o_totalprice", True), ("c_acctbal", True), ("o_orderpriority", False), ("c_mktsegment", False),
+           ("n_regionkey", False)]
+
+
+@register("prep_impute", "WITH " + O.ORDERS_DS + """,
+inj AS (SELECT row_id, target, """ + ", ".join(f"CASE WHEN {_U.format(c=c)} < 0.1::DOUBLE THEN NULL ELSE {c} END AS {c}" for c, _ in _IMPUTE) + """ FROM ds)
+""" + "\nUNION ALL\n".join(_impute_sql(c, n) for c, n in _IMPUTE))
 def q_impute(spark, sf):
+    """M2: what was filled, with what, and how many rows hold the fill afterwards."""
     ds = W.orders_dataset(spark, sf).select("row_id", *X.FEATURES, "target")
     d = X.inject_nulls(ds, "row_id", ["target"], 0.1)
-    f = PR.impute(d, ["o_totalprice", "c_acctbal"], ["o_orderpriority", "c_mktsegment", "n_regionkey"], [])
-    return f.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(f"nulls_{c}") for c in X.FEATURES])
+    d = d.select("*", *[F.col(c).isNull().alias(f"was_{c}") for c, _ in _IMPUTE])
+    f = PR.impute(d, [c for c, n in _IMPUTE if n], [c for c, n in _IMPUTE if not n], [])
+    one = f.agg(*[x for c, n in _IMPUTE for x in (
+        F.sum(F.col(f"was_{c}").cast("long")).alias(f"filled_{c}"), F.max(F.when(F.col(f"was_{c}"), F.col(c))).alias(f"fill_{c}"),
+        F.count(F.when(F.col(c).isNull(), 1)).alias(f"left_{c}"))])
+    j = f.withColumn("_j", F.lit(1)).join(F.broadcast(one.withColumn("_j", F.lit(1))), "_j")  # one row
+    same = j.agg(*[F.count(F.when(F.col(c) == F.col(f"fill_{c}"), 1)).alias(f"same_{c}") for c, _ in _IMPUTE],
+                 *[F.first(f"{k}_{c}").alias(f"{k}_{c}") for c, _ in _IMPUTE for k in ("filled", "fill", "left")])
+    return same.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"filled_{c}").alias("filled"),
+                 (r6(f"fill_{c}", 2).cast("string") if n else F.col(f"fill_{c}")).alias("fill"),
+                 F.col(f"same_{c}").alias("rows_with_fill"), F.col(f"left_{c}").alias("nulls_left")) for c, n in _IMPUTE])).alias("x")).select("x.*")
 
 
 @register("model_train_logistic", None)
@@ -517,10 +591,6 @@ def q_ttest_stat(spark, sf):
     return t.select("model_id", "n", r6("mean_diff"), r6("sd_diff"), r6("t_stat"))
 
 
-_CORR_PAIRS = [("accuracy", "trust_balanced"), ("accuracy", "trust_strict"), ("f1_score", "trust_balanced"),
-               ("dp", "trust_balanced")]
-
-
 @register("experiment_correlation_r", O.fold_results_sql() + "\n" + "\nUNION ALL\n".join(
     f"SELECT '{x}' AS x, '{y}' AS y, count(*) AS n, " + O.rh(f"corr({x}, {y})") + " AS r FROM fr"
     for x, y in _CORR_PAIRS))

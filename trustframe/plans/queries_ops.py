@@ -256,6 +256,7 @@ INSIGHT_TABLES = {
     "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                  "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
     "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
 }
 INSIGHT_NUMERIC = {
     "customer": ["c_custkey", "c_nationkey", "c_acctbal"],
@@ -263,6 +264,7 @@ INSIGHT_NUMERIC = {
     "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                  "l_extendedprice", "l_discount", "l_tax"],
     "events": ["event_id", "user_id", "value"],
+    "documents": ["doc_id", "n_chars"],
 }
 
 
@@ -367,6 +369,26 @@ for _t in INSIGHT_TABLES:
     register(f"insights_spearman_matrix_{_t}", spearman_sql(_t, 0.0))(_qs)
 
 
+_PRICED = ["l_quantity", "p_retailprice", "l_extendedprice", "l_discount", "list_price", "rebate"]
+
+
+@register("insights_pearson_pairs_priced", """
+WITH priced AS (SELECT l_quantity, p_retailprice, l_extendedprice, l_discount, l_quantity * p_retailprice AS list_price,
+                       -l_extendedprice * l_discount AS rebate FROM lineitem JOIN part ON l_partkey = p_partkey),
+""" + _pairs_sql("\nUNION ALL\n".join(
+    f"SELECT '{a}' AS feature1, '{b}' AS feature2, {i} AS i, {j} AS j, corr({a}, {b}) AS r FROM priced"
+    for i, a in enumerate(_PRICED) for j, b in enumerate(_PRICED) if i < j), 0.5)[len("WITH "):] + """
+ORDER BY abs_correlation DESC, i, j LIMIT 20""")
+def q_pairs_priced(spark, sf):
+    """A16 with pairs that do correlate: the 20 strongest at |r| of 0.5 or more."""
+    li, pa = table(spark, sf, "lineitem"), table(spark, sf, "part")
+    df = li.join(pa, li.l_partkey == pa.p_partkey).select(
+        "l_quantity", "p_retailprice", "l_extendedprice", "l_discount",
+        (F.col("l_quantity") * F.col("p_retailprice")).alias("list_price"),
+        (-F.col("l_extendedprice") * F.col("l_discount")).alias("rebate"))
+    return IN.pearson_pairs(df, 0.5).orderBy(F.col("abs_correlation").desc(), "i", "j").limit(20)
+
+
 @register("insights_outliers_zscore_events", """
 WITH u AS (""" + "\nUNION ALL\n".join(
     f"""SELECT '{c}' AS feature, {i} AS col_ord, count({c}) AS n, count(*) AS n_all, avg({c}) AS mean,

@@ -131,6 +131,61 @@ def q_versions(spark, sf):
     return RG.promote_latest(RG.versions_from(v)).select("model_id", "version", "file_path", "is_production")
 
 
+_VERSIONS_SQL = """v AS (SELECT l_suppkey AS model_id, date_trunc('month', l_shipdate) AS created_at,
+             'models/v/' || CAST(l_suppkey AS VARCHAR) || '/' || strftime(date_trunc('month', l_shipdate), '%Y%m') || '.onnx' AS file_path
+      FROM lineitem GROUP BY ALL),
+vv AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY created_at, file_path) AS version FROM v)"""
+
+
+def _versions(spark, sf):
+    v = (table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("model_id"), F.date_trunc("month", "l_shipdate").alias("created_at"))
+        .distinct()
+        .withColumn("file_path", F.concat(F.lit("models/v/"), F.col("model_id").cast("string"), F.lit("/"),
+                                          F.date_format("created_at", "yyyyMM"), F.lit(".onnx"))))
+    return RG.versions_from(v)
+
+
+@register("registry_promote_requested", W("models") + ",\n" + _VERSIONS_SQL + """
+SELECT m.model_id, m.name, CASE WHEN m.model_id % 2 = 0 THEN coalesce(p.version, 0) ELSE 0 END AS production_version,
+       CASE WHEN m.model_id % 2 = 0 AND p.version IS NOT NULL THEN p.file_path ELSE m.file_path END AS file_path,
+       count(*) FILTER (WHERE w.version = CASE WHEN m.model_id % 2 = 0 AND p.version IS NOT NULL THEN p.version ELSE w.latest END) AS in_production
+FROM models m LEFT JOIN vv p ON p.model_id = m.model_id AND p.version = 2
+LEFT JOIN (SELECT *, max(version) OVER (PARTITION BY model_id) AS latest FROM vv) w ON w.model_id = m.model_id GROUP BY ALL""")
+def q_promote(spark, sf):
+    """Version 2 is asked for of every second model; the model row follows."""
+    m = SR.models(spark, sf)
+    ask = m.filter("model_id % 2 = 0").select("model_id", F.lit(2).alias("version"))
+    v, models = RG.promote(RG.promote_latest(_versions(spark, sf)), ask, m)
+    n = v.groupBy("model_id").agg(F.count(F.when(F.col("is_production"), 1)).alias("in_production"))
+    return (models.join(n, "model_id", "left").select("model_id", "name", F.coalesce("production_version", F.lit(0)).alias("production_version"), "file_path",
+                                                      F.coalesce("in_production", F.lit(0)).alias("in_production")))
+
+
+@register("registry_versions_page", W("models") + ",\n" + _VERSIONS_SQL + """
+SELECT model_id, version, file_path, (SELECT count(*) FROM vv WHERE model_id = 3) AS total
+FROM vv WHERE model_id = 3 ORDER BY version DESC LIMIT 10 OFFSET 5""")
+def q_versions_page(spark, sf):
+    """C4: a page of a model's versions, newest first, with their number."""
+    v = _versions(spark, sf).filter("model_id = 3")
+    total = v.agg(F.count(F.lit(1)).alias("total"))
+    page = RG.paged(v, [F.col("version").desc()], 5, 10).withColumn("_k", F.lit(1))
+    return page.join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k").select("model_id", "version", "file_path", "total")
+
+
+@register("registry_create_models", W("models") + """,
+new AS (SELECT CAST(c_nationkey AS BIGINT) AS user_id, CASE WHEN c_custkey % 3 = 0 THEN 'Supplier#' || c_custkey ELSE c_name END AS name FROM customer GROUP BY ALL),
+fresh AS (SELECT n.*, row_number() OVER (ORDER BY user_id, name) AS k FROM new n
+          WHERE NOT EXISTS (SELECT 1 FROM models m WHERE m.user_id = n.user_id AND m.name = n.name))
+SELECT model_id, user_id, name FROM models UNION ALL SELECT (SELECT max(model_id) FROM models) + k, user_id, name FROM fresh""")
+def q_create_models(spark, sf):
+    """Models registered in bulk; names that their user has are left out."""
+    new = table(spark, sf, "customer").select(
+        F.col("c_nationkey").cast("long").alias("user_id"),
+        F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("Supplier#"), F.col("c_custkey"))).otherwise(F.col("c_name")).alias("name")).distinct()
+    return RG.create_models(SR.models(spark, sf), new).select("model_id", "user_id", "name")
+
+
 @register("registry_summary", W("models") + """,
 v AS (SELECT l_suppkey AS model_id, count(DISTINCT date_trunc('month', l_shipdate)) AS n_versions FROM lineitem GROUP BY ALL)
 SELECT m.user_id, CAST(sum(coalesce(v.n_versions, 0)) AS BIGINT) AS versions_total,

@@ -57,8 +57,7 @@ def orders_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature table: orders joined to customer and nation; target last."""
     o = table(spark, sf_dir, "orders")
     c = table(spark, sf_dir, "customer")
-    # nation has 25 rows in any scale factor: bounded, safe to broadcast
-    n = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"))
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     return (o.join(c, o.o_custkey == c.c_custkey)
              .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
              .select(F.col("o_orderkey").alias("row_id"), "o_totalprice", "o_orderpriority",
@@ -97,6 +96,14 @@ def multiclass_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("o_orderstatus").alias("y_true"), "y_pred", *ORDER_ATTRS)
 
 
+def multiclass_split_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text labels, with the positional 80/20 split by ``row_id``."""
+    ds = positional_split(orders_dataset(spark, sf_dir), [], ["row_id"], unique_numeric_key=True)
+    p = _explode_models(ds, MULTICLASS_RULES, "string")
+    return p.select("model_id", F.lit("orders_status_mc").alias("dataset_id"), "row_id", "split",
+                    F.col("o_orderstatus").alias("y_true"), "y_pred", *ORDER_ATTRS)
+
+
 def regression_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ds = positional_split(lineitem_dataset(spark, sf_dir), [], LINE_ORDER)
     p = _explode_models(ds, REGRESSION_RULES, "double")
