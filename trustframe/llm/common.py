@@ -55,10 +55,10 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 8 MB where the session has the default of 64: a worker holds one at a time."""
+    """Arrow batches of 4 MB where the session has the default of 64: a worker holds one at a time."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key) in ("64m", "67108864b", "67108864"):
-        spark.conf.set(key, "8m")
+        spark.conf.set(key, "4m")
 
 
 def map_arrow(df: DataFrame, columns: list, fn: Callable[[pa.RecordBatch], Iterator[list[pa.Array]]], schema: str) -> DataFrame:
