@@ -34,7 +34,8 @@ HEADLINE = [
     "insights_pearson_matrix_lineitem",
     "insights_spearman_matrix_lineitem",
 ]
-OPTIONAL = ["leaderboard", "registry_history", "rate_limit_window", "text_bleu_corpus",
+OPTIONAL = ["evaluation_orders_multiclass", "insights_quality_documents", "insights_outliers_iqr_documents",
+            "leaderboard", "registry_history", "rate_limit_window", "text_bleu_corpus",
             "text_rouge_12", "sweep_lambda_sensitivity", "attribution_linear_global",
             "experiment_fold_summary", "cache_pair_id"]
 
