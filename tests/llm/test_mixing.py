@@ -49,7 +49,7 @@ def test_large_rate_is_one_poisson(spark, docs_of):
 
 def test_nulls_clashes_and_empty(spark, docs_of):
     rows = [(1, None, None, None), (1, None, None, None), (None, "", "en", None), (2, "text", "en", "s"), (3, "t" * 50000, "en", "s"), (4, "no weight", "en", "z")]
-    df = docs_of(rows).selectExpr("*", "5 AS rate", "6 AS copy", "7 AS N_COPIES", "8 AS cdf", "9 AS parts", "1 AS source_key", "2 AS shuffle_key")
+    df = docs_of(rows).selectExpr("*", "5 AS rate", "6 AS copy", "7 AS N_COPIES", "8 AS cdf", "9 AS parts", "1 AS source_key", "2 AS shuffle_key", "3 AS u")
     out = PoissonMix(weights={None: 1.0, "s": 1.0}, budget=200000).mix(df)
     assert out.columns == df.columns
     got = out.toPandas()

@@ -59,7 +59,7 @@ def test_group_of_near_misses_is_exact(spark, docs_of):
 
 def test_dedup_keeps_columns_and_one_of_each_group(spark, docs_of):
     text = " ".join(f"w{i}" for i in range(50))
-    df = docs_of([(3, text), (1, text), (2, text + " more"), (4, "other words here"), (None, text), (9, None)]).selectExpr("*", "0 AS kept", "1 AS _gone2")
+    df = docs_of([(3, text), (1, text), (2, text + " more"), (4, "other words here"), (None, text), (9, None)]).selectExpr("*", "0 AS kept", "1 AS _gone")
     out = MinHashDedup().dedup(df)
     assert out.columns == df.columns and sorted((r["doc_id"] is None, r["doc_id"]) for r in out.collect()) == [(False, 1), (False, 4), (False, 9), (True, None)]
     assert MinHashDedup().dedup(df.limit(0)).count() == 0

@@ -70,19 +70,19 @@ class PoissonMix:
 
     def counts(self, docs: DataFrame) -> tuple[DataFrame, str, str]:
         """The documents with their source's rate and their number of copies, and these columns' names."""
-        src, rate, n, cdf, parts = fresh(docs, "source_key", "rate", "n_copies", "cdf", "parts")
+        src, rate, n, cdf, parts, u = fresh(docs, "source_key", "rate", "n_copies", "cdf", "parts", "u")
         # a written table, so that the planner knows its size and sends it to the documents if small
         rates = cut(self.rates(docs)).select(
             F.col("source").alias(src), F.col("rate").alias(rate), F.ceil(F.col("rate") / self.part).cast("int").alias(parts))
         rates = rates.withColumn(cdf, self._steps(F.col(rate) / F.col(parts)))
         one = lambda i: F.size(F.filter(F.col(cdf), lambda c: c <= uniform(F.lit(self.seed), docs["doc_id"], i)))
         # the usual source draws once; the further parts of a large rate add to it
-        first = F.size(F.filter(F.col(cdf), lambda c: c <= F.col("_u")))
+        first = F.size(F.filter(F.col(cdf), lambda c: c <= F.col(u)))
         more = F.aggregate(F.sequence(F.lit(2), F.col(parts)), F.lit(0), lambda s, i: s + one(i))
         both = (docs.join(rates, docs["source"].eqNullSafe(F.col(src)))
-                .withColumn("_u", uniform(F.lit(self.seed), docs["doc_id"], F.lit(1)))
+                .withColumn(u, uniform(F.lit(self.seed), docs["doc_id"], F.lit(1)))
                 .withColumn(n, first + F.when(F.col(parts) > 1, more).otherwise(0)))
-        return both.drop(src, cdf, parts, "_u"), rate, n
+        return both.drop(src, cdf, parts, u), rate, n
 
     def mix(self, docs: DataFrame, report: bool = False) -> DataFrame:
         """The mixture in its shuffled order, with the columns of documents; with ``report`` also

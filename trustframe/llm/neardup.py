@@ -249,7 +249,7 @@ class MinHashDedup:
     def dedup(self, docs: DataFrame) -> DataFrame:
         """The documents without those that a smaller doc_id stands for."""
         gone = self.classes(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-        return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+        return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 @register("op3_minhash_bayes")
