@@ -406,7 +406,34 @@ def q_outliers_z(spark, sf):
     return o.select("feature", "col_ord", "count", "percentage", "impact", *[r6(c) for c in _OUT_COLS])
 
 
-@register("insights_summary", None)
+def summary_sql(t: str) -> str:
+    """T21 and T24 from the quality, outlier and pair relations of a table."""
+    return f"""SELECT q.dataset_id, concat_ws(' ',
+  CASE WHEN overall_score >= 90 THEN printf('Your dataset shows excellent quality with a %.1f%% overall score.', overall_score)
+       WHEN overall_score >= 75 THEN printf('Your dataset shows good quality with a %.1f%% overall score.', overall_score)
+       WHEN overall_score >= 60 THEN printf('Your dataset has moderate quality (%.1f%% score) and could benefit from improvements.', overall_score)
+       ELSE printf('Your dataset needs attention with a %.1f%% quality score.', overall_score) END,
+  CASE WHEN tot > 0 THEN printf('Found %d outliers across %d features.', tot, affected) END,
+  CASE WHEN tot > 0 AND len(high) > 0 THEN 'High-impact outliers detected in: ' || array_to_string(high[1:3], ', ') || '.' END,
+  CASE WHEN top.feature1 IS NOT NULL THEN printf('Strong %s correlation (%.2f) found between %s and %s.', top.direction, top.correlation, top.feature1, top.feature2) END,
+  CASE WHEN completeness < 95 THEN 'Consider handling missing values to improve data completeness.' END,
+  CASE WHEN tot > total_rows * 0.05 THEN 'Review and potentially remove or transform outliers before model training.' END) AS summary,
+  CASE WHEN completeness >= 95 THEN 'good' WHEN completeness >= 80 THEN 'warning' ELSE 'poor' END AS completeness_status,
+  CASE WHEN validity >= 95 THEN 'good' WHEN validity >= 80 THEN 'warning' ELSE 'poor' END AS validity_status,
+  CASE WHEN uniqueness >= 70 THEN 'good' WHEN uniqueness >= 50 THEN 'warning' ELSE 'poor' END AS uniqueness_status,
+  CASE WHEN consistency >= 95 THEN 'good' WHEN consistency >= 80 THEN 'warning' ELSE 'poor' END AS consistency_status,
+  concat_ws('; ', CASE WHEN missing_values > 0 THEN printf('%d missing values detected', missing_values) END,
+    CASE WHEN completeness < 95 THEN printf('Completeness is %.1f%% (below 95%%)', completeness) END,
+    CASE WHEN validity < 95 THEN printf('Data validity is %.1f%% (below 95%%)', validity) END,
+    CASE WHEN uniqueness < 70 THEN printf('Uniqueness is %.1f%% (below 70%%)', uniqueness) END) AS issues
+FROM ({quality_sql(t)}) q,
+(SELECT coalesce(sum("count"), 0)::BIGINT AS tot, count(*) AS affected,
+        coalesce(list(feature ORDER BY "count" DESC, col_ord) FILTER (impact = 'high'), []) AS high FROM ({outliers_sql(t)})),
+(SELECT first(x) AS top FROM (SELECT struct_pack(direction, correlation, feature1, feature2) AS x FROM ({pearson_sql(t, 0.5)}) WHERE is_strong
+                              ORDER BY abs_correlation DESC, i, j LIMIT 1))"""
+
+
+@register("insights_summary", "\nUNION ALL\n".join(summary_sql(t) for t in INSIGHT_TABLES))
 def q_insights_summary(spark, sf):
     outs = []
     for t in INSIGHT_TABLES:
