@@ -172,7 +172,7 @@ class ToxicPassages:
         often = seen >= self.least_seen
         model.lam = self._lambda(odds(word[often]), c[0][1][often])
         check = self.passages(rows.filter("fold = 4"), model, ["toxic"]).select("toxic", "best", "n_tokens", "evidence")
-        gap = (check.filter("toxic = 0 AND n_tokens > 0").agg(F.percentile_approx(F.lit(model.lam) * F.col("best") - F.log("n_tokens"), 0.5, 1000)).first()[0])
+        gap = (check.filter("toxic = 0 AND n_tokens > 0").agg(F.percentile_approx(F.lit(model.lam) * F.col("best") - F.log("n_tokens"), 0.5, 1_000_000)).first()[0])
         if gap is not None:
             model.log_k = gap + math.log(math.log(2))
         check = self.passages(rows.filter("fold = 4"), model, ["toxic"])
