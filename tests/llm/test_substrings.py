@@ -69,3 +69,14 @@ def test_repeated_rows_are_one_document_and_empty(spark, docs_of):
     got = SubstringDedup().dedup(docs_of([(1, text), (1, text), (2, text)])).collect()
     assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, 0), (1, 0), (2, 30)]
     assert SubstringDedup().dedup(docs_of([(1, "x")]).limit(0)).count() == 0
+
+
+def test_windows_with_equal_short_hashes_are_not_copies(spark, docs_of):
+    # real collisions of the low 40 bits of the window hash, with one anchor at one place
+    head = " ".join(f"w{i}" for i in range(19))
+    ends = [(2755762, 1179167), (1498108, 865109), (2509040, 3256293)]
+    rows = [(2 * i + j, f"{head} v{v}") for i, pair in enumerate(ends) for j, v in enumerate(pair)]
+    for held in (1 << 20, 1):
+        # each document in a slice of its own, so that the blocks compare them
+        got = SubstringDedup(held=held).dedup(docs_of(rows).repartition(6, "doc_id")).collect()
+        assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(i, 0) for i in range(6)]

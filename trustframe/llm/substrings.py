@@ -8,7 +8,7 @@ The reference index holds every document and is cut into blocks by the hash of a
 6-word grams of a window the one with the smallest hash.  Equal windows have equal anchors at
 equal places, so all the references that a window can have are in the one block that its anchor
 leads to, and asking that block is asking every block.  A document sends each of its anchors,
-with short hashes of the windows around it, to the anchor's block; there the rows come sorted by
+with the 64-bit hashes of the windows around it, to the anchor's block; there the rows come sorted by
 anchor, document and place, so the first that holds a window is its reference and each later one
 gets a run of windows copied from it.  Runs of one reference that follow one another are joined
 to greedy factors; windows that cross the boundary of two factors have been asked for themselves,
@@ -38,7 +38,6 @@ from trustframe.llm.common import cut, map_arrow, register, table
 
 GRAM = 6
 _LEAST = -(1 << 63)
-_MASK = np.uint64((1 << 40) - 1)
 _RUN = np.dtype([("n", "<i4"), ("ref", "<i8"), ("at", "<i4")])
 _ROWS = "h long, kind byte, d long, th long, pos int, body binary"
 
@@ -69,12 +68,14 @@ def runs_of(row: np.ndarray, start: np.ndarray, ref: np.ndarray, at: np.ndarray)
     return np.flatnonzero(new)
 
 
-def _bytes6(offset: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """One byte of offset and five of hash, for each window."""
-    out = np.empty((len(low), 6), np.uint8)
-    out[:, 0] = offset
-    out[:, 1:] = low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    return out
+def firsts(group: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the first of each (group, key), and for each place that of its first."""
+    order = np.lexsort((key, group))
+    new = np.ones(len(order), bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (group[order][1:] != group[order][:-1])
+    one, src = order[new], np.empty(len(order), np.int64)
+    src[order] = one[np.cumsum(new) - 1]
+    return one, src
 
 
 @dataclass
@@ -83,7 +84,8 @@ class SubstringDedup:
     held: int = 1 << 20
 
     def _sent(self, docs: DataFrame) -> DataFrame:
-        """Rows for the blocks: anchors with their windows (kind 0) and runs found in a slice (1)."""
+        """Rows for the blocks: anchors with windows that follow one another from ``pos`` on, as their
+        hashes (kind 0), and runs found in a slice (1)."""
         width = self.window
 
         def run(batch):
@@ -119,11 +121,10 @@ class SubstringDedup:
                 grams, _ = K.windows(words, first, GRAM)
                 anchor = least_at(grams, width - GRAM + 1)[at[one_sorted := np.sort(one)]]
                 own = at[one_sorted]
-                cuts = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
-                body = _bytes6(anchor - own, g[one_sorted] & _MASK)
-                a = anchor[cuts]
-                yield [K.i64(grams[a]), pa.array(np.zeros(len(cuts), np.int8)), pa.array(d[doc[a]]), pa.array(th[doc[a]]),
-                       pa.array((a - first[doc[a]]).astype(np.int32)), packed(body, cuts)]
+                cuts = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1] + 1)))
+                who = doc[own[cuts]]
+                yield [K.i64(grams[anchor[cuts]]), pa.array(np.zeros(len(cuts), np.int8)), pa.array(d[who]), pa.array(th[who]),
+                       pa.array((own[cuts] - first[who]).astype(np.int32)), packed(g[one_sorted].astype("<u8"), cuts)]
 
         return map_arrow(docs, ["d", "th", "text"], run, _ROWS)
 
@@ -153,12 +154,9 @@ class SubstringDedup:
                 rows = batch.filter(pa.array(keep))
                 h, d, th, pos = (rows.column(i).to_numpy() for i in (0, 2, 3, 4))
                 raw, off = K.flat(rows.column(5))
-                w = raw.reshape(-1, 6)
-                row = np.repeat(np.arange(len(h)), np.diff(off) // 6)
-                key = np.zeros((len(w), 8), np.uint8)
-                key[:, :5] = w[:, 1:]
-                key = key.view("<u8").ravel()
-                start = pos[row].astype(np.int64) - w[:, 0]
+                key = raw.view("<u8")
+                row = np.repeat(np.arange(len(h)), np.diff(off) // 8)
+                start = pos[row].astype(np.int64) + np.arange(len(key)) - off[row] // 8
                 group = np.append(0, np.cumsum(h[1:] != h[:-1]))[row]
                 who, text = d[row], th[row]
                 base = 0
@@ -166,9 +164,7 @@ class SubstringDedup:
                     base = len(seen[0])
                     key, who, text, start = (np.concatenate(x) for x in zip(seen, (key, who, text, start)))
                     group, row = np.concatenate([np.zeros(base, np.int64), group]), np.concatenate([np.full(base, -1), row])
-                full = key | (group.astype(np.uint64) << np.uint64(40))
-                _, one, inv = np.unique(full, return_index=True, return_inverse=True)
-                src = one[inv]
+                one, src = firsts(group, key)
                 other = (who[src] != who) | (text[src] != text) | (start[src] != start)  # not the same row once more
                 old = np.flatnonzero(other & (np.arange(len(src)) >= base))
                 if len(old):
