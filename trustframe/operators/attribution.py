@@ -18,6 +18,7 @@ linear model given by weights.
 
 from __future__ import annotations
 
+import math
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -129,6 +130,12 @@ def explain_one(contrib: DataFrame, row_id: str, rid) -> DataFrame:
         Window.orderBy(F.abs("contribution").desc(), "feature_ord")))
 
 
+def _normal(*key: Column) -> Column:
+    """Standard normal draw from 53 bits each of two xxhash64 values of the key: many draws a row."""
+    u1, u2 = (F.shiftrightunsigned(F.xxhash64(*key, F.lit(k)), 11).cast("double") for k in ("a", "b"))
+    return F.sqrt(-2.0 * F.log((u1 + 1.0) / 2.0 ** 53)) * F.cos(u2 * (2 * math.pi / 2.0 ** 53))
+
+
 def local_surrogate(df: DataFrame, row_id: str, features: list[str], model: Model,
                     n_perturb: int = 1000, alpha: float = 1.0, seed: str = "42") -> DataFrame:
     """X4 (re-aimed local surrogate): around each explained row, Gaussian
@@ -145,9 +152,7 @@ def local_surrogate(df: DataFrame, row_id: str, features: list[str], model: Mode
     # one row of per-feature stds: bounded, broadcast
     rows = rows.join(F.broadcast(stds.withColumn("_k", F.lit(1))), "_k").drop("_k")
     p = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n_perturb - 1))))
-    key = [F.col(row_id).cast("string"), F.col("_j").cast("string")]
-    from trustframe.plans.experiment import _gauss
-    zs = [F.when(F.col("_j") == 0, lit_d(0.0)).otherwise(_gauss(F.lit(seed), *key, F.lit(c))) for c in features]
+    zs = [F.when(F.col("_j") == 0, lit_d(0.0)).otherwise(_normal(F.lit(seed), F.col(row_id), F.col("_j"), F.lit(c))) for c in features]
     p = p.select(row_id, *[z.alias(f"_z{i}") for i, z in enumerate(zs)],
                  *[F.col(c) for c in features], *[F.col(f"_s{i}") for i in range(m)])
     pert = {c: F.col(c) + F.col(f"_z{i}") * F.coalesce(F.col(f"_s{i}"), lit_d(0.0)) for i, c in enumerate(features)}
