@@ -47,3 +47,13 @@ def test_ownership_separates_examples_from_live(spark, docs_of):
 def test_tokens_never_touch_base_spans():
     found = candidates(f"password={LIVE} and {LIVE}")
     assert [k for _, k, _, _ in found] == [0, 3] and looks_random(LIVE) and not looks_random("a" * 30)
+
+
+def test_copies_and_repositories_of_one_owner_make_an_example(spark, docs_of):
+    often, spread, once = LIVE + "a1", LIVE + "b2", LIVE + "c3"
+    rows = [(i, f"see {often} here password={often}", "en", "hot") for i in range(60)]  # 120 copies
+    rows += [(100 + i, f"password={spread}", lang, "hot") for i, lang in enumerate(("en", "de", "fr"))]
+    rows += [(200, f"see {once} here", "en", "hot")] + [(300 + i, f"password={once}x", "en", "hot") for i in range(99)]
+    got = {r["doc_id"]: [(s["kind"], s["verdict"]) for s in r["spans"]] for r in SecretScan().scan(docs_of(rows)).collect()}
+    assert got[0] == [("assign", "example")] and got[100] == [("assign", "example")]
+    assert got[200] == [("token", "live")] and got[300] == [("assign", "live")]

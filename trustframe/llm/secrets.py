@@ -4,8 +4,9 @@ One pass finds the candidates of each document: the base kinds (assignments, acc
 strings) and tokens that look random (``token``: 24 characters or more of three character classes
 and high entropy).  Only their hashes leave the pass.  Each value's hash is summed over the
 corpus by distinct owners and repositories, in two steps, so that a value which a third of all
-documents hold is reduced inside each task.  A value that many owners hold is an example
-(``widely copied``); one that only one owner holds, and looks random, is live.  Base candidates
+documents hold is reduced inside each task.  A value that many owners or repositories hold, or
+that is copied very often, is an example (``widely copied``); another that only one owner holds,
+and looks random, is live.  Base candidates
 all stay; a token is added as a span if it is live and overlaps no base span.
 
 Here the owner is ``source`` and the repository (source, lang), both parameters.  Defined
@@ -75,7 +76,10 @@ def _scan(batch):
 class SecretScan:
     owner: str = "source"
     repository: tuple = ("source", "lang")
-    copied_owners: int = 3  # owners from which on a value counts as an example
+    # owners, repositories or copies from which on a value counts as an example
+    copied_owners: int = 3
+    copied_repositories: int = 3
+    copied_copies: int = 100
 
     def found(self, docs: DataFrame) -> DataFrame:
         """row, doc_id, owner, repository and the candidates of each row."""
@@ -97,7 +101,9 @@ class SecretScan:
         found = cut(self.found(docs))
         own = self.ownership(found)
         each = found.select("row", F.explode("found").alias("c")).select("row", "c.*").join(own, "value")
-        verdict = (F.when(F.col("owners") >= self.copied_owners, "example").when((F.col("owners") == 1) & F.col("random"), "live").otherwise("unclear"))
+        copied = ((F.col("owners") >= self.copied_owners) | (F.col("repositories") >= self.copied_repositories)
+                  | (F.col("copies") >= self.copied_copies))
+        verdict = (F.when(copied, "example").when((F.col("owners") == 1) & F.col("random"), "live").otherwise("unclear"))
         name = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
         each = each.withColumn("verdict", verdict).filter((F.col("kind") < 3) | (F.col("verdict") == "live"))
         spans = each.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", F.col("kind").alias("rank"), "end", name.alias("kind"), "owners", "repositories", "verdict"))).alias("spans"))
