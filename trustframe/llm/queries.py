@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from trustframe.llm import decontaminate, lines, mixing, neardup, quality, secrets, sharding, substrings, toxicity, warc  # noqa: F401
+from trustframe.llm import classifier, decontaminate, lexical, lines, mixing, neardup, negatives, quality, secrets, sharding, substrings, toxicity, warc  # noqa: F401
 from trustframe.llm.common import ORACLE, QUERIES, register
 
 register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
