@@ -51,3 +51,27 @@ def test_levels_hot_group_nulls_and_clashes(spark, docs_of):
     assert Sharding(shards=4).shard(df.limit(0)).count() == 0
     one = Sharding(shards=4).shard(docs_of(["only"])).collect()
     assert len(one) == 1 and one[0]["slot"] == 0
+
+
+def test_no_row_is_lost_when_the_files_are_split_anew(spark, docs_of, save, monkeypatch):
+    """A lost or added executor changes how files are split, also between two readings of one plan."""
+    path = save(documents=docs_of([(i, f"text {i} " * 5) for i in range(3000)]).repartition(4)) + "/documents.parquet"
+    key = "spark.sql.files.minPartitionNum"
+    assign = Sharding.assign
+
+    def moved(self, rows):
+        put = assign(self, rows)
+        spark.conf.set(key, "64")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        return put
+
+    monkeypatch.setattr(Sharding, "assign", moved)
+    try:
+        spark.conf.set(key, "1")
+        out = Sharding(shards=8, cell=64).shard(spark.read.parquet(path))
+        got = out.toPandas()
+    finally:
+        spark.conf.unset(key)
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(got["doc_id"]) == list(range(3000))
+    assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in got.groupby("shard"))

@@ -11,8 +11,9 @@ input.  Only groups with more bytes than a shard's share are split (at most as m
 shards, so their list is bounded), as no law on bytes could hold otherwise; their pieces are dealt
 by row and take about half a share.
 
-Rows are known by their place in the input (``monotonically_increasing_id``), so repeated rows
-keep their number: ``docs`` must be a table that is read the same way again, or a checkpoint.
+Rows are known by a number, so that repeated rows stay apart.  A number that Spark gives depends on
+how the files are split, which changes with the executors, so rows are numbered once and written
+with their numbers; every step reads that table.
 
 Defined results: null text has no bytes and null texts are one group, apart from the empty text;
 repeated rows are rows of their own; equal sizes are ordered by key; one text larger than a share
@@ -26,7 +27,7 @@ import heapq
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -91,11 +92,11 @@ class Sharding:
     rows_per_cell: int = 20000  # rows numbered in one task
 
     @staticmethod
-    def rows(docs: DataFrame, rid: str = "rid") -> DataFrame:
-        """rid, doc_id, size, text_crc32 and the group's key of every row."""
+    def rows(docs: DataFrame, rid: Column | None = None) -> DataFrame:
+        """rid (a new number unless given), doc_id, size, text_crc32 and the group's key of every row."""
         text = F.coalesce(docs["text"], F.lit("")).cast("binary")
         return docs.select(
-            F.monotonically_increasing_id().alias(rid), "doc_id",
+            (F.monotonically_increasing_id() if rid is None else rid).alias("rid"), "doc_id",
             (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
             F.when(docs["text"].isNull(), F.lit(b"")).otherwise(F.unhex(F.md5(text))).alias("gkey"))
 
@@ -176,8 +177,9 @@ class Sharding:
     def shard(self, docs: DataFrame) -> DataFrame:
         """The documents with all their columns, shard and slot."""
         rid, shard, slot = fresh(docs, "rid", "shard", "slot")
-        put = self.assign(cut(self.rows(docs))).select(F.col("rid").alias(rid), F.col("shard").alias(shard), F.col("slot").alias(slot))
-        return docs.withColumn(rid, F.monotonically_increasing_id()).join(put, rid).drop(rid)
+        held = cut(docs.withColumn(rid, F.monotonically_increasing_id()))
+        put = self.assign(cut(self.rows(held, F.col(rid)))).select(F.col("rid").alias(rid), F.col("shard").alias(shard), F.col("slot").alias(slot))
+        return held.join(put, rid).drop(rid)
 
 
 @register("op2_karmarkar_karp")
