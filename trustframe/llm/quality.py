@@ -6,18 +6,24 @@ language and source.  A sketch is a histogram over buckets of 6 leading bits (re
 under 1/32): merging sketches is adding counts, so it does not depend on the order of tasks, a
 re-run after a lost executor gives the same thresholds, and a source with a third of all rows is
 summed inside each task.  A cell with fewer than ``min_rows`` documents takes the merged sketch
-of its language, and that one, when small, the merged sketch of all.  The limits are a fence
-around the median, so they follow what is usual in the cell; half of a cell can be junk before
-they give way.  Documents and limits are then joined and filtered.
+of its language, and that one, when small, the merged sketch of all.
+
+The limits are fences beyond the quartiles: ``spread`` times their distance, from the lower end of
+the lower quartile's bucket and the upper end of the upper quartile's, with no slack besides; a
+quarter of a cell can be junk before they give way.  The sketches hold the documents that pass the
+base rule.  Every document may have one symbol, one repeated line and one repeated 3-word window
+(6 words), the least that a text can have, so these are taken off the counts.  Repeated
+words come by chance in long clean texts and not at all in short ones, so their fence is that of
+the documents that have any.  Documents and limits are then joined and filtered.
 
 Defined results: null text, or one without words, has zero counts and fails the base rule; null
 language or source is a group of its own; repeated rows are rows of their own; an empty table
-gives an empty result; extra columns are not read.  The signals are taken over all documents.
+gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -104,27 +110,28 @@ def bucket(v: str) -> Column:
 class AdaptiveQuality:
     """``score(docs)``: counts, signals, limits and the verdict of each document.
 
-    spread: how many half-spreads (lower quartile to median; both quartiles for word length) a signal
-    may lie beyond the median.
-    slack: what is always allowed above the median, in units of the signal.
+    spread: how many distances of the quartiles a signal may lie beyond them.
     """
 
     spread: int = 5
-    slack: dict = field(default_factory=lambda: {"symbols": 100, "dup_lines": 340, "repeats": 300, "word_len": 100})
     min_rows: int = 30
 
     # integer signals
     SIGNALS = {
-        "symbols": "1000 * n_symbols div greatest(n_words, 1)",
-        "dup_lines": "1000 * n_dup_lines div greatest(n_text_lines, 1)",
-        "repeats": "1000 * n_repeat_words div greatest(n_words, 1)",
+        "symbols": "1000 * greatest(n_symbols - 1, 0) div greatest(n_words, 1)",
+        "dup_lines": "1000 * greatest(n_dup_lines - 1, 0) div greatest(n_text_lines, 1)",
+        "repeats": "1000 * greatest(n_repeat_words - 6, 0) div greatest(n_words, 1)",
         "word_len": "100 * word_chars div greatest(n_words, 1)",
     }
+    #: of this signal, only the documents that have any are sketched
+    NONZERO = "repeats"
+    BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 
     def sketches(self, feats: DataFrame) -> DataFrame:
         """(lang, source, signal, b, n): the sketch of each cell as bucket counts."""
         pairs = F.array(*[F.struct(F.lit(s).alias("signal"), F.expr(x).alias("v")) for s, x in self.SIGNALS.items()])
-        return (feats.select("lang", "source", F.explode(pairs).alias("p")).select("lang", "source", "p.signal", "p.v")
+        return (feats.filter(f"NOT ({self.BASE_FAILED})").select("lang", "source", F.explode(pairs).alias("p")).select("lang", "source", "p.signal", "p.v")
+                .filter((F.col("v") > 0) | (F.col("signal") != self.NONZERO))
                 .withColumn("b", bucket("v")).groupBy("lang", "source", "signal", "b").agg(F.count("*").alias("n")))
 
     @staticmethod
@@ -137,31 +144,31 @@ class AdaptiveQuality:
             F.max("rows").alias("rows"),
             *[F.min(F.expr(f"CASE WHEN cum * 4 >= {q} * rows THEN b END")).alias(f"q{q}") for q in (1, 2, 3)])
 
-    def limits(self, sketch: DataFrame) -> DataFrame:
+    def limits(self, feats: DataFrame) -> DataFrame:
         """One row per (lang, source): the upper limit of each signal, and the lower of word length."""
-        few = F.col("rows") < self.min_rows
-        val = F.struct("q1", "q2", "q3")
-        cell = self.quantiles(sketch, ["lang", "source"]).select("lang", "source", "signal", F.when(~few, val).alias("c"))
-        lang = self.quantiles(sketch, ["lang"]).select(F.col("lang").alias("l"), F.col("signal").alias("s"), F.when(~few, val).alias("cl"))
-        every = self.quantiles(sketch, []).select(F.col("signal").alias("sa"), val.alias("ca"))
-        slack = F.create_map(*[F.lit(x) for kv in self.slack.items() for x in kv])
-        both = (cell.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("signal") == F.col("s")))
-                .join(F.broadcast(every), F.col("signal") == F.col("sa"))  # one row per signal
-                .withColumn("q", F.coalesce("c", "cl", "ca")))
-        # word length differs both ways between kinds of clean text, the other signals are rarely low for bad reasons
-        hi = F.expr(f"q.q2 + {self.spread} * (IF(signal = 'word_len', q.q3, q.q2) - q.q1)") + slack[F.col("signal")]
-        lo = F.expr(f"q.q2 - {self.spread} * (q.q3 - q.q1)") - slack[F.col("signal")]
+        sketch, few = self.sketches(feats), F.col("rows") < self.min_rows
+        width = "shiftleft(1L, greatest(0, length(bin(q3)) - 6))"
+        val = F.struct("q1", F.expr(f"q3 + {width} - 1").alias("q3"))
+        cell = self.quantiles(sketch, ["lang", "source"]).select(F.col("lang").alias("l"), F.col("source").alias("s"), F.col("signal").alias("g"), F.when(~few, val).alias("c"))
+        lang = self.quantiles(sketch, ["lang"]).select(F.col("lang").alias("ll"), F.col("signal").alias("gl"), F.when(~few, val).alias("cl"))
+        every = self.quantiles(sketch, []).select(F.col("signal").alias("ga"), val.alias("ca"))  # one row per signal
+        asked = feats.select("lang", "source").distinct().select("lang", "source", F.explode(F.array(*map(F.lit, self.SIGNALS))).alias("signal"))
+        both = (asked.join(cell, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("signal") == F.col("g")), "left")
+                .join(lang, F.col("lang").eqNullSafe(F.col("ll")) & (F.col("signal") == F.col("gl")), "left")
+                .join(F.broadcast(every), F.col("signal") == F.col("ga"), "left").withColumn("q", F.coalesce("c", "cl", "ca")))
+        hi, lo = F.expr(f"q.q3 + {self.spread} * (q.q3 - q.q1)"), F.expr(f"q.q1 - {self.spread} * (q.q3 - q.q1)")
+        none = lambda s: F.lit(None if s == "word_len" else 0).cast("long")  # noqa: E731  no document has any: none may
         return both.groupBy("lang", "source").agg(
-            *[F.max(F.when(F.col("signal") == s, hi)).alias(f"max_{s}") for s in self.SIGNALS],
+            *[F.coalesce(F.max(F.when(F.col("signal") == s, hi)), none(s)).alias(f"max_{s}") for s in self.SIGNALS],
             F.max(F.when(F.col("signal") == "word_len", lo)).alias("min_word_len"))
 
     def score(self, docs: DataFrame) -> DataFrame:
         feats = cut(features(docs))
-        limit = self.limits(self.sketches(feats))
+        limit = self.limits(feats)
         for c in ("lang", "source"):
             limit = limit.withColumnRenamed(c, f"_{c}")
         x = feats.join(limit, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")))
-        x = x.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
+        x = x.withColumn("base_failed", F.expr(self.BASE_FAILED))
         bad = [F.col(f"sig_{s}") > F.col(f"max_{s}") for s in self.SIGNALS] + [F.col("sig_word_len") < F.col("min_word_len")]
         x = x.withColumns({f"sig_{s}": F.expr(e) for s, e in self.SIGNALS.items()})
         failed = bad[0]
@@ -189,26 +196,26 @@ f AS (SELECT t.doc_id, lang, source, len(ws)::BIGINT AS n_words,
         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
         coalesce(lc.n - lc.d, 0)::BIGINT AS n_dup_lines, coalesce(cover.n, 0)::BIGINT AS n_repeat_words, coalesce(lc.n, 0)::BIGINT AS n_text_lines
       FROM t JOIN w USING (doc_id) LEFT JOIN lc USING (doc_id) LEFT JOIN cover USING (doc_id)),
-s AS (SELECT *, 1000 * n_symbols // greatest(n_words, 1) AS symbols, 1000 * n_dup_lines // greatest(n_text_lines, 1) AS dup_lines,
-        1000 * n_repeat_words // greatest(n_words, 1) AS repeats, 100 * word_chars // greatest(n_words, 1) AS word_len FROM f),
-v AS (SELECT lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'word_len']) AS signal, unnest([symbols, dup_lines, repeats, word_len]) AS v FROM s),
-b AS (SELECT lang, source, signal, (v >> greatest(0, length(bin(v)) - 6)) << greatest(0, length(bin(v)) - 6) AS b FROM v),
-q AS (SELECT lang, source, signal, grouping(lang, source) AS lvl, count(*) AS rows,
-        quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.5) AS q2, quantile_disc(b, 0.75) AS q3
+s AS (SELECT *, 1000 * greatest(n_symbols - 1, 0) // greatest(n_words, 1) AS symbols, 1000 * greatest(n_dup_lines - 1, 0) // greatest(n_text_lines, 1) AS dup_lines,
+        1000 * greatest(n_repeat_words - 6, 0) // greatest(n_words, 1) AS repeats, 100 * word_chars // greatest(n_words, 1) AS word_len,
+        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+v AS (SELECT lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'word_len']) AS signal, unnest([symbols, dup_lines, repeats, word_len]) AS v FROM s WHERE NOT base_failed),
+b AS (SELECT lang, source, signal, (v >> greatest(0, length(bin(v)) - 6)) << greatest(0, length(bin(v)) - 6) AS b FROM v WHERE v > 0 OR signal <> 'repeats'),
+q AS (SELECT lang, source, signal, grouping(lang, source) AS lvl, count(*) AS rows, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3
       FROM b GROUP BY GROUPING SETS ((signal, lang, source), (signal, lang), (signal))),
-p AS (SELECT c.lang, c.source, c.signal,
-        CASE WHEN c.rows >= 30 THEN c.q1 WHEN l.rows >= 30 THEN l.q1 ELSE a.q1 END AS q1,
-        CASE WHEN c.rows >= 30 THEN c.q2 WHEN l.rows >= 30 THEN l.q2 ELSE a.q2 END AS q2,
-        CASE WHEN c.rows >= 30 THEN c.q3 WHEN l.rows >= 30 THEN l.q3 ELSE a.q3 END AS q3
-      FROM q c JOIN q l ON c.lvl = 0 AND l.lvl = 1 AND l.signal = c.signal AND l.lang IS NOT DISTINCT FROM c.lang
-        JOIN q a ON a.lvl = 3 AND a.signal = c.signal),
-lim AS (SELECT lang, source, max(CASE WHEN signal = 'symbols' THEN hi + 100 END) AS max_symbols, max(CASE WHEN signal = 'dup_lines' THEN hi + 340 END) AS max_dup_lines,
-        max(CASE WHEN signal = 'repeats' THEN hi + 300 END) AS max_repeats, max(CASE WHEN signal = 'word_len' THEN hi + 100 END) AS max_word_len,
-        max(CASE WHEN signal = 'word_len' THEN q2 - 5 * (q3 - q1) - 100 END) AS min_word_len
-      FROM (SELECT *, q2 + 5 * (CASE WHEN signal = 'word_len' THEN q3 ELSE q2 END - q1) AS hi FROM p) GROUP BY ALL)
+u AS (SELECT lang, source, signal, lvl, lvl = 3 OR rows >= 30 AS used, q1, q3 + (1::BIGINT << greatest(0, length(bin(q3)) - 6)) - 1 AS q3 FROM q),
+p AS (SELECT k.lang, k.source, k.signal,
+        CASE WHEN c.used THEN c.q1 WHEN l.used THEN l.q1 ELSE a.q1 END AS q1, CASE WHEN c.used THEN c.q3 WHEN l.used THEN l.q3 ELSE a.q3 END AS q3
+      FROM (SELECT lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'word_len']) AS signal FROM (SELECT DISTINCT lang, source FROM s)) k
+        LEFT JOIN u c ON c.lvl = 0 AND c.signal = k.signal AND c.lang IS NOT DISTINCT FROM k.lang AND c.source IS NOT DISTINCT FROM k.source
+        LEFT JOIN u l ON l.lvl = 1 AND l.signal = k.signal AND l.lang IS NOT DISTINCT FROM k.lang
+        LEFT JOIN u a ON a.lvl = 3 AND a.signal = k.signal),
+lim AS (SELECT lang, source, coalesce(max(hi) FILTER (signal = 'symbols'), 0) AS max_symbols, coalesce(max(hi) FILTER (signal = 'dup_lines'), 0) AS max_dup_lines,
+        coalesce(max(hi) FILTER (signal = 'repeats'), 0) AS max_repeats, max(hi) FILTER (signal = 'word_len') AS max_word_len,
+        max(q1 - 5 * (q3 - q1)) FILTER (signal = 'word_len') AS min_word_len
+      FROM (SELECT *, q3 + 5 * (q3 - q1) AS hi FROM p) GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND symbols <= max_symbols AND dup_lines <= max_dup_lines
+  base_failed, NOT base_failed AND symbols <= max_symbols AND dup_lines <= max_dup_lines
     AND repeats <= max_repeats AND word_len <= max_word_len AND word_len >= min_word_len AS kept,
   max_symbols::BIGINT AS max_symbols, max_dup_lines::BIGINT AS max_dup_lines, max_repeats::BIGINT AS max_repeats,
   max_word_len::BIGINT AS max_word_len, min_word_len::BIGINT AS min_word_len
