@@ -1,10 +1,11 @@
 import hashlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 
 from trustframe.llm.cuckoo import Cuckoo
-from trustframe.llm.lines import LineIndex
+from trustframe.llm.lines import OP4_SQL, LineIndex
 
 SPACE = " \t\n\x0b\x0c\r"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -13,14 +14,14 @@ LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 def brute(rows, least=20, docs=3):
     key = lambda x: x.strip(SPACE).translate(LOW)
     held = defaultdict(set)
-    for i, (d, t) in enumerate(rows):
+    for d, t in rows:
         for x in (t or "").split("\n"):
             if len(key(x)) >= least:
-                held[key(x)].add((i, d))
+                held[key(x)].add(d)
     gone = {}
     for k, own in held.items():
         if len(own) >= docs:
-            ids = [d for _, d in own if d is not None]
+            ids = [d for d in own if d is not None]
             gone[k] = max(ids) if ids else None
     out = []
     for d, t in rows:
@@ -76,3 +77,14 @@ def test_cuckoo_filter():
     assert f.contains(keys[1500:3000]).all() and f.contains(keys[:1500]).mean() < 0.01
     tiny = Cuckoo.for_keys(1)
     assert not tiny.update(keys[:200], np.ones(200, bool))  # full, and says so
+
+
+def test_sql_agrees_on_repeated_ids(spark, docs_of):
+    rows = ROWS + [(1, A), (20, C + "\nonly here twice, in two rows of one id"), (20, "only here twice, in two rows of one id"), (21, "only here twice, in two rows of one id")]
+    got = sorted(((d, n, g, hashlib.sha256(t.encode()).hexdigest()) for d, n, g, t in (tuple(r) for r in LineIndex.build(docs_of(rows)).apply(docs_of(rows)).collect())), key=repr)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert got == sorted(con.execute(OP4_SQL).fetchall(), key=repr)
+    assert got == sorted(((d, n, g, hashlib.sha256(t.encode()).hexdigest()) for d, n, g, t in brute(rows)), key=repr)
+    assert all(g == 0 for d, _, g, _ in got if d == 21)  # two ids only hold it

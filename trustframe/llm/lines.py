@@ -12,9 +12,10 @@ third of all documents share is dealt over ``salts`` tasks.  What passes is look
 exact table, so a false hit of a filter changes nothing.  The keeper of a line is the largest
 doc_id among the documents given to ``apply``.
 
-Defined results: null or empty text is one empty line, which is never dropped; each row counts as
-a document, also if its doc_id repeats; a null doc_id keeps a line only if no other id holds it;
-an empty table gives an empty result; other columns are not read.
+Defined results: null or empty text is one empty line, which is never dropped; rows with
+equal doc_ids count as one document, and rows without one as one more; a null doc_id never keeps a
+line; the index has counts and no ids, so ``insert`` is for documents that it doesn't hold yet and
+``delete`` for those that it does, each batch with all rows of its ids; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -85,7 +86,7 @@ class LineIndex:
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
     def _count(self, docs: DataFrame) -> DataFrame:
-        return line_keys(docs, self.min_chars).groupBy("key").agg(F.count("*").alias("n"))
+        return line_keys(docs, self.min_chars).distinct().groupBy("key").agg(F.count("*").alias("n"))
 
     def _filters_of(self, hot: DataFrame) -> DataFrame:
         def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -176,14 +177,15 @@ class LineIndex:
 
 
 OP4_SQL = r"""
-WITH l AS (SELECT doc_id, i, x, lower_ascii, length(lower_ascii) AS n FROM (
-        SELECT doc_id, i, x, translate(trim(x, E' \t\n\x0B\x0C\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii
-        FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents))),
-k AS (SELECT lower_ascii, max(doc_id) AS keeper FROM l WHERE n >= 20 GROUP BY lower_ascii HAVING count(DISTINCT doc_id) >= 3),
-m AS (SELECT l.*, k.keeper IS NOT NULL AND k.keeper <> l.doc_id AS gone FROM l LEFT JOIN k ON n >= 20 AND k.lower_ascii = l.lower_ascii)
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS own FROM documents),
+l AS (SELECT rid, doc_id, i, x, lower_ascii, length(lower_ascii) AS n FROM (
+        SELECT rid, doc_id, i, x, translate(trim(x, E' \t\n\x0B\x0C\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii
+        FROM (SELECT rid, doc_id, unnest(own) AS x, generate_subscripts(own, 1) AS i FROM d))),
+k AS (SELECT lower_ascii, max(doc_id) AS keeper FROM l WHERE n >= 20 GROUP BY lower_ascii HAVING count(DISTINCT coalesce(doc_id::VARCHAR, '')) >= 3),
+m AS (SELECT l.*, k.lower_ascii IS NOT NULL AND l.doc_id IS DISTINCT FROM k.keeper AS gone FROM l LEFT JOIN k ON n >= 20 AND k.lower_ascii = l.lower_ascii)
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY rid, doc_id
 """
 
 
