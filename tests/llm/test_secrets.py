@@ -39,7 +39,7 @@ def test_ownership_separates_examples_from_live(spark, docs_of):
     assert got[0] == [("assign", 5, 5, "example")]
     assert got[100] == [("assign", 1, 2, "live")] == got[None]
     assert got[200] == [("token", 1, 1, "live")]  # added by the method
-    assert got[201] == [] == got[202] == got[300]  # held by two owners: not added
+    assert got[201] == [("token", 2, 2, "unclear")] == got[202] and got[300] == []  # held by two owners: unclear, and kept
     assert got[301] == [("assign", 1, 1, "unclear")]
     assert SecretScan().scan(docs_of(rows).limit(0)).count() == 0
 

@@ -7,7 +7,8 @@ corpus by distinct owners and repositories, in two steps, so that a value which
 documents hold is reduced inside each task.  A value that many owners or repositories hold, or
 that is copied very often, is an example (``widely copied``); another that only one owner holds,
 and looks random, is live.  Base candidates
-all stay; a token is added as a span if it is live and overlaps no base span.
+all stay; a token that overlaps no base span is added unless it is an example (one that two owners
+hold is unclear and stays).
 
 Here the owner is ``source`` and the repository (source, lang), both parameters.  Defined
 results: null text is empty; a null owner or repository counts as one of its own; repeated rows
@@ -105,7 +106,7 @@ class SecretScan:
                   | (F.col("copies") >= self.copied_copies))
         verdict = (F.when(copied, "example").when((F.col("owners") == 1) & F.col("random"), "live").otherwise("unclear"))
         name = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
-        each = each.withColumn("verdict", verdict).filter((F.col("kind") < 3) | (F.col("verdict") == "live"))
+        each = each.withColumn("verdict", verdict).filter((F.col("kind") < 3) | (F.col("verdict") != "example"))
         spans = each.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", F.col("kind").alias("rank"), "end", name.alias("kind"), "owners", "repositories", "verdict"))).alias("spans"))
         return found.select("row", "doc_id").join(spans, "row", "left").select("doc_id", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
 
