@@ -16,6 +16,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ SENSITIVE = "c_mktsegment"
 K_FOLDS = 5
 # Fairness weights swept by the ablation study.
 FAIRNESS_WEIGHTS = [0.0, 0.05, 0.10, 0.15, 0.20, 0.25, 0.30, 0.40, 0.50, 0.60]
+# Exponents of the lambda sensitivity study.
 LAMBDA_EXPONENTS = [1.0, 1.2, 1.5, 2.0]
 
 
@@ -69,7 +71,36 @@ def fold_results(spark: SparkSession, sf: str, k: int = K_FOLDS) -> DataFrame:
     """Per (model, fold): accuracy, F1 (class 1), DP on the sensitive
     attribute, trust in both modes (statistics of the training part)."""
     folded = folded_orders(spark, sf, k)
-    preds = W._explode_models(folded, W.BINARY_RULES, "double")
+    return score_folds(W._explode_models(folded, W.BINARY_RULES, "double"), train_fold_stats(folded, k))
+
+
+_FITTED: dict[tuple[str, str], str] = {}
+
+
+def fitted_predictions(spark: SparkSession, sf: str, k: int = K_FOLDS) -> DataFrame:
+    """M3: out-of-fold predictions of the three fitted models for every row (model_id, fold, features,
+    target, y_pred, score): a predictions table, written once a session and read by A25 to A28.
+
+    50 boosting rounds here (``Fits`` has 200): a round is a handful of jobs, one after the other."""
+    from trustframe.operators import models as M
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FITTED:
+        rows, _ = M.prepared(folded_orders(spark, sf, k), "target", ["o_totalprice", "c_acctbal"], ["o_orderpriority", "c_mktsegment", "n_regionkey"])
+        path = f"{checkpoint_dir(spark).rstrip('/')}/fitted-{uuid.uuid4().hex}"
+        M.out_of_fold(rows, "fold", k, fits=M.Fits(rounds=50)).write.parquet(path)
+        _FITTED[key] = path
+    return spark.read.parquet(_FITTED[key])
+
+
+def fitted_fold_results(spark: SparkSession, sf: str, k: int = K_FOLDS) -> DataFrame:
+    """A25 to A28 for fitted models: ``fold_results`` over their out-of-fold predictions."""
+    preds = fitted_predictions(spark, sf, k)
+    one = preds.filter(F.col("model_id") == F.lit("LogisticRegression"))  # each row once
+    return score_folds(preds, train_fold_stats(one.select("fold", *FEATURES, "target"), k))
+
+
+def score_folds(preds: DataFrame, stats: DataFrame) -> DataFrame:
+    """Metrics, DP and both trusts of each (model, fold) of a predictions table."""
     t = F.col("target") == 1
     p = F.col("y_pred") == 1
     m = preds.groupBy("model_id", "fold").agg(
@@ -81,7 +112,6 @@ def fold_results(spark: SparkSession, sf: str, k: int = K_FOLDS) -> DataFrame:
                   .otherwise(lit_d(0.0)).alias("f1_score"))
     rates = preds.groupBy("model_id", "fold", SENSITIVE).agg(F.avg("y_pred").alias("r"))
     dp = rates.groupBy("model_id", "fold").agg(F.abs(F.max("r") - F.min("r")).alias("dp"))
-    stats = train_fold_stats(folded, k)
     inp = (m.join(dp, ["model_id", "fold"]).join(stats, "fold")
             .withColumn("dataset_id", F.lit("orders_status"))
             .withColumn("model_type", F.lit("classification"))
@@ -92,7 +122,7 @@ def fold_results(spark: SparkSession, sf: str, k: int = K_FOLDS) -> DataFrame:
              .pivot("trust_mode", ["balanced", "strict"]).agg(F.first("trust_score"))
              .withColumnRenamed("balanced", "trust_balanced").withColumnRenamed("strict", "trust_strict"))
     # models x folds rows: written once, read by every test on them
-    checkpoint_dir(spark)
+    checkpoint_dir(preds.sparkSession)
     return out.checkpoint(eager=True)
 
 

@@ -602,3 +602,20 @@ def q_corr_r(spark, sf):
         c = X.correlation_p(f, x, y).select("x", "y", "n", r6("r"))
         out = c if out is None else out.unionByName(c)
     return out
+
+
+# ------------------------------------------------------ fitted models
+
+@register("experiment_fitted_folds", None)
+def q_fitted_folds(spark, sf):
+    """M3 + A25: fold results of fitted logistic regression, forest and boosted trees."""
+    return X.fitted_fold_results(spark, sf).select("model_id", "fold", *[r6(c) for c in ("accuracy", "f1_score", "dp", "trust_balanced", "trust_strict")])
+
+
+@register("experiment_fitted_summary", None)
+def q_fitted_summary(spark, sf):
+    """A25 with A26 (both modes within a model) and A27 (accuracy against trust) for the fitted models."""
+    folds = X.fitted_fold_results(spark, sf)
+    t = X.balanced_vs_strict(folds).select("model_id", "t_stat", "p_value", "significance")
+    r = X.correlation_p(folds, "accuracy", "trust_balanced", ["model_id"]).select("model_id", F.col("r").alias("accuracy_trust_r"))
+    return X.fold_summary(folds).join(t, "model_id").join(r, "model_id")
