@@ -619,3 +619,67 @@ def q_fitted_summary(spark, sf):
     t = X.balanced_vs_strict(folds).select("model_id", "t_stat", "p_value", "significance")
     r = X.correlation_p(folds, "accuracy", "trust_balanced", ["model_id"]).select("model_id", F.col("r").alias("accuracy_trust_r"))
     return X.fold_summary(folds).join(t, "model_id").join(r, "model_id")
+
+
+# ------------------------------------------------------ guarded JSON (fn-json), F13
+
+#: documents of every kind made from events.props: as given, cut off, in an array, missing, nested, a text for the number, bare
+_DOC_SPARK = """CASE event_id % 7 WHEN 0 THEN props WHEN 1 THEN substring(props, 1, length(props) - 1) WHEN 2 THEN concat('[', props, ']') WHEN 3 THEN CAST(NULL AS STRING)
+  WHEN 4 THEN concat('{"metadata": ', props, '}') WHEN 5 THEN concat('{"metadata": {"k": "', event_type, '"}, "k": null}') ELSE '7' END"""
+_DOC_SQL = """CASE event_id % 7 WHEN 0 THEN props WHEN 1 THEN substring(props, 1, length(props) - 1) WHEN 2 THEN concat('[', props, ']') WHEN 3 THEN NULL
+  WHEN 4 THEN concat('{"metadata": ', props, '}') WHEN 5 THEN concat('{"metadata": {"k": "', event_type, '"}, "k": null}') ELSE '7' END"""
+_NUMERIC = "('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT')"
+
+
+@register("json_guarded_reads", f"""
+WITH d AS (SELECT event_type, CASE WHEN json_valid({_DOC_SQL}) THEN {_DOC_SQL} END AS doc FROM events)
+SELECT event_type, CASE json_type(doc) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE CASE WHEN doc IS NOT NULL THEN 'scalar' END END AS kind,
+  CASE WHEN json_type(doc, '$.metadata.k') = 'VARCHAR' THEN json_extract_string(doc, '$.metadata.k') END AS text, count(*) AS n,
+  sum(CASE WHEN json_type(doc, '$.k') IN {_NUMERIC} THEN json_extract_string(doc, '$.k')::DOUBLE END) AS k_sum,
+  sum(CASE WHEN json_type(doc, '$.metadata.k') IN {_NUMERIC} THEN json_extract_string(doc, '$.metadata.k')::DOUBLE END) AS nested_sum
+FROM d GROUP BY ALL""")
+def q_json(spark, sf):
+    """fn-json: nested values of the right type out of well-formed, malformed, array, scalar and null documents."""
+    from trustframe.functions.json import json_kind, json_number, json_text
+    d = table(spark, sf, "events").select("event_type", F.expr(_DOC_SPARK).alias("doc"))
+    return (d.groupBy("event_type", json_kind(F.col("doc")).alias("kind"), json_text(F.col("doc"), "metadata", "k").alias("text"))
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(json_number(F.col("doc"), "k")).alias("k_sum"), F.sum(json_number(F.col("doc"), "metadata", "k")).alias("nested_sum")))
+
+
+_META = """CASE event_id % 5 WHEN 0 THEN '{"sensitive_attribute": "o_orderpriority"}' WHEN 1 THEN '{"sensitive_attribute": 5}' WHEN 2 THEN '{"sensitive_attribute": "unknown"}'
+  WHEN 3 THEN '["o_orderpriority"]' END"""
+_REQ = "CASE event_id % 7 WHEN 0 THEN 'c_mktsegment' WHEN 1 THEN 'missing_column' END"
+_OWN = "CASE event_id % 3 WHEN 0 THEN 'n_regionkey' WHEN 1 THEN 'gone' END"
+_ORDER_COLUMNS = ["o_totalprice", "o_orderpriority", "c_acctbal", "c_mktsegment", "n_regionkey"]
+
+
+@register("fairness_resolved_attribute", "WITH " + f"""
+rq AS (SELECT event_id, {_REQ} AS req, {_OWN} AS own, {_META} AS meta FROM events),
+pk AS (SELECT CASE WHEN req IN ({", ".join(f"'{c}'" for c in _ORDER_COLUMNS)}) THEN req WHEN own IN ({", ".join(f"'{c}'" for c in _ORDER_COLUMNS)}) THEN own
+         WHEN json_type(meta, '$.sensitive_attribute') = 'VARCHAR' AND json_extract_string(meta, '$.sensitive_attribute') IN ({", ".join(f"'{c}'" for c in _ORDER_COLUMNS)})
+         THEN json_extract_string(meta, '$.sensitive_attribute') END AS asked FROM rq),
+ds AS (SELECT o_orderkey, o_orderpriority, c_mktsegment, n_regionkey::VARCHAR AS n_regionkey, o_totalprice, o_orderstatus FROM orders
+       JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+found AS (SELECT 0 AS ordinal, 'o_orderpriority' AS attribute, count(DISTINCT o_orderpriority) AS n FROM ds UNION ALL SELECT 1, 'c_mktsegment', count(DISTINCT c_mktsegment) FROM ds
+          UNION ALL SELECT 2, 'n_regionkey', count(DISTINCT n_regionkey) FROM ds),
+auto AS (SELECT attribute FROM found WHERE n BETWEEN 2 AND 10 ORDER BY ordinal LIMIT 1),
+used AS (SELECT coalesce(asked, (SELECT attribute FROM auto)) AS attribute, asked IS NULL AS detected, count(*) AS requests FROM pk GROUP BY ALL),
+rates AS (SELECT attribute, grp, avg(CASE WHEN o_totalprice > 200000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS ppr FROM (
+            SELECT 'o_orderpriority' AS attribute, o_orderpriority AS grp, o_totalprice FROM ds UNION ALL SELECT 'c_mktsegment', c_mktsegment, o_totalprice FROM ds
+            UNION ALL SELECT 'n_regionkey', n_regionkey, o_totalprice FROM ds) GROUP BY ALL)
+SELECT attribute, detected, requests, {O.rh("(SELECT max(ppr) - min(ppr) FROM rates r WHERE r.attribute = used.attribute)")} AS dp FROM used""")
+def q_resolved(spark, sf):
+    """F13 before A10: each request's attribute from the request, the dataset or its JSON metadata, else
+    the first that is detected; with the gap of positive rates over it for one model."""
+    from trustframe.functions.json import json_text
+    from trustframe.operators.fairness import detect_sensitive_attributes
+    ds = W.orders_dataset(spark, sf)
+    rq = table(spark, sf, "events").select(F.expr(_REQ).alias("req"), F.expr(_OWN).alias("own"), json_text(F.expr(_META), "sensitive_attribute").alias("meta"))
+    asked = PR.resolve_attribute(F.array(*[F.lit(c) for c in _ORDER_COLUMNS]), F.col("req"), F.col("own"), F.col("meta"))
+    auto = (detect_sensitive_attributes(ds.select(*_ORDER_COLUMNS), ["o_totalprice", "c_acctbal"]).agg(F.min_by("column", "ordinal").alias("first")))  # one row
+    used = (rq.select(asked.alias("asked")).groupBy("asked").agg(F.count(F.lit(1)).alias("requests")).join(F.broadcast(auto))
+            .select(F.coalesce("asked", "first").alias("attribute"), F.col("asked").isNull().alias("detected"), "requests"))
+    p = ds.withColumn("pos", F.when(F.expr(W.BINARY_RULES["m_price"]), 1.0).otherwise(0.0))
+    long = p.select("pos", F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("grp")) for a in W.ORDER_ATTRS])).alias("x")).select("pos", "x.*")
+    dp = (long.groupBy("attribute", "grp").agg(F.avg("pos").alias("ppr")).groupBy("attribute").agg((F.max("ppr") - F.min("ppr")).alias("dp")))
+    return used.join(dp, "attribute", "left").select("attribute", "detected", "requests", r6("dp"))
