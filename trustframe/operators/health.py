@@ -1,20 +1,36 @@
-"""Dataset statistics that feed the instability index.
-
-One aggregation pass gives row count, null cells, sample variance and
-skewness of every numeric feature; the duplicate count is a ``groupBy`` on
-all columns whose partial aggregation collapses copies inside each map task
-(so a row copied a billion times costs one shuffled row per task); the class
-shares are a ``groupBy`` on the label.  The three single-row results are
-joined on ``dataset_id``.
+"""Dataset statistics that feed the instability index, of any number of datasets in one job.
+
+Every dataset becomes rows of one narrow shape (dataset, numeric slots, null
+cells, label, two 64-bit fingerprints of the row) in one union keyed by
+``dataset_id``.  Row counts, null cells, sample variance and skewness of the
+slots are one aggregation, combined in each map task.  Exact duplicates are
+counted on fingerprints, so the shuffle carries 16 bytes and the label of a
+row and never the row; the whole rows are compared only where a fingerprint
+repeats (``repeated_rows``), so a collision changes nothing.  Class counts
+come from the same fingerprint table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trustframe.functions.expr import count_if, lit_d
+from trustframe.functions.expr import lit_d
+
+_FP = ["dataset_id", "_h1", "_h2"]
+
+
+@dataclass(frozen=True)
+class Dataset:
+    """A table with its id, target and features (None: all columns but the target)."""
+    df: DataFrame
+    dataset_id: str
+    target: str
+    features: list[str] | None = None
+    model_type: str = "classification"
 
 
 def numeric_columns(df: DataFrame, cols: list[str]) -> list[str]:
@@ -31,73 +47,99 @@ def corrected_skew(c: str) -> F.Column:
     return F.when(n >= 3, F.coalesce(g1, lit_d(0.0)) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
-def row_counts(df: DataFrame) -> DataFrame:
-    """Distinct rows with their multiplicity (null-safe grouping)."""
-    return df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_c"))
+def _cells(df: DataFrame) -> list[Column]:
+    """The columns with one form for each value (0.0 and -0.0 are equal)."""
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        out.append(F.when(c == 0, F.lit(0).cast(f.dataType)).otherwise(c)
+                   if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else c)
+    return out
 
 
-def duplicate_count(df: DataFrame) -> DataFrame:
-    """Rows minus distinct rows (null-safe, like pandas ``duplicated``)."""
-    return row_counts(df).agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("long").alias("duplicates"))
+def fingerprint_columns(df: DataFrame) -> tuple[Column, Column]:
+    """Two 64-bit hashes of the whole row; nulls count by their column."""
+    cells = _cells(df)
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cells])
+    return F.xxhash64(*cells, nulls), F.xxhash64(F.lit("second"), *reversed(cells), nulls)
 
 
-def dataset_stats(df: DataFrame, dataset_id: str, target: str, features: list[str] | None = None,
-                  model_type: str = "classification", variant: str = "service") -> DataFrame:
-    """One row: n_rows, n_features, missing_values (target included),
-    duplicate_ratio, low_variance_fraction, skew_score, imbalance_ratio.
+def repeated_rows(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(dataset_id, _dups): rows beyond the first of each distinct row.  Whole rows (``_row``) are compared
+    only where a fingerprint has two rows or more; a row copied a billion times is one row a map task."""
+    again = counts.filter(F.col("_c") > 1).select(*_FP)
+    whole = rows.select(*_FP, "_row").join(again, _FP, "left_semi").groupBy(*_FP, "_row").agg(F.count(F.lit(1)).alias("_c"))
+    return whole.groupBy("dataset_id").agg(F.sum(F.col("_c") - 1).alias("duplicates"))
+
+
+def many_dataset_stats(datasets: list[Dataset], variant: str = "service") -> DataFrame:
+    """One row a dataset: n_rows, n_features, missing_values (target included), duplicate_ratio,
+    low_variance_fraction, skew_score, imbalance_ratio.
 
     ``variant='service'`` is the evaluation service rule (A11);
     ``variant='experiment'`` is the experiment scripts' rule (A12):
-    imbalance = min/max class count and skew = tanh(mean |skew| / 3)."""
-    features = features if features is not None else [c for c in df.columns if c != target]
-    num = numeric_columns(df, features)
-    aggs = [F.count(F.lit(1)).alias("n_rows")]
-    aggs.append(sum((count_if(F.col(f"`{c}`").isNull()) for c in df.columns), F.lit(0))
-                .cast("long").alias("missing_values"))
-    for i, c in enumerate(num):
-        aggs.append(F.var_samp(F.col(f"`{c}`")).alias(f"v{i}"))
-        aggs.append(corrected_skew(f"`{c}`").alias(f"s{i}"))
-    base = df.agg(*aggs)
-    if num:
-        low = sum((F.when(F.col(f"v{i}") < 0.01, 1).otherwise(0) for i in range(len(num))), F.lit(0))
-        abs_sk = [F.abs(F.col(f"s{i}")) for i in range(len(num))]
-        n_ok = sum((F.when(s.isNotNull(), 1).otherwise(0) for s in abs_sk), F.lit(0))
-        tot = sum((F.coalesce(s, lit_d(0.0)) for s in abs_sk), lit_d(0.0))
-        mean_skew = F.when(n_ok > 0, tot / n_ok)
-        if variant == "experiment":
-            skew = F.coalesce(F.tanh(mean_skew / 3.0), lit_d(0.0))
-        else:
-            # Q14: min(1, NaN) is 1 in Python, so "no column with ≥3 values" scores 1
-            skew = F.when(mean_skew.isNull(), lit_d(1.0)).otherwise(F.least(lit_d(1.0), mean_skew / 3.0))
-        low_frac = low / float(len(num))
-    else:
-        skew, low_frac = lit_d(0.0), lit_d(0.0)
-    base = base.select(F.lit(dataset_id).alias("dataset_id"), "n_rows",
-                       F.lit(len(features)).alias("n_features"), "missing_values",
-                       low_frac.cast("double").alias("low_variance_fraction"),
-                       skew.cast("double").alias("skew_score"))
-    # the distinct-row table also yields the class counts (no extra scan)
-    rc = row_counts(df)
-    dup = rc.agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("long").alias("duplicates")) \
-            .select(F.lit(dataset_id).alias("dataset_id"), "duplicates")
-    out = base.join(dup, "dataset_id").withColumn(
-        "duplicate_ratio", F.col("duplicates") / F.greatest(F.col("n_rows"), F.lit(1)))
-    if model_type == "classification":
-        counts = (rc.filter(F.col(f"`{target}`").isNotNull()).groupBy(f"`{target}`")
-                    .agg(F.sum("_c").alias("count")))
-        if variant == "experiment":
-            imb = counts.agg(F.min("count").alias("_mn"), F.max("count").alias("_mx")).select(
-                F.lit(dataset_id).alias("dataset_id"),
-                (F.col("_mn") / F.col("_mx")).alias("imbalance_ratio"))
-            out = out.join(imb, "dataset_id", "left")
-        else:
-            imb = counts.agg(F.max("count").alias("_mx")).select(
-                F.lit(dataset_id).alias("dataset_id"), F.col("_mx").alias("_max_class"))
-            out = (out.join(imb, "dataset_id", "left")
-                      .withColumn("imbalance_ratio",
-                                  F.coalesce(F.col("_max_class") / F.col("n_rows"), lit_d(0.5)))
-                      .drop("_max_class"))
+    imbalance = min/max class count and skew = tanh(mean |skew| / 3).
+    An empty dataset has n_rows 0, no missing values and no duplicates.
+    Columns of any type that Spark can group by may occur."""
+    if len({d.dataset_id for d in datasets}) != len(datasets):
+        raise ValueError("dataset ids must differ")
+    spark = datasets[0].df.sparkSession
+    feats = [d.features if d.features is not None else [c for c in d.df.columns if c != d.target] for d in datasets]
+    nums = [numeric_columns(d.df, f) for d, f in zip(datasets, feats)]
+    slots = max(len(n) for n in nums)
+    parts = []
+    for d, num in zip(datasets, nums):
+        h1, h2 = fingerprint_columns(d.df)
+        label = F.col(f"`{d.target}`").cast("string") if d.model_type == "classification" else F.lit(None).cast("string")
+        missing = sum((F.when(F.col(f"`{c}`").isNull(), 1).otherwise(0) for c in d.df.columns), F.lit(0))
+        vals = [F.col(f"`{num[i]}`").cast("double") if i < len(num) else F.lit(None).cast("double")
+                for i in range(slots)]
+        row = F.array(*[c.cast("string") for c in _cells(d.df)])
+        parts.append(d.df.select(F.lit(d.dataset_id).alias("dataset_id"), missing.cast("long").alias("_miss"),
+                                 label.alias("_label"), h1.alias("_h1"), h2.alias("_h2"), row.alias("_row"),
+                                 *[v.alias(f"_v{i}") for i, v in enumerate(vals)]))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+
+    aggs = [F.count(F.lit(1)).alias("n_rows"), F.sum("_miss").alias("missing_values")]
+    for i in range(slots):
+        aggs += [F.var_samp(f"_v{i}").alias(f"v{i}"), corrected_skew(f"_v{i}").alias(f"s{i}")]
+    base = rows.groupBy("dataset_id").agg(*aggs)
+    counts = rows.groupBy(*_FP, "_label").agg(F.count(F.lit(1)).alias("_c"))
+    dups = repeated_rows(rows, counts)
+    classes = (counts.filter(F.col("_label").isNotNull()).groupBy("dataset_id", "_label").agg(F.sum("_c").alias("n"))
+                     .groupBy("dataset_id").agg(F.min("n").alias("_min_class"), F.max("n").alias("_max_class")))
+
+    meta = [F.struct(F.lit(d.dataset_id).alias("dataset_id"), F.lit(len(f)).alias("n_features"),
+                     F.lit(len(n)).alias("_slots"), F.lit(d.model_type == "classification").alias("_labelled"))
+            for d, f, n in zip(datasets, feats, nums)]
+    out = (spark.range(1).select(F.inline(F.array(*meta))).join(base, "dataset_id", "left")
+           .join(dups, "dataset_id", "left").join(classes, "dataset_id", "left")
+           .withColumn("n_rows", F.coalesce("n_rows", F.lit(0).cast("long")))
+           .withColumn("missing_values", F.coalesce("missing_values", F.lit(0).cast("long"))))
+    low = sum((F.when(F.col(f"v{i}") < 0.01, 1).otherwise(0) for i in range(slots)), F.lit(0))
+    skews = [F.abs(F.col(f"s{i}")) for i in range(slots)]
+    n_ok = sum((F.when(s.isNotNull(), 1).otherwise(0) for s in skews), F.lit(0))
+    tot = sum((F.coalesce(s, lit_d(0.0)) for s in skews), lit_d(0.0))
+    mean_skew = F.when(n_ok > 0, tot / n_ok)
+    n = F.greatest(F.col("n_rows"), F.lit(1))
+    if variant == "experiment":
+        skew = F.coalesce(F.tanh(mean_skew / 3.0), lit_d(0.0))
+        imbalance = F.when(F.col("_labelled"), F.col("_min_class") / F.col("_max_class")).otherwise(lit_d(0.5))
     else:
-        out = out.withColumn("imbalance_ratio", lit_d(0.5))
-    return out.select("dataset_id", "n_rows", "n_features", "missing_values", "imbalance_ratio",
-                      "duplicate_ratio", "skew_score", "low_variance_fraction")
+        # Q14: min(1, NaN) is 1 in Python, so "no column with ≥3 values" scores 1
+        skew = F.when(mean_skew.isNull(), lit_d(1.0)).otherwise(F.least(lit_d(1.0), mean_skew / 3.0))
+        imbalance = F.coalesce(F.col("_max_class") / F.col("n_rows"), lit_d(0.5))
+    any_num = F.col("_slots") > 0
+    return out.select(
+        "dataset_id", "n_rows", "n_features", "missing_values", imbalance.alias("imbalance_ratio"),
+        (F.coalesce("duplicates", F.lit(0)) / n).alias("duplicate_ratio"),
+        F.when(any_num, skew).otherwise(lit_d(0.0)).alias("skew_score"),
+        F.when(any_num, low / F.col("_slots")).otherwise(lit_d(0.0)).alias("low_variance_fraction"))
+
+
+def dataset_stats(df: DataFrame, dataset_id: str, target: str, features: list[str] | None = None,
+                  model_type: str = "classification", variant: str = "service") -> DataFrame:
+    """``many_dataset_stats`` of one dataset."""
+    return many_dataset_stats([Dataset(df, dataset_id, target, features, model_type)], variant)

@@ -22,8 +22,11 @@ loss.  The order key must be unique inside a group (callers append
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trustframe.functions.expr import lit_d
 from trustframe.session import checkpoint_dir
@@ -64,14 +67,103 @@ def with_position(df: DataFrame, by: list[str], order: list[Column | str],
                .drop("_pid", "_local", "_start", "_base"))
 
 
+def _ordered(c: Column, t: T.DataType) -> Column:
+    """A number in the order of a date or number key."""
+    return F.unix_date(c) if isinstance(t, T.DateType) else c
+
+
+def global_rank(df: DataFrame, key: Column, rank_of, accuracy: int = 200000):
+    """(n, k, v, below, ties): the value ``v`` at the 0-based rank ``k = rank_of(n)`` of a number over all
+    rows, and how many rows lie below it and equal it; v is None if no row has that rank, and the
+    result is None if a key is null or NaN.
+
+    Scalars alone reach the driver.  ``percentile_approx`` brackets the rank; while a bracket holds more
+    than ``accuracy`` rows, it is bracketed again, about accuracy/8 times narrower each time, so 10^12
+    keys take three scans; what is left is at most ``accuracy`` keys, sorted in one row.  A bracket
+    that misses the rank (keys beyond a double) or doesn't narrow (one value many times) is halved by value."""
+    base = df.select(key.alias("_v"))
+    m = 4.0 / accuracy
+    rows, n, lo, hi = base.agg(F.count(F.lit(1)), F.count("_v"), F.min("_v"), F.max("_v")).first()
+    if rows != n or hi != hi:
+        return None
+    k = rank_of(n)
+    if not 0 <= k < n:
+        return n, k, None, n, 0
+    below, inside = 0, n
+    while inside > accuracy and lo != hi:
+        cell = base.filter(F.col("_v").between(F.lit(lo), F.lit(hi)))
+        q = (k - below) / inside
+        g = cell.agg(F.percentile_approx("_v", [max(0.0, q - m), min(1.0, q + m)], accuracy)).first()[0]
+        under, held = _bracket_counts(cell, g[0], g[1])
+        if below + under <= k < below + under + held and (held < inside or g[0] == g[1]):
+            lo, hi, below, inside = g[0], g[1], below + under, held
+            continue
+        mid = min(lo + (hi - lo) / 2, math.nextafter(hi, lo)) if isinstance(lo, float) else lo + (hi - lo) // 2
+        held = _bracket_counts(cell, lo, mid)[1]
+        if k < below + held:
+            hi, inside = mid, held
+        else:
+            lo = cell.filter(F.col("_v") > F.lit(mid)).agg(F.min("_v")).first()[0]
+            below, inside = below + held, inside - held
+    if lo == hi:
+        return n, k, lo, below, inside
+    held = base.filter(F.col("_v").between(F.lit(lo), F.lit(hi))).agg(F.sort_array(F.collect_list("_v")).alias("_h"))
+    v, at, ties = (held.withColumn("_x", F.element_at("_h", int(k - below + 1)))
+                       .select("_x", F.array_position("_h", F.col("_x")), F.size(F.filter("_h", lambda x: x == F.col("_x")))).first())
+    return n, k, v, below + at - 1, ties
+
+
+def _bracket_counts(cell: DataFrame, lo, hi) -> tuple[int, int]:
+    """How many keys lie below ``lo``, and from ``lo`` to ``hi``."""
+    zero = F.lit(0).cast("long")
+    return tuple(cell.agg(F.coalesce(F.sum((F.col("_v") < F.lit(lo)).cast("long")), zero),
+                          F.coalesce(F.sum(F.col("_v").between(F.lit(lo), F.lit(hi)).cast("long")), zero)).first())
+
+
+def _first_part(df: DataFrame, order: list[str], train_fraction: float) -> Column | None:
+    """Whether a row is among the first ``floor(f * n)`` of the whole table by ``order``, as an expression
+    over its columns; None if the first key is neither a number nor a date, or has a null or NaN.
+
+    The leading key's boundary value comes from ``global_rank``; only the rows that tie on it are
+    ranked by the other keys, and the one at the boundary gives the rest of the expression."""
+    t = df.schema[order[0]].dataType
+    if not isinstance(t, (T.IntegralType, T.FloatType, T.DoubleType, T.DateType)):
+        return None
+    lead = _ordered(F.col(order[0]), t)
+    found = global_rank(df, lead, lambda n: int(math.floor(float(n) * train_fraction)))
+    if found is None:
+        return None
+    n, k, v, below, ties = found
+    if v is None or below == k:  # the cut lies before the ties, or there are no rows
+        return lead < F.lit(v) if v is not None else F.lit(k >= n)
+    if len(order) == 1:
+        return None
+    rest = with_position(df.filter(lead == F.lit(v)).select(*order[1:]), [], [F.col(c) for c in order[1:]], "_pos", "_n")
+    edge = rest.filter(F.col("_pos") == F.lit(k - below)).select(*order[1:]).first()
+    less, same = lead < F.lit(v), lead == F.lit(v)
+    for c in order[1:]:  # nulls come first
+        e = F.lit(edge[c]).cast(df.schema[c].dataType)
+        less = less | (same & (F.col(c).isNull() & F.lit(edge[c] is not None) | F.coalesce(F.col(c) < e, F.lit(False))))
+        same = same & F.col(c).eqNullSafe(e)
+    taken = rest.filter(F.col("_pos") < F.lit(k - below))
+    equal = F.lit(True)
+    for c in order[1:]:
+        equal = equal & F.col(c).eqNullSafe(F.lit(edge[c]).cast(df.schema[c].dataType))
+    return less if taken.filter(equal).isEmpty() else None  # equal keys on both sides: positions decide
+
+
 def positional_split(df: DataFrame, by: list[str], order: list[str],
                      train_fraction: float = 0.8, split_col: str = "split",
                      unique_numeric_key: bool = False) -> DataFrame:
     """first ``floor(train_fraction * n)`` rows of each group are 'train'.
 
-    With a single unique numeric order key the split is ``key < v`` where v
-    is the exact ⌊f·n⌋-th key (``order_statistics``: two aggregations, no
-    sort); otherwise positions come from ``with_position``."""
+    Without groups the split is an expression over the order keys (``_first_part``: scans
+    and a sort of the rows that tie on the leading key), so the table is neither sorted nor
+    rewritten.  With groups and a single unique numeric key it is ``key < v`` where v is the group's
+    exact ⌊f·n⌋-th key (``order_statistics``).  Otherwise positions come from ``with_position``."""
+    first = _first_part(df, order, train_fraction) if not by else None
+    if first is not None:
+        return df.withColumn(split_col, F.when(first, F.lit("train")).otherwise(F.lit("test")))
     if unique_numeric_key and len(order) == 1:
         cut = order_statistics(df, by, order[0], [("_cut", train_fraction, "floor_n")]).drop("n")
         j = df.join(cut, by) if by else df.withColumn("_j", F.lit(1)).join(

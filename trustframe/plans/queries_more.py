@@ -200,16 +200,10 @@ def q_null_injection(spark, sf):
 
 
 def _q_null_injection(spark, sf):
-    from trustframe.operators.health import dataset_stats
+    from trustframe.operators.health import Dataset, many_dataset_stats
     ds = W.orders_dataset(spark, sf).select("row_id", *X.FEATURES, "target")
-    outs = []
-    for name, p in (("clean", 0.0), ("moderate", 0.10), ("severe", 0.30)):
-        d = X.inject_nulls(ds, "row_id", ["target", X.SENSITIVE], p).drop("row_id")
-        outs.append(dataset_stats(d, name, "target"))
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
-    return res
+    return many_dataset_stats([Dataset(X.inject_nulls(ds, "row_id", ["target", X.SENSITIVE], p).drop("row_id"), name, "target")
+                               for name, p in (("clean", 0.0), ("moderate", 0.10), ("severe", 0.30))])
 
 
 @register("scenario_oversample_majority", "WITH " + O.ORDERS_DS + """,

@@ -227,6 +227,23 @@ for _t, (_cols, _num, _tgt, _mt) in HEALTH_TABLES.items():
     register(f"health_stats_{_t}", _sql)(_mk(_t, _cols, _tgt, _mt))
 
 
+def _many_sql() -> str:
+    """The three tables' statistics under one another."""
+    parts = []
+    for t, (cols, num, tgt, mt) in HEALTH_TABLES.items():
+        parts.append("SELECT * FROM (WITH ds2 AS (SELECT " + ", ".join(cols) + f" FROM {t})," + O.stats_sql(
+            "ds2", t, cols, [c for c in num if c != tgt], tgt, mt)
+            + "\nSELECT dataset_id, " + ", ".join(_ST) + ", " + ", ".join(f"{O.rh(c)} AS {c}" for c in _STD) + " FROM st)")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("health_stats_many", _many_sql())
+def q_health_many(spark, sf):
+    st = HE.many_dataset_stats([HE.Dataset(table(spark, sf, t).select(*cols), t, tgt, model_type=mt)
+                                for t, (cols, _, tgt, mt) in HEALTH_TABLES.items()])
+    return st.select("dataset_id", *_ST, *[r6(c) for c in _STD])
+
+
 @register("health_stats_experiment", """
 WITH s AS (SELECT count(*) AS n_rows,
   CAST(count(*) FILTER (WHERE c_custkey IS NULL) + count(*) FILTER (WHERE c_name IS NULL) + count(*) FILTER (WHERE c_nationkey IS NULL)
