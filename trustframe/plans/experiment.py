@@ -322,11 +322,13 @@ def inject_nulls(df: DataFrame, row_id: str, protected: list[str], p: float, see
     return df.select(*out)
 
 
-def oversample_majority(df: DataFrame, label: str, row_id: str, rate: float = 0.2, seed: str = "42") -> DataFrame:
+def oversample_majority(df: DataFrame, label: str, row_id: str, rate: float = 0.2, seed: str = "42",
+                        copy_col: str | None = None) -> DataFrame:
     """M6: add ``int(rate · n_majority)`` majority rows drawn with
     replacement.  Draw j picks position ⌊u(j)·n⌋ of the majority rows (exact
     positions from ``with_position``); draws are a ``range`` sized from the
-    data and joined on position — no sampling on the driver."""
+    data and joined on position — no sampling on the driver.  ``copy_col`` adds
+    the draw's number (-1 for the rows themselves)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     maj = counts.orderBy(F.col("n").desc(), F.col(label)).limit(1)
     majority = df.join(maj.select(label), label, "left_semi")
@@ -340,7 +342,10 @@ def oversample_majority(df: DataFrame, label: str, row_id: str, rate: float = 0.
     draws = spark.range(0, m).select(
         F.col("id").alias("draw"),
         F.floor(uniform01(F.lit(seed), F.col("id").cast("string")) * n_maj).cast("long").alias("_pos"))
-    extra = draws.join(pos, "_pos").drop("_pos", "_n", "draw")
+    extra = draws.join(pos, "_pos")
+    if copy_col:
+        return (df.withColumn(copy_col, F.lit(-1).cast("long"))
+                  .unionByName(extra.select(*df.columns, F.col("draw").alias(copy_col))))
     return df.unionByName(extra.select(*df.columns))
 
 
@@ -360,3 +365,75 @@ def before_after_rates(before: DataFrame, after: DataFrame, keys: list[str], att
     b = before.groupBy(*keys, attr).agg(F.avg(y_pred).alias("rate_before"))
     a = after.groupBy(*keys, attr).agg(F.avg(y_pred).alias("rate_after"))
     return b.join(a, [*keys, attr])
+
+
+# Null shares and copied majority share of the corrupted datasets.
+DATA_SCENARIOS = {"clean": (0.0, 0.0), "moderate": (0.10, 0.0), "severe": (0.30, 0.20)}
+BIAS_SCENARIOS = ("strong", "extreme")
+TEST_SHARE = 0.3
+
+
+def scenario_datasets(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The order features clean and corrupted: cells lost by hash draw (never the target or the sensitive
+    column), then majority rows copied.  ``copy`` is -1 for a row itself, else its draw."""
+    ds = W.orders_dataset(spark, sf).select("row_id", *FEATURES, "target")
+    out = {}
+    for name, (nulls, copies) in DATA_SCENARIOS.items():
+        d = inject_nulls(ds, "row_id", ["target", SENSITIVE], nulls) if nulls else ds
+        out[name] = oversample_majority(d, "target", "row_id", copies, copy_col="copy") if copies else d.withColumn("copy", F.lit(-1).cast("long"))
+    return out
+
+
+def scenario_predictions(datasets: dict[str, DataFrame], biased_value: str) -> DataFrame:
+    """Predictions of all scenarios under one key: ``dataset_id`` names the scenario.  A rule on a lost cell
+    doesn't fire (0).  The bias scenarios force the clean predictions; a row and its copies are
+    dealt to the test part each by its own draw."""
+    outs = []
+    for name, d in datasets.items():
+        p = W._explode_models(d, {m: f"coalesce(CAST(({r}) AS DOUBLE), 0D)" for m, r in W.BINARY_RULES.items()}, "double")
+        outs.append(p.withColumn("dataset_id", F.lit(name)))
+    clean = outs[list(datasets).index("clean")]
+    for strength in BIAS_SCENARIOS:
+        outs.append(force_predictions(clean, SENSITIVE, biased_value, strength).withColumn("dataset_id", F.lit(strength)))
+    rows = outs[0]
+    for o in outs[1:]:
+        rows = rows.unionByName(o)
+    test = uniform01(F.lit("test"), F.col("row_id").cast("string"), F.col("copy").cast("string")) < TEST_SHARE
+    return rows.select("model_id", "dataset_id", F.when(test, "test").otherwise("train").alias("split"),
+                       F.col("target").cast("double").alias("y_true"), "y_pred", SENSITIVE)
+
+
+def scenario_table(spark: SparkSession, sf: str, biased_value: str = "BUILDING", n_runs: int = 10) -> DataFrame:
+    """M8: one row a (model, scenario): metrics and DP of the test part, components, DII, trust, interval
+    and guard in both modes, and the trust lost against the clean scenario.
+
+    All scenarios go through one summary aggregate of one predictions table and one statistics job;
+    a bias scenario has the clean dataset's statistics."""
+    from trustframe.operators.fairness import fairness_gaps, fairness_summary, group_metrics_from_counts
+    from trustframe.operators.health import Dataset, many_dataset_stats
+    from trustframe.operators.metrics import metrics_from_confusion
+    from trustframe.plans import evaluation as E
+    datasets = scenario_datasets(spark, sf)
+    summary = E._materialise(E.classification_summary(scenario_predictions(datasets, biased_value), [SENSITIVE]))
+    metrics = metrics_from_confusion(E._conf(summary, "test"))
+    fair = fairness_summary(fairness_gaps(group_metrics_from_counts(E._test_group_counts(summary))))
+    stats = many_dataset_stats([Dataset(d.drop("row_id", "copy"), name, "target") for name, d in datasets.items()], variant="experiment")
+    named = stats.withColumn("dataset_id", F.explode(F.when(
+        F.col("dataset_id") == "clean", F.array(*[F.lit(s) for s in ("clean", *BIAS_SCENARIOS)])).otherwise(F.array("dataset_id"))))
+    inputs = (metrics.withColumnRenamed("n_rows", "n_predictions").join(fair, E.K, "left").join(named, "dataset_id")
+              .withColumn("model_type", F.lit("classification"))
+              .withColumn("fairness_evaluated", F.coalesce(F.col("fairness_evaluated"), F.lit(False))))
+    inputs = E._materialise(inputs)  # models x scenarios rows
+    both = trust_columns(inputs.withColumn("trust_mode", F.explode(F.array(F.lit("balanced"), F.lit("strict")))), with_text=False)
+    modes = E._materialise(both.select(*E.K, "trust_mode", "P", "H", "F", "R", "DII", "trust_score", "guard_triggered")
+                           .join(replicate_ci(inputs, E.K, n_runs), [*E.K, "trust_mode"]))
+    wide = modes.groupBy(*E.K).pivot("trust_mode", ["balanced", "strict"]).agg(
+        *[F.first(c).alias(a) for c, a in (("trust_score", "trust"), ("DII", "dii"), ("guard_triggered", "guard"), ("P", "p"),
+                                           ("H", "h"), ("F", "f"), ("R", "r"), ("lower_bound", "low"), ("upper_bound", "high"),
+                                           ("std_trust", "std"))])
+    out = inputs.select(*E.K, "n_rows", "accuracy", "f1_score", "dp").join(wide, E.K)
+    base = out.filter(F.col("dataset_id") == "clean").select("model_id", *[F.col(f"{m}_trust").alias(f"_{m}") for m in ("balanced", "strict")])
+    return out.join(base, "model_id").select(
+        "model_id", F.col("dataset_id").alias("scenario"), "n_rows", "accuracy", "f1_score", "dp",
+        *[f"{m}_{c}" for m in ("balanced", "strict") for c in ("p", "h", "f", "r", "dii", "trust", "low", "high", "std", "guard")],
+        *[round_half(F.col(f"{m}_trust") - F.col(f"_{m}"), 2).alias(f"{m}_delta") for m in ("balanced", "strict")])

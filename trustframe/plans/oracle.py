@@ -9,6 +9,9 @@ literals are cast to DOUBLE because DuckDB reads ``0.35`` as DECIMAL.
 
 from __future__ import annotations
 
+import math
+import re
+
 
 def rh(x: str, n: int = 6) -> str:
     p = f"{10 ** n}.0::DOUBLE"
@@ -642,3 +645,106 @@ grid AS (
 sw AS (SELECT model_id, trust_mode, w_f, trust_score,
               coalesce(trust_score - lag(trust_score) OVER (PARTITION BY model_id, trust_mode ORDER BY w_f), 0.0::DOUBLE) AS delta
        FROM tr)"""
+
+
+# Fixed value: the 97.5 % point of Student's t with 9 degrees of freedom (10 runs).
+T_975_9 = "2.2621571628540993::DOUBLE"
+
+
+def materialised(sql: str) -> str:
+    """The long chains' steps computed once each: inlined, their expressions multiply."""
+    return re.sub(r"\b(inp|rep|rp0|sd|sst|preds|q?t[3689]|q?tr|ci|bm) AS \(", r"\1 AS MATERIALIZED (", sql)
+
+
+def replicate_sql(src: str, keys: str = "model_id, dataset_id", sigma: float = 0.02) -> str:
+    """T17 + K6 after ``trust_sql``: ten re-scorings of each (pair, mode) of ``src`` with the same MD5 draws
+    -> CTE ``ci``.  Columns of a classification pair are perturbed."""
+    def u(name: str, half: str) -> str:
+        return (f"(('0x' || substr(md5(model_id || '|' || dataset_id || '|' || trust_mode || '|' || run::VARCHAR || '|{name}|{half}'), 1, 8))"
+                f"::BIGINT / 4294967296.0::DOUBLE)")
+
+    def z(name: str) -> str:
+        return (f"{d(sigma)} * (sqrt(-2.0::DOUBLE * ln(greatest({u(name, 'a')}, 1e-12::DOUBLE)))"
+                f" * cos({2 * math.pi!r}::DOUBLE * {u(name, 'b')}))")
+    noisy = [f"{clip(f'{c} + {z(c)}')} AS {c}" for c in
+             ("accuracy", "f1_score", "precision", "recall", "train_accuracy", "train_f1_score", "imbalance_ratio", "duplicate_ratio")]
+    noisy.append(f"CASE WHEN fairness_evaluated AND dp IS NOT NULL THEN {clip(f'abs(dp) + ' + z('dp'))} ELSE dp END AS dp")
+    kept = ["std_y", "range_y", "model_type", "mae", "mse", "rmse", "r2_score", "train_r2_score", "has_train", "fairness_evaluated",
+            "n_rows", "n_features", "missing_values", "skew_score", "low_variance_fraction"]
+    nulls = ", ".join(f"NULL::DOUBLE AS w_{c}" for c in ("performance", "health", "fairness", "robustness"))
+    chain = trust_sql("rep", user_weights=True)
+    for name in ("t0b", "t0", "t1", "t2", "t3", "t4", "t5", "t6", "t7", "t8", "t9", "t10", "t11", "tr"):
+        chain = re.sub(rf"\b{name}\b", f"q{name}", chain)
+    return f"""
+rp0 AS (SELECT s.*, m.trust_mode, g.run FROM {src} s CROSS JOIN (VALUES ('balanced'), ('strict')) m(trust_mode),
+        generate_series(0, 9) g(run)),
+rep AS (SELECT model_id, dataset_id, trust_mode, run, {nulls}, {", ".join(kept)}, {", ".join(noisy)} FROM rp0),
+{chain.lstrip()},
+ci0 AS (SELECT {keys}, trust_mode, count(*) AS n_runs, avg(trust_score) AS mean, stddev_samp(trust_score) AS std,
+               list_sort(list(trust_score))[6] AS median_run_trust FROM qtr GROUP BY ALL),
+ci1 AS (SELECT *, CASE WHEN std > 0 THEN {T_975_9} * std / sqrt(n_runs) ELSE 0.0::DOUBLE END AS m FROM ci0),
+ci AS (SELECT {keys}, trust_mode, n_runs, {rh('mean', 2)} AS trust_score_mean, {rh('std', 4)} AS std_trust,
+              {rh('m', 4)} AS confidence_interval, {rh('greatest(0.0::DOUBLE, mean - m)', 2)} AS lower_bound,
+              {rh('least(100.0::DOUBLE, mean + m)', 2)} AS upper_bound, median_run_trust FROM ci1)"""
+
+
+def scenario_table_sql(biased_value: str) -> str:
+    """Oracle for ``experiment.scenario_table`` (M8)."""
+    feats = ["o_totalprice", "o_orderpriority", "c_acctbal", "c_mktsegment", "n_regionkey"]
+    num = ["o_totalprice", "c_acctbal"]
+    u = (lambda key: f"(('0x' || substr(md5({key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)")
+    lost = ", ".join((f"CASE WHEN {u(f"'42|' || CAST(row_id AS VARCHAR) || '|{c}'")} < p THEN NULL ELSE {c} END AS {c}"
+                      if c != "c_mktsegment" else c) for c in feats)
+    rules = [("m_price", "o_totalprice > 200000"), ("m_priority", "o_orderpriority IN ('1-URGENT', '2-HIGH')"),
+             ("m_acctbal", "c_acctbal > 5000")]
+    preds = "\n  UNION ALL ".join(
+        f"SELECT '{m}' AS model_id, scenario AS dataset_id, row_id, copy, CAST(target AS DOUBLE) AS y_true, "
+        f"coalesce(CAST(({r}) AS DOUBLE), 0.0::DOUBLE) AS y_pred, c_mktsegment FROM sd" for m, r in rules)
+    sk = [f"(CASE WHEN count({c}) >= 3 THEN CASE WHEN var_samp({c}) = 0 THEN 0.0::DOUBLE ELSE abs(skewness({c})) END END)" for c in num]
+    cols = ", ".join([*feats, "target"])
+    return "WITH " + ORDERS_DS + f""",
+inj AS (SELECT v.name AS scenario, row_id, {lost}, target
+        FROM ds, (VALUES ('clean', 0.0::DOUBLE), ('moderate', 0.10::DOUBLE), ('severe', 0.30::DOUBLE)) v(name, p)),
+mj AS (SELECT target, count(*) AS n FROM ds GROUP BY target ORDER BY n DESC, target LIMIT 1),
+pos AS (SELECT inj.*, row_number() OVER (ORDER BY row_id) - 1 AS p FROM inj JOIN mj USING (target) WHERE scenario = 'severe'),
+dr AS (SELECT g.d, CAST(floor({u("'42|' || CAST(g.d AS VARCHAR)")} * mj.n) AS BIGINT) AS p
+       FROM mj, generate_series(0, CAST(floor(mj.n * 0.2::DOUBLE) AS BIGINT) - 1) g(d)),
+sd AS (SELECT scenario, row_id, -1 AS copy, {cols} FROM inj
+       UNION ALL SELECT scenario, row_id, d, {cols} FROM dr JOIN pos USING (p)),
+pr0 AS ({preds}),
+pr1 AS (SELECT * FROM pr0
+        UNION ALL SELECT model_id, 'strong', row_id, copy, y_true, CASE WHEN c_mktsegment = '{biased_value}' THEN 1.0::DOUBLE ELSE y_pred END,
+               c_mktsegment FROM pr0 WHERE dataset_id = 'clean'
+        UNION ALL SELECT model_id, 'extreme', row_id, copy, y_true, CASE WHEN c_mktsegment = '{biased_value}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END,
+               c_mktsegment FROM pr0 WHERE dataset_id = 'clean'),
+preds AS (SELECT * FROM pr1 WHERE {u("'test|' || CAST(row_id AS VARCHAR) || '|' || CAST(copy AS VARCHAR)")} < 0.3::DOUBLE),""" \
+        + class_metrics_sql("preds", "met") + "," + class_fairness_sql("preds", ["c_mktsegment"]) + "," + fairness_summary_sql("gaps2") + f""",
+sb AS (SELECT scenario, count(*) AS n_rows, CAST({" + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in [*feats, "target"])} AS BIGINT) AS missing_values,
+              ({" + ".join(f"CASE WHEN var_samp({c}) < 0.01::DOUBLE THEN 1 ELSE 0 END" for c in num)})::DOUBLE / {len(num)} AS low_variance_fraction,
+              coalesce(tanh(({" + ".join(f"coalesce({x}, 0.0::DOUBLE)" for x in sk)}) / ({" + ".join(f"CASE WHEN {x} IS NOT NULL THEN 1 ELSE 0 END" for x in sk)}) / 3.0::DOUBLE), 0.0::DOUBLE) AS skew_score
+       FROM sd GROUP BY scenario),
+sk AS (SELECT scenario, min(c)::DOUBLE / max(c) AS imbalance_ratio FROM (SELECT scenario, target, count(*) AS c FROM sd WHERE target IS NOT NULL GROUP BY ALL) GROUP BY scenario),
+su AS (SELECT scenario, count(*) AS nd FROM (SELECT DISTINCT scenario, {cols} FROM sd) GROUP BY scenario),
+sst AS (SELECT * FROM sb JOIN sk USING (scenario) JOIN su USING (scenario)),
+inp AS (
+  SELECT met.model_id, met.dataset_id, 'classification' AS model_type, met.accuracy, met.precision, met.recall, met.f1_score,
+         NULL::DOUBLE AS mae, NULL::DOUBLE AS mse, NULL::DOUBLE AS rmse, NULL::DOUBLE AS r2_score, NULL::DOUBLE AS std_y,
+         NULL::DOUBLE AS range_y, NULL::DOUBLE AS train_accuracy, NULL::DOUBLE AS train_f1_score, NULL::DOUBLE AS train_r2_score,
+         FALSE AS has_train, coalesce(fs.fairness_evaluated, FALSE) AS fairness_evaluated, fs.dp, sst.n_rows, {len(feats)} AS n_features,
+         sst.missing_values, sst.imbalance_ratio, (sst.n_rows - sst.nd)::DOUBLE / sst.n_rows AS duplicate_ratio, sst.skew_score,
+         sst.low_variance_fraction
+  FROM met LEFT JOIN fs USING (model_id, dataset_id)
+  JOIN sst ON sst.scenario = CASE WHEN met.dataset_id IN ('strong', 'extreme') THEN 'clean' ELSE met.dataset_id END),
+""" + trust_sql("inp").lstrip() + "," + replicate_sql("inp") + """,
+bm AS (SELECT tr.model_id, tr.dataset_id, tr.n_rows, tr.accuracy, tr.f1_score, tr.dp, tr.trust_mode, tr.P, tr.H, tr.F, tr.R, tr.DII,
+              tr.trust_score, tr.guard_triggered, ci.lower_bound, ci.upper_bound, ci.std_trust
+       FROM tr JOIN ci USING (model_id, dataset_id, trust_mode)),
+wd AS (SELECT b.model_id, b.dataset_id AS scenario, b.n_rows, """ + ", ".join(f"{rh(f'b.{c}')} AS {c}" for c in ("accuracy", "f1_score", "dp")) + ", " \
+        + ", ".join(f"{x}.{c} AS {m}_{a}" if c in ("trust_score", "guard_triggered", "lower_bound", "upper_bound", "std_trust")
+                    else f"{rh(f'{x}.{c}')} AS {m}_{a}"
+                    for m, x in (("balanced", "b"), ("strict", "s"))
+                    for c, a in (("P", "p"), ("H", "h"), ("F", "f"), ("R", "r"), ("DII", "dii"), ("trust_score", "trust"),
+                                 ("lower_bound", "low"), ("upper_bound", "high"), ("std_trust", "std"), ("guard_triggered", "guard"))) + f"""
+       FROM bm b JOIN bm s ON b.model_id = s.model_id AND b.dataset_id = s.dataset_id AND b.trust_mode = 'balanced' AND s.trust_mode = 'strict')
+SELECT wd.*, {rh('wd.balanced_trust - c.balanced_trust', 2)} AS balanced_delta, {rh('wd.strict_trust - c.strict_trust', 2)} AS strict_delta
+FROM wd JOIN (SELECT * FROM wd WHERE scenario = 'clean') c ON wd.model_id = c.model_id"""

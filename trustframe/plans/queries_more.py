@@ -43,7 +43,7 @@ def q_lambda_summary(spark, sf):
     return X.lambda_sensitivity_summary(X.lambda_sensitivity(scored, K), K)
 
 
-@register("sweep_replicate_ci", None)
+@register("sweep_replicate_ci", O.materialised(O.evaluation_ctes("orders_status") + "," + O.replicate_sql("inp") + "\nSELECT * FROM ci"))
 def q_replicate(spark, sf):
     inp = E.evaluation_inputs(spark, sf, E.WORKLOADS["orders_status"])
     return X.replicate_ci(inp, K, n_runs=10)
@@ -258,7 +258,7 @@ def q_scenarios(spark, sf):
 
 
 def _q_scenarios(spark, sf):
-    """M8: clean vs biased predictions through the fairness + trust path."""
+    """M8, fairness alone: clean and biased predictions through the fairness path (``scenario_table`` has the rest)."""
     from trustframe.operators.fairness import fairness_gaps, fairness_summary
     preds = W.binary_predictions(spark, sf)
     outs = []
@@ -273,6 +273,13 @@ def _q_scenarios(spark, sf):
     return res.join(base, K).withColumn("dp_delta", F.col("dp") - F.col("dp_normal"))
 
 
+@register("scenario_table", O.materialised(O.scenario_table_sql("BUILDING")))
+def q_scenario_table(spark, sf):
+    t = X.scenario_table(spark, sf, "BUILDING")
+    whole = {"model_id", "scenario", "n_rows"} | {f"{m}_{c}" for m in ("balanced", "strict") for c in ("guard",)}
+    return t.select(*[c if c in whole else r6(c) for c in t.columns])
+
+
 # ----------------------------------------------------------------- text
 
 PAIRS_SQL = """
