@@ -6,9 +6,11 @@ is shuffled.  Whole texts are processed (no prefixes).  ROUGE-L needs an
 LCS per pair, done by a pandas UDF with a row-vectorised DP.
 
 Tokenisation (re-aimed, documented in the README):
-* BLEU: punctuation split from words, whitespace split, case kept.
+* BLEU: punctuation split from words, whitespace split, case kept; or the
+  13a tokenisation (``bleu_tokens_13a``), with exponential smoothing on request.
 * ROUGE: lower case, runs of characters outside [a-z0-9] are separators;
-  no stemming.
+  stemmed on request (Porter's published algorithm, tokens of more than
+  three letters).
 """
 
 from __future__ import annotations
@@ -22,6 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trustframe.functions.expr import lit_d
+from trustframe.functions.stem import stem_tokens
+
+# The 13a tokenisation's replacements, in order.
+TEXT_13A = [("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")]
+SPLIT_13A = [(r"([{-~\[-` -&(-+:-@/])", " {1} "), (r"([^0-9])([.,])", "{1} {2} "), (r"([.,])([^0-9])", " {1} {2}"),
+             (r"([0-9])(-)", "{1} {2} ")]
 
 
 def bleu_tokens(c: Column) -> Column:
@@ -29,6 +37,19 @@ def bleu_tokens(c: Column) -> Column:
     return F.filter(F.split(F.trim(spaced), r"\s+"), lambda x: x != "")
 
 
+def bleu_tokens_13a(c: Column) -> Column:
+    for old, new in TEXT_13A:
+        c = F.replace(c, F.lit(old), F.lit(new))
+    c = F.concat(F.lit(" "), c, F.lit(" "))
+    for pattern, new in SPLIT_13A:
+        c = F.regexp_replace(c, pattern, new.replace("{1}", "$1").replace("{2}", "$2"))
+    return F.filter(F.split(c, r"\s+"), lambda x: x != "")
+
+
+def rouge_tokens_stemmed(c: Column) -> Column:
+    return stem_tokens(rouge_tokens(c))
+
+
 def rouge_tokens(c: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "), " "), lambda x: x != "")
 
@@ -59,6 +80,26 @@ def overlap_table(pairs: DataFrame, keys: list[str], max_n: int, tokenizer) -> D
                     F.greatest(F.col("lr") - n + 1, F.lit(0)).alias("ref_ngrams"))
 
 
+def corpus_bleu_smoothed(pairs: DataFrame, keys: list[str], group: list[str] | None = None) -> DataFrame:
+    """A19 as the standard scorer has it: 13a tokens and exponential smoothing, by which the j-th order
+    without a match counts 1/2^j matches; 0 if nothing matches or an order has no n-grams."""
+    group = group or []
+    o = overlap_table(pairs, keys, 4, bleu_tokens_13a)
+    at = lambda c, i: F.coalesce(F.sum(F.when(F.col("n") == i, F.col(c))), F.lit(0))
+    g = o.groupBy(*group).agg(*[at("matches", i).alias(f"_m{i}") for i in range(1, 5)],
+                              *[at("pred_ngrams", i).alias(f"_t{i}") for i in range(1, 5)],
+                              at("lp", 1).alias("sys_len"), at("lr", 1).alias("ref_len"))
+    logs, zeros = lit_d(0.0), F.lit(0)
+    for i in range(1, 5):
+        zeros = zeros + F.when(F.col(f"_m{i}") == 0, 1).otherwise(0)
+        logs = logs + F.log(F.when(F.col(f"_m{i}") > 0, F.col(f"_m{i}").cast("double")).otherwise(F.pow(lit_d(2.0), -zeros)) / F.col(f"_t{i}"))
+    bp = F.when(F.col("sys_len") >= F.col("ref_len"), lit_d(1.0)).when(
+        F.col("sys_len") > 0, F.exp(1 - F.col("ref_len") / F.col("sys_len"))).otherwise(lit_d(0.0))
+    some = (F.col("_t4") > 0) & (F.col("_m1") > 0)
+    return g.select(*group, F.when(some, 100.0 * bp * F.exp(logs / 4.0)).otherwise(lit_d(0.0)).alias("bleu_score"),
+                    bp.alias("brevity_penalty"), "sys_len", "ref_len")
+
+
 def corpus_bleu(pairs: DataFrame, keys: list[str], group: list[str] | None = None) -> DataFrame:
     """Corpus BLEU (0–100) per group of pairs: clipped n-gram precisions
     for n = 1..4, geometric mean, brevity penalty exp(1 − r/c) when c < r."""
@@ -78,9 +119,9 @@ def corpus_bleu(pairs: DataFrame, keys: list[str], group: list[str] | None = Non
                     F.col("c").alias("sys_len"), F.col("r").alias("ref_len"))
 
 
-def rouge_n(pairs: DataFrame, keys: list[str]) -> DataFrame:
+def rouge_n(pairs: DataFrame, keys: list[str], tokens=rouge_tokens) -> DataFrame:
     """A20 (1 and 2): per-pair F-measure, then the mean."""
-    o = overlap_table(pairs, keys, 2, rouge_tokens)
+    o = overlap_table(pairs, keys, 2, tokens)
     p = F.when(F.col("pred_ngrams") > 0, F.col("matches") / F.col("pred_ngrams")).otherwise(lit_d(0.0))
     r = F.when(F.col("ref_ngrams") > 0, F.col("matches") / F.col("ref_ngrams")).otherwise(lit_d(0.0))
     f = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(lit_d(0.0))
@@ -113,10 +154,10 @@ def lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_lcs_len(list(x), list(y)) for x, y in zip(a, b)], dtype="int64")
 
 
-def rouge_l(pairs: DataFrame, keys: list[str]) -> DataFrame:
+def rouge_l(pairs: DataFrame, keys: list[str], tokens=rouge_tokens) -> DataFrame:
     """A20 (L): LCS-based F-measure per pair (pandas UDF), then the mean."""
-    t = pairs.select(*keys, rouge_tokens(F.col("prediction")).alias("pt"),
-                     rouge_tokens(F.col("reference")).alias("rt"))
+    t = pairs.select(*keys, tokens(F.col("prediction")).alias("pt"),
+                     tokens(F.col("reference")).alias("rt"))
     t = t.withColumn("lcs", lcs_udf("pt", "rt"))
     p = F.when(F.size("pt") > 0, F.col("lcs") / F.size("pt")).otherwise(lit_d(0.0))
     r = F.when(F.size("rt") > 0, F.col("lcs") / F.size("rt")).otherwise(lit_d(0.0))

@@ -344,6 +344,40 @@ def q_bleu(spark, sf):
                     F.col("ref_len").cast("long").alias("ref_len"))
 
 
+def _tok_13a(c: str) -> str:
+    """The 13a tokens of a text column in SQL."""
+    for old, new in TX.TEXT_13A:
+        old, new = (x.replace("\n", "' || chr(10) || '") for x in (old, new))
+        c = f"replace({c}, '{old}', '{new}')"
+    c = f"(' ' || {c} || ' ')"
+    for pattern, new in TX.SPLIT_13A:
+        new = new.replace("{1}", "\\1").replace("{2}", "\\2")
+        c = f"regexp_replace({c}, '{pattern}', '{new}', 'g')"
+    return f"list_filter(string_split_regex({c}, '\\s+'), lambda x: x <> '')"
+
+
+@register("text_bleu_13a", "WITH " + PAIRS_SQL + "," + _ngram_sql(_tok_13a("prediction"), _tok_13a("reference"), 4) + """,
+g AS (SELECT n, sum(matches) AS m, sum(pred_ngrams) AS t FROM ov GROUP BY n),
+z AS (SELECT *, sum(CASE WHEN m = 0 THEN 1 ELSE 0 END) OVER (ORDER BY n) AS zeros FROM g),
+lg AS (SELECT sum(ln(CASE WHEN m > 0 THEN m::DOUBLE ELSE pow(2.0::DOUBLE, -zeros::DOUBLE) END / t)) AS logs,
+              min(t) AS mint, max(m) AS maxm FROM z WHERE t > 0),
+l AS (SELECT CAST(sum(lp) AS BIGINT) AS c, CAST(sum(lr) AS BIGINT) AS r FROM ov WHERE n = 1),
+bp AS (SELECT c, r, CASE WHEN c >= r THEN 1.0::DOUBLE WHEN c > 0 THEN exp(1 - r::DOUBLE / c) ELSE 0.0::DOUBLE END AS bp FROM l)
+SELECT """ + O.rh("CASE WHEN (SELECT min(t) FROM g) > 0 AND maxm > 0 THEN 100.0::DOUBLE * bp * exp(logs / 4.0::DOUBLE) ELSE 0.0::DOUBLE END")
+          + " AS bleu_score, " + O.rh("bp") + " AS brevity_penalty, c AS sys_len, r AS ref_len FROM lg, bp")
+def q_bleu_13a(spark, sf):
+    return TX.corpus_bleu_smoothed(W.text_pairs(spark, sf), ["conv_id", "turn"]).select(
+        r6("bleu_score"), r6("brevity_penalty"), F.col("sys_len").cast("long").alias("sys_len"), F.col("ref_len").cast("long").alias("ref_len"))
+
+
+@register("text_rouge_stemmed", None)
+def q_rouge_stemmed(spark, sf):
+    """A20 with stemmed tokens: ROUGE-1, -2 and -L."""
+    pairs, keys = W.text_pairs(spark, sf), ["conv_id", "turn"]
+    n = TX.rouge_n(pairs, keys, TX.rouge_tokens_stemmed)
+    return n.join(F.broadcast(TX.rouge_l(pairs, keys, TX.rouge_tokens_stemmed))).select(r6("rouge1"), r6("rouge2"), r6("rougeL"))
+
+
 @register("text_eval_score_nlp", None)
 def q_nlp_eval(spark, sf):
     """T1 for an NLP pair: BLEU/100 (Q4) and the ROUGE mean."""
