@@ -73,26 +73,15 @@ def normalized_metric(name: str, value: Column, scale: Column) -> Column:
 
 
 def eval_score_columns(df: DataFrame) -> DataFrame:
-    """Add ``eval_score`` (0–100, 2 places) and ``norm_<metric>`` columns.
+    """Add ``eval_score`` (0–100, 2 places).
 
     Missing metrics add 0 with no re-weighting, as in the reference."""
-    cols = set(df.columns)
-    rouge_parts = [c for c in ("rouge1", "rouge2", "rougeL") if c in cols]
-    rouge = (sum((F.coalesce(_c(c), lit_d(0.0)) for c in rouge_parts), lit_d(0.0))
-             / max(1, len(rouge_parts))) if rouge_parts else F.lit(None).cast("double")
-    if rouge_parts:
-        rouge = F.when(F.greatest(*[_c(c).isNotNull() for c in rouge_parts]), rouge)
-    scale = error_scale(_present(cols, "std_y"), _present(cols, "range_y"))
-    values = {m: (rouge if m == "rouge_score" else _present(cols, m))
-              for w in METRIC_WEIGHTS.values() for m in w}
+    values, scale = _score_parts(set(df.columns))
     total = None
-    norms = {}
     for mtype, weights in METRIC_WEIGHTS.items():
         s = lit_d(0.0)
         for m, w in weights.items():
-            nm = normalized_metric(m, values[m], scale)
-            norms.setdefault(m, nm)
-            s = s + F.coalesce(nm * w, lit_d(0.0))
+            s = s + F.coalesce(normalized_metric(m, values[m], scale) * w, lit_d(0.0))
         total = (F.when(_c("model_type") == mtype, s) if total is None
                  else total.when(_c("model_type") == mtype, s))
     total = total.otherwise(lit_d(0.0))
@@ -100,6 +89,32 @@ def eval_score_columns(df: DataFrame) -> DataFrame:
     return df.withColumn("eval_score", score)
 
 
+def score_maps(df: DataFrame) -> DataFrame:
+    """Add ``normalized_metrics`` (metrics that the row has) and ``weight_distribution`` (every metric of
+    its model type) as maps by metric."""
+    values, scale = _score_parts(set(df.columns))
+    norm = weight = None
+    for mtype, weights in METRIC_WEIGHTS.items():
+        n = F.map_filter(F.create_map(*[x for m in weights for x in (F.lit(m), F.when(values[m].isNotNull(), normalized_metric(m, values[m], scale)))]),
+                         lambda k, v: v.isNotNull())
+        w = F.create_map(*[x for m, v in weights.items() for x in (F.lit(m), lit_d(v))])
+        is_type = _c("model_type") == mtype
+        norm = F.when(is_type, n) if norm is None else norm.when(is_type, n)
+        weight = F.when(is_type, w) if weight is None else weight.when(is_type, w)
+    return df.withColumn("normalized_metrics", norm).withColumn("weight_distribution", weight)
+
+
+def _score_parts(cols: set[str]) -> tuple[dict[str, Column], Column]:
+    """The value of each scored metric, and the scale of error metrics."""
+    rouge_parts = [c for c in ("rouge1", "rouge2", "rougeL") if c in cols]
+    rouge = (sum((F.coalesce(_c(c), lit_d(0.0)) for c in rouge_parts), lit_d(0.0))
+             / max(1, len(rouge_parts))) if rouge_parts else F.lit(None).cast("double")
+    if rouge_parts:
+        rouge = F.when(F.greatest(*[_c(c).isNotNull() for c in rouge_parts]), rouge)
+    scale = error_scale(_present(cols, "std_y"), _present(cols, "range_y"))
+    return {m: (rouge if m == "rouge_score" else _present(cols, m)) for w in METRIC_WEIGHTS.values() for m in w}, scale
+
+
 # ------------------------------------------------------------- T2–T5 components
 
 def performance_score(cols: set[str]) -> Column:

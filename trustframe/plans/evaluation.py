@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustframe.functions.expr import lit_d, round_half
-from trustframe.functions.trust import eval_score_columns, trust_columns, with_gap_warning
+from trustframe.functions.trust import eval_score_columns, score_maps, trust_columns, with_gap_warning
 from trustframe.operators.fairness import (detect_sensitive_attributes, fairness_gaps, fairness_summary,
                                            group_metrics_from_counts, regression_fairness,
                                            unpivot_attrs)
@@ -229,6 +229,49 @@ def evaluate_workload(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return score(evaluation_inputs(spark, sf_dir, WORKLOADS[name]))
 
 
+def full_record(scored: DataFrame) -> DataFrame:
+    """One row a pair, as it is stored: metrics, normalised metrics and weights as maps, the balanced
+    result's components, risks, weights, guard and penalty as structs, and the strict result beside it."""
+    s = score_maps(scored)
+    names = ("performance", "health", "fairness", "robustness")
+    struct = (lambda cols: F.struct(*[F.col(c).alias(n) for n, c in zip(names, cols)]))
+    metric = [m for m in ("accuracy", "precision", "recall", "f1_score", "mae", "mse", "rmse", "r2_score") if m in scored.columns]
+    result = F.struct(
+        "trust_score", "trust_score_raw", "DII", struct(("P", "H", "F", "R")).alias("component_scores"),
+        F.struct(*[F.col(f"dii_{k}").alias(k) for k in "IMDS"]).alias("dii_components"),
+        struct(("r_P", "r_H", "r_F", "r_R")).alias("risk_values"), struct([f"beta_{n}" for n in names]).alias("hybrid_weights"),
+        struct([f"auto_{n}" for n in names]).alias("beta_auto"), "lambda_value", "guard_threshold", "guard_triggered",
+        "guard_failures", "instability_penalty_value", (F.col("instability_penalty_value") > 0).alias("global_penalty_applied"),
+        "verdict_status", "trust_level", F.col("flags").alias("meta_flags"), F.col("recommendations").alias("meta_recommendations"))
+    s = s.select(*K, "trust_mode", "eval_score", "normalized_metrics", "weight_distribution",
+                 F.map_filter(F.create_map(*[x for m in metric for x in (F.lit(m), F.col(m).cast("double"))]),
+                              lambda k, v: v.isNotNull()).alias("metrics"), result.alias("_r"))
+    first = (lambda c, mode: F.max_by(c, F.when(F.col("trust_mode") == mode, 1)))
+    out = s.groupBy(*K).agg(F.first("eval_score").alias("eval_score"), *[
+        first(c, "balanced").alias(c) for c in ("metrics", "normalized_metrics", "weight_distribution")],
+        first("_r", "balanced").alias("_b"), first("_r", "strict").alias("strict_result"))
+    return out.select(*K, "eval_score", "metrics", "normalized_metrics", "weight_distribution", F.lit("balanced").alias("trust_mode"),
+                      "_b.*", "strict_result")
+
+
+def refresh_summaries(spark: SparkSession, path: str, preds: DataFrame, attrs: list[str], wanted: DataFrame) -> DataFrame:
+    """The sufficient statistics of all ``wanted`` pairs, from the table at ``path`` where a pair is stored there;
+    only the predictions of the others are summed, and appended to the table."""
+    known = spark.read.parquet(path)
+    missing = wanted.select(*K).join(known.select(*K).distinct(), K, "left_anti").distinct()
+    if not missing.isEmpty():
+        classification_summary(preds.join(missing, K, "left_semi"), attrs).write.mode("append").parquet(path)
+    return spark.read.parquet(path).join(wanted.select(*K).distinct(), K, "left_semi")
+
+
+def evaluate_remainder(spark: SparkSession, sf_dir: str, name: str, path: str, wanted: DataFrame) -> DataFrame:
+    """The scored ``wanted`` pairs of a classification workload, evaluating the pairs that ``path`` lacks."""
+    wl = WORKLOADS[name]
+    summary = refresh_summaries(spark, path, wl.preds(spark, sf_dir), wl.attrs, wanted)
+    stats = dataset_stats(wl.dataset(spark, sf_dir), wl.dataset_id, wl.target, model_type=wl.model_type)
+    return score(assemble_inputs(*classification_parts_from_summary(summary), stats, wl.model_type))
+
+
 def flat_record(df: DataFrame) -> DataFrame:
     """Comparable projection: numbers rounded to 6, lists joined to text."""
     r = (lambda c: round_half(F.col(c).cast("double"), 6).alias(c))
