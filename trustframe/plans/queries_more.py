@@ -447,6 +447,19 @@ def q_explain_one(spark, sf):
     return e.select("p_partkey", r6("base_value"), "feature", "feature_ord", r6("value"), r6("contribution"), "order")
 
 
+@register("attribution_native_importance", None)
+def q_native_importance(spark, sf):
+    """Importances that fitted models carry (absolute weights, impurity decrease), all order rows."""
+    from trustframe.operators import models as M
+    rows, names = M.prepared(W.orders_dataset(spark, sf).select("row_id", *X.FEATURES, "target"), "target",
+                             ["o_totalprice", "c_acctbal"], ["o_orderpriority", "c_mktsegment", "n_regionkey"])
+    out = None
+    for a in ("LogisticRegression", "RandomForest"):
+        t = M.native_importance(spark, M.fit(rows, a), names).select(F.lit(a).alias("model_id"), "feature", r6("importance"), "rank")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
 # ---------------------------------------------------------- preparation
 
 
