@@ -225,27 +225,24 @@ def lambda_sensitivity(scored: DataFrame, keys: list[str], exponents=LAMBDA_EXPO
                       F.explode(F.array(*[lit_d(x) for x in exponents])).alias("exponent"))
     strict = F.col("trust_mode") == "strict"
     amp = (lambda r: F.when(strict, clip(F.pow(r, STRICT_POWER))).otherwise(r))
-    lam = F.least(clip(F.pow(F.col("DII"), F.col("exponent"))), lit_d(lambda_cap))
     r = {"performance": amp(clip(1 - F.col("P"))), "health": amp(clip(F.col("DII"))),
          "fairness": amp(clip(F.col("dp_value"))), "robustness": amp(clip(F.col("delta")))}
-    e = e.select("*", lam.alias("lambda_value"), *[v.alias(f"_r_{k}") for k, v in r.items()])
-    s = sum((F.col(f"_r_{k}") for k in r), lit_d(0.0))
-    hyb = {k: F.col("lambda_value") * F.when(s > EPS, F.col(f"_r_{k}") / s).otherwise(lit_d(0.25))
-           + (1 - F.col("lambda_value")) * DEFAULT_USER_WEIGHTS[k] for k in r}
-    e = e.select("*", *[v.alias(f"_h_{k}") for k, v in hyb.items()])
-    ws = sum((F.col(f"_h_{k}") for k in r), lit_d(0.0))
     comp = {"performance": "P", "health": "H", "fairness": "F", "robustness": "R"}
-    raw = 100.0 * sum((F.col(f"_h_{k}") / ws * F.col(comp[k]) for k in r), lit_d(0.0))
-    trust = F.greatest(lit_d(0.0), F.least(lit_d(100.0), raw * (1 - F.when(strict, penalty * F.col("DII"))
-                                                               .otherwise(lit_d(0.0)))))
-    out = e.select(*keys, "trust_mode", "exponent", round_half(F.col("lambda_value"), 4).alias("lambda_value"),
-                   trust.alias("_t"))
-    base = out.filter(F.col("exponent") == exponents[0]).select(*keys, "trust_mode",
-                                                                 round_half(F.col("_t"), 2).alias("_b"))
-    return (out.join(base, [*keys, "trust_mode"])
-               .select(*keys, "trust_mode", "exponent", "lambda_value",
-                       round_half(F.col("_t"), 2).alias("trust_score"),
-                       round_half(round_half(F.col("_t"), 2) - F.col("_b"), 2).alias("vs_baseline"), "_t"))
+    e = e.select("*", *[v.alias(f"_r_{k}") for k, v in r.items()])
+    s = sum((F.col(f"_r_{k}") for k in r), lit_d(0.0))
+    # the row's own exponent, and the first one as the baseline beside it
+    for tag, x in (("", F.col("exponent")), ("_base", lit_d(exponents[0]))):
+        e = e.withColumn(f"_lam{tag}", F.least(clip(F.pow(F.col("DII"), x)), lit_d(lambda_cap)))
+        lam = F.col(f"_lam{tag}")
+        e = e.select("*", *[(lam * F.when(s > EPS, F.col(f"_r_{k}") / s).otherwise(lit_d(0.25))
+                             + (1 - lam) * DEFAULT_USER_WEIGHTS[k]).alias(f"_h{tag}_{k}") for k in r])
+        ws = sum((F.col(f"_h{tag}_{k}") for k in r), lit_d(0.0))
+        raw = 100.0 * sum((F.col(f"_h{tag}_{k}") / ws * F.col(comp[k]) for k in r), lit_d(0.0))
+        e = e.withColumn(f"_t{tag}", F.greatest(lit_d(0.0), F.least(lit_d(100.0), raw * (
+            1 - F.when(strict, penalty * F.col("DII")).otherwise(lit_d(0.0))))))
+    return e.select(*keys, "trust_mode", "exponent", round_half(F.col("_lam"), 4).alias("lambda_value"),
+                    round_half(F.col("_t"), 2).alias("trust_score"),
+                    round_half(round_half(F.col("_t"), 2) - round_half(F.col("_t_base"), 2), 2).alias("vs_baseline"), "_t")
 
 
 def lambda_sensitivity_summary(sens: DataFrame, keys: list[str]) -> DataFrame:
