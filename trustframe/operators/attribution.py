@@ -6,25 +6,26 @@ linear model given by weights.
 
 * X2 (linear): contribution_j = w_j · (x_j − mean_j); the means are one
   aggregation, joined back as a single broadcast row.
-* X3 (model-agnostic Shapley): permutation sampling.  For every explained
-  row and sample, a permutation (features ordered by a hash) and a
-  background row (hash-drawn) are chosen; the model is evaluated on the M+1
-  prefix mixes and successive differences are the marginal contributions;
-  their mean per (row, feature) estimates the Shapley value.  Every row is
+* X3 (model-agnostic Shapley): permutation sampling.  All rows share one set of
+  samples, each a permutation and a background row; the model is evaluated on
+  the M+1 prefix mixes and successive differences are the marginal contributions;
+  their mean per (row, feature) estimates the Shapley value, inside the row.  Every row is
   explained; background rows and samples are the estimator's parameters (the
   reference uses 50 / 100).
-* X1: global summary — mean |contribution| per feature, rank, top 5.
+* X4 (local surrogate): shared draws, one normal matrix for all rows.
+* X1: global summary — mean |contribution| per feature, rank, top 5, base value, first rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trustframe.functions.expr import lit_d, uniform01
+from trustframe.functions.expr import lit_d, safe_div
 
 Model = Callable[[dict], Column]
 
@@ -79,48 +80,129 @@ def native_importance(spark, names: list[str], values: list[float]) -> DataFrame
 
 
 def choose_method(models: DataFrame) -> DataFrame:
-    """Adds ``method`` by capability (has_linear_weights, has_expression, has_native): exact
-    linear, else permutation Shapley, else native importance, else none."""
-    return models.withColumn("method", F.when(F.col("has_linear_weights"), "linear_shapley")
-                             .when(F.col("has_expression"), "permutation_shapley")
-                             .when(F.col("has_native"), "native_importance").otherwise("none"))
+    """Adds ``method`` by capability (has_linear_weights, has_expression, can_perturb if there, has_native):
+    exact linear, else permutation Shapley, else the local surrogate, else native importance, else none.
+    A null counts as no."""
+    has = (lambda c: F.coalesce(F.col(c), F.lit(False)) if c in models.columns else F.lit(False))
+    return models.withColumn("method", F.when(has("has_linear_weights"), "linear_shapley")
+                             .when(has("has_expression"), "permutation_shapley").when(has("can_perturb"), "local_surrogate")
+                             .when(has("has_native"), "native_importance").otherwise("none"))
+
+
+def _zero(array: str) -> Column:
+    """A sum's start whose type allows null: a fold keeps the nullability of its start."""
+    return F.when(F.size(array) >= 0, lit_d(0.0))
+
+
+def background_rows(df: DataFrame, row_id: str, features: list[str], n: int, seed: str = "42") -> DataFrame:
+    """One row whose ``background`` holds ``n`` rows' features (all, if fewer), in the order of a hash of the id."""
+    order = [F.md5(F.concat(F.lit(seed), F.col(row_id).cast("string"))), F.col(row_id)]
+    few = df.select(*order[:1], row_id, *[F.col(c).cast("double").alias(c) for c in features])
+    few = few.toDF("_o", "_id", *[f"_f{i}" for i in range(len(features))]).orderBy("_o", "_id").limit(n)  # a top-n, not a sort
+    return few.agg(F.array_sort(F.collect_list(F.struct("_o", "_id", F.array(*[f"_f{i}" for i in range(len(features))]).alias("x")))).alias("b")
+                   ).select(F.col("b.x").alias("background"))
+
+
+def sample_plan(m: int, n_samples: int, seed: str = "42") -> list[tuple[float, list[int]]]:
+    """Which background row (as a share of all of them) and which place of each feature a sample uses.
+
+    Samples go evenly through the background rows; an odd sample has the even one's permutation
+    reversed, which is exact for two features once each background row has met both."""
+    plan = []
+    for s in range(n_samples):
+        keys = [(hashlib.md5(f"{seed}|{s // 2}|{i}".encode()).hexdigest(), i) for i in range(m)]
+        order = sorted(range(m), key=lambda i: keys[i], reverse=s % 2 == 1)
+        plan.append((s / n_samples, [order.index(i) for i in range(m)]))
+    return plan
+
+
+def shapley_wide(df: DataFrame, row_id: str, features: list[str], model: Model, n_background: int = 50,
+                 n_samples: int = 100, seed: str = "42") -> DataFrame:
+    """(row_id, features as double, prediction, base_value, contributions array) of every row.
+
+    All rows share one set of samples (a permutation and a background row each), so a row's values
+    are sums inside the row: rows are neither multiplied nor regrouped.  ``base_value`` is the mean
+    prediction of the background.  A null among the model's values makes a contribution null; an
+    empty table gives no rows."""
+    m = len(features)
+    # at most n_background rows of m values in one row: bounded, broadcast
+    bg = background_rows(df, row_id, features, n_background, seed).withColumn("_k", F.lit(1))
+    rows = df.select(row_id, *[F.col(c).cast("double").alias(c) for c in features]).withColumn("_k", F.lit(1))
+    rows = rows.join(F.broadcast(bg), "_k").drop("_k")
+    plan = F.array(*[F.struct(lit_d(share).alias("share"), F.array(*[F.lit(x) for x in place]).alias("place"))
+                     for share, place in sample_plan(m, n_samples, seed)])
+
+    def value(d: Column, k: int) -> Column:
+        """The model where the first k features of the permutation are the row's own."""
+        return model({c: F.when(d["place"][i] < k, F.col(c)).otherwise(d["b"][i]) for i, c in enumerate(features)}).cast("double")
+
+    met = F.transform(plan, lambda d: F.struct(d["place"].alias("place"), F.get(
+        F.col("background"), F.floor(d["share"] * F.size("background")).cast("int")).alias("b")))
+    values = F.transform(met, lambda d: F.struct(d["place"].alias("place"), F.array(*[value(d, k) for k in range(m + 1)]).alias("v")))
+    sums = F.aggregate(values, F.array(*[_zero("background")] * m), lambda acc, d: F.array(*[
+        acc[i] + (F.get(d["v"], d["place"][i] + 1) - F.get(d["v"], d["place"][i])) for i in range(m)]),
+        lambda acc: F.transform(acc, lambda x: x / float(n_samples)))
+    own = model({c: F.col(c) for c in features}).cast("double")
+    base = F.aggregate("background", _zero("background"), lambda acc, b: acc + model(
+        {c: b[i] for i, c in enumerate(features)}).cast("double"), lambda acc: acc / F.size("background"))
+    return rows.select(row_id, *features, own.alias("prediction"), base.alias("base_value"), sums.alias("contributions"))
+
+
+def long_contributions(wide: DataFrame, row_id: str, features: list[str]) -> DataFrame:
+    """(row_id, prediction, base_value, feature, feature_ord, value, contribution): one row a feature."""
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("feature_ord"), F.col(c).alias("value"),
+                               F.col("contributions")[i].alias("contribution")) for i, c in enumerate(features)])
+    return wide.select(row_id, "prediction", "base_value", F.inline(cells))
+
+
+def ordered_contributions(wide: DataFrame, row_id: str, features: list[str]) -> DataFrame:
+    """X7 of every row: prediction, base value and contributions by falling size (ties in feature order),
+    ordered inside the row."""
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("feature_ord"), F.col(c).alias("value"),
+                               F.col("contributions")[i].alias("contribution")) for i, c in enumerate(features)])
+    size = (lambda x: F.coalesce(F.abs(x["contribution"]), lit_d(-1.0)))
+    cells = F.array_sort(cells, lambda x, y: F.when(size(x) > size(y), -1).when(size(x) < size(y), 1)
+                         .otherwise(x["feature_ord"] - y["feature_ord"]))
+    long = wide.select(row_id, "prediction", "base_value", F.posexplode(cells).alias("_p", "c"))
+    return long.select(row_id, "prediction", "base_value", "c.*", (F.col("_p") + 1).alias("order"))
 
 
 def shapley_sample(df: DataFrame, row_id: str, features: list[str], model: Model,
                    n_background: int = 50, n_samples: int = 100, seed: str = "42") -> DataFrame:
-    """Permutation-sampling Shapley values (row_id, feature, contribution) of every row."""
-    explained = df.select(row_id, *[F.col(c).cast("double").alias(c) for c in features])
-    order = [F.md5(F.concat(F.lit(seed), F.col(row_id).cast("string"))), F.col(row_id)]
-    few = explained.orderBy(*order).limit(n_background)  # a top-n, not a sort
-    n_few = few.count()
-    background = (few.withColumn("_bg", F.row_number().over(Window.orderBy(*order)) - 1)
-                     .select("_bg", *[F.col(c).alias(f"b_{c}") for c in features]))
+    """Sampled Shapley values (row_id, feature, feature_ord, contribution) of every row."""
+    wide = shapley_wide(df, row_id, features, model, n_background, n_samples, seed)
+    return long_contributions(wide, row_id, features).select(row_id, "feature", "feature_ord", "contribution")
+
+
+def _at(i: int):
+    return lambda x: x[i]
+
+
+def explanation_record(wide: DataFrame, row_id: str, features: list[str], top: int = 5, first: int = 5) -> DataFrame:
+    """X1 in full, one row a feature in K5 order: importance, rank, whether among the ``top``; the mean and the
+    largest absolute contribution over all cells, the base value, rows and features, and the values and
+    contributions of the ``first`` rows by id."""
     m = len(features)
-    s = explained.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
-    key = [F.col(row_id).cast("string"), F.col("sample").cast("string")]
-    s = s.withColumn("_bg", F.floor(uniform01(F.lit(seed), *key, F.lit("bg")) * n_few).cast("int"))
-    # permutation position of each feature = rank of its hash inside the sample
-    hs = [uniform01(F.lit(seed), *key, F.lit(c)) for c in features]
-    s = s.select("*", *[h.alias(f"_h{i}") for i, h in enumerate(hs)])
-    for i in range(m):
-        s = s.withColumn(f"_p{i}", sum((F.when((F.col(f"_h{j}") < F.col(f"_h{i}"))
-                                               | ((F.col(f"_h{j}") == F.col(f"_h{i}")) & F.lit(j < i)), 1)
-                                        .otherwise(0) for j in range(m)), F.lit(0)))
-    # background has at most n_background rows: bounded, broadcast
-    s = s.join(F.broadcast(background), "_bg")
-    vals = []
-    for k in range(m + 1):
-        mix = {c: F.when(F.col(f"_p{i}") < k, F.col(c)).otherwise(F.col(f"b_{c}")) for i, c in enumerate(features)}
-        vals.append(model(mix).cast("double").alias(f"_v{k}"))
-    s = s.select(row_id, *[F.col(f"_p{i}") for i in range(m)], *vals)
-    vs = F.array(*[F.col(f"_v{k}") for k in range(m + 1)])
-    contrib = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("feature_ord"),
-                                 (F.element_at(vs, (F.col(f"_p{i}") + 2).cast("int"))
-                                  - F.element_at(vs, (F.col(f"_p{i}") + 1).cast("int"))).alias("d"))
-                        for i, c in enumerate(features)])
-    long = s.select(row_id, F.explode(contrib).alias("c")).select(row_id, "c.feature", "c.feature_ord",
-                                                                  F.col("c.d").alias("d"))
-    return long.groupBy(row_id, "feature", "feature_ord").agg(F.avg("d").alias("contribution"))
+    a = [F.abs(F.col("contributions")[i]) for i in range(m)]
+    total = wide.agg(*[F.avg(x).alias(f"_i{i}") for i, x in enumerate(a)], *[F.max(x).alias(f"_m{i}") for i, x in enumerate(a)],
+                     *[F.sum(x).alias(f"_s{i}") for i, x in enumerate(a)], *[F.count(x).alias(f"_n{i}") for i, x in enumerate(a)],
+                     F.first("base_value").alias("base_value"), F.count(F.lit(1)).alias("n_rows"))
+    head = wide.orderBy(row_id).limit(first).select(F.struct(F.col(row_id).alias("id"), *features, "contributions").alias("r"))
+    head = head.agg(F.array_sort(F.collect_list("r")).alias("_head"))
+    one = total.withColumn("_k", F.lit(1)).join(F.broadcast(head.withColumn("_k", F.lit(1))), "_k")  # a row each
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("feature_ord"), F.col(f"_i{i}").alias("importance"),
+                               F.col("_head")[c].alias("first_values"),
+                               F.transform(F.col("_head")["contributions"], _at(i)).alias("first_contributions"))
+                      for i, c in enumerate(features)])
+    cells = F.array_sort(cells, lambda x, y: F.when(x["importance"] > y["importance"], -1).when(
+        x["importance"] < y["importance"], 1).otherwise(x["feature_ord"] - y["feature_ord"]))
+    n = sum((F.col(f"_n{i}") for i in range(m)), F.lit(0))
+    mean = safe_div(sum((F.coalesce(f"_s{i}", lit_d(0.0)) for i in range(m)), lit_d(0.0)), n, F.lit(None).cast("double"))
+    largest = F.array_max(F.array(*[f"_m{i}" for i in range(m)]))
+    long = one.select(mean.alias("overall_mean"), largest.alias("overall_max"), "base_value", "n_rows",
+                      F.lit(m).alias("n_features"), F.posexplode(cells).alias("_p", "c"))
+    return long.select((F.col("_p") + 1).alias("rank"), (F.col("_p") < top).alias("in_top"), "c.*",
+                       "overall_mean", "overall_max", "base_value", "n_rows", "n_features")
 
 
 def explain_one(contrib: DataFrame, row_id: str, rid) -> DataFrame:
@@ -130,54 +212,66 @@ def explain_one(contrib: DataFrame, row_id: str, rid) -> DataFrame:
         Window.orderBy(F.abs("contribution").desc(), "feature_ord")))
 
 
-def _normal(*key: Column) -> Column:
-    """Standard normal draw from 53 bits each of two xxhash64 values of the key: many draws a row."""
-    u1, u2 = (F.shiftrightunsigned(F.xxhash64(*key, F.lit(k)), 11).cast("double") for k in ("a", "b"))
-    return F.sqrt(-2.0 * F.log((u1 + 1.0) / 2.0 ** 53)) * F.cos(u2 * (2 * math.pi / 2.0 ** 53))
+def _draws(m: int, n: int, seed: str) -> list[list[float]]:
+    """``n`` standard normal draws of ``m`` features, the first at zero, spread evenly: multiples of irrational
+    steps (powers of the root of x^(d+1) = x + 1), shifted by the seed, through the Box-Muller transform."""
+    pairs = (m + 1) // 2
+    steps, shifts = lattice(2 * pairs, seed)
+    out = [[0.0] * m]
+    for j in range(1, n):
+        u = [(j * a + s) % 1.0 for a, s in zip(steps, shifts)]
+        z = []
+        for k in range(pairs):
+            r, t = math.sqrt(-2.0 * math.log(1.0 - u[2 * k])), 2 * math.pi * u[2 * k + 1]
+            z += [r * math.cos(t), r * math.sin(t)]
+        out.append(z[:m])
+    return out
+
+
+def lattice(d: int, seed: str) -> tuple[list[float], list[float]]:
+    """Steps and shifts of an even sequence in the d-dimensional unit cube."""
+    g = 2.0
+    for _ in range(60):
+        g = (1.0 + g) ** (1.0 / (d + 1))
+    return ([(1.0 / g ** (k + 1)) % 1.0 for k in range(d)],
+            [int(hashlib.md5(f"{seed}|{k}".encode()).hexdigest()[:8], 16) / 2.0 ** 32 for k in range(d)])
+
+
+def surrogate_fit(m: int, n_perturb: int = 1000, alpha: float = 1.0, seed: str = "42") -> tuple[list[list[float]], list[list[float]]]:
+    """The draws z (n x m), and g (n x m) such that a row's coefficients are the sums over the draws of g times the
+    model's value there: the rows of (A'WA + alpha)^-1 A'W for the features, A having z beside a free intercept and
+    W the kernel exp(-|z|^2 / w^2), w = 0.75 sqrt(m)."""
+    import numpy as np
+    z = np.array(_draws(m, n_perturb, seed))
+    w = np.exp(-(z ** 2).sum(1) / (0.75 * m ** 0.5) ** 2)
+    a = np.column_stack([np.ones(len(z)), z])
+    g = np.linalg.solve(a.T @ (a * w[:, None]) + alpha * np.diag([0.0] + [1.0] * m), (a * w[:, None]).T)
+    return z.tolist(), g[1:].T.tolist()
 
 
 def local_surrogate(df: DataFrame, row_id: str, features: list[str], model: Model,
                     n_perturb: int = 1000, alpha: float = 1.0, seed: str = "42") -> DataFrame:
-    """X4 (re-aimed local surrogate): around each explained row, Gaussian
-    perturbations scaled by each feature's std (hash draws), model scores,
-    kernel weights exp(−d²/w²) with w = 0.75·√M on the standardised offsets,
-    and a weighted ridge fit.  Every row is explained.  The fit is one aggregation
-    of normal-equation sums per row; the (M+1)×(M+1) systems are solved a batch of
-    rows at a time.  Returns (row_id, feature, feature_ord, coefficient)."""
-    import numpy as np
-    import pandas as pd
+    """X4 (re-aimed local surrogate): around each row, normal perturbations scaled by each feature's
+    standard deviation, the model's values there, kernel weights on the standardised offsets and a weighted
+    ridge fit.  All rows share the draws, so the normal matrix is the same for all: it's solved once and a row's
+    coefficients are sums inside the row, without multiplying or regrouping rows.  Every row is explained.
+    Returns (row_id, feature, feature_ord, coefficient); a null among the model's values gives a null
+    coefficient, a feature without a deviation isn't perturbed."""
     m = len(features)
-    stds = df.agg(*[F.stddev_samp(F.col(c).cast("double")).alias(f"_s{i}") for i, c in enumerate(features)])
+    z, g = surrogate_fit(m, n_perturb, alpha, seed)
+    draws = df.sparkSession.createDataFrame([([(*a, *b) for a, b in zip(z, g)],)], "_d array<struct<{}>>".format(
+        ",".join([f"z{i}:double" for i in range(m)] + [f"g{i}:double" for i in range(m)])))  # n_perturb x 2m numbers
+    stds = df.agg(*[F.coalesce(F.stddev_samp(F.col(c).cast("double")), lit_d(0.0)).alias(f"_s{i}") for i, c in enumerate(features)])
+    one = stds.withColumn("_k", F.lit(1)).join(F.broadcast(draws.withColumn("_k", F.lit(1))), "_k")
     rows = df.select(row_id, *[F.col(c).cast("double").alias(c) for c in features]).withColumn("_k", F.lit(1))
-    # one row of per-feature stds: bounded, broadcast
-    rows = rows.join(F.broadcast(stds.withColumn("_k", F.lit(1))), "_k").drop("_k")
-    p = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n_perturb - 1))))
-    zs = [F.when(F.col("_j") == 0, lit_d(0.0)).otherwise(_normal(F.lit(seed), F.col(row_id), F.col("_j"), F.lit(c))) for c in features]
-    p = p.select(row_id, *[z.alias(f"_z{i}") for i, z in enumerate(zs)],
-                 *[F.col(c) for c in features], *[F.col(f"_s{i}") for i in range(m)])
-    pert = {c: F.col(c) + F.col(f"_z{i}") * F.coalesce(F.col(f"_s{i}"), lit_d(0.0)) for i, c in enumerate(features)}
-    width = 0.75 * (m ** 0.5)
-    d2 = sum((F.col(f"_z{i}") * F.col(f"_z{i}") for i in range(m)), lit_d(0.0))
-    p = p.select(row_id, *[F.col(f"_z{i}") for i in range(m)], model(pert).cast("double").alias("_y"),
-                 F.exp(-d2 / (width * width)).alias("_w"))
-    zc = [lit_d(1.0)] + [F.col(f"_z{i}") for i in range(m)]
-    sums = [F.sum(F.col("_w") * zc[a] * zc[b]).alias(f"a_{a}_{b}") for a in range(m + 1) for b in range(a, m + 1)]
-    sums += [F.sum(F.col("_w") * zc[a] * F.col("_y")).alias(f"b_{a}") for a in range(m + 1)]
-    ne = p.groupBy(row_id).agg(*sums)
-
-    def solve(batches):
-        for pdf in batches:
-            a = np.zeros((len(pdf), m + 1, m + 1))
-            for i in range(m + 1):
-                for j in range(i, m + 1):
-                    a[:, i, j] = a[:, j, i] = pdf[f"a_{i}_{j}"]
-            a[:, range(1, m + 1), range(1, m + 1)] += alpha
-            b = np.stack([pdf[f"b_{i}"].to_numpy(float) for i in range(m + 1)], axis=1)
-            ok = np.isfinite(a).all((1, 2)) & np.isfinite(b).all(1)
-            coef = np.full((len(pdf), m + 1), np.nan)
-            coef[ok] = (np.linalg.pinv(a[ok], hermitian=True) @ b[ok][:, :, None])[:, :, 0]
-            yield pd.concat([pd.DataFrame({row_id: pdf[row_id], "feature": c, "feature_ord": i, "coefficient": coef[:, i + 1]})
-                             for i, c in enumerate(features)])
-
-    schema = f"{row_id} {dict(df.dtypes)[row_id]}, feature string, feature_ord int, coefficient double"
-    return ne.mapInPandas(solve, schema)
+    rows = rows.join(F.broadcast(one), "_k")  # one row of m deviations and the draws: bounded
+
+    def value(d: Column) -> Column:
+        return model({c: F.col(c) + d[f"z{i}"] * F.col(f"_s{i}") for i, c in enumerate(features)}).cast("double")
+
+    scored = F.transform("_d", lambda d: F.struct(value(d).alias("y"), *[d[f"g{i}"].alias(f"g{i}") for i in range(m)]))
+    sums = F.aggregate(scored, F.struct(*[_zero("_d").alias(f"c{i}") for i in range(m)]), lambda acc, d: F.struct(
+        *[(acc[f"c{i}"] + d[f"g{i}"] * d["y"]).alias(f"c{i}") for i in range(m)]))
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("feature_ord"), F.col("_c")[f"c{i}"].alias("coefficient"))
+                      for i, c in enumerate(features)])
+    return rows.select(row_id, sums.alias("_c")).select(row_id, F.inline(cells))

@@ -8,12 +8,14 @@ from trustframe.functions.expr import round_half
 from trustframe.functions.trust import trust_columns
 from trustframe.operators import attribution as AT
 from trustframe.operators import prep as PR
+from trustframe.operators import registry as RG
 from trustframe.operators import text as TX
 from trustframe.operators.fairness import group_metrics
 from trustframe.plans import evaluation as E
 from trustframe.plans import experiment as X
 from trustframe.plans import oracle as O
 from trustframe.plans.catalog import register
+from trustframe.sources import registry as SR
 from trustframe.sources import workloads as W
 from trustframe.sources.tables import table
 
@@ -421,14 +423,85 @@ def q_coverage(spark, sf):
     return AT.importance_coverage(g, 1).select(r6("coverage"), "n_features")
 
 
-@register("attribution_shapley_rule", None)
-def q_shapley(spark, sf):
-    ds = W.orders_dataset(spark, sf)
+RULE_FEATURES = ["o_totalprice", "c_acctbal"]
+
+
+def _rule(x):
+    """A non-linear rule model over two features."""
+    return F.when((x["o_totalprice"] > 200000) & (x["c_acctbal"] > 5000), 1.0).otherwise(0.0)
+
+
+def _rule_sql(price: str, acct: str) -> str:
+    return f"CASE WHEN {price} > 200000 AND {acct} > 5000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+
 
-    def rule(x):  # a non-linear rule model over two features
-        return F.when((x["o_totalprice"] > 200000) & (x["c_acctbal"] > 5000), 1.0).otherwise(0.0)
-    c = AT.shapley_sample(ds, "row_id", ["o_totalprice", "c_acctbal"], rule)
-    return AT.global_summary(c)
+# both orders of two features against each of the 50 background rows
+SHAPLEY_SQL = "WITH " + O.ORDERS_DS + f""",
+x AS (SELECT row_id, o_totalprice::DOUBLE AS p, c_acctbal::DOUBLE AS a FROM ds),
+bg AS (SELECT p AS bp, a AS ba FROM x ORDER BY md5('42' || row_id), row_id LIMIT 50),
+c AS (SELECT row_id, any_value(p) AS p, any_value(a) AS a, any_value({_rule_sql('p', 'a')}) AS prediction,
+             avg({_rule_sql('bp', 'ba')}) AS base_value,
+             avg(({_rule_sql('p', 'ba')} - {_rule_sql('bp', 'ba')} + {_rule_sql('p', 'a')} - {_rule_sql('bp', 'a')}) / 2) AS c0,
+             avg(({_rule_sql('bp', 'a')} - {_rule_sql('bp', 'ba')} + {_rule_sql('p', 'a')} - {_rule_sql('p', 'ba')}) / 2) AS c1
+      FROM x, bg GROUP BY row_id),
+l AS (SELECT row_id, prediction, base_value, 'o_totalprice' AS feature, 0 AS feature_ord, p AS value, c0 AS contribution FROM c
+      UNION ALL SELECT row_id, prediction, base_value, 'c_acctbal', 1, a, c1 FROM c),
+g AS (SELECT feature, feature_ord, avg(abs(contribution)) AS importance, max(abs(contribution)) AS max_abs FROM l GROUP BY ALL)
+"""
+
+
+@register("attribution_shapley_rule", SHAPLEY_SQL + "SELECT feature, feature_ord, " + O.rh("importance") + " AS importance, "
+          + O.rh("max_abs") + " AS max_abs, row_number() OVER (ORDER BY importance DESC, feature_ord) AS rank FROM g")
+def q_shapley(spark, sf):
+    c = AT.shapley_sample(W.orders_dataset(spark, sf), "row_id", RULE_FEATURES, _rule)
+    return AT.global_summary(c).select("feature", "feature_ord", r6("importance"), r6("max_abs"), "rank")
+
+
+@register("attribution_shapley_rows", SHAPLEY_SQL + "SELECT row_id, prediction, " + O.rh("base_value") + " AS base_value, feature, "
+          + O.rh("value") + " AS value, " + O.rh("contribution") + """ AS contribution,
+       row_number() OVER (PARTITION BY row_id ORDER BY abs(contribution) DESC, feature_ord) AS "order" FROM l""")
+def q_shapley_rows(spark, sf):
+    """X7 of every row: prediction, base value, contributions by size."""
+    wide = AT.shapley_wide(W.orders_dataset(spark, sf), "row_id", RULE_FEATURES, _rule)
+    e = AT.ordered_contributions(wide, "row_id", RULE_FEATURES)
+    return e.select("row_id", "prediction", r6("base_value"), "feature", r6("value"), r6("contribution"), "order")
+
+
+@register("attribution_explanation_record", SHAPLEY_SQL + """,
+f AS (SELECT feature, string_agg(CAST(floor(value * 100 + 0.5::DOUBLE) AS BIGINT), ',' ORDER BY row_id) AS first_values,
+             string_agg(CAST(floor(contribution * 1000000 + 0.5::DOUBLE) AS BIGINT), ',' ORDER BY row_id) AS first_contributions
+      FROM l WHERE row_id IN (SELECT row_id FROM x ORDER BY row_id LIMIT 5) GROUP BY feature)
+SELECT row_number() OVER (ORDER BY importance DESC, feature_ord) AS rank,
+       row_number() OVER (ORDER BY importance DESC, feature_ord) <= 5 AS in_top, feature, feature_ord, """
+          + O.rh("importance") + " AS importance, " + O.rh("(SELECT avg(abs(contribution)) FROM l)") + " AS overall_mean, "
+          + O.rh("(SELECT max(abs(contribution)) FROM l)") + " AS overall_max, " + O.rh("(SELECT any_value(base_value) FROM l)")
+          + """ AS base_value, (SELECT count(*) FROM x) AS n_rows, 2 AS n_features, first_values, first_contributions
+FROM g JOIN f USING (feature)""")
+def q_explanation_record(spark, sf):
+    """X1 in full: importances with the overall figures, the base value and the first rows' values."""
+    wide = AT.shapley_wide(W.orders_dataset(spark, sf), "row_id", RULE_FEATURES, _rule)
+    e = AT.explanation_record(wide, "row_id", RULE_FEATURES)
+    listed = (lambda c, k: F.concat_ws(",", F.transform(c, lambda v: F.floor(v * float(k) + 0.5).cast("string"))).alias(c))
+    return e.select("rank", "in_top", "feature", "feature_ord", r6("importance"), r6("overall_mean"), r6("overall_max"),
+                    r6("base_value"), "n_rows", "n_features", listed("first_values", 100), listed("first_contributions", 1000000))
+
+
+@register("attribution_method", "WITH " + SR.registry_with("models") + """,
+f AS (SELECT model_id, model_type, CASE regexp_extract(lower(file_path), '(\\.[a-z0-9]+)$', 1) WHEN '.pkl' THEN 'sklearn'
+        WHEN '.joblib' THEN 'sklearn' WHEN '.pt' THEN 'pytorch' WHEN '.pth' THEN 'pytorch' WHEN '.h5' THEN 'keras'
+        WHEN '.onnx' THEN 'onnx' END AS framework FROM models)
+SELECT model_id, framework, CASE WHEN framework = 'sklearn' AND model_type = 'regression' THEN 'linear_shapley'
+         WHEN framework = 'onnx' THEN 'permutation_shapley' WHEN framework IN ('pytorch', 'keras') THEN 'local_surrogate'
+         WHEN framework = 'sklearn' THEN 'native_importance' ELSE 'none' END AS method FROM f""")
+def q_method(spark, sf):
+    """The way each registered model is explained, from what its framework offers."""
+    m = SR.models(spark, sf)
+    fw = RG.framework_of(F.col("file_path"))
+    m = m.select("model_id", fw.alias("framework"), "model_type").select(
+        "*", ((F.col("framework") == "sklearn") & (F.col("model_type") == "regression")).alias("has_linear_weights"),
+        (F.col("framework") == "onnx").alias("has_expression"), F.col("framework").isin("pytorch", "keras").alias("can_perturb"),
+        (F.col("framework") == "sklearn").alias("has_native"))
+    return AT.choose_method(m).select("model_id", "framework", "method")
 
 
 @register("attribution_explain_one", """
@@ -582,15 +655,37 @@ def q_meta_v0(spark, sf):
     return m.select(*K, r6("dataset_health_score_v0"), r6("meta_score_v0"))
 
 
-@register("attribution_local_surrogate", None)
+def _surrogate_sql() -> str:
+    """The same draws; the 3 x 3 system of two features and an intercept by Cramer's rule."""
+    (a0, a1), (h0, h1) = AT.lattice(2, "42")
+    v = _rule_sql("p + z0 * s0", "a + z1 * s1")
+    return "WITH " + O.ORDERS_DS + f""",
+x AS (SELECT row_id, o_totalprice::DOUBLE AS p, c_acctbal::DOUBLE AS a FROM ds),
+st AS (SELECT stddev_samp(p) AS s0, stddev_samp(a) AS s1 FROM x),
+u AS (SELECT j, j * {O.d(a0)} + {O.d(h0)} AS u0, j * {O.d(a1)} + {O.d(h1)} AS u1 FROM range(1000) t(j)),
+z AS (SELECT j, CASE WHEN j = 0 THEN 0.0::DOUBLE ELSE sqrt(-2 * ln(1 - (u0 - floor(u0)))) * cos(2 * pi() * (u1 - floor(u1))) END AS z0,
+             CASE WHEN j = 0 THEN 0.0::DOUBLE ELSE sqrt(-2 * ln(1 - (u0 - floor(u0)))) * sin(2 * pi() * (u1 - floor(u1))) END AS z1 FROM u),
+w AS (SELECT *, exp(-(z0 * z0 + z1 * z1) / (0.5625::DOUBLE * 2)) AS w FROM z),
+n AS (SELECT sum(w) AS n00, sum(w * z0) AS n01, sum(w * z1) AS n02, sum(w * z0 * z0) + 1 AS n11, sum(w * z0 * z1) AS n12,
+             sum(w * z1 * z1) + 1 AS n22 FROM w),
+b AS (SELECT row_id, sum(w * y) AS b0, sum(w * z0 * y) AS b1, sum(w * z1 * y) AS b2
+      FROM (SELECT row_id, w, z0, z1, {v} AS y FROM x, st, w) GROUP BY row_id),
+c AS (SELECT row_id,
+        (n00 * (b1 * n22 - n12 * b2) - b0 * (n01 * n22 - n12 * n02) + n02 * (n01 * b2 - b1 * n02)) / det AS c0,
+        (n00 * (n11 * b2 - b1 * n12) - n01 * (n01 * b2 - b1 * n02) + b0 * (n01 * n12 - n11 * n02)) / det AS c1
+      FROM b, (SELECT *, n00 * (n11 * n22 - n12 * n12) - n01 * (n01 * n22 - n12 * n02) + n02 * (n01 * n12 - n11 * n02) AS det FROM n)),
+g AS (SELECT 'o_totalprice' AS feature, 0 AS feature_ord, avg(abs(c0)) AS importance, max(abs(c0)) AS max_abs FROM c
+      UNION ALL SELECT 'c_acctbal', 1, avg(abs(c1)), max(abs(c1)) FROM c)
+SELECT feature, feature_ord, {O.rh("importance")} AS importance, {O.rh("max_abs")} AS max_abs,
+       row_number() OVER (ORDER BY importance DESC, feature_ord) AS rank FROM g"""
+
+
+@register("attribution_local_surrogate", _surrogate_sql())
 def q_surrogate(spark, sf):
     """X4 with a rule model; mean |coefficient| per feature, ranked."""
-    ds = W.orders_dataset(spark, sf)
-
-    def rule(x):
-        return F.when((x["o_totalprice"] > 200000) & (x["c_acctbal"] > 5000), 1.0).otherwise(0.0)
-    c = AT.local_surrogate(ds, "row_id", ["o_totalprice", "c_acctbal"], rule)
-    return AT.global_summary(c.withColumnRenamed("coefficient", "contribution"))
+    c = AT.local_surrogate(W.orders_dataset(spark, sf), "row_id", RULE_FEATURES, _rule)
+    g = AT.global_summary(c.withColumnRenamed("coefficient", "contribution"))
+    return g.select("feature", "feature_ord", r6("importance"), r6("max_abs"), "rank")
 
 
 @register("prep_align_columns", """
