@@ -9,6 +9,7 @@ from trustframe.operators import registry as RG
 from trustframe.operators.events import rate_window
 from trustframe.plans import oracle as O
 from trustframe.plans.catalog import register
+from trustframe.sources import registered as RD
 from trustframe.sources import registry as SR
 from trustframe.sources.tables import table
 
@@ -487,3 +488,33 @@ SELECT file_path FROM datasets WHERE user_id = 11 AND dataset_id = 'Brand#11'"""
 def q_dataset_path(spark, sf):
     """Registry lookup by (id, owner) before the read."""
     return RG.dataset_path_for_owner(SR.datasets(spark, sf), "Brand#11", 11)
+
+
+@register("registry_datasets_read", f"""
+WITH csv AS (SELECT p_brand AS dataset_id, p_partkey, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_type END AS note,
+                    CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size END AS p_size, p_retailprice FROM part),
+par AS (SELECT n_name AS dataset_id, s_suppkey, s_name, s_acctbal FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+p AS (
+SELECT dataset_id, count(*) AS row_count, 4 AS col_count, 'p_retailprice' AS target, 'p_partkey,note,p_size' AS features,
+       CAST(count(*) * 4 - count(p_partkey) - count(note) - count(p_size) - count(p_retailprice) AS BIGINT) AS null_count,
+       sum(p_retailprice) AS target_total FROM csv GROUP BY 1
+UNION ALL
+SELECT dataset_id, count(*), 3, 's_acctbal', 's_suppkey,s_name', CAST(count(*) * 3 - count(s_suppkey) - count(s_name) - count(s_acctbal) AS BIGINT),
+       sum(s_acctbal) FROM par GROUP BY 1)
+SELECT dataset_id, row_count, col_count, target, features, null_count, {O.rh('target_total', 2)} AS target_total FROM p""")
+def q_datasets_read(spark, sf):
+    """The parts of each brand exported as CSV (with missing-value tokens), the suppliers of each
+    nation as Parquet, all registered; then read back through the registry, with roles and profile."""
+    part = table(spark, sf, "part").select(
+        F.col("p_brand").alias("id"), "p_partkey", F.when(F.col("p_size") % 7 == 0, "N/A").otherwise(F.col("p_type")).alias("note"),
+        F.when(F.col("p_size") % 5 == 0, "nan").otherwise(F.col("p_size").cast("string")).alias("p_size"), "p_retailprice")
+    nation = table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("id"))
+    supplier = (table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+                .select("id", "s_suppkey", "s_name", "s_acctbal"))
+    registry = RD.export_datasets(part, "id", F.substring("id", 7, 3), "csv").unionByName(
+        RD.export_datasets(supplier, "id", F.lit(0), "parquet"))
+    out = None
+    for columns, data in RD.read_registered(spark, registry):
+        p = RD.profile(columns, data)
+        out = p if out is None else out.unionByName(p)
+    return out.withColumn("target_total", round_half(F.col("target_total"), 2))

@@ -34,31 +34,37 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def na_to_null(df: DataFrame) -> DataFrame:
+    """Text columns with the missing-value tokens as null."""
+    q = (lambda c: F.col(f"`{c}`"))
+    return df.select(*[F.when(F.trim(q(c)).isin(PANDAS_NA_TOKENS), None).otherwise(q(c)).alias(c) for c in df.columns])
+
+
+def infer_types(df: DataFrame) -> dict[str, str | None]:
+    """The type of each text column's values (bigint, double, or None for text), in one aggregate.
+
+    An all-missing column is float in pandas: bigint needs a value."""
+    q = (lambda c: F.col(f"`{c}`"))
+    tc = (lambda c, t: F.expr(f"try_cast(`{c}` AS {t})"))
+    checks = df.agg(*[x for i, c in enumerate(df.columns) for x in (
+        ((F.count(q(c)) == F.count(tc(c, "BIGINT"))) & (F.count(q(c)) > 0)).alias(f"l{i}"),
+        (F.count(q(c)) == F.count(tc(c, "DOUBLE"))).alias(f"d{i}"))]).first()  # one row of flags
+    return {c: "bigint" if checks[f"l{i}"] else "double" if checks[f"d{i}"] else None for i, c in enumerate(df.columns)}
+
+
 def read_dataset(spark: SparkSession, path: str, fmt: str | None = None,
                  schema: T.StructType | None = None) -> DataFrame:
     """CSV with header (schema inferred unless given) or parquet."""
     fmt = fmt or ("csv" if path.lower().endswith(".csv") else "parquet")
-    if fmt == "csv":
-        # read text, map the NA tokens to null, then infer types (as pandas does)
-        raw = spark.read.option("header", "true").csv(path)
-        q = (lambda c: F.col(f"`{c}`"))
-        df = raw.select(*[F.when(F.trim(q(c)).isin(PANDAS_NA_TOKENS), None).otherwise(q(c)).alias(c)
-                          for c in raw.columns])
-        if schema is not None:
-            return nan_to_null(df.select(*[q(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]))
-        tc = (lambda c, t: F.expr(f"try_cast(`{c}` AS {t})"))
-        # an all-missing column is float in pandas: require one value for BIGINT
-        checks = df.agg(*[x for i, c in enumerate(df.columns) for x in (
-            ((F.count(q(c)) == F.count(tc(c, "BIGINT"))) & (F.count(q(c)) > 0)).alias(f"l{i}"),
-            (F.count(q(c)) == F.count(tc(c, "DOUBLE"))).alias(f"d{i}"))]).first()  # one row of flags
-        cols = []
-        for i, c in enumerate(df.columns):
-            t = "bigint" if checks[f"l{i}"] else "double" if checks[f"d{i}"] else None
-            cols.append(tc(c, t.upper()).alias(c) if t else q(c))
-        df = df.select(*cols)
-    else:
-        df = spark.read.parquet(path)
-    return nan_to_null(df)
+    if fmt != "csv":
+        return nan_to_null(spark.read.parquet(path))
+    # read text, map the NA tokens to null, then infer types (as pandas does)
+    df = na_to_null(spark.read.option("header", "true").csv(path))
+    q = (lambda c: F.col(f"`{c}`"))
+    if schema is not None:
+        return nan_to_null(df.select(*[q(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]))
+    types = infer_types(df)
+    return nan_to_null(df.select(*[F.expr(f"try_cast(`{c}` AS {t})").alias(c) if t else q(c) for c, t in types.items()]))
 
 
 def column_roles(df: DataFrame, target: str | None = None) -> tuple[str, list[str]]:
