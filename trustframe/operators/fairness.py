@@ -224,6 +224,24 @@ def metric_label(metric: Column, value: Column) -> Column:
                         .otherwise(F.lit("poor"))))
 
 
+def trust_band(score: Column) -> Column:
+    """A trust score's band."""
+    return F.when(score >= 70, F.lit("High Trust")).when(score >= 40, F.lit("Moderate Trust")).when(score.isNotNull(), F.lit("Low Trust"))
+
+
+def dii_band(dii: Column) -> Column:
+    """The instability index's band, 1 (stable) to 4."""
+    return F.when(dii <= 0.15, 1).when(dii <= 0.30, 2).when(dii <= 0.50, 3).when(dii.isNotNull(), 4)
+
+
+def labelled_metrics(gaps: DataFrame, metrics: list[str]) -> DataFrame:
+    """One row a metric that has a value, with its label; the other columns stay."""
+    keep = [c for c in gaps.columns if c not in metrics]
+    cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in metrics])
+    long = gaps.select(*keep, F.inline(cells)).filter(F.col("value").isNotNull())
+    return long.withColumn("label", metric_label(F.col("metric"), F.col("value")))
+
+
 def detect_sensitive_attributes(df: DataFrame, exclude: list[str] | None = None,
                                 dataset_id: str = "dataset") -> DataFrame:
     """A10: by name keyword, else string with 2–10 distinct, else numeric

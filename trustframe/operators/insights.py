@@ -221,7 +221,7 @@ def outliers_iqr(df: DataFrame, method: str = "exact") -> DataFrame:
                    round_half(pct, 2).alias("percentage"), _impact(pct).alias("impact"),
                    "lower_bound", "upper_bound", "min_value", "max_value", "mean", "std")
     order = F.when(F.col("impact") == "high", 0).when(F.col("impact") == "medium", 1).otherwise(2)
-    return out.withColumn("impact_ord", order)
+    return out.withColumn("impact_ord", order).orderBy("impact_ord", F.col("count").desc(), "col_ord")
 
 
 def outliers_zscore(df: DataFrame) -> DataFrame:

@@ -57,10 +57,13 @@ def one_hot(df: DataFrame, col: str, values: list[str], drop_first: bool = True,
     return out
 
 
-def categories(df: DataFrame, col: str) -> list[str]:
+def categories(df: DataFrame, col: str, most: int = 1000) -> list[str]:
     """The sorted non-null values of a column, for ``one_hot``: they become columns, so they are
-    schema; a column with more values than a table can have columns belongs in a vector encoder."""
-    return [str(r[0]) for r in df.select(col).distinct().filter(F.col(col).isNotNull()).orderBy(col).collect()]
+    schema; a column of more than ``most`` values is an error, and belongs in ``label_index`` or a vector encoder."""
+    rows = df.select(col).distinct().filter(F.col(col).isNotNull()).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{col} has more than {most} values: too many for a column each")
+    return sorted(str(r[0]) for r in rows)
 
 
 def impute(df: DataFrame, numeric: list[str], categorical: list[str], other: list[str]) -> DataFrame:

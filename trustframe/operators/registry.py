@@ -38,6 +38,14 @@ def framework_of(path: Column) -> DataFrame:
     return F.when(ext.isin(ALLOWED_EXTENSIONS), F.element_at(m, ext))
 
 
+def framework_check(path: Column, declared: Column) -> Column:
+    """'accepted', or why an upload is refused: its extension isn't allowed, or the declared
+    framework isn't the extension's (none declared is no mismatch)."""
+    found = framework_of(path)
+    return (F.when(found.isNull(), F.lit("extension_not_allowed"))
+             .when(F.lower(F.trim(declared)) != found, F.lit("framework_mismatch")).otherwise(F.lit("accepted")))
+
+
 def text_search(df: DataFrame, fields: list[str], q: str, filters: dict[str, str] | None = None) -> DataFrame:
     """case-insensitive contains over ``fields``; filters ignore empty /
     'all'; relevance 0 exact, 1 prefix, 2 partial."""
@@ -134,14 +142,14 @@ def enrich(evals: DataFrame, models: DataFrame, datasets: DataFrame) -> DataFram
 
 
 def best_evaluation(requests: DataFrame, evals: DataFrame) -> DataFrame:
-    """Exact (model, dataset) pair if evaluated, else the model's newest."""
-    j = requests.join(evals.withColumnRenamed("dataset_id", "eval_dataset_id"), "model_id")
-    w = Window.partitionBy("model_id", "dataset_id").orderBy(
-        (F.col("eval_dataset_id") == F.col("dataset_id")).desc(), F.col("evaluated_at").desc(),
-        F.col("eval_dataset_id"))
-    return (j.withColumn("rn", F.row_number().over(w)).filter("rn = 1")
-             .select("model_id", "dataset_id", "eval_dataset_id", "eval_score",
-                     (F.col("eval_dataset_id") == F.col("dataset_id")).alias("exact_match")))
+    """Exact (model, dataset) pair if evaluated, else the model's newest (ties by dataset id; an
+    evaluation without a time is the oldest).  One aggregate, combined map-side; equal requests are one."""
+    j = requests.select("model_id", "dataset_id").distinct().join(evals.withColumnRenamed("dataset_id", "eval_dataset_id"), "model_id")
+    exact = F.coalesce(F.col("eval_dataset_id") == F.col("dataset_id"), F.lit(False))
+    age = F.coalesce(-F.unix_micros(F.col("evaluated_at").cast("timestamp")), F.lit(2 ** 63 - 1))
+    best = F.min_by(F.struct("eval_dataset_id", "eval_score"), F.struct(~exact, age, F.col("eval_dataset_id")))
+    return j.groupBy("model_id", "dataset_id").agg(best.alias("b")).select(
+        "model_id", "dataset_id", "b.*", (F.col("b.eval_dataset_id") == F.col("dataset_id")).alias("exact_match"))
 
 
 def missing_evaluations(models: DataFrame, dataset_ids: list[str], evals: DataFrame) -> DataFrame:
@@ -199,9 +207,21 @@ def parse_tags(col: Column) -> Column:
 
 
 def versions_from(events: DataFrame) -> DataFrame:
-    """Version ordinal per model by creation time; latest path per model."""
-    w = Window.partitionBy("model_id").orderBy("created_at", "file_path")
-    return events.withColumn("version", F.row_number().over(w))
+    """Version ordinal per model by creation time (ties by path); a model with many versions is
+    spread over range partitions."""
+    p = with_position(events, ["model_id"], ["created_at", "file_path"], "_pos", "_n")
+    return p.withColumn("version", (F.col("_pos") + 1).cast("int")).drop("_pos", "_n")
+
+
+def refresh_models(models: DataFrame, versions: DataFrame) -> DataFrame:
+    """The model row takes the path and size of its newest version, and their number; a version
+    without a size leaves the model's, a model without versions stays as it is."""
+    size = F.col("file_size") if "file_size" in versions.columns else F.lit(None).cast("long")
+    last = versions.withColumn("_size", size).groupBy("model_id").agg(
+        F.max_by(F.struct(F.col("file_path").alias("_path"), "_size"), "version").alias("_v"), F.count(F.lit(1)).alias("_many"))
+    return (models.join(last, "model_id", "left").withColumn("file_path", F.coalesce("_v._path", "file_path"))
+                  .withColumn("file_size", F.coalesce("_v._size", "file_size"))
+                  .withColumn("n_versions", F.coalesce("_many", F.lit(0).cast("long"))).drop("_v", "_many"))
 
 
 def promote(versions: DataFrame, requests: DataFrame, models: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -552,8 +552,7 @@ SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN 'BUILDING' ELSE 'Other' END AS s
 FROM customer GROUP BY ALL""")
 def q_one_hot(spark, sf):
     c = table(spark, sf, "customer")
-    vals = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-    oh = PR.one_hot(c, "c_mktsegment", vals, drop_first=False)
+    oh = PR.one_hot(c, "c_mktsegment", PR.categories(c, "c_mktsegment"), drop_first=False)
     return (oh.withColumn("seg_bin", PR.binarise(F.col("c_mktsegment"), "BUILDING"))
               .groupBy("seg_bin").agg(F.sum("c_mktsegment_AUTOMOBILE").cast("long").alias("oh_automobile"),
                                       F.sum("c_mktsegment_MACHINERY").cast("long").alias("oh_machinery"),
@@ -826,3 +825,33 @@ def q_resolved(spark, sf):
     long = p.select("pos", F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("grp")) for a in W.ORDER_ATTRS])).alias("x")).select("pos", "x.*")
     dp = (long.groupBy("attribute", "grp").agg(F.avg("pos").alias("ppr")).groupBy("attribute").agg((F.max("ppr") - F.min("ppr")).alias("dp")))
     return used.join(dp, "attribute", "left").select("attribute", "detected", "requests", r6("dp"))
+
+
+@register("prep_stratified_split", "WITH " + O.ORDERS_DS + """,
+p AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY md5(CAST(row_id AS VARCHAR)), row_id) AS k, count(*) OVER (PARTITION BY target) AS n FROM ds)
+SELECT target, CASE WHEN k <= ceil(n * 0.3::DOUBLE) THEN 'test' ELSE 'train' END AS split, count(*) AS n, CAST(sum(row_id) AS BIGINT) AS ids
+FROM p GROUP BY ALL""")
+def q_stratified(spark, sf):
+    """the orders' 70/30 split with each class's share kept."""
+    from trustframe.operators.splits import stratified_split
+    s = stratified_split(W.orders_dataset(spark, sf), [], "target", "row_id")
+    return s.groupBy("target", "split").agg(F.count(F.lit(1)).alias("n"), F.sum("row_id").cast("long").alias("ids"))
+
+
+@register("prep_score_expression", """
+SELECT p_partkey, """ + O.rh("120.0::DOUBLE * p_size + 0.8::DOUBLE * p_retailprice + 5.0::DOUBLE") + """ AS y_pred FROM part""")
+def q_score_expression(spark, sf):
+    """M4: a model given as an expression scores every part."""
+    m = AT.linear_model(PART_WEIGHTS, 5.0)
+    return PR.score_expression(table(spark, sf, "part"), m, list(PART_WEIGHTS)).select("p_partkey", r6("y_pred"))
+
+
+@register("evaluation_bands", O.evaluation_ctes("docs_quality") + """
+SELECT model_id, dataset_id, trust_mode,
+       CASE WHEN trust_score >= 70 THEN 'High Trust' WHEN trust_score >= 40 THEN 'Moderate Trust' WHEN trust_score IS NOT NULL THEN 'Low Trust' END AS trust_band,
+       CASE WHEN DII <= 0.15::DOUBLE THEN 1 WHEN DII <= 0.30::DOUBLE THEN 2 WHEN DII <= 0.50::DOUBLE THEN 3 WHEN DII IS NOT NULL THEN 4 END AS dii_band FROM tr""")
+def q_bands(spark, sf):
+    """Bands of trust and instability."""
+    from trustframe.operators.fairness import dii_band, trust_band
+    e = E.evaluate_workload(spark, sf, "docs_quality")
+    return e.select(*K, "trust_mode", trust_band(F.col("trust_score")).alias("trust_band"), dii_band(F.col("DII")).alias("dii_band"))

@@ -464,3 +464,18 @@ def q_insights_summary(spark, sf):
     for o in outs[1:]:
         res = res.unionByName(o)
     return res
+
+
+@register("fairness_labels", "WITH " + O.BINARY_PREDS + "," + O.class_fairness_sql("preds", W.ORDER_ATTRS) + """,
+l AS (UNPIVOT (SELECT model_id, dataset_id, attr, """ + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _GAP_COLS) + """ FROM gaps2)
+      ON """ + ", ".join(_GAP_COLS) + """ INTO NAME metric VALUE value)
+SELECT model_id, dataset_id, attr, metric, """ + O.rh("value") + """ AS value,
+  CASE WHEN metric LIKE '%\\_difference' ESCAPE '\\' THEN CASE WHEN value <= 0.1::DOUBLE THEN 'good' WHEN value <= 0.2::DOUBLE THEN 'fair' ELSE 'poor' END
+       WHEN metric LIKE '%\\_ratio' ESCAPE '\\' THEN CASE WHEN value BETWEEN 0.8::DOUBLE AND 1.25::DOUBLE THEN 'good'
+                                            WHEN value BETWEEN 0.6::DOUBLE AND 1.5::DOUBLE THEN 'fair' ELSE 'poor' END
+       ELSE CASE WHEN value >= 0.8::DOUBLE THEN 'good' WHEN value >= 0.6::DOUBLE THEN 'fair' ELSE 'poor' END END AS label
+FROM l""")
+def q_fairness_labels(spark, sf):
+    """Every fairness metric with its label."""
+    g = FA.fairness_gaps(FA.group_metrics(W.binary_predictions(spark, sf), W.ORDER_ATTRS)).select(*K, "attr", *_GAP_COLS)
+    return FA.labelled_metrics(g, list(_GAP_COLS)).select(*K, "attr", "metric", r6("value"), "label")

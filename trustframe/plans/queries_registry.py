@@ -518,3 +518,30 @@ def q_datasets_read(spark, sf):
         p = RD.profile(columns, data)
         out = p if out is None else out.unionByName(p)
     return out.withColumn("target_total", round_half(F.col("target_total"), 2))
+
+
+@register("registry_versions_refresh", W("models") + ",\n" + _VERSIONS_SQL + """,
+sz AS (SELECT l_suppkey AS model_id, date_trunc('month', l_shipdate) AS created_at, CAST(sum(l_orderkey) AS BIGINT) AS file_size FROM lineitem GROUP BY ALL),
+last AS (SELECT model_id, arg_max(vv.file_path, version) AS path, arg_max(sz.file_size, version) AS size, count(*) AS n
+         FROM vv JOIN sz USING (model_id, created_at) GROUP BY model_id)
+SELECT m.model_id, coalesce(path, m.file_path) AS file_path, coalesce(size, m.file_size) AS file_size, coalesce(n, 0) AS n_versions
+FROM models m LEFT JOIN last USING (model_id)""")
+def q_refresh(spark, sf):
+    """Models with the path and size of their newest version."""
+    month = F.date_trunc("month", "l_shipdate").alias("created_at")
+    size = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("model_id"), month).agg(F.sum("l_orderkey").cast("long").alias("file_size"))
+    v = _versions(spark, sf).join(size, ["model_id", "created_at"])
+    return RG.refresh_models(SR.models(spark, sf), v).select("model_id", "file_path", "file_size", "n_versions")
+
+
+@register("registry_upload_check", W("models") + """,
+d AS (SELECT model_id, regexp_extract(lower(file_path), '(\\.[a-z0-9]+)$', 1) AS ext,
+             CASE WHEN model_id % 3 = 0 THEN NULL WHEN model_id % 3 = 1 THEN 'sklearn' ELSE 'ONNX ' END AS declared FROM models),
+f AS (SELECT *, CASE ext WHEN '.pkl' THEN 'sklearn' WHEN '.joblib' THEN 'sklearn' WHEN '.pt' THEN 'pytorch' WHEN '.pth' THEN 'pytorch'
+                         WHEN '.h5' THEN 'keras' WHEN '.onnx' THEN 'onnx' END AS framework FROM d)
+SELECT model_id, CASE WHEN framework IS NULL THEN 'extension_not_allowed' WHEN lower(trim(declared)) <> framework THEN 'framework_mismatch'
+                      ELSE 'accepted' END AS verdict FROM f""")
+def q_upload_check(spark, sf):
+    """uploads whose extension isn't allowed, or isn't of the framework that they declare."""
+    declared = F.when(F.col("model_id") % 3 == 1, "sklearn").when(F.col("model_id") % 3 == 2, "ONNX ")
+    return SR.models(spark, sf).select("model_id", RG.framework_check(F.col("file_path"), declared).alias("verdict"))
