@@ -43,13 +43,13 @@ def cases(vocabulary, seed):
 
 
 @pytest.mark.parametrize("vocabulary,seed", [(5000, 1), (2, 2), (30, 3)])
-@pytest.mark.parametrize("held", [1 << 20, 5])
-def test_removed_words_match_brute_force(spark, docs_of, vocabulary, seed, held):
+@pytest.mark.parametrize("held,hot", [(1 << 20, 1 << 16), (5, 1 << 16), (1 << 20, 1), (5, 40)])
+def test_removed_words_match_brute_force(spark, docs_of, vocabulary, seed, held, hot):
     rows = cases(vocabulary, seed)
     df = docs_of(rows).selectExpr("*", "1 AS d", "2 AS th", "3 AS runs").repartition(5)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37" if held == 5 else "10000")
     try:
-        got = SubstringDedup(held=held).dedup(df).collect()
+        got = SubstringDedup(held=held, hot=hot, sampled=1).dedup(df).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted((tuple(r)[:4] for r in got), key=repr) == brute(rows)
@@ -80,3 +80,21 @@ def test_windows_with_equal_short_hashes_are_not_copies(spark, docs_of):
         # each document in a slice of its own, so that the blocks compare them
         got = SubstringDedup(held=held).dedup(docs_of(rows).repartition(6, "doc_id")).collect()
         assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(i, 0) for i in range(6)]
+
+
+def test_a_frequent_anchor_is_spread_and_keeps_the_result(spark, docs_of):
+    rng = random.Random(5)
+    phrase = [f"p{i}" for i in range(19)]
+    rows = []
+    for i in range(600):  # one phrase between other words, so hundreds of different windows share an anchor
+        around = [f"w{rng.randrange(10 ** 9)}" for _ in range(60)]
+        rows.append((i, " ".join(around[:30] + phrase + around[30:])))
+    rows += [(1000 + i, rows[i][1]) for i in range(0, 600, 50)]
+    df = docs_of(rows).repartition(4)
+    keyed = df.selectExpr("doc_id AS d", "xxhash64(text) AS th", "text")
+    spread, plain = SubstringDedup(hot=300, sampled=1), SubstringDedup()
+    assert len(spread._frequent(keyed)) >= 1 and len(plain._frequent(keyed)) == 0 and len(SubstringDedup(hot=1, sampled=1, most=3)._frequent(keyed)) == 3
+    largest = [x._sent(keyed).filter("kind = 0").groupBy("h").count().agg({"count": "max"}).first()[0] for x in (spread, plain)]
+    assert largest[0] < 50 <= largest[1]
+    got = [sorted((tuple(r) for r in x.dedup(df).collect()), key=repr) for x in (spread, plain)]
+    assert got[0] == got[1] and sum(r[2] for r in got[0]) == 12 * 79

@@ -14,6 +14,11 @@ gets a run of windows copied from it.  Runs of one reference that follow one ano
 to greedy factors; windows that cross the boundary of two factors have been asked for themselves,
 so a span that straddles a boundary isn't lost.
 
+An anchor that many different windows share (a frequent phrase with other words around it) would
+give its block to one task.  A first pass counts the windows of each anchor on a sixty-fourth of them,
+picked by hash, and the windows of frequent anchors go each to a block of its own hash: equal windows
+still meet, so the count decides where a window is asked and never the result.
+
 A task first parses a slice of documents against itself, and sends only what was new in the
 slice; a passage that a third of all documents share costs one row for each slice.  A block
 streams its rows and holds the windows of one anchor; an anchor with more than ``held`` of them
@@ -78,33 +83,61 @@ def firsts(group: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return one, src
 
 
+def parsed(batch, width: int):
+    """For slices of documents: the documents' columns, the words' hashes, each document's first word, each
+    word's document, and the places and hashes of whole windows (a repeated row has none)."""
+    for part in K.slices(batch, 2, 2 * K.SLICE_BYTES):
+        part = part.take(pa.compute.sort_indices(part.select(["d", "th"]), sort_keys=[("d", "ascending"), ("th", "ascending")]))
+        data, off = K.flat(part.column(2))
+        start, end, first = K.spans(data, off)
+        words = K.hashes(data, start, end)
+        doc = np.repeat(np.arange(part.num_rows), np.diff(first))
+        d, th = (part.column(i).to_numpy() for i in (0, 1))
+        # a repeated row (same id and text) is left to the first
+        again = np.zeros(part.num_rows, bool)
+        again[1:] = (d[1:] == d[:-1]) & (th[1:] == th[:-1])
+        g, ok = K.windows(words, first, width)
+        ok &= ~again[doc]
+        at = np.flatnonzero(ok)
+        if len(at):
+            yield d, th, words, first, doc, at, g[at]
+
+
 @dataclass
 class SubstringDedup:
+    """``hot`` windows make an anchor frequent; ``most`` anchors at most are treated so, the most frequent,
+    so any other has at most ``hot`` windows or one in ``most`` of all.  Neither changes a result."""
+
     window: int = 20
     held: int = 1 << 20
+    hot: int = 1 << 16
+    most: int = 1 << 16
+    sampled: int = 64
+
+    def _frequent(self, docs: DataFrame) -> np.ndarray:
+        """The frequent anchors, at most ``most`` numbers, sorted."""
+        width, one_of = self.window, np.uint64(self.sampled)
+
+        def run(batch):
+            for _, _, words, first, _, at, g in parsed(batch, width):
+                _, one = np.unique(g, return_index=True)
+                one = one[K.mix(g[one]) % one_of == 0]
+                if len(one):
+                    grams, _ = K.windows(words, first, GRAM)
+                    h, n = np.unique(grams[least_at(grams, width - GRAM + 1)[at[one]]], return_counts=True)
+                    yield [K.i64(h), pa.array(n, pa.int64())]
+
+        counts = map_arrow(docs, ["d", "th", "text"], run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+        top = counts.filter(F.col("n") * self.sampled >= self.hot).orderBy(F.col("n").desc(), "h").limit(self.most)
+        return np.sort(np.array([r["h"] for r in top.select("h").collect()], np.int64))
 
     def _sent(self, docs: DataFrame) -> DataFrame:
         """Rows for the blocks: anchors with windows that follow one another from ``pos`` on, as their
         hashes (kind 0), and runs found in a slice (1)."""
-        width = self.window
+        width, frequent = self.window, self._frequent(docs).view(np.uint64)
 
         def run(batch):
-            for part in K.slices(batch, 2, 2 * K.SLICE_BYTES):
-                part = part.take(pa.compute.sort_indices(part.select(["d", "th"]), sort_keys=[("d", "ascending"), ("th", "ascending")]))
-                data, off = K.flat(part.column(2))
-                start, end, first = K.spans(data, off)
-                words = K.hashes(data, start, end)
-                doc = np.repeat(np.arange(part.num_rows), np.diff(first))
-                d, th = (part.column(i).to_numpy() for i in (0, 1))
-                # a repeated row (same id and text) is left to the first
-                again = np.zeros(part.num_rows, bool)
-                again[1:] = (d[1:] == d[:-1]) & (th[1:] == th[:-1])
-                g, ok = K.windows(words, first, width)
-                ok &= ~again[doc]
-                at = np.flatnonzero(ok)
-                if not len(at):
-                    continue
-                g = g[at]
+            for d, th, words, first, doc, at, g in parsed(batch, width):
                 place = at - first[doc[at]]
                 _, one, inv = np.unique(g, return_index=True, return_inverse=True)
                 src = one[inv]
@@ -120,10 +153,12 @@ class SubstringDedup:
                            pa.array(s.astype(np.int32)), packed(body, np.arange(len(cuts)))]
                 grams, _ = K.windows(words, first, GRAM)
                 anchor = least_at(grams, width - GRAM + 1)[at[one_sorted := np.sort(one)]]
-                own = at[one_sorted]
-                cuts = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1] + 1)))
+                own, block = at[one_sorted], grams[anchor]
+                lone = np.isin(block, frequent)
+                block = np.where(lone, K.mix(block ^ K.mix(g[one_sorted])), block)
+                cuts = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1] + 1) | lone[1:]))
                 who = doc[own[cuts]]
-                yield [K.i64(grams[anchor[cuts]]), pa.array(np.zeros(len(cuts), np.int8)), pa.array(d[who]), pa.array(th[who]),
+                yield [K.i64(block[cuts]), pa.array(np.zeros(len(cuts), np.int8)), pa.array(d[who]), pa.array(th[who]),
                        pa.array((own[cuts] - first[who]).astype(np.int32)), packed(g[one_sorted].astype("<u8"), cuts)]
 
         return map_arrow(docs, ["d", "th", "text"], run, _ROWS)
