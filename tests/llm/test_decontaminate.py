@@ -4,7 +4,8 @@ from collections import Counter
 
 import numpy as np
 
-from trustframe.llm.decontaminate import Decontaminator, HammingIndex
+from trustframe.llm import kernels as K
+from trustframe.llm.decontaminate import Decontaminator, HammingIndex, simhash
 
 TOK = re.compile(r"(?:[0-9A-Za-z]|[^\x00-\x7f])+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -84,3 +85,37 @@ def test_index_misses_none_within_the_radius():
     near = np.array(near)
     want = {(i, j, int(d)) for i in range(400) for j in range(40) if (d := np.unpackbits(near[i] ^ prints[j]).sum()) <= 31}
     assert set(index.within(near)) == want and len(want) > 200
+
+
+def near_pair(rng, n, k=5, pc=80):
+    """Word hashes of an item and of a window with as many changed shingles as ``pc`` allows: words replaced in the
+    middle, each losing k shingles, then at the end, each losing one."""
+    m = n - k + 1
+    lose = m * (100 - pc) // (100 + pc)  # (m - lose) / (m + lose) >= pc / 100
+    item = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    window = item.copy()
+    middle = rng.integers(0, lose // k + 1)
+    at = k + np.arange(middle) * (m // (middle + 1))
+    window[at] ^= np.uint64(0x5555)
+    window[n - (lose - k * middle):] ^= np.uint64(0x3333)
+    return item, window
+
+
+def recall(n, pairs=2000, radius=31, k=5):
+    """The share of pairs at the threshold whose fingerprints lie within the radius, and their worst similarity."""
+    rng = np.random.default_rng(n)
+    found, worst = 0, 1.0
+    for _ in range(pairs):
+        a, b = (K.windows(w, np.array([0, n]), k) for w in near_pair(rng, n))
+        a, b = a[0][a[1]], b[0][b[1]]
+        same = len(np.intersect1d(a, b))
+        worst = min(worst, same / (2 * len(a) - same))
+        d = np.bitwise_count(simhash(a[None]).view(np.uint64) ^ simhash(b[None]).view(np.uint64)).sum()
+        found += d <= radius
+    return found / pairs, worst
+
+
+def test_recall_of_the_radius_at_the_threshold():
+    for n in (13, 14, 20, 40, 80, 150):
+        share, worst = recall(n, 400)
+        assert worst >= 0.8 and share >= 0.99, (n, share, worst)
