@@ -247,8 +247,10 @@ def detect_sensitive_attributes(df: DataFrame, exclude: list[str] | None = None,
     """A10: by name keyword, else string with 2–10 distinct, else numeric
     (booleans included) with 2–5 distinct; the target is excluded.
 
-    One aggregation computes every column's distinct count; the result is a
-    small (dataset_id, column, ordinal, reason) table."""
+    A first scan marks each value's hash in 64 bits a column: a column with more bits set than its
+    bound surely has more values, and is left out without being counted.  Distinct values are
+    counted only in what is left and in columns that their name decides; the result is a small
+    (dataset_id, column, ordinal, reason) table.  A column without values is never one by its values."""
     from pyspark.sql import types as T
     exclude = set(exclude or [])
     cand = [(i, f) for i, f in enumerate(df.schema.fields) if f.name not in exclude]
@@ -256,6 +258,17 @@ def detect_sensitive_attributes(df: DataFrame, exclude: list[str] | None = None,
         return df.sparkSession.createDataFrame(
             [], "dataset_id string, column string, ordinal int, reason string, n_unique long")
     by_name = {f.name for _, f in cand if any(k in f.name.lower() for k in SENSITIVE_KEYWORDS)}
+    bound = {i: 10 if isinstance(f.dataType, T.StringType) else 5 for i, f in cand
+             if f.name not in by_name and isinstance(f.dataType, (T.StringType, T.NumericType, T.BooleanType))}
+    # floats by their bits with one zero, as distinct values count 0.0 and -0.0 as one
+    mark = (lambda c: F.when(c.isNotNull(), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c), F.lit(64)).cast("int"))))
+    one_zero = (lambda f: F.col(f"`{f.name}`") + 0.0 if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`"))
+    bits = [(i, F.bit_count(F.bit_or(mark(one_zero(f)))).alias(f"b{i}")) for i, f in cand if i in bound]
+    seen = df.agg(*[b for _, b in bits]).first().asDict() if bits else {}  # one row of a number a column
+    cand = [(i, f) for i, f in cand if f.name in by_name or (i in bound and (seen[f"b{i}"] or 0) <= bound[i])]
+    if not cand:
+        return df.sparkSession.createDataFrame(
+            [], "dataset_id string, column string, ordinal int, reason string, n_unique long")
     nd = df.agg(*[F.count_distinct(F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in cand])
     entries = []
     for i, f in cand:
