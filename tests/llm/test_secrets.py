@@ -57,3 +57,9 @@ def test_copies_and_repositories_of_one_owner_make_an_example(spark, docs_of):
     got = {r["doc_id"]: [(s["kind"], s["verdict"]) for s in r["spans"]] for r in SecretScan().scan(docs_of(rows)).collect()}
     assert got[0] == [("assign", "example")] and got[100] == [("assign", "example")]
     assert got[200] == [("token", "live")] and got[300] == [("assign", "live")]
+
+
+def test_repeated_rows_are_each_kept_and_count_as_copies(spark, docs_of):
+    rows = [(1, f"see {LIVE} here", "en", "mine")] * 3 + [(2, None, None, None)] * 2
+    got = sorted((r["doc_id"], [(s["kind"], s["owners"], s["repositories"], s["verdict"]) for s in r["spans"]]) for r in SecretScan().scan(docs_of(rows)).collect())
+    assert got == [(1, [("token", 1, 1, "live")])] * 3 + [(2, [])] * 2
