@@ -77,3 +77,17 @@ def test_fingerprint_collisions_change_nothing(spark, monkeypatch):
     df = spark.createDataFrame([(1, "p"), (1, "p"), (2, "q"), (3, "r"), (3, "r"), (3, "r")], "x int, y string")
     monkeypatch.setattr(health, "fingerprint_columns", lambda d: (F.lit(1).cast("long"), F.lit(2).cast("long")))
     assert dataset_stats(df, "d", "y").first().duplicate_ratio == pytest.approx(3 / 6)
+
+
+def test_tests_on_constant_folds(spark):
+    from trustframe.plans.experiment import balanced_vs_strict, correlation_p
+    rows = [(m, k, x, y, z) for m, v in (("same", lambda k: (0.75, 60.0 + k, 50.0)), ("gap", lambda k: (0.5 + k / 10, 70.0, 60.0)),
+                                         ("line", lambda k: (0.5 + k / 8, 40.0 + 8 * k, 40.0 + 8 * k))) for k in range(5) for x, y, z in [v(k)]]
+    folds = spark.createDataFrame(rows, "model_id string, fold int, accuracy double, trust_balanced double, trust_strict double")
+    r = {x.model_id: x for x in correlation_p(folds, "accuracy", "trust_balanced", ["model_id"]).collect()}
+    assert (r["same"].r, r["same"].p_value, r["gap"].r) == (None, None, None)
+    assert r["line"].r == pytest.approx(1.0) and r["line"].p_value == pytest.approx(0.0, abs=1e-9)
+    t = {x.model_id: x for x in balanced_vs_strict(folds).collect()}
+    assert (t["gap"].t_stat, t["gap"].p_value, t["gap"].significance) == (float("inf"), 0.0, "***")
+    assert (t["line"].t_stat, t["line"].p_value, t["line"].significance) == (None, None, "ns")
+    assert t["same"].t_stat == pytest.approx(12.0 / (2.5 ** 0.5 / 5 ** 0.5))

@@ -139,7 +139,9 @@ def paired_t(a: DataFrame, key: list[str], left: str, right: str) -> DataFrame:
     d = F.col(left) - F.col(right)
     g = a.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean_diff"),
                             F.stddev_samp(d).alias("sd_diff"))
-    t = F.col("mean_diff") / (F.col("sd_diff") / F.sqrt("n"))
+    # differences all equal: t is infinite, or null if they are 0
+    t = F.when(F.col("sd_diff") == 0, F.when(F.col("mean_diff") != 0, F.signum("mean_diff") * F.lit(math.inf))).otherwise(
+        F.try_divide(F.col("mean_diff"), F.col("sd_diff") / F.sqrt("n")))
     g = g.withColumn("t_stat", t).withColumn("p_value", t_p_value(F.col("t_stat"), F.col("n") - 1))
     return g.withColumn("significance", stars(F.col("p_value")))
 
@@ -159,10 +161,14 @@ def model_vs_model(folds: DataFrame) -> DataFrame:
 
 
 def correlation_p(folds: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
-    """Pearson r and its two-sided p (t = r·√((n−2)/(1−r²)))."""
+    """Pearson r and its two-sided p (t = r·√((n−2)/(1−r²))); null where x or y is constant."""
+    both = (lambda c, o: F.when(F.col(o).isNotNull(), F.col(c).cast("double")))
+    # not ``corr``, which fails on a constant column where division by zero is an error
     g = (folds.groupBy(*by) if by else folds.groupBy()).agg(
-        F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("r"))
-    t = F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
+        F.count(F.lit(1)).alias("n"), F.covar_pop(x, y).alias("_xy"), F.var_pop(both(x, y)).alias("_xx"), F.var_pop(both(y, x)).alias("_yy"))
+    r = F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx") * F.col("_yy")))
+    g = g.withColumn("r", F.greatest(lit_d(-1.0), F.least(lit_d(1.0), r))).withColumn("r", F.when(r.isNotNull(), F.col("r"))).drop("_xy", "_xx", "_yy")
+    t = F.col("r") * F.sqrt(F.try_divide((F.col("n") - 2).cast("double"), 1 - F.col("r") * F.col("r")))
     return (g.withColumn("p_value", F.when(F.abs(F.col("r")) >= 1, lit_d(0.0))
                          .otherwise(t_p_value(t, F.col("n") - 2)))
              .withColumn("x", F.lit(x)).withColumn("y", F.lit(y)))
