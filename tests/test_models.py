@@ -65,3 +65,14 @@ def test_native_importance_of_fitted_models(spark, rows):
         assert sum(r["importance"] for r in got) == pytest.approx(1) and all(p["importance"] >= q["importance"] for p, q in zip(got, got[1:]))
         if a != "LogisticRegression":
             assert got[0]["feature"] == "x"
+
+
+def test_prepared_rows_come_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(M, "ROWS_A_TASK", 50)
+    monkeypatch.setattr(M, "MOST_ROWS_A_TASK", 100)
+    monkeypatch.setattr(M, "USUAL_TASKS", 8)
+    df = spark.range(2000).selectExpr("id", "id % 2 AS y", "id * 1.0D AS x", "CAST(id % 3 AS STRING) AS g")
+    table, _ = M.prepared(df, "y", ["x"], ["g"])
+    sizes = [len(p) for p in table.filter("id % 5 <> 0").rdd.glom().collect()]
+    assert sum(sizes) == 1600 and max(sizes) <= 150
+    assert [M.parts(n) for n in (0, 50, 51, 400, 900)] == [1, 1, 2, 8, 9]

@@ -1,15 +1,14 @@
 """Models fitted per fold, out-of-fold predictions, native importance.
 
 ``prepared`` indexes, one-hot encodes and assembles the features once, into a table written to the
-shared folder; all fits read it.  ``out_of_fold`` fits every algorithm on each fold's training part
-with MLlib (each fit is distributed; several are submitted at a time, as a fit on one fold seldom
-fills a cluster) and scores the part held out, so each row has one prediction a model, made by a
+shared folder; all fits read it in the same parts, of a bounded number of rows each.  ``out_of_fold`` fits every algorithm on each fold's training part
+with MLlib (each fit is distributed; on small tables several are submitted at a time, as such a fit
+doesn't fill a cluster) and scores the part held out, so each row has one prediction a model, made by a
 model that hasn't seen it.
 """
 
 from __future__ import annotations
 
-import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -23,7 +22,9 @@ from pyspark.util import inheritable_thread_target
 
 from trustframe.session import checkpoint_dir
 
-ROWS_A_TASK = 100_000
+ROWS_A_TASK, MOST_ROWS_A_TASK, USUAL_TASKS = 100_000, 250_000, 48
+#: rows of all fits that run at a time: each keeps its rows in memory, a forest about 1 KB for each (its 200 draws)
+ROWS_AT_ONCE = 16_000_000
 ALGORITHMS = ["LogisticRegression", "RandomForest", "BoostedTrees"]
 
 
@@ -59,10 +60,14 @@ def prepared(df: DataFrame, label: str, numeric: list[str], categorical: list[st
     made = Pipeline(stages=[*idx, *hot, assemble]).fit(df)
     names = numeric + [f"{c}={v}" for c, m in zip(categorical, made.stages) for v in m.labels]
     rows = made.transform(df).select(*df.columns, F.col(label).cast("double").alias("label"), "features")
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/prepared-{uuid.uuid4().hex}"
-    # a tree's rounds are hundreds of short jobs over this table: tasks of a hundred thousand rows
-    rows.repartition(-(-df.count() // ROWS_A_TASK) or 1).write.parquet(path)
-    return df.sparkSession.read.parquet(path), names
+    checkpoint_dir(df.sparkSession)
+    # a checkpoint keeps its parts; of files, a reader puts many small ones into one task
+    return rows.repartition(parts(df.count())).checkpoint(eager=True), names
+
+
+def parts(rows: int) -> int:
+    """Tasks of a hundred thousand rows, as a tree's rounds are hundreds of short jobs over the table; of more rows on large tables."""
+    return max(1, -(-rows // MOST_ROWS_A_TASK), min(USUAL_TASKS, -(-rows // ROWS_A_TASK)))
 
 
 def fit(train: DataFrame, algorithm: str, fits: Fits = Fits()) -> Model:
@@ -79,7 +84,7 @@ def out_of_fold(table: DataFrame, fold: str, folds: int, algorithms: list[str] =
                              F.col("prediction").alias("y_pred"), F.element_at(vector_to_array("probability"), 2).alias("score"))
 
     jobs = [(a, k) for a in sorted(algorithms, key=lambda a: a != "BoostedTrees") for k in range(folds)]
-    with ThreadPoolExecutor(at_once) as pool:
+    with ThreadPoolExecutor(max(1, min(at_once, ROWS_AT_ONCE // max(1, table.count())))) as pool:
         parts = list(pool.map(lambda job: inheritable_thread_target(table.sparkSession)(one)(*job), jobs))
     out = parts[0]
     for p in parts[1:]:
