@@ -60,3 +60,18 @@ def test_stemmed_rouge(spark):
     n, one = rouge_n(df, K, rouge_tokens_stemmed).first(), 2 * (2 / 5) * (2 / 4) / (2 / 5 + 2 / 4)
     assert n.rouge1 == pytest.approx(one / 2) and n.rouge2 == 0.0
     assert rouge_l(df, K, rouge_tokens_stemmed).first().rougeL == pytest.approx(one / 2)
+
+
+def test_tokens_of_a_batch_are_numbers_of_its_distinct_ones(spark, monkeypatch):
+    import pyarrow as pa
+
+    from trustframe.functions import stem
+    from trustframe.operators.text import _coded
+    words = pa.array([["relational", "the", "relational"], None, [], ["cats", None, "relational"]] * 500).slice(1)
+    seen = []
+    monkeypatch.setattr(stem, "porter_stem", lambda w: seen.append(w) or w[:3])
+    got = stem.stem_tokens.func(words).to_pylist()
+    assert got[:4] == [None, [], ["cat", None, "rel"], ["rel", "the", "rel"]] and sorted(seen) == ["cats", "relational"]
+    pairs = [(x.tolist(), y.tolist()) for x, y in _coded(words.slice(0, 3), words.slice(1, 3))]
+    assert pairs[0] == ([], []) and pairs[1][0] == [] and len(pairs[2][0]) == len(pairs[2][1]) == 3
+    assert pairs[2][0][2] == pairs[2][1][0] == pairs[2][1][2] != pairs[2][1][1]

@@ -1,9 +1,9 @@
 """Corpus BLEU and ROUGE over (prediction, reference) text pairs.
 
-N-gram overlap is counted inside the row that holds both texts of a pair (a
-pandas UDF, linear in the text); corpus sums are one aggregation, so no text
+N-gram overlap is counted inside the row that holds both texts of a pair (an
+Arrow UDF, linear in the text); corpus sums are one aggregation, so no text
 is shuffled.  Whole texts are processed (no prefixes).  ROUGE-L needs an
-LCS per pair, done by a pandas UDF with a row-vectorised DP.
+LCS per pair, done by an Arrow UDF with a row-vectorised DP.
 
 Tokenisation (re-aimed, documented in the README):
 * BLEU: punctuation split from words, whitespace split, case kept; or the
@@ -16,9 +16,11 @@ Tokenisation (re-aimed, documented in the README):
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +56,19 @@ def rouge_tokens(c: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "), " "), lambda x: x != "")
 
 
+def _coded(a: pa.Array, b: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The token arrays of each pair as numbers of the batch's distinct tokens (null: no tokens)."""
+    both = pa.concat_arrays([a.flatten(), b.flatten()]).dictionary_encode()
+    codes = both.indices.to_numpy(zero_copy_only=False)
+    at, ends = 0, []
+    for x in (a, b):
+        sizes = pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False)
+        ends.append(at + np.append(0, np.cumsum(sizes)))
+        at = int(ends[-1][-1])
+    for i in range(len(a)):
+        yield codes[ends[0][i]:ends[0][i + 1]], codes[ends[1][i]:ends[1][i + 1]]
+
+
 def _clipped(a: list, b: list, n: int) -> int:
     """N-grams that two token lists share, each as often as in the one that has fewer."""
     grams = [Counter(zip(*[x[i:] for i in range(n)])) for x in (list(a), list(b))]
@@ -61,9 +76,10 @@ def _clipped(a: list, b: list, n: int) -> int:
 
 
 def overlap_udf(max_n: int):
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def matches(p: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([[_clipped(x, y, n) for n in range(1, max_n + 1)] for x, y in zip(p, r)])
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def matches(p: pa.Array, r: pa.Array) -> pa.Array:
+        pairs = ((x.tolist(), y.tolist()) for x, y in _coded(p, r))
+        return pa.array([[_clipped(x, y, n) for n in range(1, max_n + 1)] for x, y in pairs], pa.list_(pa.int64()))
 
     return matches
 
@@ -130,18 +146,14 @@ def rouge_n(pairs: DataFrame, keys: list[str], tokens=rouge_tokens) -> DataFrame
         F.col("1").alias("rouge1"), F.col("2").alias("rouge2"))
 
 
-def _lcs_len(a: list, b: list) -> int:
+def _lcs_len(a: np.ndarray, b: np.ndarray) -> int:
     if len(a) == 0 or len(b) == 0:
         return 0
     if len(b) > len(a):
         a, b = b, a
-    vocab: dict = {}
-    bi = np.array([vocab.setdefault(x, len(vocab)) for x in b], dtype=np.int64)
     prev = np.zeros(len(b) + 1, dtype=np.int64)
     for x in a:
-        xi = vocab.get(x, -1)
-        match = bi == xi
-        cand = np.maximum(prev[1:], np.where(match, prev[:-1] + 1, 0))
+        cand = np.maximum(prev[1:], np.where(b == x, prev[:-1] + 1, 0))
         new = np.empty_like(prev)
         new[0] = 0
         new[1:] = np.maximum.accumulate(cand)
@@ -149,13 +161,13 @@ def _lcs_len(a: list, b: list) -> int:
     return int(prev[-1])
 
 
-@F.pandas_udf(T.LongType())
-def lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_lcs_len(list(x), list(y)) for x, y in zip(a, b)], dtype="int64")
+@F.arrow_udf(T.LongType())
+def lcs_udf(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([_lcs_len(x, y) for x, y in _coded(a, b)], pa.int64())
 
 
 def rouge_l(pairs: DataFrame, keys: list[str], tokens=rouge_tokens) -> DataFrame:
-    """A20 (L): LCS-based F-measure per pair (pandas UDF), then the mean."""
+    """A20 (L): LCS-based F-measure per pair (Arrow UDF), then the mean."""
     t = pairs.select(*keys, tokens(F.col("prediction")).alias("pt"),
                      tokens(F.col("reference")).alias("rt"))
     t = t.withColumn("lcs", lcs_udf("pt", "rt"))
