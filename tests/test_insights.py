@@ -81,3 +81,12 @@ def test_guarded_json(spark):
     assert [r[0] for r in got] == ["x"] + [None] * 10
     assert [r[1] for r in got] == [None, 5.0] + [None] * 8 + [1.5]
     assert [r[2] for r in got] == ["object"] * 3 + ["array", "object", None, None, None, "scalar", "object", "object"]
+
+
+def test_summary_finds_each_tables_fences_once(spark, monkeypatch):
+    from trustframe.operators import insights
+    from trustframe.plans.catalog import QUERIES, load_all
+    load_all()
+    calls, real = [], insights.column_quartiles
+    monkeypatch.setattr(insights, "column_quartiles", lambda *a, **k: calls.append(1) or real(*a, **k))
+    assert QUERIES["insights_summary"](spark, "/root/testdata/sf0.001").count() == 5 and len(calls) == 5

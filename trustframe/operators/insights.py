@@ -91,12 +91,13 @@ def _radix_select(df: DataFrame, cols: list[str], asks: list[tuple[int, int]], l
         def run(batches, slots=slots, level=level):
             counts = np.zeros((len(slots), 1 << 16), np.int64)
             for batch in batches:
-                x = _matrix(batch)
-                for k, (i, p) in enumerate(slots):
-                    key = _keys(x[i][~np.isnan(x[i])])
-                    if level:
-                        key = key[key >> np.uint64(64 - 16 * level) == np.uint64(p)]
-                    counts[k] += np.bincount(((key >> np.uint64(48 - 16 * level)) & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
+                x, last = _matrix(batch), None
+                for k, (i, p) in enumerate(slots):  # a column's slots follow one another
+                    if i != last:
+                        keys, last = _keys(x[i][~np.isnan(x[i])]), i
+                        begins = keys >> np.uint64(64 - 16 * level) if level else None
+                    key = keys[begins == np.uint64(p)] if level else keys
+                    np.add.at(counts[k], ((key >> np.uint64(48 - 16 * level)) & np.uint64(0xFFFF)).astype(np.int64), 1)
             k, at = np.nonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[k, at])], names=["k", "at", "c"])
 
@@ -161,14 +162,20 @@ def _fenced(df: DataFrame, cols: list[str], method: str) -> DataFrame:
     return _outside(df, cols, at, lambda v, a: (v < a["lower_bound"]) | (v > a["upper_bound"]))
 
 
+def fences(df: DataFrame, method: str = "exact") -> DataFrame:
+    """The numeric columns' IQR bounds, outlier counts and moments (a row each), for ``data_quality`` and
+    ``outliers_iqr`` of one table to share."""
+    return _fenced(df, numeric_columns(df, df.columns), method)
+
+
 def _distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     """nd0, nd1, ...: distinct values of each column, each counted over that column alone."""
     each = [df.agg(F.count_distinct(_q(c)).alias("nd")).select(F.lit(i).alias("i"), "nd") for i, c in enumerate(cols)]
     return functools.reduce(DataFrame.unionByName, each).agg(*[F.max(F.when(F.col("i") == i, F.col("nd"))).alias(f"nd{i}") for i in range(len(cols))])
 
 
-def data_quality(df: DataFrame, dataset_id: str = "dataset", method: str = "exact") -> DataFrame:
-    """Completeness, validity, uniqueness, consistency, overall, status."""
+def data_quality(df: DataFrame, dataset_id: str = "dataset", method: str = "exact", fenced: DataFrame | None = None) -> DataFrame:
+    """Completeness, validity, uniqueness, consistency, overall, status.  ``fenced``: the table's ``fences``, if known."""
     cols = df.columns
     num = numeric_columns(df, cols)
     base = df.agg(F.count(F.lit(1)).alias("n"),
@@ -184,7 +191,7 @@ def data_quality(df: DataFrame, dataset_id: str = "dataset", method: str = "exac
                        completeness.alias("_comp"), F.least(uniq, lit_d(100.0)).alias("_uniq"),
                        (total - nonnull).cast("long").alias("missing_values"))
     if num:
-        f = _fenced(df, num, method)
+        f = _fenced(df, num, method) if fenced is None else fenced
         # consistency over all rows; nulls and all-null columns count as inside
         cons = (f.select(F.lit(dataset_id).alias("dataset_id"), "outliers")
                  .groupBy("dataset_id").agg(F.sum("outliers").alias("_out_sum")))
@@ -211,11 +218,11 @@ def _impact(pct: Column) -> Column:
     return F.when(pct > 10, F.lit("high")).when(pct > 5, F.lit("medium")).otherwise(F.lit("low"))
 
 
-def outliers_iqr(df: DataFrame, method: str = "exact") -> DataFrame:
+def outliers_iqr(df: DataFrame, method: str = "exact", fenced: DataFrame | None = None) -> DataFrame:
     """A14 + K4: IQR fences per numeric column with ≥ 3 values; rows for
-    columns with outliers, ordered by impact, count desc, column order."""
-    num = numeric_columns(df, df.columns)
-    f = _fenced(df, num, method).filter(F.col("n") >= 3).filter(F.col("outliers") > 0)
+    columns with outliers, ordered by impact, count desc, column order.  ``fenced``: the table's ``fences``, if known."""
+    f = fences(df, method) if fenced is None else fenced
+    f = f.filter(F.col("n") >= 3).filter(F.col("outliers") > 0)
     pct = F.col("outliers") / F.col("n_all") * 100
     out = f.select(F.col("column").alias("feature"), "col_ord", F.col("outliers").alias("count"),
                    round_half(pct, 2).alias("percentage"), _impact(pct).alias("impact"),
