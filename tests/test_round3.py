@@ -91,3 +91,16 @@ def test_tests_on_constant_folds(spark):
     assert (t["gap"].t_stat, t["gap"].p_value, t["gap"].significance) == (float("inf"), 0.0, "***")
     assert (t["line"].t_stat, t["line"].p_value, t["line"].significance) == (None, None, "ns")
     assert t["same"].t_stat == pytest.approx(12.0 / (2.5 ** 0.5 / 5 ** 0.5))
+
+
+def test_scenario_datasets_are_read_not_made_again(spark):
+    from trustframe.plans.experiment import scenario_datasets, scenario_predictions
+    made = scenario_datasets(spark, "/root/testdata/sf0.001")
+    for d in made.values():
+        plan = d._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "md5" not in plan
+    p = scenario_predictions(made, "BUILDING")
+    assert "md5" not in p._jdf.queryExecution().analyzed().toString().split("Generate explode")[0]  # a draw a row, below the models
+    n = {k: d.count() for k, d in made.items()}
+    got = {r.dataset_id: r["count"] for r in p.groupBy("dataset_id").count().collect()}
+    assert got == {**{k: 3 * v for k, v in n.items()}, "strong": 3 * n["clean"], "extreme": 3 * n["clean"]}

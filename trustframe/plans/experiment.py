@@ -376,14 +376,24 @@ BIAS_SCENARIOS = ("strong", "extreme")
 TEST_SHARE = 0.3
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder, for its several readers."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scenario_datasets(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """The order features clean and corrupted: cells lost by hash draw (never the target or the sensitive
-    column), then majority rows copied.  ``copy`` is -1 for a row itself, else its draw."""
-    ds = W.orders_dataset(spark, sf).select("row_id", *FEATURES, "target")
+    column), then majority rows copied.  ``copy`` is -1 for a row itself, else its draw.
+
+    Each is written once, as the draws and the join are dearer than reading: predictions and statistics read it."""
+    ds = _written(W.orders_dataset(spark, sf).select("row_id", *FEATURES, "target"), "clean")
     out = {}
     for name, (nulls, copies) in DATA_SCENARIOS.items():
-        d = inject_nulls(ds, "row_id", ["target", SENSITIVE], nulls) if nulls else ds
-        out[name] = oversample_majority(d, "target", "row_id", copies, copy_col="copy") if copies else d.withColumn("copy", F.lit(-1).cast("long"))
+        d = _written(inject_nulls(ds, "row_id", ["target", SENSITIVE], nulls), name) if nulls else ds
+        out[name] = (_written(oversample_majority(d, "target", "row_id", copies, copy_col="copy"), f"{name}-copied") if copies
+                     else d.withColumn("copy", F.lit(-1).cast("long")))
     return out
 
 
@@ -391,8 +401,10 @@ def scenario_predictions(datasets: dict[str, DataFrame], biased_value: str) -> D
     """Predictions of all scenarios under one key: ``dataset_id`` names the scenario.  A rule on a lost cell
     doesn't fire (0).  The bias scenarios force the clean predictions; a row and its copies are
     dealt to the test part each by its own draw."""
+    test = uniform01(F.lit("test"), F.col("row_id").cast("string"), F.col("copy").cast("string")) < TEST_SHARE
     outs = []
     for name, d in datasets.items():
+        d = d.withColumn("split", F.when(test, "test").otherwise("train"))  # a draw a row, not one a prediction
         p = W._explode_models(d, {m: f"coalesce(CAST(({r}) AS DOUBLE), 0D)" for m, r in W.BINARY_RULES.items()}, "double")
         outs.append(p.withColumn("dataset_id", F.lit(name)))
     clean = outs[list(datasets).index("clean")]
@@ -401,9 +413,7 @@ def scenario_predictions(datasets: dict[str, DataFrame], biased_value: str) -> D
     rows = outs[0]
     for o in outs[1:]:
         rows = rows.unionByName(o)
-    test = uniform01(F.lit("test"), F.col("row_id").cast("string"), F.col("copy").cast("string")) < TEST_SHARE
-    return rows.select("model_id", "dataset_id", F.when(test, "test").otherwise("train").alias("split"),
-                       F.col("target").cast("double").alias("y_true"), "y_pred", SENSITIVE)
+    return rows.select("model_id", "dataset_id", "split", F.col("target").cast("double").alias("y_true"), "y_pred", SENSITIVE)
 
 
 def scenario_table(spark: SparkSession, sf: str, biased_value: str = "BUILDING", n_runs: int = 10) -> DataFrame:
