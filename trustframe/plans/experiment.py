@@ -79,15 +79,13 @@ _FITTED: dict[tuple[str, str], str] = {}
 
 def fitted_predictions(spark: SparkSession, sf: str, k: int = K_FOLDS) -> DataFrame:
     """M3: out-of-fold predictions of the three fitted models for every row (model_id, fold, features,
-    target, y_pred, score): a predictions table, written once a session and read by A25 to A28.
-
-    50 boosting rounds here (``Fits`` has 200): a round is a handful of jobs, one after the other."""
+    target, y_pred, score): a predictions table, written once a session and read by A25 to A28."""
     from trustframe.operators import models as M
     key = (spark.sparkContext.applicationId, sf)
     if key not in _FITTED:
         rows, _ = M.prepared(folded_orders(spark, sf, k), "target", ["o_totalprice", "c_acctbal"], ["o_orderpriority", "c_mktsegment", "n_regionkey"])
         path = f"{checkpoint_dir(spark).rstrip('/')}/fitted-{uuid.uuid4().hex}"
-        M.out_of_fold(rows, "fold", k, fits=M.Fits(rounds=50)).write.parquet(path)
+        M.out_of_fold(rows, "fold", k).write.parquet(path)
         _FITTED[key] = path
     return spark.read.parquet(_FITTED[key])
 
