@@ -2,7 +2,7 @@
 
 ``prepared`` indexes, one-hot encodes and assembles the features once, into a table written to the
 shared folder; all fits read it in the same parts, of a bounded number of rows each.  ``out_of_fold`` fits every algorithm on each fold's training part
-with MLlib (each fit is distributed; on small tables several are submitted at a time, as such a fit
+(``counted``; else with MLlib: each fit is distributed, on small tables several are submitted at a time, as such a fit
 doesn't fill a cluster) and scores the part held out, so each row has one prediction a model, made by a
 model that hasn't seen it.
 """
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
+from trustframe.operators.counted import out_of_fold_scores
 from trustframe.session import checkpoint_dir
 
 ROWS_A_TASK, MOST_ROWS_A_TASK, USUAL_TASKS = 100_000, 250_000, 48
@@ -75,7 +76,13 @@ def fit(train: DataFrame, algorithm: str, fits: Fits = Fits()) -> Model:
 
 
 def out_of_fold(table: DataFrame, fold: str, folds: int, algorithms: list[str] = ALGORITHMS, fits: Fits = Fits(), at_once: int = 8) -> DataFrame:
-    """The rows with model_id, y_pred and score (the probability of class 1) from models fitted without their fold."""
+    """The rows with model_id, y_pred and score (the probability of class 1) from models fitted without their fold.
+
+    Trees are grown on counted cells and logistic weights found in a few passes (``counted``); where cells would be
+    too many, MLlib fits on the rows."""
+    known = [a for a in algorithms if a in ALGORITHMS]
+    if len(known) == len(algorithms) and (out := out_of_fold_scores(table, fold, folds, known, fits)) is not None:
+        return out
 
     def one(algorithm: str, k: int) -> DataFrame:
         model = fit(table.filter(F.col(fold) != k), algorithm, fits)

@@ -1,9 +1,10 @@
 """M3 (re-aimed), A25–A30, K8, T17–T19, M5–M8: experiments over the trust scorer.
 
 * ``fold_results``: stratified k-fold evaluation of the rule models.  The
-  statistics of each fold's *training* part come from one pass: every row is
-  exploded into the k−1 training sets it belongs to and one aggregation per
-  training fold follows (k−1 times the rows, but no k separate scans).
+  statistics of each fold's *training* part come from one pass: for the moments
+  every row is exploded into the k−1 training sets it belongs to (combined before
+  any shuffle); equal rows and labels are counted by fold, a training part's
+  count being the whole one less its own fold's.
 * Summaries, paired t-tests, correlations and sweeps work on the small
   per-(model, fold) table; p-values use a pandas UDF on aggregated rows.
 * ``replicate_ci`` re-aims the stochastic multi-run: the Gaussian noise is a
@@ -57,10 +58,16 @@ def train_fold_stats(folded: DataFrame, k: int = K_FOLDS) -> DataFrame:
     sk = [F.abs(F.coalesce(F.col(f"s_{c}"), lit_d(0.0))) for c in num]
     base = base.select("train_fold", "n_rows", "missing_values",
                        F.tanh(sum(sk, lit_d(0.0)) / len(num) / 3.0).alias("skew_score"))
-    dup = (ex.groupBy("train_fold", *FEATURES).agg(F.count(F.lit(1)).alias("c"))
-             .groupBy("train_fold").agg(F.sum(F.col("c") - 1).alias("dups")))
-    cls = (ex.groupBy("train_fold", "target").agg(F.count(F.lit(1)).alias("c"))
-             .groupBy("train_fold").agg((F.min("c") / F.max("c")).alias("imbalance_ratio")))
+    # rows and labels are counted by fold, not once a training part: a part's count is the whole one less its own fold's
+    own = [F.count_if(F.col("fold") == f).alias(f"_{f}") for f in range(k)]
+    left = F.array(*[F.struct(F.lit(f).alias("train_fold"), (F.col("c") - F.col(f"_{f}")).alias("c")) for f in range(k)])
+
+    def by_part(*keys):
+        counts = folded.filter(F.col("fold").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), *own)
+        return counts.select(F.inline(left)).filter("c > 0").groupBy("train_fold")
+
+    dup = by_part(*FEATURES).agg(F.sum(F.col("c") - 1).alias("dups"))
+    cls = by_part("target").agg((F.min("c") / F.max("c")).alias("imbalance_ratio"))
     return (base.join(dup, "train_fold").join(cls, "train_fold")
                 .select(F.col("train_fold").alias("fold"), "n_rows", F.lit(len(FEATURES)).alias("n_features"),
                         "missing_values", "imbalance_ratio",
